@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -57,3 +59,8 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without the columns that an operator is about to add (names compare without case)."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def ship(module: str) -> None:
+    """Let Spark send the functions of ``module`` to its workers by value, so they need not have it installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
