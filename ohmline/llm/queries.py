@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ohmline.llm import mixing, sharding
+from ohmline.llm import decontamination, language_id, mixing, sharding, token_counts, toxicity
 from ohmline.shared import read_table
 
 
@@ -60,9 +62,78 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose id's crc32 leaves no 2 modulo 4."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.crc_remainder("doc_id", 4) == 2
+    dictionaries = language_id.learn(docs.where(~held_out))
+    found = language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), dictionaries)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words that lie in windows of the benchmark."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.scan(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP5_SQL = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), items AS (
+  SELECT item_id::VARCHAR AS item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS p
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), lengths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS p
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, lengths WHERE len(w) >= n)
+), hits AS (SELECT r, i, n, item_id FROM places JOIN windows USING (n, p)),
+hit_words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hits) GROUP BY r),
+hit_items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+"""
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the number of its tokens."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from those whose id's crc32 is no multiple of 5."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = language_id.crc_remainder("doc_id", 5) == 0
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    fitted = toxicity.learn(docs.where(~held_out), labels)
+    scored = toxicity.score(docs.select("doc_id", "text", held_out.alias("held_out")), fitted)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_sharding": op3_sharding,
+    "op4_language_id": op4_language_id,
+    "op5_decontamination": op5_decontamination,
+    "op8_token_counts": op8_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_decontamination": OP5_SQL}
