@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmline.llm import decontamination, language_id, mixing, sharding, token_counts, toxicity
+from ohmline.llm import ann, decontamination, language_id, mixing, sharding, simhash, token_counts, toxicity
 from ohmline.shared import read_table
 
 
@@ -56,6 +56,12 @@ FROM ranked
 """
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20, among all others."""
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shard of 16, its slot, and its shard of 17."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -110,6 +116,12 @@ FROM words LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the least id of its near-duplicates."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the number of its tokens."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -129,9 +141,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_nearest": op2_nearest,
     "op3_sharding": op3_sharding,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
+    "op6_simhash": op6_simhash,
     "op8_token_counts": op8_token_counts,
     "op10_toxicity": op10_toxicity,
 }
