@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmline.llm import ann, decontamination, language_id, mixing, sharding, simhash, token_counts, toxicity
+from ohmline.llm import ann, decontamination, language_id, line_dedup, lm_scoring, mixing, sharding, simhash, token_counts, toxicity
 from ohmline.shared import read_table
 
 
@@ -122,6 +122,35 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its lines, those that stay, and the digest of the text that they make."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.deduplicate_lines(docs).select("doc_id", "n_lines", "n_kept", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, l, regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)
+), named AS (SELECT *, array_to_string(w, ' ') AS name, len(w) AS n, doc_id * 1000000 + i AS place FROM lines),
+firsts AS (SELECT name, any_value(w) AS w, any_value(n) AS n, min(place) AS place FROM named WHERE n > 0 GROUP BY name),
+dropped AS (
+  SELECT name, place, k, array_to_string(w[1 : k - 1] || w[k + 1 : n], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM firsts WHERE n >= 5)
+), replaced AS (SELECT rest, k, min(place) AS place FROM dropped GROUP BY rest, k),
+shortened AS (SELECT rest, min(place) AS place FROM dropped GROUP BY rest),
+late AS (
+  SELECT d.name FROM dropped d JOIN replaced r ON d.rest = r.rest AND d.k = r.k AND r.place < d.place
+  UNION SELECT d.name FROM dropped d JOIN firsts f ON d.rest = f.name AND f.n >= 5 AND f.place < d.place
+  UNION SELECT f.name FROM firsts f JOIN shortened s ON s.rest = f.name AND f.n >= 5 AND s.place < f.place
+), stay AS (SELECT place FROM firsts WHERE name NOT IN (SELECT name FROM late)),
+kept AS (SELECT doc_id, i, l FROM named WHERE n = 0 OR place IN (SELECT place FROM stay))
+SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(k.n_kept, 0)::BIGINT AS n_kept,
+       CASE WHEN text IS NOT NULL THEN sha256(coalesce(k.t, '')) END AS kept_sha256
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_kept, string_agg(l, chr(10) ORDER BY i) AS t FROM kept GROUP BY doc_id) k ON d.doc_id = k.doc_id
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the number of its tokens."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -129,6 +158,33 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the mean score of its words under the pair counts of all documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scoring.score(docs).select("doc_id", "n_words", F.round("lm_score", 6).alias("lm_score"))
+
+
+OP9_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), tokens AS (
+  SELECT r, k, w[k] AS b, CASE WHEN k > 1 THEN w[k - 1] END AS a FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM docs)
+), words AS (SELECT b AS word, count(*) AS c FROM tokens GROUP BY b),
+total AS (SELECT count(*)::DOUBLE AS t FROM tokens),
+pairs AS (SELECT r, a, b, count(*) AS n FROM tokens WHERE a IS NOT NULL GROUP BY r, a, b),
+counts AS (SELECT a, b, sum(n) AS c FROM pairs GROUP BY a, b),
+parts AS (
+  SELECT p.r, p.n, CASE WHEN c.c > p.n THEN p.n * (ln((c.c - p.n)::DOUBLE) - ln(x.c::DOUBLE)) ELSE p.n * (ln(0.4::DOUBLE / t) + ln(y.c::DOUBLE)) END AS part
+  FROM pairs p JOIN counts c USING (a, b) JOIN words x ON x.word = p.a JOIN words y ON y.word = p.b, total
+  UNION ALL
+  SELECT r, 1, ln(0.4::DOUBLE / t) + ln(c::DOUBLE) FROM tokens JOIN words ON word = b, total WHERE a IS NULL
+), sums AS (SELECT r, sum(part) / sum(n) AS s FROM parts GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(s, 6) AS lm_score FROM docs LEFT JOIN sums USING (r)
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from those whose id's crc32 is no multiple of 5."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -146,8 +202,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
+    "op7_line_dedup": op7_line_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_decontamination": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": OP1_SQL,
+    "op5_decontamination": OP5_SQL,
+    "op7_line_dedup": OP7_SQL,
+    "op9_lm_scoring": OP9_SQL,
+}
