@@ -38,13 +38,12 @@ def name_of(words: list[bytes]) -> bytes:
 
 
 def half_keys(words: list[bytes]) -> list[int]:
-    """Keys of the halves that a line shares with any line one edit away, as the shorter and as the longer of both."""
-    keys = []
+    """Keys of the halves that a line shares with any line one edit away, as the shorter or as the longer of both."""
+    halves = set()
     for n in (len(words), len(words) - 1):
         half = n // 2
-        for side, part in (("first", words[:half]), ("last", words[len(words) - (n - half) :])):
-            keys.append(xxhash.xxh3_64_intdigest(b" ".join(part), n * 2 + (side == "last")) - (1 << 63))
-    return keys
+        halves |= {(0, half), (len(words) - (n - half), len(words))}
+    return [xxhash.xxh3_64_intdigest(b" ".join(words[a:b]), int(a > 0)) - (1 << 63) for a, b in sorted(halves)]
 
 
 def variant_keys(words: list[bytes]) -> list[tuple[bytes, int]]:
@@ -62,7 +61,7 @@ def variant_keys(words: list[bytes]) -> list[tuple[bytes, int]]:
 
 
 def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(place, line, near keys) of each line with words, in the order of ``LINES``."""
+    """(place, line, half keys) of each line with words."""
     for batch in batches:
         out: list[tuple] = []
         for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
@@ -79,7 +78,7 @@ PLACE_SQL = "struct<late:boolean,id:bigint,text:bigint,line:int>"
 
 
 def variants_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, kind, line, place) of the lines whose numbers come with their text."""
+    """(key, kind, place) of the lines whose numbers come with their text."""
     for batch in batches:
         for row, numbers, text in zip(batch.column("row").to_pylist(), batch.column("numbers").to_pylist(), batch.column("text")):
             lines = text.as_buffer().to_pybytes().split(b"\n")
@@ -87,9 +86,9 @@ def variants_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out = []
                 for i in numbers[at : at + 64]:
                     words = line_words(lines[i])
-                    name, place = name_of(words), row | {"line": i}
-                    out += [(key, kind, name, place) for key, kind in variant_keys(words)]
-                yield pa.record_batch(list(map(pa.array, zip(*out), (pa.binary(), pa.int32(), pa.binary(), PLACE))), ["key", "kind", "line", "place"])
+                    place = row | {"line": i}
+                    out += [(key, kind, place) for key, kind in variant_keys(words)]
+                yield pa.record_batch(list(map(pa.array, zip(*out), (pa.binary(), pa.int32(), PLACE))), ["key", "kind", "place"])
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -102,18 +101,19 @@ def kept_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     lines = rows.mapInArrow(lines_of, f"place {PLACE_SQL}, line binary, halves array<bigint>")
     distinct = cut(lines.groupBy("line").agg(F.min("place").alias("place"), F.first("halves").alias("halves")))
-    halves = distinct.select("line", F.explode("halves").alias("half"))
+    halves = distinct.select(F.xxhash64("line").alias("name"), F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    near = halves.join(shared, "half").select("line").distinct().join(distinct.select("line", "place"), "line")
+    names = halves.join(shared, "half", "left_semi").select("name").distinct()
+    near = distinct.select(F.xxhash64("line").alias("name"), "place").join(names, "name", "left_semi")
     asked = near.groupBy(F.struct("place.late", "place.id", "place.text").alias("row")).agg(F.sort_array(F.collect_list("place.line")).alias("numbers"))
     texts = rows.where(F.col("text").isNotNull()).join(asked, "row").groupBy("row").agg(F.first("text").alias("text"), F.first("numbers").alias("numbers"))
-    variants = cut(texts.mapInArrow(variants_of, f"key binary, kind int, line binary, place {PLACE_SQL}"))
+    variants = cut(texts.mapInArrow(variants_of, f"key binary, kind int, place {PLACE_SQL}"))
     of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("place")))
     earliest = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), of(SUBSTITUTION).alias("replaced"), of(WHOLE).alias("whole"), of(SHORTENED).alias("shortened")).where("n > 1")
     other = F.when(F.col("kind") == SUBSTITUTION, F.col("replaced")).when(F.col("kind") == WHOLE, F.col("shortened")).otherwise(F.col("whole"))
-    later = variants.join(earliest, "key").where(other < F.col("place")).select("line").distinct()
-    stay = distinct.join(later, "line", "left_anti")
-    return stay.groupBy(F.struct("place.late", "place.id", "place.text").alias("row")).agg(F.sort_array(F.collect_list("place.line")).alias("lines"))
+    later = variants.join(earliest, "key").where(other < F.col("place")).select("place").distinct()
+    stay = distinct.select("place").join(later, "place", "left_anti")
+    return cut(stay.groupBy(F.struct("place.late", "place.id", "place.text").alias("row")).agg(F.sort_array(F.collect_list("place.line")).alias("lines")))
 
 
 def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
