@@ -152,10 +152,11 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     id_, text = F.col(own[id_col]), F.col(own[text_col])
     row = row.withColumn("__id", F.coalesce(id_.cast("string"), F.lit(""))).withColumn("__text", F.xxhash64(text, F.length(text)))
     prints = cut(row.select("__id", "__text", id_.alias("id"), fingerprinter(shingle, seed)(text).alias("fp")))
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "__text")).alias("first"))  # folds copies before the join
     kept = (
-        prints.join(groups(prints), "fp")
+        first.join(groups(prints), "fp")
         .groupBy("root")
-        .agg(F.min(F.struct(F.col("id").isNull(), "id", "__text")).alias("kept"))
+        .agg(F.min("first").alias("kept"))
         .select(F.coalesce(F.col("kept.id").cast("string"), F.lit("")).alias("__id"), F.col("kept.__text").alias("__text"))
         .distinct()
     )
