@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ohmline.shared import cut, drop_table, release, ship, without
+from ohmline.shared import cut, drop_table, ship, without
 
 ship(__name__)
 
@@ -107,9 +107,7 @@ def kept_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     near = distinct.select(F.xxhash64("line").alias("name"), "place").join(names, "name", "left_semi")
     asked = near.groupBy(F.struct("place.late", "place.id", "place.text").alias("row")).agg(F.sort_array(F.collect_list("place.line")).alias("numbers"))
     texts = rows.where(F.col("text").isNotNull()).join(asked, "row").groupBy("row").agg(F.first("text").alias("text"), F.first("numbers").alias("numbers"))
-    release(docs.sparkSession)
     variants = cut(texts.mapInArrow(variants_of, f"key binary, kind int, place {PLACE_SQL}"))
-    release(docs.sparkSession)
     of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("place")))
     earliest = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), of(SUBSTITUTION).alias("replaced"), of(WHOLE).alias("whole"), of(SHORTENED).alias("shortened")).where("n > 1")
     other = F.when(F.col("kind") == SUBSTITUTION, F.col("replaced")).when(F.col("kind") == WHOLE, F.col("shortened")).otherwise(F.col("whole"))
@@ -118,7 +116,6 @@ def kept_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kept = cut(stay.groupBy(F.struct("place.late", "place.id", "place.text").alias("row")).agg(F.sort_array(F.collect_list("place.line")).alias("lines")))
     for done in (variants, distinct):
         drop_table(done)
-    release(docs.sparkSession)
     return kept
 
 
