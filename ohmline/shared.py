@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import sys
 import tempfile
 import uuid
@@ -10,6 +9,9 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which a finished write drops its shuffle files at once, not when the driver collects garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``; any path that Spark's readers open will do."""
@@ -31,18 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     What follows no longer depends on the plan that made it, so a lost executor costs a re-read, not a
-    recomputation. The files stay for as long as the folder does.
+    recomputation. The files stay for as long as the folder does; the shuffle files of the write go with its end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ohmline/{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,16 +60,6 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more.
-
-    It does so when the driver's collector finds them gone, which may be long after a job of many steps has filled
-    the disks; call this after a step whose result has been written.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without the columns that an operator is about to add (names compare without case)."""
     taken = {n.lower() for n in names}
