@@ -1,18 +1,28 @@
 """Language-model scores by stupid backoff, computed relationally over word pairs.
 
 Counts come from the whole corpus. A pair of words that other documents hold scores its relative frequency
-after the first word; any other word scores its share of all words, discounted. The count tables are hash
-partitioned by pair and by word; the documents' pairs are joined to them and summed per document. Words are
-carried as 64-bit hashes, and pairs are folded within a document before anything is shuffled.
+after the first word; any other word scores its share of all words, discounted.
+
+The count tables are partitioned by hash: a bucket holds all entries (pair, document, count) whose first word
+falls into it, so the pair counts and the first words' counts are summed and joined to the entries where they
+lie. Words that back off go on to the bucket of their own count. Sums of documents are added at the end.
+Entries travel packed, many to a row, and are folded within a document first.
+
+A few hundred words and pairs that a sample shows to be frequent would make some buckets large: their exact
+counts are taken in a pass of their own and broadcast, the words' other pairs are dealt by both words, and the
+pairs are scored where they are read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,50 +32,285 @@ ship(__name__)
 
 BACKOFF = 0.4
 TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-PAIRS = "row long, first long, second long, n int"
-#: Rows of pairs that a task sends at a time.
-PIECE = 200_000
+#: Bits of a word's hash; with those of the bucket, a pair is told apart by about 100 bits.
+HASH_BITS = 48
+#: Bounds: words that a task folds at a time, and entries that a bucket is meant to hold.
+PIECE, BUCKET_ENTRIES = 1_500_000, 3_000_000
+#: Bounds of the sample that frequent words and pairs are picked from, and of both lists.
+SAMPLE_DOCS, SAMPLE_TASKS, HOT_WORDS, HOT_PAIRS = 3_000, 8, 500, 500
+#: Bits of a word's number and a document's number inside a piece.
+WORD_BITS, DOC_BITS = 24, 15
+#: Kinds of packed rows.
+ENTRIES, SUMS, MISSES, COUNTS, ROWS, LAST = range(6)
+PACKED = "bucket int, kind int, batch long, data binary"
+FIELDS = ["bucket", "kind", "batch", "data"]
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays, each cut to the bytes that its greatest value needs, in one compressed block."""
+    parts = []
+    for a in arrays:
+        if a.dtype.kind == "f":
+            width, raw = 0, a.astype("<f8").tobytes()
+        else:
+            width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+            raw = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).T.tobytes()
+        parts += [np.array([width, len(a)], "<u8").tobytes(), raw]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, first, second, n) of the pairs of each text; the first word of a text follows nothing (null)."""
-    digest = xxhash.xxh64_intdigest
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw, at, arrays = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(raw):
+        width, n = (int(x) for x in np.frombuffer(raw, "<u8", 2, at))
+        at += 16
+        if width == 0:
+            arrays.append(np.frombuffer(raw, "<f8", n, at))
+            at += 8 * n
+        else:
+            full = np.zeros((n, 8), np.uint8)
+            full[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+            arrays.append(full.view("<u8").ravel().astype(np.int64))
+            at += width * n
+    return arrays
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, words, docs): keys of some documents, hashes of all their words, and whose word each is."""
+    digest, mask = xxhash.xxh64_intdigest, (1 << HASH_BITS) - 1
+    known: dict[bytes, int] = {}
+    rows, words, lengths = [], [], []
     for batch in batches:
         for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
-            words = text.as_buffer().to_pybytes().translate(TO_LOWER).split() if text.is_valid else []
-            if not words:
+            found = text.as_buffer().to_pybytes().translate(TO_LOWER).split() if text.is_valid else []
+            if not found:
                 continue
-            known: dict[bytes, int] = {}
-            codes = np.array([known.get(w) or known.setdefault(w, digest(w)) for w in words], np.uint64).view(np.int64)
-            if len(codes) > 1:
-                order = np.lexsort((codes[1:], codes[:-1]))
-                a, b = codes[:-1][order], codes[1:][order]
-                at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-                n = np.diff(np.append(at, len(a)))
-                a, b = a[at], b[at]
+            for w in found:
+                if w not in known:
+                    known[w] = digest(w) & mask
+            rows.append(row)
+            words.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
+            lengths.append(len(found))
+            if sum(lengths[-1:]) and (len(rows) == (1 << DOC_BITS) - 1 or len(known) > PIECE or sum(lengths) >= PIECE):
+                yield np.array(rows), np.concatenate(words), np.repeat(np.arange(len(rows)), lengths)
+                rows, words, lengths, known = [], [], [], {}
+    if rows:
+        yield np.array(rows), np.concatenate(words), np.repeat(np.arange(len(rows)), lengths)
+
+
+def frequent_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(first, second, n): the most frequent words (second is -1) and pairs of the documents."""
+    words, pairs = Counter(), Counter()
+    for _, codes, docs in pieces(batches):
+        words.update(codes.tolist())
+        same = docs[1:] == docs[:-1]
+        pairs.update(set(zip(codes[:-1][same].tolist(), codes[1:][same].tolist(), docs[1:][same].tolist())))
+    both = Counter()
+    for (a, b, _), n in pairs.items():
+        both[(a, b)] += n
+    top = [(w, -1, n) for w, n in words.most_common(HOT_WORDS)] + [(a, b, n) for (a, b), n in both.most_common(HOT_PAIRS)]
+    yield pa.record_batch([pa.array([t[i] for t in top], pa.int64()) for i in range(3)], ["first", "second", "n"])
+
+
+def hot_lists(rows: DataFrame) -> tuple[list[int], list[tuple[int, int]]]:
+    """Words and pairs that are frequent in a sample of the documents picked by hash."""
+    total = rows.count()
+    part = min(1 << 40, (SAMPLE_DOCS << 40) // max(1, total))
+    sample = rows.where(F.pmod(F.xxhash64("row", F.lit("lm")), F.lit(1 << 40)) < part).limit(4 * SAMPLE_DOCS).repartition(SAMPLE_TASKS)
+    words, pairs = Counter(), Counter()
+    for r in sample.mapInArrow(frequent_of, "first long, second long, n long").collect():
+        if r["second"] < 0:
+            words[r["first"]] += r["n"]
+        else:
+            pairs[(r["first"], r["second"])] += r["n"]
+    hot_pairs = [p for p, _ in sorted(pairs.items(), key=lambda x: (-x[1], x[0]))[:HOT_PAIRS]]
+    hot_words = {w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:HOT_WORDS]} | {a for a, _ in hot_pairs}
+    return sorted(hot_words), sorted(hot_pairs)
+
+
+def counter_of(hot):
+    """A function that counts the frequent words and pairs, and all words (first and second are -1)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = hot.value
+        words, pairs = np.array(words, np.int64), np.array(pairs, np.int64).reshape(-1, 2)
+        n_words, n_pairs, total = np.zeros(len(words), np.int64), Counter(), 0
+        firsts = np.unique(pairs[:, 0])
+        for _, codes, docs in pieces(batches):
+            total += len(codes)
+            if len(words):
+                at = np.searchsorted(words, codes).clip(max=len(words) - 1)
+                n_words += np.bincount(at[words[at] == codes], minlength=len(words))
+            same = (docs[1:] == docs[:-1]) & np.isin(codes[:-1], firsts)
+            n_pairs.update(zip(codes[:-1][same].tolist(), codes[1:][same].tolist()))
+        wanted = list(map(tuple, pairs.tolist()))
+        out = [(-1, -1, total), *((w, -1, n) for w, n in zip(words.tolist(), n_words.tolist())), *((a, b, n_pairs[(a, b)]) for a, b in wanted)]
+        yield pa.record_batch([pa.array([t[i] for t in out], pa.int64()) for i in range(3)], ["first", "second", "n"])
+
+    return count
+
+
+def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the sorted ``keys``, and which of them are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.searchsorted(keys, wanted).clip(max=len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def split(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The arrays by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
+    for a, b in zip(edges, [*edges[1:], len(bucket)]):
+        yield int(bucket[a]), [x[order[a:b]] for x in arrays]
+
+
+def packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], FIELDS)
+
+
+def entries_of(hot, buckets: int):
+    """A function from documents to packed rows for the buckets."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts, pairs, pair_counts = hot.value
+        for k, (rows, codes, docs) in enumerate(pieces(batches)):
+            batch = (TaskContext.get().partitionId() << 24) | k
+            known, number = np.unique(codes, return_inverse=True)
+            same = docs[1:] == docs[:-1]
+            key = (number[:-1][same] << (WORD_BITS + DOC_BITS)) | (number[1:][same] << DOC_BITS) | docs[1:][same]
+            key.sort()
+            at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.array([], np.int64)
+            n = np.diff(np.append(at, len(key)))
+            key = key[at]
+            a, b, d = known[key >> (WORD_BITS + DOC_BITS)], known[(key >> DOC_BITS) & ((1 << WORD_BITS) - 1)], key & ((1 << DOC_BITS) - 1)
+            out = [(batch % buckets, ROWS, batch, pack(rows.view(np.uint64)))]
+            frequent = np.zeros(len(a), bool)
+            if len(pairs):
+                place, is_pair = lookup(pairs[:, 2], a * 31 ^ b)
+                frequent = is_pair & (pairs[place, 0] == a) & (pairs[place, 1] == b)
+                left = pair_counts[place[frequent]] - n[frequent]
+                hit = left > 0
+                first, _ = lookup(words, a[frequent][hit])
+                log = n[frequent][hit] * (np.log(left[hit]) - np.log(counts[first]))
+                sums = np.bincount(d[frequent][hit], weights=log, minlength=len(rows))
+                out.append((batch % buckets, SUMS, batch, pack(np.arange(len(rows)), sums)))
+                missed = np.flatnonzero(frequent)[~hit]
+                out += misses(b[missed], np.full(len(missed), batch), d[missed], n[missed], buckets)
+            a, b, d, n = (x[~frequent] for x in (a, b, d, n))
+            is_hot = lookup(words, a)[1]
+            for bucket, (x, y, doc, times) in split(np.where(is_hot, (a * 31 ^ b) % buckets, a % buckets).astype(np.int32), a, b, d, n):
+                turn = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+                out.append((bucket, ENTRIES, batch, pack(x[turn], np.diff(np.append(turn, len(x))), y, doc, times)))
+            starts = np.flatnonzero(np.concatenate(([True], ~same)))
+            out += misses(codes[starts], np.full(len(starts), batch), docs[starts], np.ones(len(starts), np.int64), buckets)
+            last, times = np.unique(codes[np.concatenate((~same, [True]))], return_counts=True)
+            out += [(bucket, LAST, batch, pack(x, t)) for bucket, (x, t) in split((last % buckets).astype(np.int32), last, times)]
+            for i in range(0, len(out), 64):
+                yield packed(out[i : i + 64])
+
+    return entries
+
+
+def misses(words: np.ndarray, batch: np.ndarray, docs: np.ndarray, n: np.ndarray, buckets: int) -> list[tuple]:
+    """Packed rows of words that back off, for the buckets of their own counts."""
+    return [
+        (bucket, MISSES, -1, pack(w, b, d, t))
+        for bucket, (w, b, d, t) in split((words % buckets).astype(np.int32), words, batch, docs, n)
+    ]
+
+
+def joiner(hot, buckets: int):
+    """A function from the packed rows of a bucket to sums of documents, words that back off, and word counts."""
+
+    def join(table: pa.Table) -> pa.Table:
+        words, counts = hot.value[:2]
+        kinds, batches, data = table.column("kind").to_pylist(), table.column("batch").to_pylist(), table.column("data")
+        bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
+        out, parts, lasts = [], [], []
+        for i, kind in enumerate(kinds):
+            if kind == ENTRIES:
+                x, runs, y, doc, times = unpack(data[i].as_py())
+                parts.append((np.repeat(x, runs), y, (np.int64(batches[i]) << DOC_BITS) | doc, times))
+            elif kind == LAST:
+                lasts.append(unpack(data[i].as_py()))
             else:
-                a = b = n = np.array([], np.int64)
-            first = pa.concat_arrays([pa.array([None], pa.int64()), pa.array(a, pa.int64())])
-            yield from pieces(row, first, np.concatenate((codes[:1], b)), np.concatenate(([1], n)))
+                out.append((bucket, kind, batches[i], data[i].as_py()))
+        a, b, doc, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.array([], np.int64),) * 4
+        if len(a):
+            firsts, fa = np.unique(a, return_inverse=True)
+            seconds, fb = np.unique(b, return_inverse=True)
+            _, pair = np.unique(fa * np.int64(len(seconds)) + fb, return_inverse=True)
+            total = np.bincount(pair, weights=n).astype(np.int64)
+            after = np.bincount(fa, weights=n).astype(np.int64)
+        else:
+            firsts = fa = pair = total = after = np.array([], np.int64)
+        every = np.concatenate([firsts, *(x for x, _ in lasts)])
+        times = np.concatenate([after, *(t for _, t in lasts)])
+        known, place = np.unique(every, return_inverse=True)
+        sizes = np.bincount(place, weights=times, minlength=len(known)).astype(np.int64)
+        at, is_hot = lookup(words, known)
+        sizes = np.where(is_hot, counts[at] if len(counts) else 0, sizes)
+        cold = ~is_hot
+        out.append((bucket, COUNTS, -1, pack(known[cold], sizes[cold])))
+        if len(a):
+            left = total[pair] - n
+            hit = left > 0
+            log = n[hit] * (np.log(left[hit]) - np.log(sizes[np.searchsorted(known, a[hit])]))
+            docs, at = np.unique(doc[hit], return_inverse=True)
+            out.append((bucket, SUMS, -1, pack(docs, np.bincount(at, weights=log, minlength=len(docs)))))
+            miss = ~hit
+            out += misses(b[miss], doc[miss] >> DOC_BITS, doc[miss] & ((1 << DOC_BITS) - 1), n[miss], buckets)
+        return pa.Table.from_batches([packed(out)])
+
+    return join
+
+
+def finisher(hot):
+    """A function from the packed rows of a bucket to (doc, log, missed): parts of the sums of documents."""
 
+    def finish(table: pa.Table) -> pa.Table:
+        words, counts = hot.value[:2]
+        known, sizes, docs, logs, missed = [words], [counts], [], [], []
+        data = table.column("data")
+        waiting = []
+        for kind, batch, x in zip(table.column("kind").to_pylist(), table.column("batch").to_pylist(), data):
+            arrays = unpack(x.as_py())
+            if kind == COUNTS:
+                known.append(arrays[0])
+                sizes.append(arrays[1])
+            elif kind == SUMS:
+                docs.append(arrays[0] if batch < 0 else (np.int64(batch) << DOC_BITS) | arrays[0])
+                logs.append(arrays[1])
+                missed.append(np.zeros(len(arrays[0])))
+            elif kind == MISSES:
+                waiting.append(arrays)
+        words, sizes = np.concatenate(known), np.concatenate(sizes)
+        order = np.argsort(words, kind="stable")
+        words, sizes = words[order], sizes[order]
+        for w, batch, d, n in waiting:
+            docs.append((batch << DOC_BITS) | d)
+            logs.append(n * np.log(sizes[np.searchsorted(words, w)]))
+            missed.append(n.astype(float))
+        if docs:
+            every, at = np.unique(np.concatenate(docs), return_inverse=True)
+            log, miss = (np.bincount(at, weights=np.concatenate(x), minlength=len(every)) for x in (logs, missed))
+        else:
+            every, log, miss = np.array([], np.int64), np.array([]), np.array([])
+        return pa.table({"doc": pa.array(every, pa.int64()), "log": pa.array(log, pa.float64()), "missed": pa.array(miss, pa.float64())})
 
-def pieces(row: int, first: pa.Array, second: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(second), PIECE):
-        some = slice(at, at + PIECE)
-        yield pa.record_batch([pa.array(np.full(len(second[some]), row)), first[some], pa.array(second[some]), pa.array(n[some], pa.int32())], ["row", "first", "second", "n"])
+    return finish
 
 
-def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs in batches of about ``PIECE`` rows."""
-    held, n = [], 0
-    for batch in pairs_of(batches):
-        held.append(batch)
-        n += batch.num_rows
-        if n >= PIECE:
-            yield pa.concat_batches(held)
-            held, n = [], 0
-    if held:
-        yield pa.concat_batches(held)
+def row_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, row): which document a number stands for."""
+    for part in batches:
+        for batch, data in zip(part.column("batch").to_pylist(), part.column("data")):
+            rows = unpack(data.as_py())[0]
+            yield pa.record_batch([pa.array((np.int64(batch) << DOC_BITS) | np.arange(len(rows))), pa.array(rows)], ["doc", "row"])
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF) -> DataFrame:
@@ -79,33 +324,25 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ba
     * Null and repeated ids are allowed; rows that repeat both id and text get the same score.
     * An empty table gives an empty result; input columns named like an output column are replaced.
     """
+    context = docs.sparkSession.sparkContext
     rows = without(docs, "n_words", "lm_score").withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    pairs = rows.select(F.col("__row").alias("row"), F.col(text_col).alias("text")).mapInArrow(together, PAIRS)
-    words = cut(pairs.groupBy("second").agg(F.sum("n").alias("count"))).withColumnRenamed("second", "word")
-    total = float(words.agg(F.sum("count")).first()[0] or 1)
-    counts = pairs.where("first is not null").groupBy("first", "second").agg(F.sum("n").alias("count"), F.max("n").alias("most"))
-    held = pairs.join(counts.where("count > most"), ["first", "second"], "left")
-    elsewhere = F.coalesce(F.col("count") - F.col("n"), F.lit(0)) > 0
-    parts = (
-        held.select(
-            "row",
-            "n",
-            F.when(elsewhere, F.col("first")).otherwise(F.col("second")).alias("word"),
-            F.when(elsewhere, -F.col("n")).otherwise(F.col("n")).alias("times"),
-            (F.col("n") * F.when(elsewhere, F.log(F.col("count") - F.col("n"))).otherwise(float(np.log(backoff / total)))).alias("part"),
-        )
-        .groupBy("row", "word")
-        .agg(F.sum("n").alias("n"), F.sum("times").alias("times"), F.sum("part").alias("part"))
-    )
-    summed = (
-        parts.join(words, "word")
-        .groupBy("row")
-        .agg(F.sum("n").alias("n"), F.sum(F.col("part") + F.col("times") * F.log("count")).alias("log"))
-    )
-    n_words = F.coalesce(F.regexp_count(F.col(f"d.{text_col}"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    scored = rows.alias("d").join(summed.alias("s"), F.col("d.__row") == F.col("s.row"), "left")
-    return scored.select(
-        *[F.col(f"d.{c}") for c in rows.columns if c != "__row"],
-        n_words.alias("n_words"),
-        (F.col("s.log") / F.col("s.n")).alias("lm_score"),
-    )
+    texts = rows.select(F.col("__row").alias("row"), F.col(text_col).alias("text"))
+    hot_words, hot_pairs = hot_lists(texts)
+    counted = texts.mapInArrow(counter_of(context.broadcast((hot_words, hot_pairs))), "first long, second long, n long")
+    exact = {(r["first"], r["second"]): r["n"] for r in counted.groupBy("first", "second").agg(F.sum("n").alias("n")).collect()}
+    total = max(1, exact.get((-1, -1), 0))
+    words = np.array(hot_words, np.int64)
+    pairs = np.array([(a, b, a * 31 ^ b) for a, b in hot_pairs], np.int64).reshape(-1, 3)
+    pairs = pairs[np.argsort(pairs[:, 2], kind="stable")]
+    hot = context.broadcast((words, np.array([exact[(w, -1)] for w in hot_words], np.int64), pairs, np.array([exact[(int(a), int(b))] for a, b, _ in pairs], np.int64)))
+    buckets = max(8, -(-total // BUCKET_ENTRIES))
+    dealt = texts.mapInArrow(entries_of(hot, buckets), PACKED)
+    joined = cut(dealt.groupBy("bucket").applyInArrow(joiner(hot, buckets), PACKED))
+    parts = joined.where(F.col("kind") != ROWS).groupBy("bucket").applyInArrow(finisher(hot), "doc long, log double, missed double")
+    sums = parts.groupBy("doc").agg(F.sum("log").alias("log"), F.sum("missed").alias("missed"))
+    numbers = joined.where(F.col("kind") == ROWS).select("batch", "data").mapInArrow(row_numbers, "doc long, row long")
+    by_row = sums.join(numbers, "doc").groupBy("row").agg(F.min(F.col("log") + F.col("missed") * float(np.log(backoff / total))).alias("log"))
+    n_words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    scored = rows.withColumn("n_words", n_words).alias("d").join(by_row.alias("s"), F.col("d.__row") == F.col("s.row"), "left")
+    kept = [c for c in rows.columns if c != "__row"]
+    return scored.select(*[F.col(f"d.{c}") for c in kept], F.col("d.n_words").alias("n_words"), F.try_divide(F.col("s.log"), F.col("d.n_words")).alias("lm_score"))
