@@ -68,6 +68,23 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+OP3_SQL = r"""
+WITH steps AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS step
+), docs AS (
+  SELECT doc_id, text, coalesce(doc_id::VARCHAR, '') AS key, coalesce(strlen(text), 0)::BIGINT + 1 AS size,
+         substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 3) AS bucket, row_number() OVER () AS r,
+         CASE WHEN text IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
+              lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) END AS text_crc32
+  FROM documents, steps
+), scores AS (
+  SELECT r, i, 1 / -ln((('0x' || substr(md5(key || ':' || i::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496) AS score FROM docs, range(17) t(i)
+), best AS (SELECT r, arg_max(i, score) FILTER (i < 16)::INT AS shard, arg_max(i, score)::INT AS grown_shard FROM scores GROUP BY r)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) - 1 AS slot, grown_shard
+FROM docs JOIN best USING (r)
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those whose id's crc32 leaves no 2 modulo 4."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -210,6 +227,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": OP1_SQL,
+    "op3_sharding": OP3_SQL,
     "op5_decontamination": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op9_lm_scoring": OP9_SQL,
