@@ -209,47 +209,98 @@ def fix_decimal_comma(lines: DataFrame, *, text: str = "value", order: str = "po
     )
 
 
-#: Fixed values of the capture format: bytes of header and status packet, the sample record, coarse scale, units.
-HEADER_BYTES, STATUS_BYTES = 212, 60
-SAMPLE = np.dtype([("main", "<i2"), ("usb", "<i2"), ("aux", "<i2"), ("voltage", "<u2")])
-COARSE, MICRO, VOLT_A_COUNT = 250, 1000.0, 125e-6
-MARKERS = 0x3
-CAPTURE_COLUMNS = "series_id string, num long, time_s double, main_ma double, usb_ma double, aux_ma double, voltage_v double, marker0 boolean, marker1 boolean, missing boolean"
-
-
-def currents(raw: np.ndarray) -> np.ndarray:
-    """Milliamperes of raw readings: the lowest bit marks a coarse reading, in steps of 250 microamperes."""
-    fine = (raw >> 1).astype(float)
-    return np.where(raw & 1, fine * COARSE, fine) / MICRO
-
-
-def read_power_captures(spark: SparkSession, path: str, *, rows_a_second: float = 5000.0, halved: bool = False) -> DataFrame:
-    """Samples of binary captures, a task for each file, in batches of bounded size.
-
-    A capture is a header, a status packet, and records of main, USB and auxiliary current and main voltage (two
-    bytes each; voltage in counts of 125 microvolts, its low bits are markers). ``halved``: old hardware counts twice.
+#: Fixed values of the capture format, little-endian. Header: bytes of each field in order, "s" a length-prefixed text;
+#: the last eight are two bytes each, among them the offsets of status packet and samples, and the channel mask.
+HEADER_FIELDS = (4, "s", 4, 8, "s", 4, 4, 4, 4, 4, 4, 4, 4, "s", "s", 4, 4, 8, 2, 2, 2, 2, 2, 2, 2, 2)
+STATUS_OFFSET_FIELD, SAMPLE_OFFSET_FIELD, MASK_FIELD = 18, 20, 25
+#: Status packet: places of output voltage, LEDs, sampling rate, initial USB and auxiliary voltage, hardware revision.
+STATUS_VOUT, STATUS_LEDS, STATUS_RATE, STATUS_USB, STATUS_AUX, STATUS_REVISION = 20, 24, 28, 40, 42, 44
+CHANNELS = (("main", 0x1000), ("usb", 0x2000), ("aux", 0x4000))
+COARSE_BIT, COARSE_SCALE, MARKER_BITS = 1, 250, 3
+MISSING_CURRENT, MISSING_VOLTAGE = 0x8001, 0xFFFF
+REVISION_B, REVISION_C, AUX_VOLTAGE_LED = 2, 3, 0x08
+VOLTS_A_COUNT = 125e-6
+CAPTURE_COLUMNS = (
+    "series_id string, num long, time_s double, main_ma double, main_v double, usb_ma double, usb_v double, aux_ma double, aux_v double, marker0 boolean, marker1 boolean, missing boolean"
+)
+CAPTURE_NAMES = [c.split(" ")[0] for c in CAPTURE_COLUMNS.split(", ")]
+#: Samples that are decoded at a time.
+CAPTURE_PIECE = 100_000
+
+
+def header_numbers(content: bytes) -> list[int]:
+    """The header's fields as whole numbers; texts count as their length."""
+    at, found = 0, []
+    for field in HEADER_FIELDS:
+        if field == "s":
+            size = shift = 0
+            while True:
+                byte = content[at]
+                at += 1
+                size |= (byte & 0x7F) << shift
+                shift += 7
+                if byte < 0x80:
+                    break
+            found.append(size)
+            at += size
+        else:
+            found.append(int.from_bytes(content[at : at + field], "little"))
+            at += field
+    return found
+
+
+def capture_batches(name: str, content: bytes) -> Iterator[pa.RecordBatch]:
+    """The samples of one capture, in batches; a capture that is cut short ends with its last whole sample."""
+    header = header_numbers(content[:4096])
+    status = content[header[STATUS_OFFSET_FIELD] :]
+    short = lambda at: int.from_bytes(status[at : at + 2], "little")
+    present = [c for c, bit in CHANNELS if header[MASK_FIELD] & bit]
+    record = np.dtype([(c, "<u2") for c in (*present, "voltage")])
+    raw = content[header[SAMPLE_OFFSET_FIELD] :]
+    samples = np.frombuffer(raw, record, len(raw) // record.itemsize)
+    rate, revision = 1000.0 * status[STATUS_RATE], status[STATUS_REVISION]
+    main_scale, aux_scale = 2 if revision < REVISION_B else 1, 2 if revision < REVISION_C else 1
+    for at in range(0, len(samples), CAPTURE_PIECE):
+        r = samples[at : at + CAPTURE_PIECE]
+        num = np.arange(at, at + len(r))
+        missing = r["voltage"] == MISSING_VOLTAGE
+        for c in present:
+            missing = missing | (r[c] == MISSING_CURRENT)
+        columns = {"series_id": [name] * len(r), "num": num, "time_s": num / rate, "missing": missing}
+        for c, _ in CHANNELS:
+            if c in present:
+                fine = (r[c] & ~np.uint16(COARSE_BIT)).view("<i2") / 1000.0
+                columns[f"{c}_ma"] = np.where(missing, 0.0, np.where(r[c] & COARSE_BIT, fine * COARSE_SCALE, fine))
+            else:
+                columns[f"{c}_ma"] = np.zeros(len(r))
+        volts = (r["voltage"] & ~np.uint16(MARKER_BITS)) * VOLTS_A_COUNT
+        fixed = {"main_v": 2.0 + status[STATUS_VOUT] * 0.01, "usb_v": short(STATUS_USB) * VOLTS_A_COUNT / main_scale, "aux_v": short(STATUS_AUX) * VOLTS_A_COUNT / aux_scale}
+        for c, v in fixed.items():
+            columns[c] = np.full(len(r), v)
+        measured, scale = ("aux_v", aux_scale) if status[STATUS_LEDS] & AUX_VOLTAGE_LED else ("main_v", main_scale)
+        columns[measured] = np.where(missing, columns[measured], volts / scale)
+        columns["marker0"] = ~missing & ((r["voltage"] & 1) > 0)
+        columns["marker1"] = ~missing & ((r["voltage"] & 2) > 0)
+        yield pa.record_batch([pa.array(columns[c]) for c in CAPTURE_NAMES], CAPTURE_NAMES)
+
+
+def read_power_captures(spark: SparkSession, path: str) -> DataFrame:
+    """Samples of binary captures: a task for each file, in batches of bounded size.
+
+    Currents are in milliamperes; a channel that was not recorded has current 0 and its initial voltage. The
+    measured voltage is that of the main channel, or of the auxiliary one if the status packet says so, and
+    counts half on old hardware. Missing samples have current 0 and are flagged.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = np.frombuffer(content.as_buffer(), np.uint8)[HEADER_BYTES + STATUS_BYTES :]
-                records = raw[: len(raw) // SAMPLE.itemsize * SAMPLE.itemsize].view(SAMPLE)
-                for at in range(0, len(records), 100_000):
-                    r = records[at : at + 100_000]
-                    num = np.arange(at, at + len(r))
-                    volts = (r["voltage"] & ~np.uint16(MARKERS)) * VOLT_A_COUNT / (2 if halved else 1)
-                    missing = (r["main"] == np.int16(0x7001)) | (r["voltage"] == np.uint16(0xFFFF))
-                    columns = [[name] * len(r), num, num / rows_a_second, *(currents(r[c]) for c in ("main", "usb", "aux")), volts, (r["voltage"] & 1) > 0, (r["voltage"] & 2) > 0, missing]
-                    yield pa.record_batch([pa.array(c) for c in columns], CAPTURE_NAMES)
+                yield from capture_batches(name, content.as_py())
 
     return files.mapInArrow(decode, CAPTURE_COLUMNS)
 
 
-CAPTURE_NAMES = [c.split(" ")[0] for c in CAPTURE_COLUMNS.split(", ")]
-
-
 def replicate_fleet(rows: DataFrame, copies: int, *, uuid: str = "uuid", time: str = "time") -> DataFrame:
     """The rows and ``copies`` more of them, each with other devices and a month later than the one before."""
     n = F.explode(F.sequence(F.lit(0), F.lit(copies)))
