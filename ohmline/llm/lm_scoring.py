@@ -35,7 +35,7 @@ TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bits of a word's hash; with those of the bucket, a pair is told apart by about 100 bits.
 HASH_BITS = 48
 #: Bounds: words that a task folds at a time, and entries that a bucket is meant to hold.
-PIECE, BUCKET_ENTRIES = 1_500_000, 3_000_000
+PIECE, BUCKET_ENTRIES = 700_000, 1_500_000
 #: Bounds of the sample that frequent words and pairs are picked from, and of both lists.
 SAMPLE_DOCS, SAMPLE_TASKS, HOT_WORDS, HOT_PAIRS = 3_000, 8, 500, 500
 #: Bits of a word's number and a document's number inside a piece.
@@ -133,19 +133,18 @@ def counter_of(hot):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = hot.value
-        words, pairs = np.array(words, np.int64), np.array(pairs, np.int64).reshape(-1, 2)
-        n_words, n_pairs, total = np.zeros(len(words), np.int64), Counter(), 0
-        firsts = np.unique(pairs[:, 0])
+        n_words, n_pairs, total = np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64), 0
         for _, codes, docs in pieces(batches):
             total += len(codes)
-            if len(words):
-                at = np.searchsorted(words, codes).clip(max=len(words) - 1)
-                n_words += np.bincount(at[words[at] == codes], minlength=len(words))
-            same = (docs[1:] == docs[:-1]) & np.isin(codes[:-1], firsts)
-            n_pairs.update(zip(codes[:-1][same].tolist(), codes[1:][same].tolist()))
-        wanted = list(map(tuple, pairs.tolist()))
-        out = [(-1, -1, total), *((w, -1, n) for w, n in zip(words.tolist(), n_words.tolist())), *((a, b, n_pairs[(a, b)]) for a, b in wanted)]
-        yield pa.record_batch([pa.array([t[i] for t in out], pa.int64()) for i in range(3)], ["first", "second", "n"])
+            at, found = lookup(words, codes)
+            n_words += np.bincount(at[found], minlength=len(words))
+            same = docs[1:] == docs[:-1]
+            at, found = pair_places(pairs, codes[:-1][same], codes[1:][same])
+            n_pairs += np.bincount(at[found], minlength=len(pairs))
+        first = np.concatenate(([-1], words, pairs[:, 0]))
+        second = np.concatenate(([-1], np.full(len(words), -1), pairs[:, 1]))
+        n = np.concatenate(([total], n_words, n_pairs))
+        yield pa.record_batch([pa.array(x.astype(np.int64)) for x in (first, second, n)], ["first", "second", "n"])
 
     return count
 
@@ -158,6 +157,19 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for two words."""
+    return a * 31 ^ b
+
+
+def pair_places(pairs: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of (a, b) among pairs (first, second, mixed; sorted by the last), and which of them are there."""
+    at, found = lookup(pairs[:, 2], mixed(a, b))
+    if len(pairs):
+        found &= (pairs[at, 0] == a) & (pairs[at, 1] == b)
+    return at, found
+
+
 def split(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The arrays by bucket."""
     order = np.argsort(bucket, kind="stable")
@@ -188,10 +200,8 @@ def entries_of(hot, buckets: int):
             key = key[at]
             a, b, d = known[key >> (WORD_BITS + DOC_BITS)], known[(key >> DOC_BITS) & ((1 << WORD_BITS) - 1)], key & ((1 << DOC_BITS) - 1)
             out = [(batch % buckets, ROWS, batch, pack(rows.view(np.uint64)))]
-            frequent = np.zeros(len(a), bool)
-            if len(pairs):
-                place, is_pair = lookup(pairs[:, 2], a * 31 ^ b)
-                frequent = is_pair & (pairs[place, 0] == a) & (pairs[place, 1] == b)
+            place, frequent = pair_places(pairs, a, b)
+            if frequent.any():
                 left = pair_counts[place[frequent]] - n[frequent]
                 hit = left > 0
                 first, _ = lookup(words, a[frequent][hit])
@@ -202,7 +212,7 @@ def entries_of(hot, buckets: int):
                 out += misses(b[missed], np.full(len(missed), batch), d[missed], n[missed], buckets)
             a, b, d, n = (x[~frequent] for x in (a, b, d, n))
             is_hot = lookup(words, a)[1]
-            for bucket, (x, y, doc, times) in split(np.where(is_hot, (a * 31 ^ b) % buckets, a % buckets).astype(np.int32), a, b, d, n):
+            for bucket, (x, y, doc, times) in split(np.where(is_hot, mixed(a, b) % buckets, a % buckets).astype(np.int32), a, b, d, n):
                 turn = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
                 out.append((bucket, ENTRIES, batch, pack(x[turn], np.diff(np.append(turn, len(x))), y, doc, times)))
             starts = np.flatnonzero(np.concatenate(([True], ~same)))
@@ -328,13 +338,14 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ba
     rows = without(docs, "n_words", "lm_score").withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
     texts = rows.select(F.col("__row").alias("row"), F.col(text_col).alias("text"))
     hot_words, hot_pairs = hot_lists(texts)
-    counted = texts.mapInArrow(counter_of(context.broadcast((hot_words, hot_pairs))), "first long, second long, n long")
+    words, pairs = np.array(hot_words, np.int64), np.array(hot_pairs, np.int64).reshape(-1, 2)
+    pairs = np.column_stack((pairs, mixed(pairs[:, 0], pairs[:, 1])))
+    pairs = pairs[np.argsort(pairs[:, 2], kind="stable")]
+    counted = texts.mapInArrow(counter_of(context.broadcast((words, pairs))), "first long, second long, n long")
     exact = {(r["first"], r["second"]): r["n"] for r in counted.groupBy("first", "second").agg(F.sum("n").alias("n")).collect()}
     total = max(1, exact.get((-1, -1), 0))
-    words = np.array(hot_words, np.int64)
-    pairs = np.array([(a, b, a * 31 ^ b) for a, b in hot_pairs], np.int64).reshape(-1, 3)
-    pairs = pairs[np.argsort(pairs[:, 2], kind="stable")]
-    hot = context.broadcast((words, np.array([exact[(w, -1)] for w in hot_words], np.int64), pairs, np.array([exact[(int(a), int(b))] for a, b, _ in pairs], np.int64)))
+    counts = np.array([exact[(w, -1)] for w in hot_words], np.int64)
+    hot = context.broadcast((words, counts, pairs, np.array([exact[(int(a), int(b))] for a, b, _ in pairs], np.int64)))
     buckets = max(8, -(-total // BUCKET_ENTRIES))
     dealt = texts.mapInArrow(entries_of(hot, buckets), PACKED)
     joined = cut(dealt.groupBy("bucket").applyInArrow(joiner(hot, buckets), PACKED))
