@@ -279,8 +279,11 @@ def joiner(hot, buckets: int):
     return join
 
 
-def finisher(hot):
-    """A function from the packed rows of a bucket to (doc, log, missed): parts of the sums of documents."""
+def finisher(hot, buckets: int):
+    """A function from the packed rows of a bucket to packed parts (doc, log, missed) of the sums of documents.
+
+    The parts are for the bucket of the documents' batch; the rows that name a batch's documents are there already.
+    """
 
     def finish(table: pa.Table) -> pa.Table:
         words, counts = hot.value[:2]
@@ -310,17 +313,34 @@ def finisher(hot):
             log, miss = (np.bincount(at, weights=np.concatenate(x), minlength=len(every)) for x in (logs, missed))
         else:
             every, log, miss = np.array([], np.int64), np.array([]), np.array([])
-        return pa.table({"doc": pa.array(every, pa.int64()), "log": pa.array(log, pa.float64()), "missed": pa.array(miss, pa.float64())})
+        out = [
+            (bucket, SUMS, -1, pack(doc, part, times.astype(np.int64)))
+            for bucket, (doc, part, times) in split(((every >> DOC_BITS) % buckets).astype(np.int32), every, log, miss)
+        ]
+        return pa.Table.from_batches([packed(out)])
 
     return finish
 
 
-def row_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, row): which document a number stands for."""
-    for part in batches:
-        for batch, data in zip(part.column("batch").to_pylist(), part.column("data")):
-            rows = unpack(data.as_py())[0]
-            yield pa.record_batch([pa.array((np.int64(batch) << DOC_BITS) | np.arange(len(rows))), pa.array(rows)], ["doc", "row"])
+def added(table: pa.Table) -> pa.Table:
+    """(row, log, missed) of the documents of a bucket of batches."""
+    parts, rows, docs = [], [np.array([], np.int64)], [np.array([], np.int64)]
+    for kind, batch, data in zip(table.column("kind").to_pylist(), table.column("batch").to_pylist(), table.column("data")):
+        arrays = unpack(data.as_py())
+        if kind == ROWS:
+            rows.append(arrays[0])
+            docs.append((np.int64(batch) << DOC_BITS) | np.arange(len(arrays[0])))
+        else:
+            parts.append(arrays)
+    rows, docs = np.concatenate(rows), np.concatenate(docs)
+    order = np.argsort(docs, kind="stable")
+    rows, docs = rows[order], docs[order]
+    log, missed = np.zeros(len(docs)), np.zeros(len(docs))
+    for doc, part, times in parts:
+        at = np.searchsorted(docs, doc)  # a part holds a document once
+        log[at] += part
+        missed[at] += times
+    return pa.table({"row": pa.array(rows, pa.int64()), "log": pa.array(log, pa.float64()), "missed": pa.array(missed, pa.float64())})
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF) -> DataFrame:
@@ -349,10 +369,10 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ba
     buckets = max(8, -(-total // BUCKET_ENTRIES))
     dealt = texts.mapInArrow(entries_of(hot, buckets), PACKED)
     joined = cut(dealt.groupBy("bucket").applyInArrow(joiner(hot, buckets), PACKED))
-    parts = joined.where(F.col("kind") != ROWS).groupBy("bucket").applyInArrow(finisher(hot), "doc long, log double, missed double")
-    sums = parts.groupBy("doc").agg(F.sum("log").alias("log"), F.sum("missed").alias("missed"))
-    numbers = joined.where(F.col("kind") == ROWS).select("batch", "data").mapInArrow(row_numbers, "doc long, row long")
-    by_row = sums.join(numbers, "doc").groupBy("row").agg(F.min(F.col("log") + F.col("missed") * float(np.log(backoff / total))).alias("log"))
+    parts = joined.where(F.col("kind") != ROWS).groupBy("bucket").applyInArrow(finisher(hot, buckets), PACKED)
+    named = parts.unionByName(joined.where(F.col("kind") == ROWS))
+    sums = named.groupBy("bucket").applyInArrow(added, "row long, log double, missed double")
+    by_row = sums.groupBy("row").agg(F.min(F.col("log") + F.col("missed") * float(np.log(backoff / total))).alias("log"))
     n_words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     scored = rows.withColumn("n_words", n_words).alias("d").join(by_row.alias("s"), F.col("d.__row") == F.col("s.row"), "left")
     kept = [c for c in rows.columns if c != "__row"]
