@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohmline.functions import scalars
-from ohmline.operators.rates import current_os_model, current_os_rates, exclude_daemons
+from ohmline.operators.rates import current_os_rates, exclude_daemons
 
 #: Users that must have an app, and users that must have rates without it.
 LEAST_USERS = 5

@@ -14,7 +14,6 @@ from ohmline.sources import readers, sinks
 from ohmline.shared import read_table
 
 DAEMONS = ["app0", "app1*"]
-NO_DAEMONS = "app <> 'app0' AND NOT starts_with(app, 'app1')"
 RATE = ["uuid", "os", "model", "time1", "time2", "rate", "rate_lo", "rate_hi"]
 
 
@@ -34,9 +33,6 @@ def p3_rates(spark, sf_dir):
     return rounded(apps_text(I.rates(spark, sf_dir)).select(*RATE, "apps"), "time1", "time2", decimals=3).withColumns({n: F.round(n, 9) for n in ("rate", "rate_lo", "rate_hi")})
 
 
-RATES_OUT = "uuid, os, model, round(time1, 3) AS time1, round(time2, 3) AS time2, round(rate, 9) AS rate, round(rate_lo, 9) AS rate_lo, round(rate_hi, 9) AS rate_hi"
-
-
 def p4_unabridged_rates(spark, sf_dir):
     return R.unabridged_rates(I.samples(spark, sf_dir)).groupBy("uuid").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rate_lo").isNull().cast("long")).alias("points"), F.round(F.sum("rate"), 6).alias("rate"))
 
@@ -67,8 +63,6 @@ def p9_rejections(spark, sf_dir):
 
 
 HISTORY = ["state", "event", "os"]
-HISTORY_SQL = I.ASOF + """, u AS (SELECT uuid, time, unnest(['state', 'event', 'os']) AS feature, unnest([state, event, os]) AS value FROM a),
-h AS (SELECT uuid, feature, time, value FROM (SELECT *, lag(value) OVER w AS b, row_number() OVER w AS k FROM u WINDOW w AS (PARTITION BY uuid, feature ORDER BY time, value)) WHERE k = 1 OR value IS DISTINCT FROM b)"""
 
 
 def history(spark, sf_dir):
