@@ -125,6 +125,27 @@ def test_language_id(spark, docs, odd):
     assert nothing == {} and {r["lang_pred"] for r in language_id.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_language_margin_does_not_shrink_with_length(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang").where("text is not null")
+    held = language_id.crc_remainder("doc_id", 4) == 2
+    learned = language_id.learn(rows.where(~held))
+    texts = {}
+    for r in rows.where(held).orderBy("doc_id").collect():
+        texts.setdefault(r["lang"], []).append(r["text"])
+    joined = {lang: " ".join(parts) for lang, parts in texts.items()}
+    long = [(lang, (joined[lang] * (1 + n // len(joined[lang])))[:n]) for lang in learned for n in (20_000, 300_000, 1_000_000, 3_000_000)]
+    found = language_id.identify(spark.createDataFrame(long, "lang string, text string"), learned).collect()
+    assert len(found) == len(long) and all(r["lang_pred"] == r["lang"] and not r["rejected"] for r in found)
+
+
+def test_every_byte_is_in_one_block():
+    data = bytes(range(256)) * 300
+    for n in (0, 1, language_id.BLOCK_BYTES, language_id.BLOCK_BYTES + 1, len(data)):
+        seen = []
+        assert language_id.blockwise(lambda x: seen.append(x) or len(x))(data[:n]) == n
+        assert b"".join(seen) == data[:n] and max(map(len, seen)) <= language_id.BLOCK_BYTES
+
+
 # decontamination
 
 
