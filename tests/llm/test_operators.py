@@ -387,6 +387,14 @@ def test_restoring_takes_the_likeliest_word():
     assert toxicity.restore("1d10t", model) == "idiot" and toxicity.restore("mmmorooon", model) == "moron" and toxicity.restore("m.o.r.o.n", model) == "moron"
 
 
+def test_spelt_out_words_are_parted_and_not_cut():
+    model = toxicity.log_model([*["idiot"] * 50, *["moron"] * 50, *["you"] * 50, *["such"] * 20, *["the", "and", "lot", "dot"] * 20, *["a"] * 40])
+    found = lambda text: toxicity.Reader(model).features(text)
+    assert "=idiot" in found("y o u i d i o t") and "=idiot" in found("such a i d i o t") and "=idiot" in found("i d i o t!")
+    assert "=moron" in found(" ".join("you" * 20 + "moron")) and "=dot" in found("d o t!")
+    assert "=idiot" in found("the." * 12 + "1d10t") and "=lot" in found("107")
+
+
 # nearest neighbours
 
 
