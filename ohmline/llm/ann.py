@@ -1,11 +1,14 @@
 """Approximate nearest neighbours: inverted file of coarse centroids, product-quantised residuals, exact reranking.
 
-Centroids and codebooks are fitted on the driver from a bounded sample and broadcast; every row is indexed. A
-query looks into its nearest cells, ranks a cell's rows by asymmetric distance tables, and the best of them by
+A cell's centroid is the sum of two: one of the coarse centroids, and one of the centroids of what these leave out.
+So the cells can keep in proportion to the rows while both lists, and the codebooks of what is left after them, are
+fitted on the driver from a bounded sample. Every row is indexed.
+
+A query looks into cells by the inner product with their centroids, until they hold the share of all rows that the
+sample showed to be needed, and ranks the cells' rows by asymmetric distance tables. Neighbouring cells are put
+together to regions of a bounded number of rows; a task holds the codes of one region and some of the queries that
+look into it, never original vectors of the rows. The best candidates of each query, of all regions, are then ranked by
 the exact inner product on the original vectors, in double precision, summed in the order of the components.
-
-Cells are cut into chunks of a bounded number of rows, and the queries that look into a cell into chunks as
-well, so that no task holds a cell whole, however many equal vectors fall into it.
 """
 
 from __future__ import annotations
@@ -13,32 +16,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ohmline.shared import cut, ship
+from ohmline.shared import cut, drop_table, ship
 
 ship(__name__)
 
 NEIGHBOURS = 20
-#: Bound of the training sample, and of the cells that it is enough for.
-SAMPLE_ROWS = 20_000
-ROWS_PER_CENTROID = 20
-CELLS_PER_ROOT = 0.5
+#: Bound of the training sample; rows for each of its centroids at least, and rows of the table that a cell is meant to hold.
+SAMPLE_ROWS, ROWS_PER_CENTROID, ROWS_PER_CELL = 20_000, 20, 64
+#: Rows of the sample that codebooks are fitted from.
+BOOK_ROWS = 8_000
 STEPS = 8
-SUBSPACE = 4
-CODES = 256
-#: Share of the true neighbours that the probed cells should hold, of the sample's rows within the sample; sampled rows
-#: that are asked for it; the least candidates in the probed cells for each neighbour.
-TARGET, ASKED, LEAST_CANDIDATES = 0.97, 500, 20
-#: A row is ranked exactly if its asymmetric score, give or take so many standard deviations of what its quantisation
-#: error adds to an inner product, may be among the best of its chunk.
-DEVIATIONS = 3.0
-CHUNK_ROWS, CHUNK_QUERIES = 1_024, 512
-#: Queries that are ranked at a time, to bound the memory of a task.
-BLOCK = 32
+SUBSPACE, CODES = 2, 256
+#: Share of the true neighbours that the cells looked into should hold, of the sample's rows within the sample; sampled
+#: rows that are asked for it; the least candidates in the cells for each neighbour.
+TARGET, ASKED, LEAST_CANDIDATES = 0.95, 400, 20
+#: Candidates, for each neighbour asked for, that are ranked exactly.
+RERANK = 3
+REGION_ROWS, LOT_QUERIES = 4_096, 1_024
+#: Queries that are ranked at a time, to bound the memory of a task; candidate lists that are merged at a time.
+BLOCK, LISTS = 64, 8_192
 
 
 def usable(vector: Column) -> Column:
@@ -70,49 +70,64 @@ def k_means(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     centres = start[rng.choice(len(start), min(k, len(start)), replace=False)]
     for _ in range(STEPS):
         home = nearest(rows, centres)
-        sums, n = np.zeros_like(centres), np.bincount(home, minlength=len(centres))
-        np.add.at(sums, home, rows)
+        n = np.bincount(home, minlength=len(centres))
+        sums = np.stack([np.bincount(home, weights=x, minlength=len(centres)) for x in rows.T], axis=1)
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], rows[rng.integers(len(rows), size=len(centres))])
     return centres
 
 
 def fit(sample: np.ndarray, total: int, seed: int = 7) -> dict:
-    """Coarse centroids for ``total`` rows and codebooks of the residuals, from sampled rows."""
+    """Both lists of centroids for ``total`` rows, codebooks, and the share of rows to look into, from sampled rows."""
     rng = np.random.default_rng(seed)
-    sample = np.unique(sample, axis=0)  # else many equal rows would decide what is measured
-    size = sample.shape[1]
-    cells = int(np.clip(CELLS_PER_ROOT * np.sqrt(total), 1, max(1, len(sample) // ROWS_PER_CENTROID)))
-    coarse = k_means(sample, cells, rng)
-    rest = padded(sample - coarse[nearest(sample, coarse)])
+    scale = float(np.abs(sample).max())
+    sample = np.unique(sample / scale, axis=0)  # else many equal rows would decide what is measured
+    cells, most = max(1, total // ROWS_PER_CELL), max(1, len(sample) // ROWS_PER_CENTROID)
+    first = k_means(sample, int(np.clip(np.ceil(np.sqrt(cells)), 1, most)), rng)
+    rest = sample - first[nearest(sample, first)]
+    second = k_means(rest, int(np.clip(-(-cells // len(first)), 1, most)), rng)
+    model = {"size": sample.shape[1], "scale": scale, "first": first, "second": second}
+    cell, rest = placed(sample, model)
+    model["share"] = looked_into(sample, cell, model, rng)
+    rest = padded(rest[rng.permutation(len(rest))[:BOOK_ROWS]])
     books = []
     for at in range(0, rest.shape[1], SUBSPACE):
         book = k_means(rest[:, at : at + SUBSPACE], CODES, rng)
-        books.append(np.vstack([book, np.full((CODES - len(book), SUBSPACE), 1e18)]))
-    return {"size": size, "coarse": coarse, "books": np.array(books), "probed": probed(sample, coarse, rng)}
+        books.append(np.vstack([book, np.full((CODES - len(book), SUBSPACE), 1e9)]))  # padding that no residual is near to
+    return model | {"books": np.array(books)}
+
 
+def placed(rows: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of each scaled row, and what the cell's centroid leaves out."""
+    one = nearest(rows, model["first"])
+    rest = rows - model["first"][one]
+    two = nearest(rest, model["second"])
+    return one * len(model["second"]) + two, rest - model["second"][two]
 
-def cells_by_distance(points: np.ndarray, coarse: np.ndarray) -> np.ndarray:
-    """The cells of each point, nearest centroid first."""
-    return np.argsort((coarse**2).sum(1) - 2 * points @ coarse.T, axis=1, kind="stable")
 
+def cell_products(points: np.ndarray, model: dict) -> np.ndarray:
+    """Inner product of each point with the centroid of each cell."""
+    return ((points @ model["first"].T)[:, :, None] + (points @ model["second"].T)[:, None, :]).reshape(len(points), -1)
 
-def probed(sample: np.ndarray, coarse: np.ndarray, rng: np.random.Generator) -> int:
-    """How many cells a query must look into for ``TARGET`` of its neighbours, measured within the sample.
+
+def looked_into(sample: np.ndarray, cell: np.ndarray, model: dict, rng: np.random.Generator) -> float:
+    """The share of rows that a query must look into for ``TARGET`` of its neighbours, measured within the sample.
 
     Neighbours in the whole table are nearer than those in a sample of it, so the number errs on the safe side.
     """
     asked = rng.choice(len(sample), min(ASKED, len(sample)), replace=False)
-    home = nearest(sample, coarse)
-    places = []
-    for q in asked:
-        score = sample @ sample[q]
-        score[q] = -np.inf
-        top = np.argsort(-score, kind="stable")[: min(NEIGHBOURS, len(sample) - 1)]
-        place = np.empty(len(coarse), np.int64)
-        place[cells_by_distance(sample[q : q + 1], coarse)[0]] = np.arange(len(coarse))
-        places.append(place[home[top]])
-    places = np.concatenate(places)
-    return int(np.quantile(places, TARGET, method="higher")) + 1 if len(places) else 1
+    held = np.bincount(cell, minlength=len(model["first"]) * len(model["second"]))
+    shares = []
+    for at in range(0, len(asked), BLOCK):
+        q = asked[at : at + BLOCK]
+        score = sample[q] @ sample.T
+        score[np.arange(len(q)), q] = -np.inf
+        top = np.argsort(-score, axis=1, kind="stable")[:, : min(NEIGHBOURS, len(sample) - 1)]
+        order = np.argsort(-cell_products(sample[q], model), axis=1, kind="stable")
+        upto = np.empty(order.shape)
+        np.put_along_axis(upto, order, np.cumsum(held[order], axis=1) / len(sample), axis=1)
+        shares.append(np.take_along_axis(upto, cell[top], axis=1).ravel())
+    shares = np.concatenate(shares)
+    return float(np.quantile(shares, TARGET, method="higher")) if len(shares) else 1.0
 
 
 def padded(rows: np.ndarray) -> np.ndarray:
@@ -120,91 +135,140 @@ def padded(rows: np.ndarray) -> np.ndarray:
     return np.pad(rows, ((0, 0), (0, -rows.shape[1] % SUBSPACE)))
 
 
-def encoded(rows: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cell, residual codes, and length of what the codes leave out, of each row."""
-    cell = nearest(rows, model["coarse"])
-    rest = padded(rows - model["coarse"][cell])
-    codes = [nearest(rest[:, m * SUBSPACE : (m + 1) * SUBSPACE], book) for m, book in enumerate(model["books"])]
-    told = np.concatenate([book[c] for c, book in zip(codes, model["books"])], axis=1)
-    return cell, np.array(codes, np.uint8).T, np.sqrt(((rest - told) ** 2).sum(1))
-
-
 def indexed(vectors: DataFrame, model) -> DataFrame:
-    """(vec_id, vector, cell, code, loss) of each row."""
+    """(vec_id, vector, cell, code) of each row."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
         for batch in batches:
             if batch.num_rows:
-                cell, codes, loss = encoded(matrix(batch.column("vector"), model.value["size"]), model.value)
+                cell, rest = placed(matrix(batch.column("vector"), m["size"]) / m["scale"], m)
+                rest = padded(rest)
+                codes = np.array([nearest(rest[:, i * SUBSPACE : (i + 1) * SUBSPACE], book) for i, book in enumerate(m["books"])], np.uint8).T
                 yield pa.record_batch(
-                    [batch.column("vec_id"), batch.column("vector"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(loss)],
-                    ["vec_id", "vector", "cell", "code", "loss"],
+                    [batch.column("vec_id"), batch.column("vector"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())],
+                    ["vec_id", "vector", "cell", "code"],
                 )
 
-    return vectors.mapInArrow(index, f"vec_id long, vector {vectors.schema['vector'].dataType.simpleString()}, cell int, code binary, loss double")
+    return vectors.mapInArrow(index, f"vec_id long, vector {vectors.schema['vector'].dataType.simpleString()}, cell int, code binary")
+
+
+def regions_of(held: np.ndarray, rows: int = REGION_ROWS) -> np.ndarray:
+    """Region of each cell: cells one after the other, until a region would hold more than ``rows``."""
+    region, found, here = np.empty(len(held), np.int64), 0, 0
+    for i, n in enumerate(held.tolist()):
+        if here and here + n > rows:
+            found, here = found + 1, 0
+        region[i] = found
+        here += n
+    return region
 
 
-def probes(queries: DataFrame, model, sizes, k: int) -> DataFrame:
-    """(query_id, vector, cell) for each cell that a query looks into."""
+def probes(queries: DataFrame, model, plan, k: int) -> DataFrame:
+    """(query_id, query, region, cells) for each region that a query looks into; ``cells`` is a packed list."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coarse, n, least = model.value["coarse"], sizes.value, model.value["probed"]
+        m, (held, region) = model.value, plan.value
+        least = max(m["share"] * held.sum(), k * LEAST_CANDIDATES + 1)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            order = cells_by_distance(matrix(batch.column("vector"), model.value["size"]), coarse)
-            held = np.cumsum(n[order], axis=1)
-            needed = np.maximum(least, (held < k * LEAST_CANDIDATES + 1).sum(1) + 1).clip(max=len(coarse))
-            row = np.repeat(np.arange(len(order)), needed)
-            cell = np.concatenate([o[:c] for o, c in zip(order, needed)])
-            yield pa.record_batch(
-                [batch.column("vec_id").take(pa.array(row)), batch.column("vector").take(pa.array(row)), pa.array(cell, pa.int32())],
-                ["query_id", "query", "cell"],
-            )
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                points = matrix(part.column("vector"), m["size"])
+                order = np.argsort(-cell_products(points / np.abs(points).max(1, keepdims=True), m), axis=1, kind="stable")
+                upto = np.cumsum(held[order], axis=1)
+                row, where, cells = [], [], []
+                for i, (o, n) in enumerate(zip(order, upto)):
+                    chosen = np.sort(o[: int(np.searchsorted(n, least)) + 1])
+                    chosen = chosen[held[chosen] > 0]
+                    turns = np.flatnonzero(np.diff(region[chosen], prepend=-1))
+                    for part_ in np.split(chosen, turns[1:]):
+                        row.append(i)
+                        where.append(int(region[part_[0]]))
+                        cells.append(part_.astype("<i4").tobytes())
+                take = pa.array(row, pa.int64())
+                yield pa.record_batch(
+                    [part.column("vec_id").take(take), part.column("vector").take(take), pa.array(where, pa.int32()), pa.array(cells, pa.binary())],
+                    ["query_id", "query", "region", "cells"],
+                )
+
+    return queries.mapInArrow(probe, f"query_id long, query {queries.schema['vector'].dataType.simpleString()}, region int, cells binary")
 
-    return queries.mapInArrow(probe, f"query_id long, query {queries.schema['vector'].dataType.simpleString()}, cell int")
 
+LISTED = "query_id long, ids binary, scores binary"
 
-def searcher(model, k: int):
-    """A function from the queries and rows of one chunk of a cell to each query's best rows there."""
+
+def searcher(model, keep: int):
+    """A function from some queries and the rows of a region to each query's best rows there, by distance tables."""
 
     def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        size, books = model.value["size"], model.value["books"]
-        out = []
+        m, found = model.value, []
         if queries.num_rows and rows.num_rows:
-            ids, vectors = rows.column("vec_id").to_numpy(), matrix(rows.column("vector"), size)
-            codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            asked, points = queries.column("query_id").to_numpy(), matrix(queries.column("query"), size)
-            for at in range(0, len(asked), BLOCK):
-                out.append(best(asked[at : at + BLOCK], points[at : at + BLOCK], ids, vectors, codes, rows.column("loss").to_numpy(), books, k))
-        found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return pa.table({"query_id": pa.array(found.query_id, pa.int64()), "vec_id": pa.array(found.vec_id, pa.int64()), "score": pa.array(found.score, pa.float64())})
+            ids, cell = rows.column("vec_id").to_numpy(), rows.column("cell").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, cell = ids[order], cell[order]
+            codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+            cells, cell = np.unique(cell, return_inverse=True)
+            asked, points = queries.column("query_id").to_numpy(), matrix(queries.column("query"), m["size"])
+            looked = np.zeros((len(asked), len(cells)), bool)
+            for i, x in enumerate(queries.column("cells").to_pylist()):
+                looked[i, np.flatnonzero(np.isin(cells, np.frombuffer(x, "<i4")))] = True
+            points = points / np.abs(points).max(1, keepdims=True)
+            near = np.lexsort((asked, looked.argmax(1)))  # queries that look into the same cells stand together
+            for at in range(0, len(near), BLOCK):
+                part = near[at : at + BLOCK]
+                some = np.flatnonzero(looked[part].any(0)[cell])
+                found += best(asked[part], points[part], looked[part], ids[some], cells, cell[some], codes[some], m, keep)
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], names=["query_id", "ids", "scores"])
 
     return search
 
 
-def best(asked, points, ids, vectors, codes, loss, books, k) -> pd.DataFrame:
-    """The ``k`` best rows of one chunk for a block of queries: by distance tables first, then exactly."""
-    tables = np.einsum("qms,mcs->qmc", padded(points).reshape(len(points), len(books), SUBSPACE), books)
-    near = np.zeros((len(points), len(ids)))
-    for m in range(len(books)):
-        near += tables[:, m, codes[:, m]]
-    slack = DEVIATIONS / np.sqrt(points.shape[1]) * np.sqrt((points**2).sum(1))[:, None] * loss
-    if len(ids) > k + 1:
-        sure = -np.partition(slack - near, k, axis=1)[:, k]  # the k-th best besides the query's own row is no less
-        most = int((near + slack >= sure[:, None]).sum(1).max())
-        chosen = np.argsort(-(near + slack), axis=1, kind="stable")[:, : max(most, k + 1)]
-    else:
-        chosen = np.tile(np.arange(len(ids)), (len(points), 1))
-    exact = np.zeros(chosen.shape)
-    for j in range(points.shape[1]):
-        exact += points[:, j, None] * vectors[:, j][chosen]
-    names = ids[chosen]
-    exact[names == asked[:, None]] = -np.inf
-    top = np.array([np.lexsort((n, -e))[:k] for n, e in zip(names, exact)])
-    line = np.arange(len(points))[:, None]
-    found = pd.DataFrame({"query_id": np.repeat(asked, top.shape[1]), "vec_id": names[line, top].ravel(), "score": exact[line, top].ravel()})
-    return found[found.score > -np.inf]
+def best(asked, points, looked, ids, cells, cell, codes, model, keep) -> list[tuple[int, bytes, bytes]]:
+    """The ``keep`` best rows for each query of a block; ``ids`` rise, ties go to the first.
+
+    A table holds, for one subspace, the inner products of every code with the queries' parts; a row's score is that of
+    its cell plus one entry of each table.
+    """
+    tables = np.einsum("mcs,qms->mcq", model["books"], padded(points).reshape(len(points), -1, SUBSPACE)).astype(np.float32)
+    scores = (cell_products(points, model)[:, cells].T.astype(np.float32))[cell]
+    for table, code in zip(tables, codes.T):
+        scores += table.take(code, axis=0)
+    scores[~looked.T[cell]] = -np.inf
+    scores = np.ascontiguousarray(scores.T)
+    for i, (a, b) in enumerate(zip(np.searchsorted(ids, asked), np.searchsorted(ids, asked, "right"))):
+        scores[i, a:b] = -np.inf
+    least = np.full(len(asked), -np.inf) if len(ids) <= keep else np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep]
+    out = []
+    for name, line, bound in zip(asked.tolist(), scores, least):
+        over = np.flatnonzero(line > bound)
+        if len(over) < keep and bound > -np.inf:
+            over = np.concatenate((over, np.flatnonzero(line == bound)[: keep - len(over)]))
+        if len(over):
+            out.append((name, ids[over].astype("<i8").tobytes(), line[over].astype("<f4").tobytes()))
+    return out
+
+
+def merger(keep: int):
+    """A function from the lists of some queries to the (query_id, vec_id) of each query's ``keep`` best."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x, "<i8") for x in table.column("ids").to_pylist()]
+        asked = np.repeat(table.column("query_id").to_numpy(), [len(x) for x in lists])
+        ids = np.concatenate(lists)
+        scores = np.frombuffer(b"".join(table.column("scores").to_pylist()), "<f4")
+        order = np.lexsort((ids, -scores, asked))
+        asked, ids = asked[order], ids[order]
+        starts = np.flatnonzero(np.diff(asked, prepend=asked[0] - 1))
+        rank = np.arange(len(asked)) - np.repeat(starts, np.diff(np.append(starts, len(asked))))
+        return pa.table({"query_id": pa.array(asked[rank < keep]), "vec_id": pa.array(ids[rank < keep])})
+
+    return merge
+
+
+def product(a: Column, b: Column) -> Column:
+    """Inner product in double precision, summed in the order of the components."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def search(
@@ -221,6 +285,7 @@ def search(
     * Vectors that are null, all zero, or hold null or non-finite components take no part, nor do rows without
       an id or whose length is not the most common one (of equally common lengths, the smallest).
     * Ties go to the smaller id. A repeated id counts once, with its best score; rows with the query's id are its own.
+    * Of equal vectors, those of the ``k + 1`` least ids are indexed: no other can be among a query's ``k`` nearest.
     * Queries with fewer than ``k`` candidates get them all; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -237,26 +302,37 @@ def search(
         sample = rows.select("vec_id", "vector").limit(sample_rows).toArrow()
     order = np.argsort(sample.column("vec_id").to_numpy(), kind="stable")
     model = spark.sparkContext.broadcast(fit(matrix(sample.column("vector"), lengths["size"])[order], lengths["n"]))
-    index = cut(indexed(rows.select("vec_id", "vector"), model))
-    cells = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
-    held = np.zeros(len(model.value["coarse"]), np.int64)
+    equal = rows.select("vec_id", "vector", F.xxhash64("vector").alias("__h"))
+    by_id = Window.partitionBy("__h", "vector").orderBy("vec_id")
+    folded = equal.withColumn("__n", F.dense_rank().over(by_id)).where(F.col("__n") <= k + 1).dropDuplicates(["__h", "vector", "vec_id"])
+    index = cut(indexed(folded.select("vec_id", "vector"), model))
+    cells = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # as many as the sample's bound allows
+    held = np.zeros(len(model.value["first"]) * len(model.value["second"]), np.int64)
     for cell in cells:
         held[cell["cell"]] = cell["n"]
-    looked = cut(probes(rows.where("asked").select("vec_id", "vector"), model, spark.sparkContext.broadcast(held), k))
-    plan = (
-        index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks"))
-        .join(looked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK_QUERIES).cast("int").alias("lots")), "cell")
+    region = regions_of(held)
+    looked = cut(probes(rows.where("asked").select("vec_id", "vector"), model, spark.sparkContext.broadcast((held, region)), k))
+    chunks = spark.createDataFrame(
+        [(c["cell"], int(region[c["cell"]]), int(-(-c["n"] // REGION_ROWS))) for c in cells], "cell int, region int, chunks int"
     )
-    dealt_rows = index.join(F.broadcast(plan), "cell").select(
-        "cell", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "vec_id", "vector", "code", "loss",
+    lots = looked.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / LOT_QUERIES).cast("int").alias("lots"))
+    plan = chunks.join(lots, "region")
+    dealt_rows = index.select("vec_id", "cell", "code").join(plan, "cell").select(
+        "region", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"),
+        F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "vec_id", "cell", "code",
     )
-    dealt_queries = looked.join(F.broadcast(plan), "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-        F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int").alias("lot"), "query_id", "query",
+    by_region = plan.groupBy("region").agg(F.max("chunks").alias("chunks"), F.max("lots").alias("lots"))
+    dealt_queries = looked.join(by_region, "region").select(
+        "region", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
+        F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int").alias("lot"), "query_id", "query", "cells",
     )
-    place = ["cell", "chunk", "lot"]
-    found = dealt_queries.groupBy(*place).cogroup(dealt_rows.groupBy(*place)).applyInArrow(searcher(model, k), "query_id long, vec_id long, score double")
-    ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    place, keep = ["region", "chunk", "lot"], RERANK * k
+    found = cut(dealt_queries.groupBy(*place).cogroup(dealt_rows.groupBy(*place)).applyInArrow(searcher(model, keep), LISTED))
+    turns = max(1, -(-found.count() // LISTS))
+    merged = found.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(turns))).applyInArrow(merger(keep), "query_id long, vec_id long")
+    asked = rows.where("asked").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    pairs = merged.join(index.select("vec_id", "vector"), "vec_id").join(asked, "query_id")
+    ranked = pairs.select("query_id", "vec_id", product(F.col("query"), F.col("vector")).alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order_ = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    drop_table(looked)
     return ranked.withColumn("rank", F.row_number().over(order_)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
