@@ -1,16 +1,16 @@
-"""Language-model scores by stupid backoff, computed relationally over word pairs.
+"""Language-model scores by stupid backoff, computed relationally from n-gram count tables.
 
-Counts come from the whole corpus. A pair of words that other documents hold scores its relative frequency
-after the first word; any other word scores its share of all words, discounted.
+The score of a word after its context is the count of both over the count of the context, if both occur often enough
+together to be kept in the count table; else it is the score after the context less its first word, discounted. Without
+a context it is the word's share of all words.
 
-The count tables are partitioned by hash: a bucket holds all entries (pair, document, count) whose first word
-falls into it, so the pair counts and the first words' counts are summed and joined to the entries where they
-lie. Words that back off go on to the bucket of their own count. Sums of documents are added at the end.
-Entries travel packed, many to a row, and are folded within a document first.
+For every order the n-grams of a document are folded where they are read, and travel once: a row names a context and
+nests, for some documents, the words that follow it. Rows are partitioned by the hash of their context, so the counts
+of contexts and n-grams are window sums over the partition in which the n-grams themselves lie. What is not kept goes on,
+as rows of the next shorter context; a broadcast list of frequent words ends most of that, and the rest is joined to the
+table of word counts. The parts of a document are summed at the end.
 
-A few hundred words and pairs that a sample shows to be frequent would make some buckets large: their exact
-counts are taken in a pass of their own and broadcast, the words' other pairs are dealt by both words, and the
-pairs are scored where they are read.
+Words are told apart by 64 bits, an n-gram by 64 bits of its context and 64 of its last word.
 """
 
 from __future__ import annotations
@@ -20,66 +20,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ohmline.shared import cut, ship, without
+from ohmline.shared import cut, drop_table, ship, without
 
 ship(__name__)
 
-BACKOFF = 0.4
+ORDER, BACKOFF, LEAST_COUNT = 2, 0.4, 2
 TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Bits of a word's hash; with those of the bucket, a pair is told apart by about 100 bits.
-HASH_BITS = 48
-#: Bounds: words that a task folds at a time, and entries that a bucket is meant to hold.
-PIECE, BUCKET_ENTRIES = 700_000, 1_500_000
-#: Bounds of the sample that frequent words and pairs are picked from, and of both lists.
-SAMPLE_DOCS, SAMPLE_TASKS, HOT_WORDS, HOT_PAIRS = 3_000, 8, 500, 500
-#: Bits of a word's number and a document's number inside a piece.
-WORD_BITS, DOC_BITS = 24, 15
-#: Kinds of packed rows.
-ENTRIES, SUMS, MISSES, COUNTS, ROWS, LAST = range(6)
-PACKED = "bucket int, kind int, batch long, data binary"
-FIELDS = ["bucket", "kind", "batch", "data"]
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays, each cut to the bytes that its greatest value needs, in one compressed block."""
-    parts = []
-    for a in arrays:
-        if a.dtype.kind == "f":
-            width, raw = 0, a.astype("<f8").tobytes()
-        else:
-            width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
-            raw = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).T.tobytes()
-        parts += [np.array([width, len(a)], "<u8").tobytes(), raw]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    raw, at, arrays = zstandard.ZstdDecompressor().decompress(data), 0, []
-    while at < len(raw):
-        width, n = (int(x) for x in np.frombuffer(raw, "<u8", 2, at))
-        at += 16
-        if width == 0:
-            arrays.append(np.frombuffer(raw, "<f8", n, at))
-            at += 8 * n
-        else:
-            full = np.zeros((n, 8), np.uint8)
-            full[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
-            arrays.append(full.view("<u8").ravel().astype(np.int64))
-            at += width * n
-    return arrays
+#: Words that a task folds at a time; bits of a document's number among them.
+PIECE, DOC_BITS = 700_000, 15
+#: Entries of one word as context that may meet in a task; those of a more frequent word are dealt by what follows it.
+GROUP_ENTRIES = 1_500_000
+#: Bound of the broadcast list of frequent words.
+KNOWN_WORDS = 1 << 18
+#: Bounds of the sample that frequent n-grams are picked from, and of their list: any other has a share of about one in so many.
+SAMPLE_DOCS, SAMPLE_TASKS, HOT = 3_000, 8, 500
+#: Salts of rows that are no plain contexts: names of documents, words without a context; from SPREAD down, frequent n-grams.
+NAMES, ALONE, SPREAD = -1, -2, -3
+NESTED = (
+    "g long, salt int, batch long, total long, context_count long, gram_count long, shorter array<bigint>, "
+    "seconds array<bigint>, docs array<int>, n array<int>, asked array<int>"
+)
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, words, docs): keys of some documents, hashes of all their words, and whose word each is."""
-    digest, mask = xxhash.xxh64_intdigest, (1 << HASH_BITS) - 1
-    known: dict[bytes, int] = {}
-    rows, words, lengths = [], [], []
+    digest, known = xxhash.xxh64_intdigest, {}
+    rows, words, lengths, held = [], [], [], 0
     for batch in batches:
         for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
             found = text.as_buffer().to_pybytes().translate(TO_LOWER).split() if text.is_valid else []
@@ -87,66 +59,75 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
                 continue
             for w in found:
                 if w not in known:
-                    known[w] = digest(w) & mask
+                    known[w] = digest(w) - (1 << 63)
             rows.append(row)
             words.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
             lengths.append(len(found))
-            if sum(lengths[-1:]) and (len(rows) == (1 << DOC_BITS) - 1 or len(known) > PIECE or sum(lengths) >= PIECE):
+            held += len(found)
+            if len(rows) == (1 << DOC_BITS) - 1 or held >= PIECE:
                 yield np.array(rows), np.concatenate(words), np.repeat(np.arange(len(rows)), lengths)
-                rows, words, lengths, known = [], [], [], {}
+                rows, words, lengths, held, known = [], [], [], 0, {}
     if rows:
         yield np.array(rows), np.concatenate(words), np.repeat(np.arange(len(rows)), lengths)
 
 
-def frequent_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(first, second, n): the most frequent words (second is -1) and pairs of the documents."""
-    words, pairs = Counter(), Counter()
-    for _, codes, docs in pieces(batches):
-        words.update(codes.tolist())
-        same = docs[1:] == docs[:-1]
-        pairs.update(set(zip(codes[:-1][same].tolist(), codes[1:][same].tolist(), docs[1:][same].tolist())))
-    both = Counter()
-    for (a, b, _), n in pairs.items():
-        both[(a, b)] += n
-    top = [(w, -1, n) for w, n in words.most_common(HOT_WORDS)] + [(a, b, n) for (a, b), n in both.most_common(HOT_PAIRS)]
-    yield pa.record_batch([pa.array([t[i] for t in top], pa.int64()) for i in range(3)], ["first", "second", "n"])
-
-
-def hot_lists(rows: DataFrame) -> tuple[list[int], list[tuple[int, int]]]:
-    """Words and pairs that are frequent in a sample of the documents picked by hash."""
-    total = rows.count()
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One well-mixed number for two."""
+    with np.errstate(over="ignore"):
+        x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def joined(words: np.ndarray, length: int) -> np.ndarray:
+    """One number for every ``length`` consecutive words, that of the words from each place on."""
+    last = len(words) - length + 1
+    found = words[: max(0, last)]
+    for i in range(1, length):
+        found = mixed(found, words[i : i + last])
+    return found
+
+
+def grams(words: np.ndarray, docs: np.ndarray, order: int) -> tuple[np.ndarray, ...]:
+    """(place, context, shorter contexts) of each n-gram that lies in one document; ``place`` is that of its last word."""
+    place = np.arange(order - 1, len(words))
+    place = place[docs[place] == docs[place - order + 1]] if len(place) else place
+    shorter = [joined(words, k)[place - k] for k in range(order - 2, 0, -1)]
+    return place, joined(words, order - 1)[place - order + 1], np.array(shorter, np.int64).reshape(-1, len(place)).T
+
+
+def frequent_of(order: int):
+    """A function from documents to (k, g, word, n): the most frequent n-grams of each order, by their documents."""
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for _, words, docs in pieces(batches):
+            for k in range(2, order + 1):
+                place, context, _ = grams(words, docs, k)
+                here = Counter((g, w) for g, w, _ in set(zip(context.tolist(), words[place].tolist(), docs[place].tolist())))
+                for (g, w), n in here.most_common(4 * HOT):
+                    seen[k, g, w] += n
+        top = [(*key, n) for k in range(2, order + 1) for key, n in Counter({x: n for x, n in seen.items() if x[0] == k}).most_common(HOT)]
+        yield pa.record_batch([pa.array([t[i] for t in top], pa.int64()) for i in range(4)], ["k", "g", "word", "n"])
+
+    return frequent
+
+
+def hot_grams(texts: DataFrame, order: int) -> dict[int, np.ndarray]:
+    """For each order, the (context, word) that are frequent in a sample of the documents, picked by hash."""
+    total = texts.count()
     part = min(1 << 40, (SAMPLE_DOCS << 40) // max(1, total))
-    sample = rows.where(F.pmod(F.xxhash64("row", F.lit("lm")), F.lit(1 << 40)) < part).limit(4 * SAMPLE_DOCS).repartition(SAMPLE_TASKS)
-    words, pairs = Counter(), Counter()
-    for r in sample.mapInArrow(frequent_of, "first long, second long, n long").collect():
-        if r["second"] < 0:
-            words[r["first"]] += r["n"]
-        else:
-            pairs[(r["first"], r["second"])] += r["n"]
-    hot_pairs = [p for p, _ in sorted(pairs.items(), key=lambda x: (-x[1], x[0]))[:HOT_PAIRS]]
-    hot_words = {w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:HOT_WORDS]} | {a for a, _ in hot_pairs}
-    return sorted(hot_words), sorted(hot_pairs)
-
-
-def counter_of(hot):
-    """A function that counts the frequent words and pairs, and all words (first and second are -1)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = hot.value
-        n_words, n_pairs, total = np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64), 0
-        for _, codes, docs in pieces(batches):
-            total += len(codes)
-            at, found = lookup(words, codes)
-            n_words += np.bincount(at[found], minlength=len(words))
-            same = docs[1:] == docs[:-1]
-            at, found = pair_places(pairs, codes[:-1][same], codes[1:][same])
-            n_pairs += np.bincount(at[found], minlength=len(pairs))
-        first = np.concatenate(([-1], words, pairs[:, 0]))
-        second = np.concatenate(([-1], np.full(len(words), -1), pairs[:, 1]))
-        n = np.concatenate(([total], n_words, n_pairs))
-        yield pa.record_batch([pa.array(x.astype(np.int64)) for x in (first, second, n)], ["first", "second", "n"])
-
-    return count
+    sample = texts.where(F.pmod(F.xxhash64("row", F.lit("lm")), F.lit(1 << 40)) < part).limit(4 * SAMPLE_DOCS).repartition(SAMPLE_TASKS)
+    seen: Counter = Counter()
+    for r in sample.mapInArrow(frequent_of(order), "k long, g long, word long, n long").collect():
+        seen[r["k"], r["g"], r["word"]] += r["n"]
+    hot = {}
+    for k in range(2, order + 1):
+        top = [(g, w) for (o, g, w), _ in sorted((x for x in seen.items() if x[0][0] == k), key=lambda x: (-x[1], x[0]))[:HOT]]
+        found = np.array(top, np.int64).reshape(-1, 2)
+        hot[k] = found[np.argsort(mixed(found[:, 0].copy(), found[:, 1].copy()), kind="stable")]
+    return hot
 
 
 def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,223 +138,255 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
-def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One number for two words."""
-    return a * 31 ^ b
-
-
-def pair_places(pairs: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of (a, b) among pairs (first, second, mixed; sorted by the last), and which of them are there."""
-    at, found = lookup(pairs[:, 2], mixed(a, b))
-    if len(pairs):
-        found &= (pairs[at, 0] == a) & (pairs[at, 1] == b)
+def among(hot: np.ndarray, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the n-grams in the list of frequent ones, and which of them are there."""
+    at, found = lookup(mixed(hot[:, 0].copy(), hot[:, 1].copy()), mixed(context, word))
+    if len(hot):
+        found &= (hot[at, 0] == context) & (hot[at, 1] == word)
     return at, found
 
 
-def split(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The arrays by bucket."""
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
-    for a, b in zip(edges, [*edges[1:], len(bucket)]):
-        yield int(bucket[a]), [x[order[a:b]] for x in arrays]
+def counter_of(hot, order: int):
+    """A function from documents to (k, g, word, n): counts of words (k = 1), of the frequent n-grams, and of their contexts (-k)."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words, docs in pieces(batches):
+            known, n = np.unique(words, return_counts=True)
+            out = [(np.full(len(known), 1), np.zeros(len(known), np.int64), known, n)]
+            for k in range(2, order + 1):
+                chosen = hot.value[k]
+                place, context, _ = grams(words, docs, k)
+                at, found = among(chosen, context, words[place])
+                every = grams(words, docs, k - 1)  # contexts count wherever they stand, also at the end of a document
+                ends = words[every[0]] if k == 2 else mixed(every[1], words[every[0]])
+                contexts = np.unique(chosen[:, 0])
+                where, held = lookup(contexts, ends)
+                out.append((np.full(len(chosen), k), chosen[:, 0], chosen[:, 1], np.bincount(at[found], minlength=len(chosen))))
+                out.append((np.full(len(contexts), -k), contexts, np.zeros(len(contexts), np.int64), np.bincount(where[held], minlength=len(contexts))))
+            yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["k", "g", "word", "n"])
 
-def packed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], FIELDS)
+    return count
 
 
-def entries_of(hot, buckets: int):
-    """A function from documents to packed rows for the buckets."""
+def nested(batch: int, g, salt, total, context_count, gram_count, shorter, lengths, seconds, docs, n, asked) -> Iterator[pa.RecordBatch]:
+    """Arrow rows of nested entries; ``lengths`` says how many entries each row has, ``shorter`` is a table of as many rows."""
+    names = [x.split()[0] for x in NESTED.split(", ")]
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(t))) for x, t in ((seconds, np.int64), (docs, np.int32), (n, np.int32), (asked, np.int32))]
+    width = shorter.shape[1]
+    less = pa.ListArray.from_arrays(np.arange(len(g) + 1, dtype=np.int32) * width, pa.array(shorter.ravel().astype(np.int64)))
+    as_longs = lambda x: np.asarray(x).astype(np.int64)
+    null = lambda x: pa.array(as_longs(x), mask=as_longs(x) < 0)
+    columns = [
+        pa.array(as_longs(g)), pa.array(as_longs(salt), pa.int32()), pa.array(np.full(len(g), batch), pa.int64()), pa.array(as_longs(total)),
+        null(context_count), null(gram_count), less, *lists,
+    ]
+    whole = pa.record_batch(columns, names)
+    for at in range(0, len(g), 4_096):
+        yield whole.slice(at, 4_096)
+
+
+def entries_of(model, k: int, order: int):
+    """A function from documents to the nested rows of their n-grams of order ``k``; of the last level, also names and words alone.
+
+    Documents must come sorted by their key: then a task that is run again numbers them alike.
+    """
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, pairs, pair_counts = hot.value
-        for k, (rows, codes, docs) in enumerate(pieces(batches)):
-            batch = (TaskContext.get().partitionId() << 24) | k
-            known, number = np.unique(codes, return_inverse=True)
-            same = docs[1:] == docs[:-1]
-            key = (number[:-1][same] << (WORD_BITS + DOC_BITS)) | (number[1:][same] << DOC_BITS) | docs[1:][same]
-            key.sort()
-            at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.array([], np.int64)
+        hot_words, word_counts, hot, hot_counts, context_counts = model.value
+        for turn, (rows, words, docs) in enumerate(pieces(batches)):
+            batch = (TaskContext.get().partitionId() << 24) | turn
+            first = np.flatnonzero(np.diff(docs, prepend=-1))
+            if k <= 2:
+                yield from nested(batch, [batch], [NAMES], [0], [-1], [-1], np.zeros((1, 0)), [len(rows)], rows, np.arange(len(rows)), np.zeros(len(rows)), np.zeros(len(rows)))
+                alone = first if order > 1 else np.arange(len(words))
+                yield from nested(batch, [batch], [ALONE], [0], [-1], [-1], np.zeros((1, 0)), [len(alone)], words[alone], docs[alone], np.zeros(len(alone)), np.ones(len(alone)))
+            if k < 2:
+                continue
+            known, number = np.unique(words, return_inverse=True)
+            place, context, shorter = grams(words, docs, k)
+            contexts, number_of = (known, number[place - 1]) if k == 2 else np.unique(context, return_inverse=True)
+            word_bits, doc_bits = len(known).bit_length(), len(rows).bit_length()
+            key = (number_of << (word_bits + doc_bits)) | (number[place] << doc_bits) | docs[place]
+            order_ = np.argsort(key, kind="stable")
+            key = key[order_]
+            at = np.flatnonzero(np.diff(key, prepend=-1))
             n = np.diff(np.append(at, len(key)))
-            key = key[at]
-            a, b, d = known[key >> (WORD_BITS + DOC_BITS)], known[(key >> DOC_BITS) & ((1 << WORD_BITS) - 1)], key & ((1 << DOC_BITS) - 1)
-            out = [(batch % buckets, ROWS, batch, pack(rows.view(np.uint64)))]
-            place, frequent = pair_places(pairs, a, b)
-            if frequent.any():
-                left = pair_counts[place[frequent]] - n[frequent]
-                hit = left > 0
-                first, _ = lookup(words, a[frequent][hit])
-                log = n[frequent][hit] * (np.log(left[hit]) - np.log(counts[first]))
-                sums = np.bincount(d[frequent][hit], weights=log, minlength=len(rows))
-                out.append((batch % buckets, SUMS, batch, pack(np.arange(len(rows)), sums)))
-                missed = np.flatnonzero(frequent)[~hit]
-                out += misses(b[missed], np.full(len(missed), batch), d[missed], n[missed], buckets)
-            a, b, d, n = (x[~frequent] for x in (a, b, d, n))
-            is_hot = lookup(words, a)[1]
-            for bucket, (x, y, doc, times) in split(np.where(is_hot, mixed(a, b) % buckets, a % buckets).astype(np.int32), a, b, d, n):
-                turn = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-                out.append((bucket, ENTRIES, batch, pack(x[turn], np.diff(np.append(turn, len(x))), y, doc, times)))
-            starts = np.flatnonzero(np.concatenate(([True], ~same)))
-            out += misses(codes[starts], np.full(len(starts), batch), docs[starts], np.ones(len(starts), np.int64), buckets)
-            last, times = np.unique(codes[np.concatenate((~same, [True]))], return_counts=True)
-            out += [(bucket, LAST, batch, pack(x, t)) for bucket, (x, t) in split((last % buckets).astype(np.int32), last, times)]
-            for i in range(0, len(out), 64):
-                yield packed(out[i : i + 64])
+            begins = place[order_] - (k - 1) == first[docs[place[order_]]]  # no longer context stands before it
+            asked = n if k == order else np.add.reduceat(begins.astype(np.int64), at) if len(at) else n
+            source = order_[at]
+            c, second, d = number_of[source], words[place[source]], docs[place[source]]
+            g, less = contexts[c], shorter[source]
+            where, is_hot = among(hot[k], g, second)
+            if is_hot.any():
+                some = np.flatnonzero(is_hot)
+                turns = np.flatnonzero(np.diff(where[some], prepend=-1))
+                head = some[turns]
+                yield from nested(
+                    batch, g[head], np.full(len(head), SPREAD - batch % (1 << 20)), np.zeros(len(head)), context_counts[k][where[head]], hot_counts[k][where[head]],
+                    less[head], np.diff(np.append(turns, len(some))), second[some], d[some], n[some], asked[some],
+                )
+            salt, counted = np.zeros(len(g), np.int64), np.full(len(contexts), -1)
+            if k == 2:
+                at_word, frequent = lookup(hot_words, contexts)
+                counted[frequent] = word_counts[at_word[frequent]]
+                parts = np.maximum(1, -(-counted // GROUP_ENTRIES))
+                salt = second % parts[c]
+                total = np.bincount(number, minlength=len(known))
+            else:
+                every = grams(words, docs, k - 1)
+                ends = mixed(every[1], words[every[0]]) if k > 2 else words[every[0]]
+                contexts_, total_ = np.unique(ends, return_counts=True)
+            cold = np.flatnonzero(~is_hot)
+            cold = cold[np.lexsort((salt[cold], c[cold]))]
+            group = c[cold] * (int(salt.max(initial=0)) + 1) + salt[cold]
+            turns = np.flatnonzero(np.diff(group, prepend=-1))
+            head = cold[turns]
+            lengths = np.diff(np.append(turns, len(cold)))
+            held = g[head]
+            if k > 2:
+                at_total, there = lookup(contexts_, held)
+                totals = np.where(there, total_[at_total] if len(total_) else 0, 0)
+                lone = np.setdiff1d(contexts_, held)
+                lone_total = total_[np.searchsorted(contexts_, lone)]
+                counts = np.full(len(held), -1)
+            else:
+                totals, counts = total[c[head]], counted[c[head]]
+                lone_ = np.setdiff1d(np.flatnonzero(counted < 0), c[head])
+                lone, lone_total = contexts[lone_], total[lone_]
+            yield from nested(
+                batch, np.concatenate((held, lone)), np.concatenate((salt[head], np.zeros(len(lone), np.int64))), np.concatenate((totals, lone_total)),
+                np.concatenate((counts, np.full(len(lone), -1))), np.full(len(held) + len(lone), -1), np.concatenate((less[head], np.zeros((len(lone), k - 2), np.int64))),
+                np.concatenate((lengths, np.zeros(len(lone), np.int64))), second[cold], d[cold], n[cold], asked[cold],
+            )
 
     return entries
 
 
-def misses(words: np.ndarray, batch: np.ndarray, docs: np.ndarray, n: np.ndarray, buckets: int) -> list[tuple]:
-    """Packed rows of words that back off, for the buckets of their own counts."""
-    return [
-        (bucket, MISSES, -1, pack(w, b, d, t))
-        for bucket, (w, b, d, t) in split((words % buckets).astype(np.int32), words, batch, docs, n)
-    ]
-
-
-def joiner(hot, buckets: int):
-    """A function from the packed rows of a bucket to sums of documents, words that back off, and word counts."""
-
-    def join(table: pa.Table) -> pa.Table:
-        words, counts = hot.value[:2]
-        kinds, batches, data = table.column("kind").to_pylist(), table.column("batch").to_pylist(), table.column("data")
-        bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
-        out, parts, lasts = [], [], []
-        for i, kind in enumerate(kinds):
-            if kind == ENTRIES:
-                x, runs, y, doc, times = unpack(data[i].as_py())
-                parts.append((np.repeat(x, runs), y, (np.int64(batches[i]) << DOC_BITS) | doc, times))
-            elif kind == LAST:
-                lasts.append(unpack(data[i].as_py()))
-            else:
-                out.append((bucket, kind, batches[i], data[i].as_py()))
-        a, b, doc, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.array([], np.int64),) * 4
-        if len(a):
-            firsts, fa = np.unique(a, return_inverse=True)
-            seconds, fb = np.unique(b, return_inverse=True)
-            _, pair = np.unique(fa * np.int64(len(seconds)) + fb, return_inverse=True)
-            total = np.bincount(pair, weights=n).astype(np.int64)
-            after = np.bincount(fa, weights=n).astype(np.int64)
-        else:
-            firsts = fa = pair = total = after = np.array([], np.int64)
-        every = np.concatenate([firsts, *(x for x, _ in lasts)])
-        times = np.concatenate([after, *(t for _, t in lasts)])
-        known, place = np.unique(every, return_inverse=True)
-        sizes = np.bincount(place, weights=times, minlength=len(known)).astype(np.int64)
-        at, is_hot = lookup(words, known)
-        sizes = np.where(is_hot, counts[at] if len(counts) else 0, sizes)
-        cold = ~is_hot
-        out.append((bucket, COUNTS, -1, pack(known[cold], sizes[cold])))
-        if len(a):
-            left = total[pair] - n
-            hit = left > 0
-            log = n[hit] * (np.log(left[hit]) - np.log(sizes[np.searchsorted(known, a[hit])]))
-            docs, at = np.unique(doc[hit], return_inverse=True)
-            out.append((bucket, SUMS, -1, pack(docs, np.bincount(at, weights=log, minlength=len(docs)))))
-            miss = ~hit
-            out += misses(b[miss], doc[miss] >> DOC_BITS, doc[miss] & ((1 << DOC_BITS) - 1), n[miss], buckets)
-        return pa.Table.from_batches([packed(out)])
-
-    return join
-
-
-def finisher(hot, buckets: int):
-    """A function from the packed rows of a bucket to packed parts (doc, log, missed) of the sums of documents.
-
-    The parts are for the bucket of the documents' batch; the rows that name a batch's documents are there already.
-    """
+PARTS = "batch long, doc int, log double, word long, asked int, named boolean"
 
-    def finish(table: pa.Table) -> pa.Table:
-        words, counts = hot.value[:2]
-        known, sizes, docs, logs, missed = [words], [counts], [], [], []
-        data = table.column("data")
-        waiting = []
-        for kind, batch, x in zip(table.column("kind").to_pylist(), table.column("batch").to_pylist(), data):
-            arrays = unpack(x.as_py())
-            if kind == COUNTS:
-                known.append(arrays[0])
-                sizes.append(arrays[1])
-            elif kind == SUMS:
-                docs.append(arrays[0] if batch < 0 else (np.int64(batch) << DOC_BITS) | arrays[0])
-                logs.append(arrays[1])
-                missed.append(np.zeros(len(arrays[0])))
-            elif kind == MISSES:
-                waiting.append(arrays)
-        words, sizes = np.concatenate(known), np.concatenate(sizes)
-        order = np.argsort(words, kind="stable")
-        words, sizes = words[order], sizes[order]
-        for w, batch, d, n in waiting:
-            docs.append((batch << DOC_BITS) | d)
-            logs.append(n * np.log(sizes[np.searchsorted(words, w)]))
-            missed.append(n.astype(float))
-        if docs:
-            every, at = np.unique(np.concatenate(docs), return_inverse=True)
-            log, miss = (np.bincount(at, weights=np.concatenate(x), minlength=len(every)) for x in (logs, missed))
-        else:
-            every, log, miss = np.array([], np.int64), np.array([]), np.array([])
-        out = [
-            (bucket, SUMS, -1, pack(doc, part, times.astype(np.int64)))
-            for bucket, (doc, part, times) in split(((every >> DOC_BITS) % buckets).astype(np.int32), every, log, miss)
-        ]
-        return pa.Table.from_batches([packed(out)])
-
-    return finish
-
-
-def added(table: pa.Table) -> pa.Table:
-    """(row, log, missed) of the documents of a bucket of batches."""
-    parts, rows, docs = [], [np.array([], np.int64)], [np.array([], np.int64)]
-    for kind, batch, data in zip(table.column("kind").to_pylist(), table.column("batch").to_pylist(), table.column("data")):
-        arrays = unpack(data.as_py())
-        if kind == ROWS:
-            rows.append(arrays[0])
-            docs.append((np.int64(batch) << DOC_BITS) | np.arange(len(arrays[0])))
-        else:
-            parts.append(arrays)
-    rows, docs = np.concatenate(rows), np.concatenate(docs)
-    order = np.argsort(docs, kind="stable")
-    rows, docs = rows[order], docs[order]
-    log, missed = np.zeros(len(docs)), np.zeros(len(docs))
-    for doc, part, times in parts:
-        at = np.searchsorted(docs, doc)  # a part holds a document once
-        log[at] += part
-        missed[at] += times
-    return pa.table({"row": pa.array(rows, pa.int64()), "log": pa.array(log, pa.float64()), "missed": pa.array(missed, pa.float64())})
-
-
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF) -> DataFrame:
+
+def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of :data:`PARTS`, those without a word summed for each document, some millions at a time."""
+    names, held, size = [x.split()[0] for x in PARTS.split(", ")], [], 0
+
+    def summed() -> pa.RecordBatch:
+        whole = [np.concatenate(x) for x in zip(*held)]
+        key, at = np.unique((whole[0] << DOC_BITS) | whole[1], return_inverse=True)
+        sums = np.bincount(at, weights=whole[2], minlength=len(key))
+        none = pa.nulls(len(key), pa.int64())
+        return pa.record_batch([pa.array(key >> DOC_BITS), pa.array(key & ((1 << DOC_BITS) - 1), pa.int32()), pa.array(sums), none, pa.nulls(len(key), pa.int32()), pa.nulls(len(key), pa.bool_())], names)
+
+    for batch in batches:
+        resolved = batch.column("word").is_null()
+        kept = batch.filter(pc.invert(resolved))
+        if kept.num_rows:
+            yield kept
+        done = batch.filter(resolved)
+        held.append((done.column("batch").to_numpy(), done.column("doc").to_numpy().astype(np.int64), done.column("log").to_numpy()))
+        size += done.num_rows
+        if size >= 2_000_000:
+            yield summed()
+            held, size = [], 0
+    if size:
+        yield summed()
+
+
+def score(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    order: int = ORDER,
+    backoff: float = BACKOFF,
+    least_count: int = LEAST_COUNT,
+) -> DataFrame:
     """All rows of ``docs`` with ``n_words, lm_score`` (mean natural logarithm of the words' scores).
 
-    A pair's score is the count in other documents over the count of its first word; if no other document has
-    the pair, ``backoff`` times the count of the second word over all words. Rows are documents: the copies of
-    a document count as others.
+    ``order`` is the length of the longest n-grams; n-grams of two words and more that occur less than ``least_count``
+    times in the corpus are not in the count tables. (With 1 they all are, and a document's own n-grams are always found.)
+    The first words of a document have shorter contexts, without a discount for that.
 
     * Null texts and texts without words: 0 words, null score. Texts are read whole; A-Z count as a-z.
     * Null and repeated ids are allowed; rows that repeat both id and text get the same score.
     * An empty table gives an empty result; input columns named like an output column are replaced.
     """
-    context = docs.sparkSession.sparkContext
+    spark, context = docs.sparkSession, docs.sparkSession.sparkContext
     rows = without(docs, "n_words", "lm_score").withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
     texts = rows.select(F.col("__row").alias("row"), F.col(text_col).alias("text"))
-    hot_words, hot_pairs = hot_lists(texts)
-    words, pairs = np.array(hot_words, np.int64), np.array(hot_pairs, np.int64).reshape(-1, 2)
-    pairs = np.column_stack((pairs, mixed(pairs[:, 0], pairs[:, 1])))
-    pairs = pairs[np.argsort(pairs[:, 2], kind="stable")]
-    counted = texts.mapInArrow(counter_of(context.broadcast((words, pairs))), "first long, second long, n long")
-    exact = {(r["first"], r["second"]): r["n"] for r in counted.groupBy("first", "second").agg(F.sum("n").alias("n")).collect()}
-    total = max(1, exact.get((-1, -1), 0))
-    counts = np.array([exact[(w, -1)] for w in hot_words], np.int64)
-    hot = context.broadcast((words, counts, pairs, np.array([exact[(int(a), int(b))] for a, b, _ in pairs], np.int64)))
-    buckets = max(8, -(-total // BUCKET_ENTRIES))
-    dealt = texts.mapInArrow(entries_of(hot, buckets), PACKED)
-    joined = cut(dealt.groupBy("bucket").applyInArrow(joiner(hot, buckets), PACKED))
-    parts = joined.where(F.col("kind") != ROWS).groupBy("bucket").applyInArrow(finisher(hot, buckets), PACKED)
-    named = parts.unionByName(joined.where(F.col("kind") == ROWS))
-    sums = named.groupBy("bucket").applyInArrow(added, "row long, log double, missed double")
-    by_row = sums.groupBy("row").agg(F.min(F.col("log") + F.col("missed") * float(np.log(backoff / total))).alias("log"))
+    hot = hot_grams(texts, order)
+    counted = texts.mapInArrow(counter_of(context.broadcast(hot), order), "k long, g long, word long, n long")
+    counts = cut(counted.groupBy("k", "g", "word").agg(F.sum("n").alias("n")))
+    words = counts.where("k = 1").select("word", F.col("n").alias("count"))
+    total = words.agg(F.sum("count")).first()[0] or 1
+    known = cut(words.orderBy(F.desc("count"), "word").limit(KNOWN_WORDS))
+    large = known.where(F.col("count") > GROUP_ENTRIES).orderBy("word").toArrow()
+    listed = {(r["k"], r["g"], r["word"]): r["n"] for r in counts.where("k <> 1").collect()}  # the frequent n-grams and their contexts
+    of = lambda k, sign: np.array([listed.get((sign * k, int(g), int(w) if sign > 0 else 0), 0) for g, w in hot[k]], np.int64)
+    model = context.broadcast((
+        large.column("word").to_numpy(), large.column("count").to_numpy(), hot, {k: of(k, 1) for k in hot}, {k: of(k, -1) for k in hot},
+    ))
+    sorted_texts = texts.where(F.col("text").isNotNull()).sortWithinPartitions("row")
+    fresh = lambda k: sorted_texts.mapInArrow(entries_of(model, k, order), NESTED)
+    place = Window.partitionBy("g", "salt")
+    missed, parts = None, []
+    for k in range(max(2, order), 1, -1):
+        level = fresh(min(k, order))
+        if missed is not None:
+            level = level.unionByName(missed)
+        level = level.repartition("g", "salt").withColumn("after", F.coalesce("context_count", F.sum("total").over(place)))
+        flat = level.select("g", "salt", "batch", "after", "gram_count", "shorter", "docs", "n", "asked", F.posexplode("seconds").alias("i", "second")).select(
+            "g", "salt", "batch", "after", "gram_count", "shorter", "second", *[F.get(x, F.col("i")).alias(y) for x, y in (("docs", "doc"), ("n", "n"), ("asked", "asked"))]
+        )
+        times = F.coalesce("gram_count", F.sum("n").over(Window.partitionBy("g", "salt", "second")))
+        looked = flat.withColumn("times", times).where((F.col("asked") > 0) | (F.col("salt") == NAMES))
+        plain = ~F.col("salt").isin(NAMES, ALONE)
+        hit = plain & (F.col("times") >= least_count)
+        log = F.when(hit, F.col("asked") * (F.ln("times") - F.ln("after"))).when(plain, F.col("asked") * F.lit(float(np.log(backoff)))).otherwise(0.0)
+        if k > 2:
+            looked = cut(looked.withColumn("log", log).withColumn("hit", hit))
+            parts.append(looked.select("batch", "doc", "log", F.lit(None).cast("long").alias("word"), F.lit(None).cast("int").alias("asked"), F.lit(None).cast("boolean").alias("named")))
+            missed = shorter_rows(looked.where("not hit"), known, spark, hot[k - 1], model.value[3][k - 1], model.value[4][k - 1])
+            continue
+        word = F.when(~hit & (F.col("salt") != NAMES), F.col("second"))
+        ended = looked.withColumn("log", log).withColumn("__word", word).join(F.broadcast(known.withColumnRenamed("word", "__known")), F.col("__word") == F.col("__known"), "left")
+        found = F.col("count").isNotNull()
+        parts.append(ended.select(
+            "batch", "doc",
+            (F.col("log") + F.when(found, F.col("asked") * (F.ln("count") - F.lit(float(np.log(total))))).otherwise(0.0)).alias("log"),
+            F.when(F.col("salt") == NAMES, F.col("second")).when(~found, F.col("__word")).alias("word"),
+            "asked", (F.col("salt") == NAMES).alias("named"),
+        ))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    every = cut(every.mapInArrow(folded, PARTS))
+    rare = every.where("word is not null and not named").join(words, "word").select(
+        "batch", "doc", (F.col("log") + F.col("asked") * (F.ln("count") - F.lit(float(np.log(total))))).alias("log"), F.lit(None).cast("long").alias("row")
+    )
+    rest = every.where("word is null or named").select("batch", "doc", "log", F.col("word").alias("row"))
+    sums = rest.unionByName(rare).groupBy("batch", "doc").agg(F.sum("log").alias("log"), F.max("row").alias("row"))
+    by_row = cut(sums.groupBy("row").agg(F.min("log").alias("log")))
+    for done in (every, counts, known):
+        drop_table(done)
     n_words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     scored = rows.withColumn("n_words", n_words).alias("d").join(by_row.alias("s"), F.col("d.__row") == F.col("s.row"), "left")
     kept = [c for c in rows.columns if c != "__row"]
     return scored.select(*[F.col(f"d.{c}") for c in kept], F.col("d.n_words").alias("n_words"), F.try_divide(F.col("s.log"), F.col("d.n_words")).alias("lm_score"))
+
+
+def shorter_rows(missed: DataFrame, known: DataFrame, spark, hot: np.ndarray, hot_counts: np.ndarray, context_counts: np.ndarray) -> DataFrame:
+    """What is not in a count table, as rows of the next shorter context that are asked for and not counted."""
+    listed = spark.createDataFrame(
+        [(int(g), int(w), int(n), int(c)) for (g, w), n, c in zip(hot, hot_counts, context_counts)], "shorter long, second long, hot_n long, hot_c long"
+    )
+    large = known.where(F.col("count") > GROUP_ENTRIES).select(F.col("word").alias("shorter"), F.col("count").alias("large"))
+    next_one = missed.withColumn("further", F.slice("shorter", 2, F.greatest(F.size("shorter") - 1, F.lit(0)))).withColumn("shorter", F.col("shorter")[0])
+    rows = next_one.join(F.broadcast(listed), ["shorter", "second"], "left").join(F.broadcast(large), "shorter", "left")
+    is_hot = F.col("hot_n").isNotNull()
+    salt = F.when(is_hot, F.lit(SPREAD) - F.pmod("batch", F.lit(1 << 20))).when(F.col("large").isNotNull(), F.pmod("second", F.ceil(F.col("large") / GROUP_ENTRIES))).otherwise(F.lit(0))
+    return rows.select(
+        F.col("shorter").alias("g"), salt.cast("int").alias("salt"), "batch", F.lit(0).cast("long").alias("total"),
+        F.coalesce("hot_c", "large").alias("context_count"), F.col("hot_n").alias("gram_count"), F.col("further").alias("shorter"),
+        F.array("second").alias("seconds"), F.array("doc").alias("docs"), F.array(F.lit(0)).alias("n"), F.array("asked").alias("asked"),
+    )

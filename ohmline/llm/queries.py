@@ -193,10 +193,10 @@ total AS (SELECT count(*)::DOUBLE AS t FROM tokens),
 pairs AS (SELECT r, a, b, count(*) AS n FROM tokens WHERE a IS NOT NULL GROUP BY r, a, b),
 counts AS (SELECT a, b, sum(n) AS c FROM pairs GROUP BY a, b),
 parts AS (
-  SELECT p.r, p.n, CASE WHEN c.c > p.n THEN p.n * (ln((c.c - p.n)::DOUBLE) - ln(x.c::DOUBLE)) ELSE p.n * (ln(0.4::DOUBLE / t) + ln(y.c::DOUBLE)) END AS part
+  SELECT p.r, p.n, p.n * CASE WHEN c.c >= 2 THEN ln(c.c::DOUBLE) - ln(x.c::DOUBLE) ELSE ln(0.4::DOUBLE / t) + ln(y.c::DOUBLE) END AS part
   FROM pairs p JOIN counts c USING (a, b) JOIN words x ON x.word = p.a JOIN words y ON y.word = p.b, total
   UNION ALL
-  SELECT r, 1, ln(0.4::DOUBLE / t) + ln(c::DOUBLE) FROM tokens JOIN words ON word = b, total WHERE a IS NULL
+  SELECT r, 1, ln(c::DOUBLE) - ln(t) FROM tokens JOIN words ON word = b, total WHERE a IS NULL
 ), sums AS (SELECT r, sum(part) / sum(n) AS s FROM parts GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, round(s, 6) AS lm_score FROM docs LEFT JOIN sums USING (r)
 """
