@@ -4,11 +4,11 @@ The score of a word after its context is the count of both over the count of the
 together to be kept in the count table; else it is the score after the context less its first word, discounted. Without
 a context it is the word's share of all words.
 
-For every order the n-grams of a document are folded where they are read, and travel once: a row names a context and
-nests, for some documents, the words that follow it. Rows are partitioned by the hash of their context, so the counts
-of contexts and n-grams are window sums over the partition in which the n-grams themselves lie. What is not kept goes on,
-as rows of the next shorter context; a broadcast list of frequent words ends most of that, and the rest is joined to the
-table of word counts. The parts of a document are summed at the end.
+For every order the n-grams of a document are folded where they are read, and travel once: they are partitioned by the
+hash of their context, many to a row as parallel arrays, and exploded there. So the counts of contexts and n-grams are
+window sums over the partition in which the n-grams themselves lie. What is not kept goes on to the partition of the
+next shorter context; a broadcast list of frequent words ends most of that, and the rest is joined to the table of word
+counts. The parts of a document are summed at the end.
 
 Words are told apart by 64 bits, an n-gram by 64 bits of its context and 64 of its last word.
 """
@@ -32,19 +32,21 @@ ship(__name__)
 
 ORDER, BACKOFF, LEAST_COUNT = 2, 0.4, 2
 TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Words that a task folds at a time; bits of a document's number among them.
-PIECE, DOC_BITS = 700_000, 15
-#: Entries of one word as context that may meet in a task; those of a more frequent word are dealt by what follows it.
+#: Words that a task folds at a time; bits of a document's number among them; n-grams that a bucket is meant to hold.
+PIECE, DOC_BITS, BUCKET_ENTRIES = 1_000_000, 15, 1_500_000
+#: N-grams of one word as context that may meet in a task; those of a more frequent word are dealt by what follows it.
 GROUP_ENTRIES = 1_500_000
 #: Bound of the broadcast list of frequent words.
 KNOWN_WORDS = 1 << 18
 #: Bounds of the sample that frequent n-grams are picked from, and of their list: any other has a share of about one in so many.
 SAMPLE_DOCS, SAMPLE_TASKS, HOT = 3_000, 8, 500
-#: Salts of rows that are no plain contexts: names of documents, words without a context; from SPREAD down, frequent n-grams.
-NAMES, ALONE, SPREAD = -1, -2, -3
+#: What a row holds: n-grams, the keys of documents, words without a context.
+GRAMS, NAMES, ALONE = range(3)
+#: Counts that a row gives for all its n-grams (null: to be summed), and for each its context, how often the context
+#: occurs (once for all its n-grams), its last word, document, occurrences, those asked for (null: all), shorter contexts.
 NESTED = (
-    "g long, salt int, batch long, total long, context_count long, gram_count long, shorter array<bigint>, "
-    "seconds array<bigint>, docs array<int>, n array<int>, asked array<int>"
+    "bucket int, kind int, batch long, context_count long, gram_count long, gs array<bigint>, totals array<int>, "
+    "seconds array<bigint>, docs array<smallint>, ns array<int>, askeds array<int>, shorters array<array<bigint>>"
 )
 
 
@@ -168,26 +170,37 @@ def counter_of(hot, order: int):
     return count
 
 
-def nested(batch: int, g, salt, total, context_count, gram_count, shorter, lengths, seconds, docs, n, asked) -> Iterator[pa.RecordBatch]:
-    """Arrow rows of nested entries; ``lengths`` says how many entries each row has, ``shorter`` is a table of as many rows."""
+def nested(kind: int, batch: int, bucket, context_count, gram_count, lengths, gs, totals, seconds, docs, ns, askeds=None, shorters=None) -> Iterator[pa.RecordBatch]:
+    """Arrow rows of nested n-grams; ``lengths`` says how many each row has, counts below 0 are null."""
     names = [x.split()[0] for x in NESTED.split(", ")]
     offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(t))) for x, t in ((seconds, np.int64), (docs, np.int32), (n, np.int32), (asked, np.int32))]
-    width = shorter.shape[1]
-    less = pa.ListArray.from_arrays(np.arange(len(g) + 1, dtype=np.int32) * width, pa.array(shorter.ravel().astype(np.int64)))
-    as_longs = lambda x: np.asarray(x).astype(np.int64)
-    null = lambda x: pa.array(as_longs(x), mask=as_longs(x) < 0)
+    listed = lambda x, t: pa.nulls(len(lengths), pa.list_(t)) if x is None else pa.ListArray.from_arrays(offsets, pa.array(np.asarray(x)).cast(t) if not isinstance(x, pa.Array) else x)
+    null = lambda x: pa.array(np.asarray(x, np.int64), mask=np.asarray(x) < 0)
+    if shorters is not None:
+        width = shorters.shape[1]
+        shorters = pa.ListArray.from_arrays(np.arange(len(shorters) + 1, dtype=np.int32) * width, pa.array(shorters.ravel()))
     columns = [
-        pa.array(as_longs(g)), pa.array(as_longs(salt), pa.int32()), pa.array(np.full(len(g), batch), pa.int64()), pa.array(as_longs(total)),
-        null(context_count), null(gram_count), less, *lists,
+        pa.array(np.asarray(bucket), pa.int32()), pa.array(np.full(len(lengths), kind), pa.int32()), pa.array(np.full(len(lengths), batch), pa.int64()), null(context_count), null(gram_count),
+        listed(gs, pa.int64()), listed(totals, pa.int32()), listed(seconds, pa.int64()), listed(docs, pa.int16()), listed(ns, pa.int32()), listed(askeds, pa.int32()), listed(shorters, pa.list_(pa.int64())),
     ]
     whole = pa.record_batch(columns, names)
-    for at in range(0, len(g), 4_096):
-        yield whole.slice(at, 4_096)
+    for at in range(0, len(lengths), 256):
+        yield whole.slice(at, 256)
 
 
-def entries_of(model, k: int, order: int):
-    """A function from documents to the nested rows of their n-grams of order ``k``; of the last level, also names and words alone.
+def stretches(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where equal neighbours begin, and how many there are."""
+    n = len(keys[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    turn = np.ones(n, bool)
+    turn[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.flatnonzero(turn)
+    return at, np.diff(np.append(at, n))
+
+
+def entries_of(model, k: int, order: int, buckets: int):
+    """A function from documents to nested rows of their n-grams of order ``k``; at the last level, also of names and words alone.
 
     Documents must come sorted by their key: then a task that is run again numbers them alike.
     """
@@ -197,10 +210,11 @@ def entries_of(model, k: int, order: int):
         for turn, (rows, words, docs) in enumerate(pieces(batches)):
             batch = (TaskContext.get().partitionId() << 24) | turn
             first = np.flatnonzero(np.diff(docs, prepend=-1))
+            none = np.zeros(max(len(rows), len(words)), np.int64)
             if k <= 2:
-                yield from nested(batch, [batch], [NAMES], [0], [-1], [-1], np.zeros((1, 0)), [len(rows)], rows, np.arange(len(rows)), np.zeros(len(rows)), np.zeros(len(rows)))
                 alone = first if order > 1 else np.arange(len(words))
-                yield from nested(batch, [batch], [ALONE], [0], [-1], [-1], np.zeros((1, 0)), [len(alone)], words[alone], docs[alone], np.zeros(len(alone)), np.ones(len(alone)))
+                yield from nested(NAMES, batch, [batch % buckets], [-1], [-1], [len(rows)], rows, None, rows, np.arange(len(rows)), none[: len(rows)])
+                yield from nested(ALONE, batch, [batch % buckets], [-1], [-1], [len(alone)], words[alone], None, words[alone], docs[alone], none[: len(alone)], none[: len(alone)] + 1)
             if k < 2:
                 continue
             known, number = np.unique(words, return_inverse=True)
@@ -208,56 +222,61 @@ def entries_of(model, k: int, order: int):
             contexts, number_of = (known, number[place - 1]) if k == 2 else np.unique(context, return_inverse=True)
             word_bits, doc_bits = len(known).bit_length(), len(rows).bit_length()
             key = (number_of << (word_bits + doc_bits)) | (number[place] << doc_bits) | docs[place]
-            order_ = np.argsort(key, kind="stable")
-            key = key[order_]
-            at = np.flatnonzero(np.diff(key, prepend=-1))
-            n = np.diff(np.append(at, len(key)))
-            begins = place[order_] - (k - 1) == first[docs[place[order_]]]  # no longer context stands before it
-            asked = n if k == order else np.add.reduceat(begins.astype(np.int64), at) if len(at) else n
-            source = order_[at]
+            by_key = np.argsort(key, kind="stable")
+            at, n = stretches(key[by_key])
+            source = by_key[at]
             c, second, d = number_of[source], words[place[source]], docs[place[source]]
-            g, less = contexts[c], shorter[source]
+            g, asked = contexts[c], None
+            less = shorter[source] if k > 2 else None
+            if k < order and len(at):
+                begins = place[by_key] - (k - 1) == first[docs[place[by_key]]]  # no longer context stands before it
+                asked = np.add.reduceat(begins.astype(np.int64), at)
             where, is_hot = among(hot[k], g, second)
-            if is_hot.any():
-                some = np.flatnonzero(is_hot)
-                turns = np.flatnonzero(np.diff(where[some], prepend=-1))
-                head = some[turns]
+            pick = lambda some, x: None if x is None else x[some]
+            some = np.flatnonzero(is_hot)
+            begin, lengths = stretches(where[some])
+            if len(begin):
+                head = where[some[begin]]
                 yield from nested(
-                    batch, g[head], np.full(len(head), SPREAD - batch % (1 << 20)), np.zeros(len(head)), context_counts[k][where[head]], hot_counts[k][where[head]],
-                    less[head], np.diff(np.append(turns, len(some))), second[some], d[some], n[some], asked[some],
-                )
-            salt, counted = np.zeros(len(g), np.int64), np.full(len(contexts), -1)
+                    GRAMS, batch, (head + batch) % buckets, context_counts[k][head], hot_counts[k][head], lengths, g[some], None, second[some], d[some], n[some], pick(some, asked), pick(some, less)
+                )
             if k == 2:
                 at_word, frequent = lookup(hot_words, contexts)
-                counted[frequent] = word_counts[at_word[frequent]]
-                parts = np.maximum(1, -(-counted // GROUP_ENTRIES))
-                salt = second % parts[c]
+                counted = np.where(frequent, word_counts[at_word] if len(word_counts) else 0, 0)
                 total = np.bincount(number, minlength=len(known))
             else:
-                every = grams(words, docs, k - 1)
-                ends = mixed(every[1], words[every[0]]) if k > 2 else words[every[0]]
-                contexts_, total_ = np.unique(ends, return_counts=True)
-            cold = np.flatnonzero(~is_hot)
-            cold = cold[np.lexsort((salt[cold], c[cold]))]
-            group = c[cold] * (int(salt.max(initial=0)) + 1) + salt[cold]
-            turns = np.flatnonzero(np.diff(group, prepend=-1))
-            head = cold[turns]
-            lengths = np.diff(np.append(turns, len(cold)))
-            held = g[head]
-            if k > 2:
-                at_total, there = lookup(contexts_, held)
-                totals = np.where(there, total_[at_total] if len(total_) else 0, 0)
-                lone = np.setdiff1d(contexts_, held)
-                lone_total = total_[np.searchsorted(contexts_, lone)]
-                counts = np.full(len(held), -1)
+                frequent, every = np.zeros(len(contexts), bool), grams(words, docs, k - 1)
+                ends, total = np.unique(mixed(every[1], words[every[0]]), return_counts=True)
+            large = np.flatnonzero(~is_hot & frequent[c])
+            if len(large):
+                salt = second[large] % -(-counted[c[large]] // GROUP_ENTRIES)
+                bucket = (g[large] % buckets + salt) % buckets
+                large, bucket, cl = (x[np.lexsort((bucket, c[large]))] for x in (large, bucket, c[large]))
+                begin, lengths = stretches(cl, bucket)
+                yield from nested(GRAMS, batch, bucket[begin], counted[cl[begin]], np.full(len(begin), -1), lengths, g[large], None, second[large], d[large], n[large], pick(large, asked), pick(large, less))
+            cold = np.flatnonzero(~is_hot & ~frequent[c])
+            begin, _ = stretches(c[cold])
+            totals = np.zeros(len(cold), np.int64)
+            if k == 2:
+                totals[begin] = total[c[cold[begin]]]
+                lone_at = np.setdiff1d(np.flatnonzero(~frequent), c[cold[begin]])
+                lone, lone_total = contexts[lone_at], total[lone_at]
             else:
-                totals, counts = total[c[head]], counted[c[head]]
-                lone_ = np.setdiff1d(np.flatnonzero(counted < 0), c[head])
-                lone, lone_total = contexts[lone_], total[lone_]
+                totals[begin] = total[np.searchsorted(ends, g[cold[begin]])]
+                lone_at = np.flatnonzero(~np.isin(ends, g[cold[begin]]))
+                lone, lone_total = ends[lone_at], total[lone_at]
+            zeros = np.zeros(len(lone), np.int64)  # contexts without an n-gram of their own here are counted all the same
+            with_lone = lambda x, y: np.concatenate((x[cold], y))
+            gs, seconds, ds, ns = with_lone(g, lone), with_lone(second, zeros), with_lone(d, zeros), with_lone(n, zeros)
+            totals = np.concatenate((totals, lone_total))
+            asked = None if asked is None else with_lone(asked, zeros)
+            less = None if less is None else np.concatenate((less[cold], np.zeros((len(lone), k - 2), np.int64)))
+            by_bucket = np.argsort((gs % buckets).astype(np.int32), kind="stable")
+            bucket = gs[by_bucket] % buckets
+            begin, lengths = stretches(bucket)
             yield from nested(
-                batch, np.concatenate((held, lone)), np.concatenate((salt[head], np.zeros(len(lone), np.int64))), np.concatenate((totals, lone_total)),
-                np.concatenate((counts, np.full(len(lone), -1))), np.full(len(held) + len(lone), -1), np.concatenate((less[head], np.zeros((len(lone), k - 2), np.int64))),
-                np.concatenate((lengths, np.zeros(len(lone), np.int64))), second[cold], d[cold], n[cold], asked[cold],
+                GRAMS, batch, bucket[begin], np.full(len(begin), -1), np.full(len(begin), -1), lengths,
+                *(pick(by_bucket, x) for x in (gs, totals, seconds, ds, ns, asked, less)),
             )
 
     return entries
@@ -326,36 +345,40 @@ def score(
     model = context.broadcast((
         large.column("word").to_numpy(), large.column("count").to_numpy(), hot, {k: of(k, 1) for k in hot}, {k: of(k, -1) for k in hot},
     ))
+    buckets = int(max(16, -(-total // BUCKET_ENTRIES)))
     sorted_texts = texts.where(F.col("text").isNotNull()).sortWithinPartitions("row")
-    fresh = lambda k: sorted_texts.mapInArrow(entries_of(model, k, order), NESTED)
-    place = Window.partitionBy("g", "salt")
     missed, parts = None, []
     for k in range(max(2, order), 1, -1):
-        level = fresh(min(k, order))
+        level = sorted_texts.mapInArrow(entries_of(model, min(k, order), order, buckets), NESTED)
         if missed is not None:
             level = level.unionByName(missed)
-        level = level.repartition("g", "salt").withColumn("after", F.coalesce("context_count", F.sum("total").over(place)))
-        flat = level.select("g", "salt", "batch", "after", "gram_count", "shorter", "docs", "n", "asked", F.posexplode("seconds").alias("i", "second")).select(
-            "g", "salt", "batch", "after", "gram_count", "shorter", "second", *[F.get(x, F.col("i")).alias(y) for x, y in (("docs", "doc"), ("n", "n"), ("asked", "asked"))]
-        )
-        times = F.coalesce("gram_count", F.sum("n").over(Window.partitionBy("g", "salt", "second")))
-        looked = flat.withColumn("times", times).where((F.col("asked") > 0) | (F.col("salt") == NAMES))
-        plain = ~F.col("salt").isin(NAMES, ALONE)
+        of_row = lambda name, i: F.get(name, F.col(i))
+        flat = level.repartition("bucket").select(
+            "bucket", "kind", "batch", "context_count", "gram_count", "gs", "totals", "docs", "ns", "askeds", "shorters", F.posexplode("seconds").alias("i", "second")
+        ).select(
+            "bucket", "kind", "batch", "context_count", "gram_count", of_row("gs", "i").alias("g"), of_row("totals", "i").alias("total"), "second",
+            of_row("docs", "i").cast("int").alias("doc"), of_row("ns", "i").alias("n"), of_row("askeds", "i").alias("asked"), *([of_row("shorters", "i").alias("shorter")] if k > 2 else []),
+        )
+        times = F.coalesce("gram_count", F.sum("n").over(Window.partitionBy("g", "bucket", "second")))
+        after = F.coalesce("context_count", F.sum("total").over(Window.partitionBy("g", "bucket")))
+        asked = flat.withColumn("times", times).withColumn("after", after).withColumn("asked", F.coalesce("asked", "n"))
+        looked = asked.where((F.col("asked") > 0) | (F.col("kind") == NAMES)).drop("context_count", "gram_count", "total", "n")
+        plain = F.col("kind") == GRAMS
         hit = plain & (F.col("times") >= least_count)
         log = F.when(hit, F.col("asked") * (F.ln("times") - F.ln("after"))).when(plain, F.col("asked") * F.lit(float(np.log(backoff)))).otherwise(0.0)
         if k > 2:
             looked = cut(looked.withColumn("log", log).withColumn("hit", hit))
             parts.append(looked.select("batch", "doc", "log", F.lit(None).cast("long").alias("word"), F.lit(None).cast("int").alias("asked"), F.lit(None).cast("boolean").alias("named")))
-            missed = shorter_rows(looked.where("not hit"), known, spark, hot[k - 1], model.value[3][k - 1], model.value[4][k - 1])
+            missed = shorter_rows(looked.where("not hit"), known, spark, hot[k - 1], model.value[3][k - 1], model.value[4][k - 1], buckets)
             continue
-        word = F.when(~hit & (F.col("salt") != NAMES), F.col("second"))
+        named = F.col("kind") == NAMES
+        word = F.when(~hit & ~named, F.col("second"))
         ended = looked.withColumn("log", log).withColumn("__word", word).join(F.broadcast(known.withColumnRenamed("word", "__known")), F.col("__word") == F.col("__known"), "left")
         found = F.col("count").isNotNull()
         parts.append(ended.select(
             "batch", "doc",
             (F.col("log") + F.when(found, F.col("asked") * (F.ln("count") - F.lit(float(np.log(total))))).otherwise(0.0)).alias("log"),
-            F.when(F.col("salt") == NAMES, F.col("second")).when(~found, F.col("__word")).alias("word"),
-            "asked", (F.col("salt") == NAMES).alias("named"),
+            F.when(named, F.col("second")).when(~found, F.col("__word")).alias("word"), "asked", named.alias("named"),
         ))
     every = parts[0]
     for more in parts[1:]:
@@ -375,18 +398,18 @@ def score(
     return scored.select(*[F.col(f"d.{c}") for c in kept], F.col("d.n_words").alias("n_words"), F.try_divide(F.col("s.log"), F.col("d.n_words")).alias("lm_score"))
 
 
-def shorter_rows(missed: DataFrame, known: DataFrame, spark, hot: np.ndarray, hot_counts: np.ndarray, context_counts: np.ndarray) -> DataFrame:
+def shorter_rows(missed: DataFrame, known: DataFrame, spark, hot: np.ndarray, hot_counts: np.ndarray, context_counts: np.ndarray, buckets: int) -> DataFrame:
     """What is not in a count table, as rows of the next shorter context that are asked for and not counted."""
     listed = spark.createDataFrame(
-        [(int(g), int(w), int(n), int(c)) for (g, w), n, c in zip(hot, hot_counts, context_counts)], "shorter long, second long, hot_n long, hot_c long"
+        [(int(g), int(w), int(n), int(c)) for (g, w), n, c in zip(hot, hot_counts, context_counts)], "g long, second long, gram_count long, hot_context long"
     )
-    large = known.where(F.col("count") > GROUP_ENTRIES).select(F.col("word").alias("shorter"), F.col("count").alias("large"))
-    next_one = missed.withColumn("further", F.slice("shorter", 2, F.greatest(F.size("shorter") - 1, F.lit(0)))).withColumn("shorter", F.col("shorter")[0])
-    rows = next_one.join(F.broadcast(listed), ["shorter", "second"], "left").join(F.broadcast(large), "shorter", "left")
-    is_hot = F.col("hot_n").isNotNull()
-    salt = F.when(is_hot, F.lit(SPREAD) - F.pmod("batch", F.lit(1 << 20))).when(F.col("large").isNotNull(), F.pmod("second", F.ceil(F.col("large") / GROUP_ENTRIES))).otherwise(F.lit(0))
+    large = known.where(F.col("count") > GROUP_ENTRIES).select(F.col("word").alias("g"), F.col("count").alias("large"))
+    further = F.slice("shorter", 2, F.greatest(F.size("shorter") - 1, F.lit(0)))
+    rows = missed.select("batch", "second", "doc", "asked", F.get("shorter", F.lit(0)).alias("g"), further.alias("further"))
+    rows = rows.join(F.broadcast(listed), ["g", "second"], "left").join(F.broadcast(large), "g", "left")
+    salt = F.when(F.col("gram_count").isNotNull(), F.pmod("batch", F.lit(buckets))).when(F.col("large").isNotNull(), F.pmod("second", F.ceil(F.col("large") / GROUP_ENTRIES))).otherwise(F.lit(0))
     return rows.select(
-        F.col("shorter").alias("g"), salt.cast("int").alias("salt"), "batch", F.lit(0).cast("long").alias("total"),
-        F.coalesce("hot_c", "large").alias("context_count"), F.col("hot_n").alias("gram_count"), F.col("further").alias("shorter"),
-        F.array("second").alias("seconds"), F.array("doc").alias("docs"), F.array(F.lit(0)).alias("n"), F.array("asked").alias("asked"),
+        F.pmod(F.pmod("g", F.lit(buckets)) + salt, F.lit(buckets)).cast("int").alias("bucket"), F.lit(GRAMS).alias("kind"), "batch", F.coalesce("hot_context", "large").alias("context_count"), "gram_count",
+        F.array("g").alias("gs"), F.array(F.lit(0)).alias("totals"), F.array("second").alias("seconds"), F.array(F.col("doc").cast("smallint")).alias("docs"), F.array(F.lit(0)).alias("ns"),
+        F.array("asked").alias("askeds"), F.array("further").alias("shorters"),
     )
