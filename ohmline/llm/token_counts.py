@@ -3,11 +3,15 @@
 A byte-level BPE tokenizer splits a text into pre-tokens and encodes each by itself, so the count of a text is
 the sum over its pre-tokens. The lengths of the most frequent pre-tokens (of a bounded sample; the choice
 changes the speed only) are broadcast as one compact table. A miss is encoded by the tokenizer library and kept
-in the worker's cache. Texts with characters that the libraries might class differently are encoded whole.
+in the worker's cache. This serves texts of all scripts. Which characters the pattern's library and the tokenizer's class
+differently (some new or rare ones) is found by splitting all of them with both; texts that hold one are encoded whole.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ohmline.llm.workers import once, share
 from ohmline.shared import ship, without
 
 ship(__name__)
@@ -30,8 +35,8 @@ SAMPLE_TASKS = 8
 CACHE_SIZE = 400_000
 #: Fixed value: the pre-token pattern of the byte-level tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters that every Unicode version since 3.0 classes alike: printable ASCII with its usual white space, and Latin letters and general punctuation.
-PLAIN = regex.compile(r"[\t\n\r -~¡-©«-±´¶-¸»¿-ȳ‐-‧‰-⁞€]*")
+#: Characters that are split by both libraries at a time, to find those that they class differently.
+PROBED = 512
 
 
 def file_text(path: str) -> str:
@@ -39,6 +44,58 @@ def file_text(path: str) -> str:
         return f.read()
 
 
+def is_byte_level(tokenizer_json: str) -> bool:
+    """Whether the file splits text by the pattern alone, so that its counts are sums over pre-tokens."""
+    file = json.loads(tokenizer_json)
+    split, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    return (
+        file.get("normalizer") is None
+        and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True)
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+    )
+
+
+def plain_tokenizer(tokenizer_json: str) -> Tokenizer:
+    """The file's tokenizer without truncation and padding."""
+    tokenizer = Tokenizer.from_str(tokenizer_json)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+@functools.cache
+def odd_characters(tokenizer_json: str) -> str:
+    """A pattern of the characters that the two libraries split differently, and of those that are not assigned."""
+    pre, split = Tokenizer.from_str(tokenizer_json).pre_tokenizer, regex.compile(PATTERN).findall
+
+    def agree(chars: str) -> bool:
+        text = "".join(f"a{c}1{c}!{c} {c}\na" for c in chars)
+        return [text[a:b] for _, (a, b) in pre.pre_tokenize_str(text)] == split(text)
+
+    def differing(chars: str) -> list[str]:
+        if agree(chars):
+            return []
+        if len(chars) == 1:
+            return [chars]
+        half = len(chars) // 2
+        return differing(chars[:half]) + differing(chars[half:])
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    assigned = regex.sub(r"[\p{Cn}\p{Co}]+", "", every)
+    odd = {ord(c) for at in range(0, len(assigned), PROBED) for c in differing(assigned[at : at + PROBED])}
+    known = set(map(ord, assigned)) - odd
+    ranges, start = [], None
+    for c in range(0x110001):
+        if c in known or c == 0x110000:
+            if start is not None:
+                ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+        elif start is None:
+            start = c
+    return f"[{''.join(ranges)}]"
+
+
 class Lengths(dict):
     """Pre-token -> number of tokens; a miss is encoded and kept, and the kept misses are dropped when too many."""
 
@@ -82,19 +139,24 @@ def frequent(docs: DataFrame, text_col: str, size: int) -> list[str]:
     return [p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:size]]
 
 
-def counter(table, tokenizer_json):
+def prepared(model: dict) -> tuple:
+    """What a worker counts with: lengths of pre-tokens, the tokenizer, its special strings, and the odd characters."""
+    tokenizer = plain_tokenizer(model["json"])
+    special = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+    return Lengths(model["lengths"], tokenizer, CACHE_SIZE), tokenizer, special, model["odd"] and re.compile(model["odd"]).search
+
+
+def counter(shared):
     """An Arrow UDF from text to its number of tokens."""
 
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokenizer = Tokenizer.from_str(tokenizer_json.value)
-        special = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        lengths = Lengths(table.value, tokenizer, CACHE_SIZE)
-        split, plain, length = regex.compile(PATTERN).findall, PLAIN.fullmatch, lengths.__getitem__
+        lengths, tokenizer, special, odd = once(shared, prepared)
+        split, length = regex.compile(PATTERN).findall, lengths.__getitem__
         for texts in batches:
             out = []
             for text in texts:
                 x = text.as_py() or ""
-                if plain(x) and not any(s in x for s in special):
+                if odd and not odd(x) and not any(s in x for s in special):
                     out.append(sum(map(length, split(x))))
                 else:
                     out.append(len(tokenizer.encode(x, add_special_tokens=False).ids))
@@ -107,18 +169,20 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text"
     """All rows of ``docs`` with ``n_bytes, n_tokens, over_limit``.
 
     Counts are those of the tokenizer file's own library for the whole text, without tokens added at the ends;
-    strings of special tokens inside a text count as the library's default takes them.
+    strings of special tokens inside a text count as the library's default takes them. Texts go whole to the library if
+    the file is no byte-level BPE of the usual pattern, as pre-tokens could not be counted by themselves then.
 
     * Null and empty texts: 0 bytes, 0 tokens. Long texts are counted whole; equal texts get equal counts.
     * An empty table gives an empty result; input columns named like an output column are replaced.
     """
     rows = without(docs, "n_bytes", "n_tokens", "over_limit")
-    json = file_text(tokenizer_path)
-    tokenizer = Tokenizer.from_str(json)
-    pieces = frequent(rows, text_col, table_size)
-    lengths = {p: len(e.ids) for p, e in zip(pieces, tokenizer.encode_batch(pieces, add_special_tokens=False))}
-    context = docs.sparkSession.sparkContext
-    count = counter(context.broadcast(lengths), context.broadcast(json))
+    text = file_text(tokenizer_path)
+    model = {"json": text, "lengths": {}, "odd": None}
+    if is_byte_level(text):
+        pieces = frequent(rows, text_col, table_size)
+        model["lengths"] = {p: len(e.ids) for p, e in zip(pieces, plain_tokenizer(text).encode_batch(pieces, add_special_tokens=False))}
+        model["odd"] = odd_characters(text)
+    count = counter(share(docs.sparkSession.sparkContext, model))
     counted = rows.withColumn("__tokens", count(F.col(text_col)))
     return counted.select(
         *rows.columns,
