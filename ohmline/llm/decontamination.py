@@ -1,8 +1,10 @@
-"""Benchmark decontamination with one Aho-Corasick automaton over the normalised windows of the test items.
+"""Benchmark decontamination with one Aho-Corasick automaton over the normalised words of the test items.
 
 Text is normalised byte by byte (A-Z to a-z, every other ASCII byte that is no letter or digit to a space), so
-offsets of words carry over to the original. The words, joined by single spaces, are scanned once; a pattern is
-a window of item words between spaces, so every hit falls on word borders and overlapping hits are all found.
+offsets of words carry over to the original. The words, joined by single spaces, are scanned once. An item is cut into
+stretches of half a window; every window of its words holds a whole stretch, so these are the patterns, between spaces.
+From a stretch that is found, the words of text and item are compared in both directions: where a window's length or
+more of them agree, they are hit. So the automaton grows with the words of the items, not with those of all windows.
 """
 
 from __future__ import annotations
@@ -15,36 +17,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ohmline.llm.workers import once, share
 from ohmline.shared import cut, ship, without
 
 ship(__name__)
 
 WINDOW = 10
-#: Bytes of item text that one automaton takes; more items are dealt over several automata, used one after another.
-MAX_BYTES = 8_000_000
+#: Bytes of item text that one automaton takes, which needs some 70 bytes of memory for each; more items are dealt over
+#: several automata, used one after another.
+MAX_BYTES = 6_000_000
 #: Lower case for A-Z; a space for the ASCII bytes that are neither letters nor digits.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-FOUND = "n_words long, spans array<struct<first:int,last:int,start:int,end:int>>, items array<string>"
+SPANS_SQL = "array<struct<first:int,last:int,start:int,end:int>>"
+FOUND_SQL = f"struct<n_words:long,spans:{SPANS_SQL},items:array<string>>"
+SPANS = pa.list_(pa.struct([(x, pa.int32()) for x in ("first", "last", "start", "end")]))
+FOUND = pa.struct([("n_words", pa.int64()), ("spans", SPANS), ("items", pa.list_(pa.string()))])
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode().translate(TO_WORDS).split()
 
 
-def windows(texts: list[tuple[str, list[str]]], width: int = WINDOW) -> dict[str, tuple[int, list[str]]]:
-    """Pattern -> (words in it, ids of the items that have it)."""
-    found: dict[str, tuple[int, set[str]]] = {}
-    for text, ids in texts:
-        words = words_of(text)
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            part = words[i : i + width]
-            found.setdefault(" " + b" ".join(part).decode("latin-1") + " ", (len(part), set()))[1].update(ids)
-    return {p: (n, sorted(ids)) for p, (n, ids) in found.items()}
-
-
-def blocks(items: DataFrame, id_col: str, text_col: str, max_bytes: int) -> Iterator[list[tuple[str, list[str]]]]:
-    """The items in blocks of about ``max_bytes`` at most, equal texts together with all their ids."""
+def patterns_of(items: list[tuple[list[bytes], list[str]]], width: int) -> ahocorasick.Automaton:
+    """Automaton of the items' stretches; a hit gives its length and the (item, place in it, words) that it stands for."""
+    half, places = (width + 1) // 2, {}
+    for k, (words, _) in enumerate(items):
+        n = half if len(words) >= width else len(words)
+        for at in range(0, len(words) - n + 1, n) if n else ():
+            places.setdefault(" " + b" ".join(words[at : at + n]).decode("latin-1") + " ", []).append((k, at, n))
+    automaton = ahocorasick.Automaton()
+    for pattern, found in places.items():
+        automaton.add_word(pattern, (len(pattern), tuple(found)))
+    if places:
+        automaton.make_automaton()
+    return automaton
+
+
+def hits(words: list[bytes], automaton: ahocorasick.Automaton, items: list[tuple[list[bytes], list[str]]], width: int) -> tuple[np.ndarray, set[str]]:
+    """Which of ``words`` lie in windows of the items, and the ids of these items."""
+    line = b" " + b" ".join(words) + b" "
+    spaces, change, ids, done = None, np.zeros(len(words) + 1, np.int64), set(), {}
+    for end, (length, places) in automaton.iter(line.decode("latin-1")):
+        if spaces is None:
+            spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        first = int(np.searchsorted(spaces, end - length + 1))
+        for k, at, n in places:
+            own, names = items[k]
+            if done.get((k, first - at), 0) > first:
+                continue  # that stretch was compared from an earlier one
+            a, b, i, j = first, first + n, at, at + n
+            while a and i and words[a - 1] == own[i - 1]:
+                a, i = a - 1, i - 1
+            while b < len(words) and j < len(own) and words[b] == own[j]:
+                b, j = b + 1, j + 1
+            done[k, first - at] = b
+            if b - a >= min(width, len(own)):
+                change[a] += 1
+                change[b] -= 1
+                ids.update(names)
+    return np.cumsum(change)[:-1] > 0, ids
+
+
+def blocks(items: DataFrame, id_col: str, text_col: str, max_bytes: int) -> Iterator[list[tuple[list[bytes], list[str]]]]:
+    """The words and ids of the items, in blocks of about ``max_bytes`` at most, equal texts together with all their ids."""
     texts = items.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(text_col).alias("t")).agg(
         F.collect_set(F.col(id_col).cast("string")).alias("ids")
     )
@@ -52,45 +88,28 @@ def blocks(items: DataFrame, id_col: str, text_col: str, max_bytes: int) -> Iter
     n = max(1, -(-total // max_bytes))
     for k in range(n):
         part = texts if n == 1 else texts.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k)
-        yield [(r["t"], list(r["ids"])) for r in part.toLocalIterator()]
+        yield [(words_of(r["t"]), list(r["ids"])) for r in part.toLocalIterator()]
 
 
-def scanner(patterns):
-    """An Arrow UDF from text to what the broadcast patterns hit in it."""
+def scanner(items, width: int):
+    """An Arrow UDF from text to what of the broadcast items is in it."""
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        automaton = ahocorasick.Automaton()
-        for pattern, (n, ids) in patterns.value.items():
-            automaton.add_word(pattern, (len(pattern), n, ids))
-        empty = not len(automaton)
-        if not empty:
-            automaton.make_automaton()
-        kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([(x, pa.int32()) for x in ("first", "last", "start", "end")]))), ("items", pa.list_(pa.string()))])
+        automaton, known = once(items, lambda x: (patterns_of(x, width), x))
         for texts in batches:
             out = []
             for text in texts:
                 plain = b"" if not text.is_valid else text.as_buffer().to_pybytes().translate(TO_WORDS)
                 words = plain.split()
-                spans, items = [], set()
-                if words and not empty:
-                    line = b" " + b" ".join(words) + b" "
-                    hits = list(automaton.iter(line.decode("latin-1")))
-                    if hits:
-                        spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-                        hit = np.zeros(len(words) + 1, np.int32)
-                        for end, (length, n, ids) in hits:
-                            first = int(np.searchsorted(spaces, end - length + 1))
-                            hit[first] += 1
-                            hit[first + n] -= 1
-                            items.update(ids)
-                        spans = runs(np.cumsum(hit)[:-1] > 0, plain)
-                out.append({"n_words": len(words), "spans": spans, "items": sorted(items)})
-            yield pa.array(out, kind)
-
-    return F.arrow_udf(scan, FOUND_STRUCT)
-
+                spans, ids = [], set()
+                if words and len(automaton):
+                    hit, ids = hits(words, automaton, known, width)
+                    if ids:
+                        spans = runs(hit, plain)
+                out.append({"n_words": len(words), "spans": spans, "items": sorted(ids)})
+            yield pa.array(out, FOUND)
 
-FOUND_STRUCT = f"struct<{FOUND.replace(' long', ':long').replace('spans array', 'spans:array').replace('items array', 'items:array').replace(', ', ',')}>"
+    return F.arrow_udf(scan, FOUND_SQL)
 
 
 def runs(hit: np.ndarray, plain: bytes) -> list[dict]:
@@ -105,6 +124,21 @@ def runs(hit: np.ndarray, plain: bytes) -> list[dict]:
     ]
 
 
+def merged(spans: pa.Array) -> pa.Array:
+    """Spans of each row, where those that meet or overlap are one."""
+    out = []
+    for row in spans.to_pylist():
+        done: list[dict] = []
+        for x in sorted(row, key=lambda x: x["first"]):
+            if done and done[-1]["last"] + 1 >= x["first"]:
+                if x["last"] > done[-1]["last"]:
+                    done[-1] |= {"last": x["last"], "end": x["end"]}
+            else:
+                done.append(x)
+        out.append(done)
+    return pa.array(out, SPANS)
+
+
 def scan(
     docs: DataFrame,
     items: DataFrame,
@@ -128,32 +162,18 @@ def scan(
     """
     spark = docs.sparkSession
     rows = without(docs, "n_words", "n_hit", "n_items", "spans", "items")
-    own = rows.columns
-    first = True
+    own, done = rows.columns, 0
     for block in blocks(items, item_id_col, item_text_col, max_bytes):
-        patterns = spark.sparkContext.broadcast(windows(block, window))
-        if not first:
+        if done:
             rows = cut(rows)
-        rows = rows.withColumn("__found", scanner(patterns)(F.col(text_col)))
+        rows = rows.withColumn("__found", scanner(share(spark.sparkContext, block), window)(F.col(text_col)))
         spans, found = F.col("__found.spans"), F.col("__found.items")
-        if not first:
-            spans, found = F.concat("spans", spans), F.array_union("items", found)
+        if done:
+            spans, found = F.concat("spans", spans), F.array_sort(F.array_union("items", found))
         rows = rows.select(*own, F.col("__found.n_words").alias("n_words"), spans.alias("spans"), found.alias("items"))
-        first = False
-    merged = F.aggregate(
-        F.array_sort("spans"),
-        F.expr("cast(array() as array<struct<first:int,last:int,start:int,end:int>>)"),
-        lambda done, x: F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["last"] + 1 >= x["first"]), F.concat(
-            F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-            F.array(F.struct(
-                F.try_element_at(done, F.lit(-1))["first"].alias("first"),
-                F.greatest(F.try_element_at(done, F.lit(-1))["last"], x["last"]).alias("last"),
-                F.try_element_at(done, F.lit(-1))["start"].alias("start"),
-                F.greatest(F.try_element_at(done, F.lit(-1))["end"], x["end"]).alias("end"),
-            )),
-        )).otherwise(F.concat(done, F.array(x))),
-    )
-    rows = rows.withColumn("spans", merged).withColumn("items", F.array_sort("items"))
+        done += 1
+    if done > 1:
+        rows = rows.withColumn("spans", F.arrow_udf(merged, SPANS_SQL)(F.col("spans")))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
     return rows.select(*own, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "spans", "items")
 
