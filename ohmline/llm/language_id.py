@@ -16,27 +16,25 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ohmline.llm.workers import once, share
 from ohmline.shared import ship, without
 
 ship(__name__)
 
 UNKNOWN = "und"
-#: Bounds of the training sample: documents of a language, characters of a document, languages. Many short pieces
-#: keep a mislabelled document, whose copies it would attract, from taking up much of a dictionary.
+#: Bounds of the training sample: documents of a language, and characters of a document, taken from a place in it that a
+#: hash picks. Many short pieces keep a mislabelled document, whose copies it would attract, from taking up much of a dictionary.
 SAMPLE_DOCS = 800
 SAMPLE_CHARS = 140
-MAX_LANGUAGES = 200
-#: Bytes of a dictionary.
-DICTIONARY_BYTES = 112_000
+#: Bytes of a dictionary, and of all of them together: they get smaller if there are very many languages.
+DICTIONARY_BYTES, ALL_BYTES = 112_000, 112_000_000
 #: A text is rejected if the runner-up needs less than this share of bytes more than the best language.
 MARGIN = 0.01
-LEVEL = 5
+#: Level of all encodings, and of a second one, whose sizes count, of texts for which the first leaves a narrow margin.
+LEVEL, CLOSER_LEVEL = 5, 12
 #: Longer texts are encoded in equal blocks of at most so many normalised bytes, each with the dictionary anew: a dictionary
 #: saves a bounded number of bytes of one frame, so the margin of a single frame would shrink with the text's length.
 BLOCK_BYTES = 16_384
-#: Texts of at most so many normalised bytes fit no more than a few matches, and a frame of their own hides them. What
-#: counts is then how much longer each of these passages of the dictionary gets, at a quicker level, by the text.
-SHORT, PASSAGES, PASSAGE_BYTES, SHORT_LEVEL = 400, 4, 1_500, 3
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -50,22 +48,24 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(text_col), F.lit(1 << 40)).alias("h")
     )
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; raise MAX_LANGUAGES")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
-    below = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 40, (SAMPLE_DOCS << 40) // n))])
+    shares = [(lang, min(1 << 40, (SAMPLE_DOCS << 40) // n)) for lang, n in counts.items()]
+    below = docs.sparkSession.createDataFrame(shares, "lang string, below long")
+    begins = F.pmod(F.xxhash64("text", F.lit("place")), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
     sample = (
-        known.where(F.col("h") < below[F.col("lang")])
+        known.join(F.broadcast(below), "lang")
+        .where("h < below")
         .groupBy("lang", "h")
-        .agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+        .agg(F.min(F.substring("text", begins, F.lit(SAMPLE_CHARS))).alias("text"))
         .collect()
     )
     parts: dict[str, list[str]] = {lang: [] for lang in counts}
     for row in sorted(sample, key=lambda r: r["h"]):
         parts[row["lang"]].append(normalise(row["text"]))
-    return {lang: "".join(x).encode()[-DICTIONARY_BYTES:] for lang, x in sorted(parts.items())}
+    size = min(DICTIONARY_BYTES, ALL_BYTES // len(parts))
+    return {lang: "".join(x).encode()[:size] for lang, x in sorted(parts.items())}
 
 
 def encoder(content: bytes, level: int):
@@ -87,12 +87,11 @@ def blockwise(length):
     return total
 
 
-def grower(content: bytes):
-    """A function from bytes to what they add to the compressed passages, with the rest of ``content`` as the dictionary."""
-    passages = [content[i * PASSAGE_BYTES : (i + 1) * PASSAGE_BYTES] for i in range(PASSAGES)]
-    length = encoder(content[PASSAGES * PASSAGE_BYTES :], SHORT_LEVEL)
-    alone = sum(map(length, passages))
-    return lambda data: sum(length(p + data) for p in passages) - alone
+def verdict(sizes: np.ndarray, margin: float) -> tuple[int, bool]:
+    """The least of the sizes, the first of equals, and whether another is within the margin."""
+    best = int(sizes.argmin())
+    rest = np.delete(sizes, best)
+    return best, bool(len(rest)) and bool(rest.min() - sizes[best] < margin * max(1.0, sizes[best]))
 
 
 PREDICTED = "struct<lang:string,score:double,rejected:boolean>"
@@ -102,9 +101,7 @@ def predictor(dictionaries, margin: float):
     """An Arrow UDF from text to the language, its score and whether it is rejected."""
 
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        langs = list(dictionaries.value)
-        whole = [blockwise(encoder(dictionaries.value[x], LEVEL)) for x in langs]
-        short = [grower(dictionaries.value[x]) for x in langs]
+        langs, lengths = once(dictionaries, lambda known: (list(known), {level: [blockwise(encoder(x, level)) for x in known.values()] for level in (LEVEL, CLOSER_LEVEL)}))
         kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
         for texts in batches:
             out = []
@@ -114,10 +111,11 @@ def predictor(dictionaries, margin: float):
                     out.append((UNKNOWN, 0.0, True))
                     continue
                 data = plain.encode()
-                sizes = np.array([f(data) for f in (short if len(data) <= SHORT else whole)], float)
-                best = int(sizes.argmin())
-                rest = np.delete(sizes, best)
-                narrow = bool(len(rest)) and rest.min() - sizes[best] < margin * max(1.0, sizes[best])
+                for level in (LEVEL, CLOSER_LEVEL):
+                    sizes = np.array([f(data) for f in lengths[level]], float)
+                    best, narrow = verdict(sizes, margin)
+                    if not narrow:
+                        break
                 out.append((langs[best], float(1 / np.exp(-(sizes - sizes[best])).sum()), narrow))
             yield pa.StructArray.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out) if out else ([], [], []), kind)], fields=list(kind))
 
@@ -132,7 +130,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str =
     * An empty table gives an empty result; input columns named like an output column are replaced.
     """
     rows = without(docs, "lang_pred", "score", "rejected")
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    shared = share(docs.sparkSession.sparkContext, dictionaries)
     found = rows.withColumn("__lang", predictor(shared, margin)(F.col(text_col)))
     return found.select(
         *rows.columns,
