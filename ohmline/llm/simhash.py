@@ -6,6 +6,10 @@ two segments are equal, and the next three differ in one bit at most, so two of
 fingerprint therefore has 24 keys of 32 bits (eight starts, three choices of two out of three), and linked
 fingerprints share one. Candidates must pass the chain's budgets before the full Hamming check.
 
+Under a key that very many fingerprints share, no pairs are made: each sends itself with up to two of the other 32 bits
+flipped. Two are linked exactly if some value is at most one flip from one and at most two from the other, so those
+who meet at a value are tied to the least of them that is one flip away, if there is one. Every tie is a link.
+
 Copies are folded into distinct fingerprints before anything is joined, and links are joined, checked and
 made into components as tables; nothing but counts reaches the driver.
 """
@@ -17,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ohmline.llm.components import roots
@@ -29,6 +33,8 @@ SHINGLE = 3
 SEED = 42
 BITS = 3
 SEGMENTS, WIDTH = 8, 8
+#: Fingerprints that may share a key before they are tied by flips in place of pairs.
+CROWD = 1_000
 #: Words that are hashed at a time, to bound the memory for very long texts.
 PIECE = 50_000
 #: A-Z to a-z, other bytes as they are.
@@ -95,12 +101,35 @@ def within(differing: Column, start: int, bits: int = BITS) -> Column:
     return kept
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Pairs (high, low) of distinct fingerprints of ``prints`` (column ``fp``) that differ in three bits at most."""
-    keys = prints.select(
+def flips(spark: SparkSession) -> DataFrame:
+    """(k, flip, one): up to two of the 32 bits that are not in a key; ``one`` if it is one bit or none."""
+    rows = []
+    for k, (_, mask) in enumerate(ring_keys()):
+        free = [1 << i for i in range(64) if not mask >> i & 1]
+        rows += [(k, signed(a | b), a == b) for i, a in enumerate(free) for b in free[i:]] + [(k, 0, True)]
+    return spark.createDataFrame(rows, "k int, flip long, one boolean")
+
+
+def crowded(keys: DataFrame) -> DataFrame:
+    """Ties (high, low) among the fingerprints of each key of ``keys``: links that leave the same components as all links."""
+    flipped = keys.join(F.broadcast(flips(keys.sparkSession)), "k").withColumn("value", F.col("fp").bitwiseXOR(F.col("flip")))
+    met = flipped.groupBy("k", "part", "value").agg(F.min(F.when(F.col("one"), F.col("fp"))).alias("least"), F.collect_set("fp").alias("met"))  # 529 at most
+    tied = met.where(F.col("least").isNotNull() & (F.size("met") > 1)).select("least", F.explode("met").alias("fp")).where("fp <> least")
+    return tied.select(F.greatest("fp", "least").alias("high"), F.least("fp", "least").alias("low"))
+
+
+def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Pairs (high, low) of distinct fingerprints of ``prints`` (column ``fp``) that differ in three bits at most.
+
+    Under a key with more than ``crowd`` fingerprints they are not all such pairs, but enough for the same components.
+    """
+    every = prints.select(
         "fp",
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(mask))) for _, mask in ring_keys()])).alias("k", "part"),
-    ).withColumn("start", F.floor(F.col("k") / 3).cast("int"))
+    )
+    full = cut(every.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("k", "part"))
+    some = not full.isEmpty()
+    keys = (every.join(full, ["k", "part"], "left_anti") if some else every).withColumn("start", F.floor(F.col("k") / 3).cast("int"))
     high, low = keys.alias("high"), keys.select("fp", "k", "part").alias("low")
     differing = F.col("high.fp").bitwiseXOR(F.col("low.fp"))
     chain = F.lit(False)
@@ -113,8 +142,10 @@ def links(prints: DataFrame) -> DataFrame:
         & (F.col("high.fp") > F.col("low.fp"))
         & chain
         & (F.bit_count(differing) <= BITS),
-    )
-    return found.select(F.col("high.fp").alias("high"), F.col("low.fp").alias("low")).distinct()
+    ).select(F.col("high.fp").alias("high"), F.col("low.fp").alias("low"))
+    if some:
+        found = found.unionByName(crowded(every.join(full, ["k", "part"], "left_semi")))
+    return found.distinct()
 
 
 def groups(prints: DataFrame) -> DataFrame:
