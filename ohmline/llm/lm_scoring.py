@@ -33,7 +33,7 @@ ship(__name__)
 ORDER, BACKOFF, LEAST_COUNT = 2, 0.4, 2
 TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Words that a task folds at a time; bits of a document's number among them; n-grams that a bucket is meant to hold.
-PIECE, DOC_BITS, BUCKET_ENTRIES = 1_000_000, 15, 1_500_000
+PIECE, DOC_BITS, BUCKET_ENTRIES = 400_000, 15, 250_000
 #: N-grams of one word as context that may meet in a task; those of a more frequent word are dealt by what follows it.
 GROUP_ENTRIES = 1_500_000
 #: Bound of the broadcast list of frequent words.
@@ -286,7 +286,7 @@ PARTS = "batch long, doc int, log double, word long, asked int, named boolean"
 
 
 def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of :data:`PARTS`, those without a word summed for each document, some millions at a time."""
+    """Rows of :data:`PARTS`, those without a word summed for each document, many at a time."""
     names, held, size = [x.split()[0] for x in PARTS.split(", ")], [], 0
 
     def summed() -> pa.RecordBatch:
@@ -304,7 +304,7 @@ def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = batch.filter(resolved)
         held.append((done.column("batch").to_numpy(), done.column("doc").to_numpy().astype(np.int64), done.column("log").to_numpy()))
         size += done.num_rows
-        if size >= 2_000_000:
+        if size >= PIECE:
             yield summed()
             held, size = [], 0
     if size:
