@@ -3,6 +3,7 @@
 import hashlib
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -322,44 +323,80 @@ def test_token_counts(spark, docs, odd):
     assert token_counts.count_tokens(odd.limit(0), path).count() == 0
 
 
-def test_plain_characters_are_classed_alike():
+def test_odd_characters_are_found():
+    import random
+    import re
+
     import public_tokenizers
     import regex
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, odd = Tokenizer.from_file(path), re.compile(token_counts.odd_characters(token_counts.file_text(path)))
     split = regex.compile(token_counts.PATTERN).findall
-    plain = [chr(c) for c in range(0x2100) if token_counts.PLAIN.fullmatch(chr(c))]
-    for c in plain:
-        for text in (f"a{c}1", f" {c}{c} b", f"{c}'s {c}"):
-            pieces = [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-            assert pieces == split(text), repr(text)
+    assert odd.search("\u0378") and not odd.search("Ordinary, ÄÖ, Кириллица, Ελληνικά, 日本語, 한국어, العربية, हिन्दी, 👍🏽 ½ ٣")
+    plain = [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x20000))) if not odd.search(c)]
+    assert len(plain) > 50_000
+    rng = random.Random(4)
+    for _ in range(3_000):
+        text = "".join(rng.choice(("a", "1", " ", "!", "'s", "\n", *rng.choices(plain, k=4))) for _ in range(24))
+        assert [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)] == split(text), repr(text)
+
+
+def test_token_lookup_serves_all_scripts():
+    import public_tokenizers
+
+    text = token_counts.file_text(public_tokenizers.path("byte_bpe_50k.json"))
+    lengths, tokenizer, special, odd = token_counts.prepared({"json": text, "lengths": {}, "odd": token_counts.odd_characters(text)})
+    for x in ("Кириллица и Ελληνικά", "日本語 テキスト", "👍🏽 ok", "العربية ١٢٣", "हिन्दी"):
+        assert not odd(x)
+        import regex
+
+        assert sum(map(lengths.__getitem__, regex.findall(token_counts.PATTERN, x))) == len(tokenizer.encode(x).ids)
+    assert token_counts.is_byte_level(text) and not token_counts.is_byte_level(text.replace('"add_prefix_space":false', '"add_prefix_space":true').replace('"add_prefix_space": false', '"add_prefix_space": true'))
 
 
 # language-model scores
 
 
-def test_lm_scores(spark, odd):
-    texts = ["a b a b c", "a b d", "c", None, "", "A B"]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    docs = [(t or "").lower().split() for t in texts]
-    words = [w for d in docs for w in d]
-    pairs = [list(zip(d, d[1:])) for d in docs]
-
-    def want(i):
-        total = 0.0
-        for k, w in enumerate(docs[i]):
-            back = math.log(0.4 * words.count(w) / len(words))
-            if k:
-                p = (docs[i][k - 1], w)
-                others = sum(x.count(p) for j, x in enumerate(pairs) if j != i)
-                back = math.log(others / words.count(p[0])) if others else back
-            total += back
-        return total / len(docs[i]) if docs[i] else None
-
-    for r in lm_scoring.score(rows).collect():
-        assert r["n_words"] == len(docs[r["doc_id"]]) and r["lm_score"] == (pytest.approx(want(r["doc_id"])) if docs[r["doc_id"]] else None)
-    assert lm_scoring.score(odd).count() == len(ODD) and lm_scoring.score(odd.limit(0)).count() == 0
+def plain_scores(texts, order, least=2, backoff=0.4):
+    docs = [(t or "").encode().translate(lm_scoring.TO_LOWER).split() for t in texts]
+    counts, total, out = Counter(), sum(map(len, docs)), []
+    for d in docs:
+        counts.update(tuple(d[i : i + k]) for k in range(1, order + 1) for i in range(len(d) - k + 1))
+    for d in docs:
+        score = 0.0
+        for i, w in enumerate(d):
+            context = tuple(d[max(0, i - order + 1) : i])
+            while context and counts[(*context, w)] < least:
+                context, score = context[1:], score + math.log(backoff)
+            score += math.log(counts[(*context, w)] / (counts[context] if context else total))
+        out.append(score / len(d) if d else None)
+    return out
+
+
+@pytest.mark.parametrize("bounds", [{}, {"HOT": 5, "GROUP_ENTRIES": 50, "KNOWN_WORDS": 10, "BUCKET_ENTRIES": 100, "PIECE": 300}])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores(spark, monkeypatch, order, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(lm_scoring, name, value)
+    rng = np.random.default_rng(3)
+    share = 1 / np.arange(1, 31)
+    texts = [" ".join(f"w{x}" for x in rng.choice(30, rng.integers(0, 40), p=share / share.sum())) for _ in range(150)]
+    texts += [None, "", "A b", "a B", texts[3], "ß " * 3, "w0 w0 " * 400]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = plain_scores(texts, order)
+    for least in (1, 2) if order == 2 else (2,):
+        want = plain_scores(texts, order, least)
+        for r in lm_scoring.score(rows, order=order, least_count=least).collect():
+            w = want[r["doc_id"]]
+            assert r["n_words"] == len((r["text"] or "").split()) and r["lm_score"] == (None if w is None else pytest.approx(w))
+
+
+def test_lm_scores_on_odd_rows(spark, odd):
+    rows = lm_scoring.score(odd).collect()
+    assert len(rows) == len(ODD) and {r["lm_score"] for r in rows if r["doc_id"] in (1, 2, 3)} == {None}
+    assert lm_scoring.score(odd.limit(0)).count() == 0
 
 
 # toxicity
