@@ -32,8 +32,10 @@ ship(__name__)
 
 ORDER, BACKOFF, LEAST_COUNT = 2, 0.4, 2
 TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Words that a task folds at a time; bits of a document's number among them; n-grams that a bucket is meant to hold.
-PIECE, DOC_BITS, BUCKET_ENTRIES = 400_000, 15, 250_000
+#: Words that a task folds at a time; bits of a document's number among them.
+PIECE, DOC_BITS = 300_000, 15
+#: N-grams that a bucket is meant to hold, buckets for each partition (so that partitions are even), and partitions at most.
+BUCKET_ENTRIES, BUCKETS_A_PARTITION, MOST_PARTITIONS = 120_000, 6, 50_000
 #: N-grams of one word as context that may meet in a task; those of a more frequent word are dealt by what follows it.
 GROUP_ENTRIES = 1_500_000
 #: Bound of the broadcast list of frequent words.
@@ -345,7 +347,8 @@ def score(
     model = context.broadcast((
         large.column("word").to_numpy(), large.column("count").to_numpy(), hot, {k: of(k, 1) for k in hot}, {k: of(k, -1) for k in hot},
     ))
-    buckets = int(max(16, -(-total // BUCKET_ENTRIES)))
+    partitions = int(min(MOST_PARTITIONS, max(16, -(-total // (BUCKET_ENTRIES * BUCKETS_A_PARTITION)))))
+    buckets = partitions * BUCKETS_A_PARTITION
     sorted_texts = texts.where(F.col("text").isNotNull()).sortWithinPartitions("row")
     missed, parts = None, []
     for k in range(max(2, order), 1, -1):
@@ -353,7 +356,7 @@ def score(
         if missed is not None:
             level = level.unionByName(missed)
         of_row = lambda name, i: F.get(name, F.col(i))
-        flat = level.repartition("bucket").select(
+        flat = level.repartition(partitions, "bucket").select(
             "bucket", "kind", "batch", "context_count", "gram_count", "gs", "totals", "docs", "ns", "askeds", "shorters", F.posexplode("seconds").alias("i", "second")
         ).select(
             "bucket", "kind", "batch", "context_count", "gram_count", of_row("gs", "i").alias("g"), of_row("totals", "i").alias("total"), "second",
