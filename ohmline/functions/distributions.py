@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohmline.functions import scalars
+from ohmline.shared import cut
 
 #: Width of the bins of x in which prefix sums are taken.
 BIN_WIDTH = 0.00005
@@ -40,8 +41,27 @@ def prefixed(rows: DataFrame, values: Sequence[str], order: Sequence[str], keys:
     return joined.withColumns(sums).drop("__bin", *[f"__b_{v}" for v in values])
 
 
+def running(rows: DataFrame, values: dict[str, Column], keys: Sequence[str] = (), x: str = "x") -> DataFrame:
+    """``rows`` with the running sums of ``values`` in the order of ``x``, which is distinct for given keys.
+
+    Rows are dealt by ranges of x and written; the sums of the ranges, a small table, are added up first.
+    """
+    keys = list(keys)
+    dealt = cut(rows.withColumns({f"__{n}": v for n, v in values.items()}).repartitionByRange(*keys, x).withColumn("__range", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "__range").agg(*[F.sum(f"__{n}").alias(f"__s_{n}") for n in values])
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "__range", *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__s_{n}") for n in values])
+    inside = Window.partitionBy(*keys, "__range").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    own = dealt.withColumns({f"__{n}": F.sum(f"__{n}").over(inside) for n in values})
+    same = F.col("__range") == F.col("__at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    starts = starts.select(F.col("__range").alias("__at"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[f"__s_{n}" for n in values])
+    return own.join(starts, same).select(*rows.columns, *[(F.col(f"__s_{n}") + F.col(f"__{n}")).alias(n) for n in values])
+
+
 def rate_points(rates: DataFrame, prior: DataFrame) -> DataFrame:
-    """``rates`` with ``slice`` (a-priori count in a range, null for a point), ``mass`` (0 or 1) and ``mean``.
+    """``rates`` with ``slice`` (a-priori count in a range, null for a point), ``below`` (that below it), ``mass`` (0 or 1) and ``mean``.
 
     A point has mass 1 at its rate; a range whose slice is empty has mass 0 and mean 0.
     """
@@ -52,7 +72,7 @@ def rate_points(rates: DataFrame, prior: DataFrame) -> DataFrame:
     asked = bounds.select("rate_id", "b.end", "b.x", F.lit(0).alias("side"))
     sums = prefixed(at.unionByName(asked, allowMissingColumns=True), ["c", "cx"], ["side"]).where("rate_id is not null")
     end = lambda k, c: F.max(F.when(F.col("end") == k, F.col(c)))
-    slices = sums.groupBy("rate_id").agg((end(1, "__c") - end(0, "__c")).alias("slice"), (end(1, "__cx") - end(0, "__cx")).alias("__sum"))
+    slices = sums.groupBy("rate_id").agg((end(1, "__c") - end(0, "__c")).alias("slice"), end(0, "__c").alias("below"), (end(1, "__cx") - end(0, "__cx")).alias("__sum"))
     found = rates.join(slices, "rate_id", "left")
     point = F.col("rate_lo").isNull()
     return found.withColumns(
@@ -83,7 +103,13 @@ def frequencies(points: DataFrame, prior: DataFrame, group: Sequence[str] = ())
         ).alias("e"),
     ).select(*keys, "e.x", "e.s", "e.k", F.lit(0).alias("side"))
     if keys:
-        grid = ranges.select(*keys).distinct().join(prior.select("x", "n"))
+        most = prior.agg(F.max("x").alias("most"))
+        ends = ranges.join(most).select(*keys, F.explode(F.array(F.struct(bin_of(F.col("rate_lo")).alias("bin"), F.lit(1).alias("step")), F.struct((bin_of(F.least("rate_hi", "most")) + 1).alias("bin"), F.lit(-1).alias("step")))).alias("e"))
+        turns = ends.groupBy(*keys, "e.bin").agg(F.sum("e.step").alias("step"))  # no more than the bins of the a-priori values
+        by_bin = Window.partitionBy(*keys).orderBy("bin")
+        held = turns.select(*keys, "bin", F.sum("step").over(by_bin.rowsBetween(Window.unboundedPreceding, 0)).alias("open"), F.lead("bin").over(by_bin).alias("next")).where("open > 0")
+        covered = held.select(*keys, F.explode(F.sequence("bin", F.col("next") - 1)).alias("bin"))
+        grid = covered.join(prior.select("x", "n", bin_of(F.col("x")).alias("bin")), "bin")
     else:
         grid = prior.select("x", "n")
     marks = grid.select(*keys, "x", F.lit(1).alias("side"), "n")
@@ -126,14 +152,14 @@ def histogram(dist: DataFrame, bucket: Column, buckets: int, group: Sequence[str
 def equal_width_histogram(dist: DataFrame, xmax: DataFrame, buckets: int = 100, decimals: int = 0, group: Sequence[str] = (), weight: str = "p") -> DataFrame:
     """Histogram of equal widths up to ``xmax`` (a one-row table, or one with the group's columns)."""
     keys = [k for k in group if k in xmax.columns]
-    joined = dist.join(xmax, keys) if keys else dist.join(F.broadcast(xmax))
+    joined = dist.join(xmax, keys) if keys else dist.join(xmax)
     return histogram(joined, scalars.equal_bucket(F.col("x"), F.col("xmax"), buckets), buckets, group, decimals, weight)
 
 
 def log_histogram(dist: DataFrame, xmax: DataFrame, buckets: int = 100, smallest: float = 0.0001, decimals: int = 0, group: Sequence[str] = (), weight: str = "p") -> DataFrame:
     """Histogram of logarithmic widths from ``smallest`` up to ``xmax``."""
     keys = [k for k in group if k in xmax.columns]
-    joined = dist.join(xmax, keys) if keys else dist.join(F.broadcast(xmax))
+    joined = dist.join(xmax, keys) if keys else dist.join(xmax)
     return histogram(joined, scalars.log_bucket(F.col("x"), F.col("xmax"), smallest, buckets), buckets, group, decimals, weight)
 
 
@@ -141,7 +167,8 @@ def normalised_log_histogram(freqs: DataFrame, xmax: DataFrame, buckets: int = 1
     """Logarithmic histogram of frequencies over their total, with ``ev`` of the group and whether it sums to 1."""
     keys = list(group)
     hist = log_histogram(prob_dist(freqs, keys), xmax, buckets, smallest, 0, keys)
-    hist = hist.join(F.broadcast(xmax), [k for k in keys if k in xmax.columns]) if any(k in xmax.columns for k in keys) else hist.join(F.broadcast(xmax))
+    own = [k for k in keys if k in xmax.columns]
+    hist = hist.join(xmax, own) if own else hist.join(xmax)
     w = Window.partitionBy(*keys)
     return hist.select(
         *keys,
@@ -152,6 +179,54 @@ def normalised_log_histogram(freqs: DataFrame, xmax: DataFrame, buckets: int = 1
     )
 
 
+def tops(points: DataFrame, prior: DataFrame) -> DataFrame:
+    """``points`` with ``top``, the greatest value that a rate stands for; null for a range without any."""
+    upto = running(prior.select("x", "n"), {"upto": F.col("n")}).select(F.col("x").alias("__x"), "upto")
+    end = F.when(F.col("slice") > 0, F.col("below") + F.col("slice"))
+    found = points.join(upto, end == F.col("upto"), "left")
+    return found.withColumn("top", F.when(F.col("rate_lo").isNull(), F.col("rate")).otherwise(F.col("__x"))).drop("__x", "upto")
+
+
+def bucket_masses(points: DataFrame, prior: DataFrame, buckets: int = 100, smallest: float = 0.0001) -> DataFrame:
+    """``points``, which have ``xmax``, once for each logarithmic bucket up to it that a rate has mass in, with ``bucket`` and ``mass``.
+
+    A range's part of a bucket is told by counts of a-priori values: those below it, those in it, and those below the
+    bucket's edges, of which there are no more than buckets and values of ``xmax``.
+    """
+    place = lambda x: scalars.log_bucket(x, F.col("xmax"), smallest, buckets)
+    held = prior.join(points.select("xmax").distinct()).groupBy("xmax", place(F.col("x")).alias("bucket")).agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("xmax").orderBy("bucket"))
+    edges = held.select("xmax", "bucket", upto.alias("__to"), (upto - F.col("n")).alias("__from"))
+    single = points.where("rate_lo is null").withColumns({"bucket": place(F.col("rate")), "mass": F.lit(1.0)})
+    ranges = points.where("rate_lo is not null and slice > 0")
+    touched = ranges.withColumn("bucket", F.explode(F.sequence(place(F.col("rate_lo")), place(F.col("rate_hi")))))
+    part = (F.least(F.col("below") + F.col("slice"), F.col("__to")) - F.greatest("below", "__from")) / F.col("slice")
+    spread = touched.join(edges, ["xmax", "bucket"]).withColumn("mass", part).where("mass > 0")
+    return single.unionByName(spread.select(*single.columns))
+
+
+def compare_distributions(with_: DataFrame, without: DataFrame, group: Sequence[str] = (), buckets: int | None = None, smallest: float = 0.0001) -> DataFrame:
+    """(group..., ev, ev_neg, xmax, distance, prob, prob_neg) of two distributions; none where either is empty.
+
+    The distributions are packed as arrays of (x, p), or with ``buckets`` as arrays of (bucket, mass) of logarithmic
+    buckets up to the greater maximum, those without mass left out.
+    """
+    keys = list(group)
+    side = lambda d, name: d.groupBy(*keys).agg(F.sum(F.col("x") * F.col("p")).alias(f"ev{name}"), F.max("x").alias(f"__top{name}"))
+    one, two = side(with_, ""), side(without, "_neg")
+    pair = (one.join(two, keys) if keys else one.join(two)).where("ev is not null and ev_neg is not null")
+    pair = pair.withColumn("xmax", F.greatest("__top", "__top_neg")).drop("__top", "__top_neg").withColumn("distance", scalars.ev_difference(F.col("ev"), F.col("ev_neg")))
+    for dist, name in ((with_, "prob"), (without, "prob_neg")):
+        if buckets is None:
+            packed = dist.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "p"))).alias(name))
+        else:
+            at = dist.join(pair.select(*keys, "xmax"), keys) if keys else dist.join(pair.select("xmax"))
+            sums = at.groupBy(*keys, scalars.log_bucket(F.col("x"), F.col("xmax"), smallest, buckets).alias("bucket")).agg(F.sum("p").alias("mass"))
+            packed = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bucket", "mass"))).alias(name))
+        pair = pair.join(packed, keys) if keys else pair.join(packed)
+    return pair
+
+
 def equal_histogram_ev(hist: DataFrame, xmax: float, buckets: int, group: Sequence[str] = ()) -> DataFrame:
     """Expected value of a histogram of equal widths, from the bucket centres."""
     return hist.groupBy(*group).agg(F.sum(scalars.equal_centre(F.col("bucket"), F.lit(float(xmax)), buckets) * F.col("mass")).alias("ev"))
@@ -162,13 +237,15 @@ def log_histogram_ev(hist: DataFrame, xmax: float, smallest: float, buckets: int
     return hist.groupBy(*group).agg(F.sum(scalars.log_centre(F.col("bucket"), F.lit(float(xmax)), smallest, buckets) * F.col("mass")).alias("ev"))
 
 
-def range_histogram(ranges: DataFrame, xmax: float, buckets: int, group: Sequence[str] = (), decimals: int = 0, smallest: float | None = None) -> DataFrame:
+def range_histogram(ranges: DataFrame, xmax: float | DataFrame, buckets: int, group: Sequence[str] = (), decimals: int = 0, smallest: float | None = None) -> DataFrame:
     """Histogram of uniform ranges (lo, hi): each bucket gets the share of a range that lies in it, a point adds 1.
 
-    Masses are over their total. Widths are equal, or logarithmic if ``smallest`` is given. A range is only
-    expanded into the buckets that it touches.
+    Masses are over their total. ``xmax`` is a number or a one-row table. Widths are equal, or logarithmic if ``smallest``
+    is given. A range is only expanded into the buckets that it touches.
     """
-    keys, top = list(group), F.lit(float(xmax))
+    keys = list(group)
+    ranges = ranges.join(xmax.select(F.col("xmax").alias("__top"))) if isinstance(xmax, DataFrame) else ranges.withColumn("__top", F.lit(float(xmax)))
+    top = F.col("__top")
     place = (lambda x: scalars.equal_bucket(x, top, buckets)) if smallest is None else (lambda x: scalars.log_bucket(x, top, smallest, buckets))
     if smallest is None:
         edges = F.col("bucket") * top / buckets, (F.col("bucket") + 1) * top / buckets
@@ -185,10 +262,10 @@ def range_histogram(ranges: DataFrame, xmax: float, buckets: int, group: Sequenc
 def cdf(dist: DataFrame, xmax: DataFrame | None = None, group: Sequence[str] = ()) -> DataFrame:
     """(group..., x, cumulative) of distributions that are tables of distinct values; with ``xmax``, an end point (xmax, 1)."""
     keys = list(group)
-    sums = dist.select(*keys, "x", F.sum("p").over(Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative"))
+    sums = running(dist.select(*keys, "x", "p"), {"cumulative": F.col("p")}, keys).select(*keys, "x", "cumulative")
     if xmax is None:
         return sums
-    ends = dist.select(*keys).distinct().join(F.broadcast(xmax)).select(*keys, F.col("xmax").alias("x"), F.lit(1.0).alias("cumulative"))
+    ends = dist.select(*keys).distinct().join(xmax).select(*keys, F.col("xmax").alias("x"), F.lit(1.0).alias("cumulative"))
     return sums.join(ends, [*keys, "x"], "left_anti").unionByName(ends)
 
 
@@ -224,17 +301,11 @@ def ks_distance(first: DataFrame, second: DataFrame, metric: str = "signed", gro
         second.select(*keys, "x", F.lit(0.0).alias("a"), F.col("p").alias("b"), F.lit(None).cast("double").alias("xa"), F.col("x").alias("xb"))
     )
     at = both.groupBy(*keys, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("xa").alias("xa"), F.max("xb").alias("xb"))
-    w = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    sums = at.withColumns(
-        {
-            "diff": F.sum("b").over(w) - F.sum("a").over(w),
-            "la": F.last("xa", ignorenulls=True).over(w),
-            "lb": F.last("xb", ignorenulls=True).over(w),
-            "fa": F.min("xa").over(whole),
-            "fb": F.min("xb").over(whole),
-        }
-    )
+    counted = running(at, {"diff": F.col("b") - F.col("a"), "na": F.col("xa").isNotNull().cast("long"), "nb": F.col("xb").isNotNull().cast("long")}, keys)
+    starts = at.groupBy(*keys).agg(F.min("xa").alias("fa"), F.min("xb").alias("fb"))
+    last = lambda side: counted.where(f"x{side} is not null").select(*keys, F.col(f"n{side}"), F.col(f"x{side}").alias(f"l{side}"))
+    sums = counted.join(last("a"), [*keys, "na"], "left").join(last("b"), [*keys, "nb"], "left")
+    sums = sums.join(starts, keys) if keys else sums.join(starts)
     if metric == "signed":
         later = F.when(F.col("fa") > F.col("fb"), F.col("xa").isNotNull()).otherwise(F.col("xb").isNotNull())
         return sums.where(later).groupBy(*keys).agg(F.greatest(F.max("diff"), F.lit(0.0)).alias("distance"))
@@ -252,7 +323,7 @@ def normalize(rows: DataFrame, value: str, group: Sequence[str] = ()) -> DataFra
     """``rows`` with ``normalized``: deviation from the mean over the root of ``spread``; null if that is 0."""
     keys = list(group)
     stats = spread(rows, value, keys)
-    joined = rows.join(stats, keys) if keys else rows.join(F.broadcast(stats))
+    joined = rows.join(stats, keys) if keys else rows.join(stats)
     return joined.withColumn("normalized", F.try_divide(F.col(value) - F.col("mean"), F.when(F.col("root") != 0, F.col("root")))).drop("mean", "sum_sq_dev", "root")
 
 

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohmline.functions import scalars
+from ohmline.functions.distributions import running
 from ohmline.operators.rates import current_os_rates, exclude_daemons
+from ohmline.shared import cut
 
 #: Users that must have an app, and users that must have rates without it.
 LEAST_USERS = 5
@@ -55,32 +57,46 @@ def user_apps(points: DataFrame, daemons: Sequence[str] = ()) -> DataFrame:
 
 
 def user_profile(points: DataFrame, daemons: Sequence[str] = ()) -> DataFrame:
-    """Each user's rates on the current OS against all other users' rates: n_rates, n_apps, ev, ev_neg, distance."""
+    """Each user's rates on the current OS against all other users' rates: n_rates, n_apps, apps, ev, ev_neg, distance."""
     now = current_os_rates(points).groupBy("uuid").agg(*sums())
     every = points.groupBy("uuid").agg(F.sum("mass").alias("um"), F.sum(F.col("mass") * F.col("mean")).alias("us"))
     total = every.agg(F.sum("um").alias("all_m"), F.sum("us").alias("all_s"))
-    apps = user_apps(points, daemons).groupBy("uuid").agg(F.count(F.lit(1)).alias("n_apps"))
+    apps = user_apps(points, daemons).groupBy("uuid").agg(F.count(F.lit(1)).alias("n_apps"), F.sort_array(F.collect_set("app")).alias("apps"))
     joined = now.join(every, "uuid").join(total).withColumns({"rest_m": F.col("all_m") - F.col("um") + F.col("m"), "rest_s": F.col("all_s") - F.col("us") + F.col("s")})
     found = compared(joined, "m", "s", "rest_m", "rest_s").join(apps, "uuid", "left")
-    return found.select("uuid", F.col("n").alias("n_rates"), F.coalesce("n_apps", F.lit(0)).alias("n_apps"), "ev", "ev_neg", "distance")
+    none = F.array().cast("array<string>")
+    return found.select("uuid", F.col("n").alias("n_rates"), F.coalesce("n_apps", F.lit(0)).alias("n_apps"), F.coalesce("apps", none).alias("apps"), "ev", "ev_neg", "distance")
 
 
 def similar_users(points: DataFrame, daemons: Sequence[str] = ()) -> DataFrame:
     """For each user with apps A: rates that share at least ln |A| apps with A, against the rest.
 
     A user with one app has a threshold of 0, so all rates are similar and there is no rest to compare with.
-    The join pairs a user with every rate that shares an app; leave common daemons out.
+    Users with the same apps, and rates with the same apps, are folded first; the join pairs these sets where they share
+    an app. Leave common daemons out.
     """
-    mine = user_apps(points, daemons).withColumn("__size", F.count(F.lit(1)).over(Window.partitionBy("uuid"))).where("__size > 1")
-    theirs = points.select("rate_id", "mass", "mean", F.explode("apps").alias("app"))
-    shared = mine.withColumnRenamed("uuid", "user").join(theirs, "app").groupBy("user", "rate_id").agg(
-        F.count(F.lit(1)).alias("shared"), F.first("__size").alias("size"), F.first("mass").alias("mass"), F.first("mean").alias("mean")
-    )
-    groups = shared.where(F.col("shared") >= F.ln("size")).groupBy(F.col("user").alias("uuid")).agg(*sums())
+    users, rates, alike = similar_sets(points, daemons)
+    sums_of = alike.join(rates, "rate_set").groupBy("user_set").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum("n").alias("n"))
+    groups = users.select("uuid", "user_set").join(sums_of, "user_set").drop("user_set")
     total = points.agg(F.sum("mass").alias("all_m"), F.sum(F.col("mass") * F.col("mean")).alias("all_s"))
     return compared(groups.join(total), "m", "s", "all_m", "all_s").select("uuid", F.col("n").alias("n_similar"), "ev", "ev_neg", "distance")
 
 
+def set_name(apps: str) -> Column:
+    return F.md5(F.array_join(apps, "\x00"))
+
+
+def similar_sets(points: DataFrame, daemons: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Users with their set of apps, sets of apps of rates with the rates' sums, and which rate sets are similar to which user sets."""
+    sets = user_apps(points, daemons).groupBy("uuid").agg(F.sort_array(F.collect_set("app")).alias("a")).where(F.size("a") > 1)
+    users = cut(sets.select("uuid", "a", set_name("a").alias("user_set")))
+    folded = points.withColumn("a", F.sort_array("apps")).groupBy("a").agg(*sums())
+    rates = cut(folded.select("a", set_name("a").alias("rate_set"), "m", "s", "n"))
+    mine = users.select("user_set", F.size("a").alias("size"), F.explode("a").alias("app")).distinct()
+    shared = mine.join(rates.select("rate_set", F.explode("a").alias("app")), "app").groupBy("user_set", "rate_set").agg(F.count(F.lit(1)).alias("shared"), F.first("size").alias("size"))
+    return users, rates.drop("a"), shared.where(F.col("shared") >= F.ln("size")).select("user_set", "rate_set")
+
+
 def app_sums(points: DataFrame, daemons: Sequence[str] = ()) -> DataFrame:
     """(app, m, s, n, users_with, users_without, has_device_user) of every non-daemon app.
 
@@ -145,10 +161,13 @@ def bugs(points: DataFrame, daemons: Sequence[str] = (), least: int = LEAST_USER
 
 def j_scores(profiles: DataFrame, decimals: int = 2) -> DataFrame:
     """Share of users with a strictly larger distance; 0 for a distance of 0."""
-    known = profiles.where("distance is not null")
-    above = F.rank().over(Window.orderBy(F.desc("distance"))) - 1
-    share = above / F.count(F.lit(1)).over(Window.partitionBy())
-    return known.select("uuid", scalars.n_decimal(F.when(F.col("distance") == 0, 0.0).otherwise(share), decimals).alias("j_score"))
+    known = cut(profiles.where("distance is not null").select("uuid", "distance"))
+    counts = known.groupBy(F.col("distance").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    upto = running(counts, {"upto": F.col("n")})
+    users = counts.agg(F.sum("n").alias("users"))
+    share = (F.col("users") - F.col("upto")) / F.col("users")
+    ranked = known.join(upto, F.col("distance") == F.col("x")).join(users)
+    return ranked.select("uuid", scalars.n_decimal(F.when(F.col("distance") == 0, 0.0).otherwise(share), decimals).alias("j_score"))
 
 
 def indicator_correlations(points: DataFrame, kind: str, group: Sequence[str] = ()) -> DataFrame:

@@ -119,7 +119,12 @@ def section_filter(lines: DataFrame, *, text: str = "value", order: str = "pos",
     return kept.where(~F.col(text).contains(heading)).drop("__a", "__b")
 
 
-def record_sizes(samples: DataFrame, *, key: str = "time", features: str | Column = "size(features)") -> DataFrame:
-    """Estimated kilobytes of a sample: fixed fields and 23 bytes for each feature."""
+#: Bytes of a sample's parts, each feature having a name and a number, each of five numbers eight bytes.
+UUID_BYTES, MODEL_BYTES, FEATURE_BYTES, NUMBER_BYTES, EVENT_BYTES, STATE_BYTES, OTHER_BYTES = 36, 20, 7 + 16, 5 * 8, 4, 10, 50
+
+
+def record_sizes(samples: DataFrame, *, key: str = "time", features: str | Column = "size(features)", packed: str | None = None) -> DataFrame:
+    """Estimated kilobytes of a sample, from its fixed parts and its features, and its measured packed size, if there is one."""
     n = F.expr(features) if isinstance(features, str) else features
-    return samples.select(key, ((20 + 36 + n * (7 + 16) + 5 * 8 + 4 + 10 + 50) / 1000).alias("kilobytes"))
+    size = n * FEATURE_BYTES + UUID_BYTES + MODEL_BYTES + NUMBER_BYTES + EVENT_BYTES + STATE_BYTES + OTHER_BYTES
+    return samples.select(key, (size / 1000).alias("kilobytes"), *([packed] if packed else []))

@@ -37,8 +37,8 @@ def asof_os_model(samples: DataFrame, regs: DataFrame) -> DataFrame:
     both = rows.unionByName(side, allowMissingColumns=True)
     w = Window.partitionBy("uuid").orderBy("time", "__side", F.col("__reg").asc_nulls_first())
     upto = F.last("__reg", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("__reg", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("__at", F.coalesce(upto, ahead)).where("__side = 1")
+    earliest = F.first("__reg", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = both.withColumn("__at", F.coalesce(upto, earliest)).where("__side = 1")
     return found.select(*[c for c in rows.columns if c != "__side"], F.col("__at.os").alias("os"), F.col("__at.model").alias("model"))
 
 
@@ -54,10 +54,12 @@ def classified_pairs(
     """Every pair of consecutive samples of a device at different times, with ``reject_reason`` (null: usable).
 
     The reasons, in the order they are looked for: model, charging, negative drain, all zero, and with
-    ``plausible`` also zero drain and abandoned (a point rate above ``MOST_RATE``).
+    ``plausible`` also zero drain and abandoned (a point rate above ``MOST_RATE``). If the samples have ``features``, a
+    map, a pair has those of both: each key with the values of either, once.
     """
     w = Window.partitionBy("uuid").orderBy("time", "event", "level")
-    before = F.struct("time", "level", "event", "state", "apps")
+    features = ["features"] if "features" in samples.columns else []
+    before = F.struct("time", "level", "event", "state", "apps", *features)
     pairs = samples.withColumn("__p", F.lag(before).over(w)).where("__p is not null and __p.time <> time")
     p = lambda name: F.col(f"__p.{name}")
     is_event = lambda c: F.lower(c).isin(*point_events)
@@ -66,7 +68,7 @@ def classified_pairs(
     drained = p("level") - F.col("level")
     bad_states = [CHARGING, UNKNOWN] if exclude_unknown else [CHARGING]
     charging = p("state").isin(*bad_states) | F.col("state").isin(*bad_states)
-    rate = drained * 100 / took
+    rate = point_rate(p("level"), F.col("level"), took)
     reason = (
         F.when(F.coalesce(F.col("model").isin(*excluded_models), F.lit(False)), "model")
         .when(charging, "charging")
@@ -75,7 +77,7 @@ def classified_pairs(
     )
     if plausible:
         reason = reason.when(point & (rate == 0), "zero drain").when(point & (rate > MOST_RATE), "abandoned")
-    low, high = F.greatest((drained - LEVEL_STEP) * 100 / took, F.lit(0.0)), (drained + LEVEL_STEP) * 100 / took
+    low, high = range_rate(p("level"), F.col("level"), took)
     return pairs.select(
         "uuid",
         "os",
@@ -86,6 +88,7 @@ def classified_pairs(
         F.col("level").alias("level2"),
         F.array_distinct(F.concat(F.split(p("event"), " "), F.split(F.col("event"), " "))).alias("events"),
         F.array_distinct(F.concat(F.coalesce(p("apps"), F.array()), F.coalesce("apps", F.array()))).alias("apps"),
+        *[merged_features(listed_features(samples, p(f)), listed_features(samples, F.col(f))).alias(f) for f in features],
         F.when(point, rate).otherwise((low + high) / 2).alias("rate"),
         F.when(~point, low).alias("rate_lo"),
         F.when(~point, high).alias("rate_hi"),
@@ -115,7 +118,8 @@ def point_rate(level1: Column, level2: Column, took: Column) -> Column:
 
 def range_rate(level1: Column, level2: Column, took: Column) -> tuple[Column, Column]:
     """Bounds of the rate if the levels are known to half a step of the other."""
-    return F.greatest((level1 - LEVEL_STEP - level2) * 100 / took, F.lit(0.0)), (level1 - level2 + LEVEL_STEP) * 100 / took
+    drained = level1 - level2
+    return F.greatest((drained - LEVEL_STEP) * 100 / took, F.lit(0.0)), (drained + LEVEL_STEP) * 100 / took
 
 
 def plausible_rates(rates: DataFrame, most: float = MOST_RATE) -> DataFrame:
@@ -135,11 +139,24 @@ def merged_features(left: Column, right: Column) -> Column:
     return F.map_zip_with(left, right, lambda _, a, b: F.array_distinct(F.concat(F.coalesce(a, empty), F.coalesce(b, empty))))
 
 
+def listed_features(samples: DataFrame, features: Column) -> Column:
+    """A map of features with lists of texts as values; null counts as empty."""
+    kind = samples.schema["features"].dataType.valueType.simpleString()
+    listed = features if kind.startswith("array") else F.transform_values(features, lambda _, v: F.array(v.cast("string")))
+    return F.coalesce(listed, F.create_map().cast("map<string,array<string>>"))
+
+
 def feature_history(samples: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(uuid, feature, time, value) wherever the value of a column differs from the device's sample before."""
+    """(uuid, feature, time, value) wherever the value of a feature differs from the device's sample before that has it.
+
+    Features are the named columns, arrays as their sorted values, and every key of the map ``features``, if there is one.
+    """
     as_text = [F.concat_ws(" ", F.sort_array(c)) if dict(samples.dtypes)[c].startswith("array") else F.col(c).cast("string") for c in features]
     pairs = F.explode(F.arrays_zip(F.array(*map(F.lit, features)).alias("feature"), F.array(*as_text).alias("value")))
     long = samples.select("uuid", "time", pairs.alias("__f")).select("uuid", "time", F.col("__f.feature").alias("feature"), F.col("__f.value").alias("value"))
+    if "features" in samples.columns:
+        extra = samples.select("uuid", "time", F.explode(listed_features(samples, F.col("features"))).alias("feature", "value"))
+        long = long.unionByName(extra.withColumn("value", F.concat_ws(" ", F.sort_array("value"))))
     w = Window.partitionBy("uuid", "feature").orderBy("time", "value")
     changed = (F.row_number().over(w) == 1) | ~F.col("value").eqNullSafe(F.lag("value").over(w))
     return long.withColumn("__new", changed).where("__new").drop("__new")
@@ -192,8 +209,14 @@ def by_rate(rates: DataFrame) -> DataFrame:
 
 
 def samples_text(samples: DataFrame) -> DataFrame:
-    """One line for each sample: its scalars, then its apps."""
-    return samples.select(F.concat_ws(", ", "uuid", F.col("time").cast("string"), F.col("level").cast("string"), "event", "state", F.concat_ws(" ", F.sort_array("apps"))).alias("line")).orderBy("line")
+    """One line for each sample: its scalars, its apps, then its features, those of one value apart from lists."""
+    parts = ["uuid", F.col("time").cast("string"), F.col("level").cast("string"), "event", "state", F.concat_ws(" ", F.sort_array("apps"))]
+    if "features" in samples.columns:
+        entries = F.array_sort(F.map_entries(listed_features(samples, F.col("features"))))
+        single = F.transform(F.filter(entries, lambda e: F.size(e["value"]) == 1), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"][0], F.lit(""))))
+        lists = F.transform(F.filter(entries, lambda e: F.size(e["value"]) != 1), lambda e: F.concat(e["key"], F.lit("=["), F.concat_ws(" ", F.sort_array(e["value"])), F.lit("]")))
+        parts += [F.when(F.size(x) > 0, F.concat_ws(" ", x)) for x in (single, lists)]
+    return samples.select(F.concat_ws(", ", *parts).alias("line")).orderBy("line")
 
 
 def registrations_text(regs: DataFrame) -> DataFrame:

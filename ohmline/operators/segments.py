@@ -1,8 +1,9 @@
 """Cutting ordered series into runs and buckets, for any partitioning of the input.
 
 A long series is worked on in chunks of ``chunk_rows`` consecutive rows, each with a halo of rows of the chunk
-before it, so no task needs a series whole. Chunks need a dense integer order; without ``chunk_rows`` a series
-is one window. Rows whose order is null take no part.
+before it, so no task needs a series whole. The rows are numbered first, by a count in two levels over stretches of
+``chunk_rows`` of the order, which must be a number with about one row for each whole number. Without ``chunk_rows`` a
+series is one window. Rows whose order is null take no part.
 """
 
 from __future__ import annotations
@@ -28,6 +29,37 @@ def col(x: str | Column) -> Column:
     return F.expr(x) if isinstance(x, str) else x
 
 
+def positioned(rows: DataFrame, keys: Sequence[str], order: str, chunk_rows: int | None) -> DataFrame:
+    """``rows`` with ``__pos``: their place in their series, from 1 without holes."""
+    rows = rows.where(F.col(order).isNotNull())
+    if chunk_rows is None:
+        return rows.withColumn("__pos", F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long"))
+    stretched = rows.withColumn("__stretch", F.floor(F.col(order) / chunk_rows))
+    earlier = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stretched.groupBy(*keys, "__stretch").agg(F.count(F.lit(1)).alias("__n"))
+    starts = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__stretch").alias("__s"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    same = F.col("__stretch") == F.col("__s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__stretch").orderBy(order))
+    placed = stretched.withColumn("__inside", inside).join(starts, same).withColumn("__pos", F.col("__before") + F.col("__inside"))
+    return placed.select(*rows.columns, "__pos")
+
+
+def with_before(rows: DataFrame, keys: Sequence[str], order: str, chunk_rows: int | None, **before: str | Column) -> DataFrame:
+    """``rows`` with, for each of ``before``, the value that the row before has (null for the first of its series).
+
+    Chunked, the rows also keep ``__chunk``.
+    """
+    if chunk_rows is None:
+        w = Window.partitionBy(*keys).orderBy(order)
+        return rows.where(F.col(order).isNotNull()).select("*", *[F.lag(col(x)).over(w).alias(name) for name, x in before.items()])
+    seen = with_halo(positioned(rows, keys, order, chunk_rows), "__pos", chunk_rows, 1)
+    w = Window.partitionBy(*keys, "__in").orderBy("__pos")
+    found = seen.select("*", *[F.lag(col(x)).over(w).alias(name) for name, x in before.items()])
+    return found.where("__in = __chunk").drop("__in", "__pos")
+
+
 def with_halo(rows: DataFrame, order: str, chunk_rows: int | None, halo: int) -> DataFrame:
     """``rows`` with ``__chunk`` (where a row belongs) and ``__in`` (the chunk that it is seen in)."""
     rows = rows.where(F.col(order).isNotNull())
@@ -48,7 +80,11 @@ def numbered(rows: DataFrame, starts: Column, keys: list[str], order: str, chunk
         return rows.withColumn(name, upto).drop("__start")
     earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = rows.groupBy(*keys, "__chunk").agg(F.sum("__start").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    return rows.join(chunks.drop("__n"), [*keys, "__chunk"]).withColumn(name, F.col("__before") + upto).drop("__start", "__before")
+    starts_ = chunks.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__chunk"])], "__before")
+    same = F.lit(True)
+    for i, k in enumerate([*keys, "__chunk"]):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return rows.withColumn("__upto", upto).join(starts_, same).withColumn(name, F.col("__before") + F.col("__upto")).select(*[c for c in rows.columns if c != "__start"], name)
 
 
 def detect_runs(
@@ -68,11 +104,7 @@ def detect_runs(
     of one run and in another. Rows without power are left out first.
     """
     keys = list(series)
-    rows = rows.where(col(power).isNotNull())
-    if chunk_rows is None:
-        rows = rows.withColumn("__pos", F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long"))
-    else:
-        rows = rows.withColumn("__pos", F.col(order).cast("long"))
+    rows = positioned(rows.where(col(power).isNotNull()), keys, order, chunk_rows)
     seen = with_halo(rows, "__pos", chunk_rows, window)
     w = Window.partitionBy(*keys, "__in").orderBy("__pos")
     last = w.rowsBetween(1 - window, 0)
@@ -92,12 +124,12 @@ def bucket_consecutive(
 ) -> DataFrame:
     """``rows`` with ``bucket_id`` (from 0 in each series): a new one starts where a key differs from the row before."""
     keys = list(series)
-    seen = with_halo(rows, order, chunk_rows, 1)
-    w = Window.partitionBy(*keys, "__in").orderBy(order)
+    seen = with_halo(positioned(rows, keys, order, chunk_rows), "__pos", chunk_rows, 1)
+    w = Window.partitionBy(*keys, "__in").orderBy("__pos")
     now = F.struct(*key)
     seen = seen.withColumn("__turn", F.lag(F.lit(True)).over(w).isNotNull() & ~now.eqNullSafe(F.lag(now).over(w)))
-    own = numbered(seen.where("__in = __chunk"), F.col("__turn"), keys, order, chunk_rows is not None, "bucket_id")
-    return own.drop("__chunk", "__in", "__turn")
+    own = numbered(seen.where("__in = __chunk"), F.col("__turn"), keys, "__pos", chunk_rows is not None, "bucket_id")
+    return own.drop("__chunk", "__in", "__turn", "__pos")
 
 
 def hour_buckets(rows: DataFrame, time: str = "ts", **options) -> DataFrame:
@@ -119,14 +151,13 @@ def run_energy(
     power: str | Column = "current_ma * voltage_v",
     step: float = SAMPLING_STEP,
     tolerance: float = STEP_TOLERANCE,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Start, end, duration and watt-hours of each run; only rows a sampling step after the row before count."""
     keys = [*series, "run_id"]
-    w = Window.partitionBy(*keys).orderBy(order)
-    stepped = F.col("__time") - F.lag("__time").over(w)
-    counted = runs.withColumns({"__time": col(time), "__power": col(power)}).withColumn(
-        "__counts", F.coalesce(stepped.between(step - tolerance, step + tolerance), F.lit(False))
-    )
+    timed = with_before(runs.withColumns({"__time": col(time), "__power": col(power)}), keys, order, chunk_rows, __last="__time")
+    stepped = F.col("__time") - F.col("__last")
+    counted = timed.withColumn("__counts", F.coalesce(stepped.between(step - tolerance, step + tolerance), F.lit(False)))
     return counted.groupBy(*keys).agg(
         F.min("__time").alias("start_s"),
         F.max("__time").alias("end_s"),

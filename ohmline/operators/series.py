@@ -1,4 +1,7 @@
-"""Operators on whole series: energy, gaps, downsampling, battery curves, schedules, slopes."""
+"""Operators on whole series: energy, gaps, downsampling, battery curves, schedules, slopes.
+
+Where an operator takes ``chunk_rows``, a long series is worked on in chunks, as in ``segments``, with the same result.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ohmline.operators.segments import SAMPLING_STEP, SERIES, STEP_TOLERANCE, col
+from ohmline.operators.segments import SAMPLING_STEP, SERIES, STEP_TOLERANCE, col, numbered, positioned, with_before
 from ohmline.shared import ship
 
 ship(__name__)
@@ -21,25 +24,25 @@ def total_energy(rows: DataFrame, *, series: Sequence[str] = SERIES, power: str
     return rows.groupBy(*series).agg((F.sum(col(power)) / rate / 3600).alias("mwh"))
 
 
-def find_gaps(rows: DataFrame, *, series: Sequence[str] = SERIES, order: str = "num", time: str = "time_s", step: float = SAMPLING_STEP, tolerance: float = STEP_TOLERANCE) -> DataFrame:
+def find_gaps(rows: DataFrame, *, series: Sequence[str] = SERIES, order: str = "num", time: str = "time_s", step: float = SAMPLING_STEP, tolerance: float = STEP_TOLERANCE, chunk_rows: int | None = None) -> DataFrame:
     """(from_s, to_s, step_s) wherever the time from row to row is not the sampling step."""
-    w = Window.partitionBy(*series).orderBy(order)
-    seen = rows.select(*series, F.lag(time).over(w).alias("from_s"), F.col(time).alias("to_s"))
+    seen = with_before(rows, list(series), order, chunk_rows, __from=F.col(time)).select(*series, F.col("__from").alias("from_s"), F.col(time).alias("to_s"))
     return seen.withColumn("step_s", F.col("to_s") - F.col("from_s")).where(F.abs(F.col("step_s") - step) > tolerance)
 
 
-def integrate_power(rows: DataFrame, *, series: Sequence[str] = SERIES, order: str = "num", time: str = "time_s", power: str | Column = "current_ma * voltage_v", ends: str | Column = "false") -> DataFrame:
+def integrate_power(rows: DataFrame, *, series: Sequence[str] = SERIES, order: str = "num", time: str = "time_s", power: str | Column = "current_ma * voltage_v", ends: str | Column = "false", chunk_rows: int | None = None) -> DataFrame:
     """Left-hold integral of each segment: its duration and watt-hours. A row where ``ends`` holds closes a segment."""
     keys = list(series)
-    w = Window.partitionBy(*keys).orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    timed = rows.withColumns({"__time": F.col(time), "__power": col(power), "__ends": col(ends).cast("int")})
-    cut_up = timed.select(
+    timed = rows.withColumns({"__time": F.col(time), "__power": col(power), "__ends": F.coalesce(col(ends).cast("int"), F.lit(0))})
+    seen = with_before(timed, keys, order, chunk_rows, __last="__time", __held="__power")
+    chunked = chunk_rows is not None
+    placed = numbered(seen, F.col("__ends"), keys, order, chunked, "__upto")
+    cut_up = placed.select(
         *keys,
-        F.coalesce(F.sum("__ends").over(before), F.lit(0)).alias("segment"),
+        (F.col("__upto") - F.col("__ends")).alias("segment"),
         F.col("__time"),
-        F.coalesce(F.lag("__time").over(w), F.col("__time")).alias("__from"),
-        (F.lag("__power").over(w) * (F.col("__time") - F.lag("__time").over(w))).alias("__work"),
+        F.coalesce("__last", "__time").alias("__from"),
+        (F.col("__held") * (F.col("__time") - F.col("__last"))).alias("__work"),
     )
     return cut_up.groupBy(*keys, "segment").agg(
         (F.max("__time") - F.min("__from")).alias("duration_s"),
@@ -47,6 +50,11 @@ def integrate_power(rows: DataFrame, *, series: Sequence[str] = SERIES, order: s
     )
 
 
+def block_of(span: int) -> Column:
+    """The block of ``span`` rows that a numbered row is in."""
+    return F.floor((F.col("__pos") - 1) / span)
+
+
 def downsample_by_count(
     rows: DataFrame,
     span: int = 2500,
@@ -57,27 +65,28 @@ def downsample_by_count(
     power: str | Column = "current_ma * voltage_v",
     drop_partial: bool = False,
     most_span: int | None = 5000,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Mean time and power of every ``span`` rows; a span outside 1 to ``most_span`` counts as 2500."""
     if span < 1 or (most_span is not None and span > most_span):
         span = 2500
     keys = list(series)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    blocks = rows.withColumn("__power", col(power)).withColumn("block", F.floor(place / span)).groupBy(*keys, "block").agg(
+    placed = positioned(rows.withColumn("__power", col(power)), keys, order, chunk_rows)
+    blocks = placed.withColumn("block", block_of(span)).groupBy(*keys, "block").agg(
         F.count(F.lit(1)).alias("n"), F.avg(time).alias("time_s"), F.avg("__power").alias("mw")
     )
     return blocks.where(F.col("n") == span) if drop_partial else blocks
 
 
-def downsample_runs(runs: DataFrame, span: int, *, series: Sequence[str] = SERIES, order: str = "num", time: str = "time_s", power: str | Column = "current_ma * voltage_v", step: float = SAMPLING_STEP, tolerance: float = STEP_TOLERANCE) -> DataFrame:
+def downsample_runs(runs: DataFrame, span: int, *, series: Sequence[str] = SERIES, order: str = "num", time: str = "time_s", power: str | Column = "current_ma * voltage_v", step: float = SAMPLING_STEP, tolerance: float = STEP_TOLERANCE, chunk_rows: int | None = None) -> DataFrame:
     """Mean power of every ``span`` rows of a run that follow their predecessor by the sampling step; whole blocks only.
 
     ``time_ms`` counts the rows so far in sampling steps.
     """
     keys = [*series, "run_id"]
-    stepped = F.col(time) - F.lag(time).over(Window.partitionBy(*keys).orderBy(order))
-    steady = runs.withColumns({"__step": stepped, "__power": col(power)}).where(F.col("__step").between(step - tolerance, step + tolerance))
-    blocks = downsample_by_count(steady, span, series=keys, order=order, time=time, power="__power", drop_partial=True, most_span=None)
+    seen = with_before(runs.withColumn("__power", col(power)), keys, order, chunk_rows, __last=F.col(time))
+    steady = seen.where((F.col(time) - F.col("__last")).between(step - tolerance, step + tolerance)).select(*runs.columns, "__power")
+    blocks = downsample_by_count(steady, span, series=keys, order=order, time=time, power="__power", drop_partial=True, most_span=None, chunk_rows=chunk_rows)
     return blocks.select(*keys, "block", ((F.col("block") + 1) * span * F.lit(step * 1000)).alias("time_ms"), "mw")
 
 
@@ -97,6 +106,7 @@ def battery_curve(
     time: str = "time_s",
     current: str | Column = "current_ma",
     voltage: str | Column | None = None,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Battery level at the end of every block of ``span`` rows: used charge is the block's time times its current.
 
@@ -104,9 +114,9 @@ def battery_curve(
     auxiliary channel's, whose sum over 4 scales the charge.
     """
     keys = list(series)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
     volts = F.lit(0.0) if voltage is None else col(voltage)
-    blocks = rows.withColumns({"__ma": col(current), "__v": volts}).withColumn("block", F.floor(place / span)).groupBy(*keys, "block").agg(
+    placed = positioned(rows.withColumns({"__ma": col(current), "__v": volts}), keys, order, chunk_rows)
+    blocks = placed.withColumn("block", block_of(span)).groupBy(*keys, "block").agg(
         F.max_by(time, order).alias("end_s"), F.sum("__ma").alias("__ma"), F.sum("__v").alias("__v")
     )
     w = Window.partitionBy(*keys).orderBy("block")
@@ -116,11 +126,11 @@ def battery_curve(
     return blocks.withColumn("__used", used).select(*keys, "block", "end_s", ((capacity - spent) / capacity * start_level).alias("level"))
 
 
-def battery_curve_by_mean(rows: DataFrame, capacity: float, start: str | Column, *, span: int = ROWS_A_SECOND, series: Sequence[str] = SERIES, order: str = "num", time: str = "time_s", current: str | Column = "current_ma") -> DataFrame:
+def battery_curve_by_mean(rows: DataFrame, capacity: float, start: str | Column, *, span: int = ROWS_A_SECOND, series: Sequence[str] = SERIES, order: str = "num", time: str = "time_s", current: str | Column = "current_ma", chunk_rows: int | None = None) -> DataFrame:
     """Charge left and clock time after every block: each takes its mean current over 3600; the short last one too."""
     keys = list(series)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    blocks = rows.withColumn("__ma", col(current)).withColumn("block", F.floor(place / span)).groupBy(*keys, "block").agg(
+    placed = positioned(rows.withColumn("__ma", col(current)), keys, order, chunk_rows)
+    blocks = placed.withColumn("block", block_of(span)).groupBy(*keys, "block").agg(
         F.max(time).alias("end_s"), F.avg("__ma").alias("__ma")
     )
     spent = F.sum(F.col("__ma") / 3600).over(Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
@@ -160,9 +170,9 @@ def slopes_between(points: DataFrame, intervals: DataFrame, *, series: Sequence[
     bounds = points.select(*keys).distinct().join(ends.select("interval_id", "b.side", F.col("b.t").alias("__t")))
     at = points.select(*keys, F.col(time).alias("__t"), F.struct(F.col(time).alias("x"), F.col(value).alias("y")).alias("__p"))
     both = at.unionByName(bounds, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__t", F.col("side").asc_nulls_last())
-    ahead = F.first("__p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    final = F.last("__p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    w = Window.partitionBy(*keys).orderBy(F.desc("__t"), F.col("side").asc_nulls_first())
+    ahead = F.last("__p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    final = F.first("__p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     hit = both.withColumn("__q", F.coalesce(ahead, final)).where("interval_id is not null")
     pairs = hit.groupBy(*keys, "interval_id").agg(
         F.max(F.when(F.col("side") == 0, F.col("__q"))).alias("p0"), F.max(F.when(F.col("side") == 1, F.col("__q"))).alias("p1")
@@ -176,10 +186,13 @@ def slope_histogram(points: DataFrame, intervals: DataFrame, *, series: Sequence
     return slopes.groupBy(*series, (F.round("slope", decimals) + 0.0).alias("slope")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def random_intervals(spark, n: int, first: float, last: float, seed: int = 1) -> DataFrame:
-    """(interval_id, t0, t1): ``n`` random intervals between two times."""
-    drawn = spark.range(n).select(F.col("id").alias("interval_id"), (first + F.rand(seed) * (last - first)).alias("a"), (first + F.rand(seed + 1) * (last - first)).alias("b"))
-    return drawn.select("interval_id", F.least("a", "b").alias("t0"), F.greatest("a", "b").alias("t1"))
+def random_intervals(points: DataFrame, n: int, *, time: str = "time_s", seed: str = "1") -> DataFrame:
+    """(interval_id, t0, t1): ``n`` intervals between the first and the last time of the points, drawn by a hash of ``seed``."""
+    span = points.agg(F.min(time).alias("first"), F.max(time).alias("last"))
+    drawn = lambda end: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{end}:"), F.col("id").cast("string"))), 1, 13), 16, 10).cast("double") / (1 << 52)
+    at = lambda end: F.col("first") + drawn(end) * (F.col("last") - F.col("first"))
+    both = points.sparkSession.range(n).join(span).select(F.col("id").alias("interval_id"), at(0).alias("a"), at(1).alias("b"))
+    return both.select("interval_id", F.least("a", "b").alias("t0"), F.greatest("a", "b").alias("t1"))
 
 
 def series_stats(rows: DataFrame, value: str = "value", *, series: Sequence[str] = SERIES, time: str = "time_s") -> DataFrame:
@@ -189,15 +202,14 @@ def series_stats(rows: DataFrame, value: str = "value", *, series: Sequence[str]
     )
 
 
-def idle_marks(rows: DataFrame, idle: float, *, series: Sequence[str] = SERIES, order: str = "num", time: str = "time_s", power: str | Column = "current_ma * voltage_v", interval: float = 0.5) -> DataFrame:
+def idle_marks(rows: DataFrame, idle: float, *, series: Sequence[str] = SERIES, order: str = "num", time: str = "time_s", power: str | Column = "current_ma * voltage_v", interval: float = 0.5, chunk_rows: int | None = None) -> DataFrame:
     """Per interval of ``interval`` seconds: its end and whether its mean power is below ``idle``, with the work done before it.
 
     ``end_s`` is the time of the first row past the interval, which closes it.
     """
     keys = list(series)
-    w = Window.partitionBy(*keys).orderBy(order)
-    timed = rows.withColumns({"__time": F.col(time), "__power": col(power)})
-    work = F.coalesce(F.lag("__power").over(w) * (F.col("__time") - F.lag("__time").over(w)), F.lit(0.0))
+    timed = with_before(rows.withColumns({"__time": F.col(time), "__power": col(power)}), keys, order, chunk_rows, __last="__time", __held="__power")
+    work = F.coalesce(F.col("__held") * (F.col("__time") - F.col("__last")), F.lit(0.0))
     slots = timed.withColumn("__work", work).groupBy(*keys, F.floor(F.col("__time") / interval).alias("slot")).agg(
         F.avg("__power").alias("mw"), F.sum("__work").alias("work"), F.min("__time").alias("from_s"), F.max("__time").alias("to_s")
     )

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ohmline.functions import distributions as D
 from ohmline.functions import scalars
 from ohmline.operators import fleet as C
 from ohmline.operators import rates as R
+from ohmline.operators import stored
 from ohmline.plans import standins as I
 from ohmline.plans.series_queries import rounded
 from ohmline.sources import readers, sinks
-from ohmline.shared import read_table
+from ohmline.shared import read_table, shared_dir
 
 DAEMONS = ["app0", "app1*"]
 RATE = ["uuid", "os", "model", "time1", "time2", "rate", "rate_lo", "rate_hi"]
@@ -50,7 +53,8 @@ def p6_rate_value(spark, sf_dir):
 
 def p7_rate_attributes(spark, sf_dir):
     p = I.pairs(spark, sf_dir)
-    return p.select("uuid", F.round("time2", 3).alias("time2"), F.array_join(F.sort_array("apps"), ",").alias("apps"), F.array_join(F.sort_array("events"), ",").alias("events"))
+    entries = F.transform(F.array_sort(F.map_entries("features")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(F.sort_array(e["value"]), "|")))
+    return p.select("uuid", F.round("time2", 3).alias("time2"), F.array_join(F.sort_array("apps"), ",").alias("apps"), F.array_join(F.sort_array("events"), ",").alias("events"), F.array_join(entries, ",").alias("features"))
 
 
 def p8_plausible(spark, sf_dir):
@@ -62,11 +66,12 @@ def p9_rejections(spark, sf_dir):
     return R.rejection_counts(I.pairs(spark, sf_dir))
 
 
-HISTORY = ["state", "event", "os"]
+HISTORY = ["level", "state", "event", "model", "os", "apps"]
 
 
 def history(spark, sf_dir):
-    return R.feature_history(I.samples(spark, sf_dir), HISTORY)
+    """Of the columns and the extra features; levels as whole percents, which both engines write alike."""
+    return R.feature_history(I.samples(spark, sf_dir).withColumn("level", F.round(F.col("level") * 100).cast("long")), HISTORY)
 
 
 def p10_feature_history(spark, sf_dir):
@@ -181,11 +186,12 @@ def d11_equal_histogram(spark, sf_dir):
 
 
 def rate_ranges(spark, sf_dir):
-    return I.rates(spark, sf_dir).select("os", F.coalesce("rate_lo", "rate").alias("lo"), F.coalesce("rate_hi", "rate").alias("hi")).where("hi <= 0.004")
+    return I.rates(spark, sf_dir).select("os", F.coalesce("rate_lo", "rate").alias("lo"), F.coalesce("rate_hi", "rate").alias("hi"))
 
 
 def d12_range_histogram(spark, sf_dir):
-    return rounded(D.range_histogram(rate_ranges(spark, sf_dir), 0.00401, 20, ["os"]), "mass")
+    ranges = rate_ranges(spark, sf_dir)
+    return rounded(D.range_histogram(ranges, ranges.agg(F.max("hi").alias("xmax")), 20, ["os"]), "mass")
 
 
 def d13_log_histogram(spark, sf_dir):
@@ -199,7 +205,8 @@ def d14_normalised_log_histogram(spark, sf_dir):
 
 
 def d15_range_log_histogram(spark, sf_dir):
-    return rounded(D.range_histogram(rate_ranges(spark, sf_dir), 0.00401, 20, ["os"], smallest=0.00001), "mass", decimals=5)
+    ranges = rate_ranges(spark, sf_dir)
+    return rounded(D.range_histogram(ranges, ranges.agg(F.max("hi").alias("xmax")), 20, ["os"], smallest=0.00001), "mass", decimals=5)
 
 
 def d16_bucket_coordinates(spark, sf_dir):
@@ -222,7 +229,7 @@ def d19_upper_edge_equal(spark, sf_dir):
 def ks(metric):
     def query(spark, sf_dir):
         d = I.prices(spark, sf_dir)
-        found = D.ks_distance(d.where("flag = 'A'"), d.where("flag = 'N' and x > 3"), metric)
+        found = D.ks_distance(d.where("flag = 'A'"), d.where("flag = 'N'"), metric)
         return found.select((F.round("distance", 6) + 0.0).alias("distance"))
 
     return query
@@ -239,7 +246,7 @@ def d24_normalize(spark, sf_dir):
 def d25_pearson(spark, sf_dir):
     m = I.measurements(spark, sf_dir)
     x = m.groupBy("series_id").agg(F.sum("cents").cast("double").alias("x"))
-    y = m.where("event_type = 'error' and series_id % 5 > 0").groupBy("series_id").agg(F.count(F.lit(1)).cast("double").alias("y"))
+    y = m.where("event_type = 'error'").groupBy("series_id").agg(F.count(F.lit(1)).cast("double").alias("y"))
     return rounded(D.pearson(x, y, ["series_id"]), "r")
 
 
@@ -267,10 +274,18 @@ def d30_compare_distributions(spark, sf_dir):
     points, prior = I.points(spark, sf_dir)
     sides = points.withColumn("has", F.array_contains("apps", "app3"))
     dist = D.prob_dist(D.frequencies(sides, prior, ["has"]), ["has"])
-    ev = D.expected_value(dist, ["has"])
-    top = D.xmax_of(dist.where("has"), dist.where("not has"))
-    pair = ev.groupBy().agg(F.max(F.when(F.col("has"), F.col("ev"))).alias("ev"), F.max(F.when(~F.col("has"), F.col("ev"))).alias("ev_neg"))
-    return pair.join(top).select(F.round("ev", 8).alias("ev"), F.round("ev_neg", 8).alias("ev_neg"), F.round("xmax", 8).alias("xmax"), F.round(scalars.ev_difference(F.col("ev"), F.col("ev_neg")), 5).alias("distance"))
+    pair = D.compare_distributions(dist.where("has").drop("has"), dist.where("not has").drop("has"), buckets=100)
+    return compared(pair).withColumns({"xmax": F.round("xmax", 8), "prob": masses_text("prob"), "prob_neg": masses_text("prob_neg")})
+
+
+def masses_text(name):
+    """A packed histogram as text, the masses in ten thousandths."""
+    return F.array_join(F.transform(name, lambda e: F.concat(e["bucket"].cast("string"), F.lit(":"), F.floor(e["mass"] * 10000 + 0.500001).cast("string"))), ",")
+
+
+def c3_user_profile(spark, sf_dir):
+    found = stored.stored_results(*I.points(spark, sf_dir), DAEMONS, natures=["result"])["result"]
+    return compared(found).select("uuid", "n_rates", "n_apps", "ev", "ev_neg", "distance", F.array_join("apps", ",").alias("apps"), F.round("xmax", 8).alias("xmax"), masses_text("prob").alias("prob"), masses_text("prob_neg").alias("prob_neg"))
 
 
 def d31_evidence(spark, sf_dir):
@@ -343,9 +358,13 @@ def c18_labels(points):
     return found.select("nature", "key1", "key2", "title", "title_neg")
 
 
-def k1_results(points):
-    rows = C.labelled(C.hogs(points, DAEMONS), "hog", ["app"]).unionByName(C.labelled(C.bugs(points, DAEMONS), "bug", ["app", "uuid"]), allowMissingColumns=True)
-    return compared(sinks.result_rows(rows)).select("nature", "key1", "key2", "ev", "ev_neg", "distance", "users_with", "users_without")
+def k1_results(spark, sf_dir):
+    """All natures, written to the shared folder and read back."""
+    path = f"{shared_dir(spark)}/ohmline/results-{uuid.uuid4().hex}"
+    for rows in stored.stored_results(*I.points(spark, sf_dir), DAEMONS).values():
+        sinks.write_results(rows, path)
+    found = compared(spark.read.parquet(path)).withColumns({"xmax": F.round("xmax", 8), "prob": masses_text("prob"), "prob_neg": masses_text("prob_neg"), "apps": F.array_join("apps", ",")})
+    return found.select("nature", "key1", "key2", "xmax", "ev", "ev_neg", "distance", "users_with", "users_without", "prob", "prob_neg", "apps")
 
 
 def k3_expire(points):
@@ -384,8 +403,13 @@ def s10_scan(spark, sf_dir):
 
 
 def s12_incremental(spark, sf_dir):
-    fresh, mark = readers.incremental(I.raw_samples(spark, sf_dir), 1706000000.0)
-    return fresh.groupBy("uuid").agg(F.count(F.lit(1)).alias("n")).join(mark).select("uuid", "n", F.round("watermark", 3).alias("watermark"))
+    """Three loads into one table: the earlier samples, all of them, and all of them again, which brings nothing new."""
+    base = f"{shared_dir(spark)}/ohmline/loaded-{uuid.uuid4().hex}"
+    samples = I.raw_samples(spark, sf_dir).select("uuid", "time")
+    for rows in (samples.where("time <= 1706000000"), samples, samples):
+        loaded = readers.load_incrementally(rows, f"{base}/samples", f"{base}/mark")
+    mark = spark.read.parquet(f"{base}/mark")
+    return loaded.groupBy("uuid").agg(F.count(F.lit(1)).alias("n")).join(mark).select("uuid", "n", F.round("watermark", 3).alias("watermark"))
 
 
 def s16_replicate(spark, sf_dir):
@@ -408,10 +432,10 @@ def s6_fleet_text(spark, sf_dir):
 
 
 POINTS = {
-    "c1_compare_os": lambda p: compared(C.compare_os(p)), "c2_compare_model": lambda p: compared(C.compare_model(p)), "c3_user_profile": lambda p: compared(C.user_profile(p, DAEMONS)), "c4_similar_users": lambda p: compared(C.similar_users(p, DAEMONS)),
+    "c1_compare_os": lambda p: compared(C.compare_os(p)), "c2_compare_model": lambda p: compared(C.compare_model(p)), "c4_similar_users": lambda p: compared(C.similar_users(p, DAEMONS)),
     "c5_hogs": lambda p: compared(C.hogs(p, DAEMONS)), "c6_bugs": lambda p: compared(C.bugs(p, DAEMONS)), "c7_skipped": lambda p: C.skipped_apps(p, DAEMONS, 100), "c8_relaxed_hogs": lambda p: compared(C.hogs(p, DAEMONS, 100, relaxed=True)),
     "c9_j_scores": c9_j_scores, "c10_correlations": c10_correlations, "c11_correlations_by_app": c11_correlations_by_app, "c12_group_variance": c12_group_variance, "c14_excluding": c14_excluding, "c14_slices": c14_slices,
-    "c15_ev_by_user_count": c15_ev_by_user_count, "c18_labels": c18_labels, "k1_results": k1_results, "k3_expire": k3_expire, "k4_remove_daemons": k4_remove_daemons,
+    "c15_ev_by_user_count": c15_ev_by_user_count, "c18_labels": c18_labels, "k3_expire": k3_expire, "k4_remove_daemons": k4_remove_daemons,
 }
 
 QUERIES = {name: with_points(f) for name, f in POINTS.items()} | {"d20_ks_signed": ks("signed"), "d21_ks_absolute": ks("absolute"), "d22_ks_weighted": ks("weighted")} | {
@@ -421,7 +445,7 @@ QUERIES = {name: with_points(f) for name, f in POINTS.items()} | {"d20_ks_signed
         p13_current_os, p14_limit_users, p15_current_os_rates, p16_exclude_daemons, p17_samples_text, p17_registrations_text, p18_rates_text, p19_point_rates, p20_by_rate,
         d1_a_priori, d2_frequencies, d3_prob_dist, d4_expected_value, d5_equal_histogram_ev, d6_log_histogram_ev, d7_rate_ev, d8_uniform_functions, d9_discretize, d10_xmax, d11_equal_histogram, d12_range_histogram,
         d13_log_histogram, d14_normalised_log_histogram, d15_range_log_histogram, d16_bucket_coordinates, d17_cdf, d18_upper_edge_log, d19_upper_edge_equal, d23_spread, d24_normalize, d25_pearson, d26_mixture_stddev,
-        d27_rounding, d28_ev_difference, d29_improvement, d30_compare_distributions, d31_evidence, d32_non_zero, c13_app_usage, c16_user_slice, k5_delete, k6_device, k9_plot_data, k12_larger_first,
+        d27_rounding, d28_ev_difference, d29_improvement, d30_compare_distributions, d31_evidence, d32_non_zero, c3_user_profile, c13_app_usage, c16_user_slice, k1_results, k5_delete, k6_device, k9_plot_data, k12_larger_first,
         s1_measurements, s6_fleet_text, s8_latest_registrations, s10_scan, s12_incremental, s16_replicate,
     )
 }

@@ -8,7 +8,9 @@ NO_DAEMONS = "app <> 'app0' AND NOT starts_with(app, 'app1')"
 RATES_OUT = "uuid, os, model, round(time1, 3) AS time1, round(time2, 3) AS time2, round(rate, 9) AS rate, round(rate_lo, 9) AS rate_lo, round(rate_hi, 9) AS rate_hi"
 DIST = "CASE WHEN ev = 0 AND ev_neg = 0 THEN 0 WHEN ev <> 0 THEN 1 - ev_neg / ev END"
 CMP_OUT = f"round(ev, 8) AS ev, round(ev_neg, 8) AS ev_neg, round({DIST}, 5) AS distance"
-HISTORY = I.ASOF + """, u AS (SELECT uuid, time, unnest(['state', 'event', 'os']) AS feature, unnest([state, event, os]) AS value FROM a),
+HISTORY = I.ASOF + """, u AS (SELECT uuid, time, unnest(['level', 'state', 'event', 'model', 'os', 'apps', 'kind']) AS feature,
+  unnest([round(level * 100)::BIGINT::VARCHAR, state, event, model, os, array_to_string(apps, ' '), kind[1]]) AS value FROM a
+  UNION ALL SELECT uuid, time, 'wifi', array_to_string(wifi, ' ') FROM a WHERE wifi IS NOT NULL),
 h AS (SELECT uuid, feature, time, value FROM (SELECT *, lag(value) OVER w AS b, row_number() OVER w AS k FROM u WINDOW w AS (PARTITION BY uuid, feature ORDER BY time, value)) WHERE k = 1 OR value IS DISTINCT FROM b)"""
 HIST = """, g20 AS (SELECT flag, b AS bucket FROM (SELECT DISTINCT flag FROM d), range(20) t(b)),
 h AS (SELECT flag, least(floor(x / 105.0 * 20), 19)::INT AS bucket, sum(p) AS mass FROM d GROUP BY ALL),
@@ -23,14 +25,14 @@ def centre(top: str, smallest: str) -> str:
     return f"((CASE WHEN bucket = 0 THEN 0 ELSE {top} * exp(-{step} * (20 - bucket)) END + {top} * exp(-{step} * (19 - bucket))) / 2)"
 
 
-RANGES = """, rr AS (SELECT os, coalesce(rate_lo, rate) AS lo, coalesce(rate_hi, rate) AS hi FROM r), rg AS (SELECT * FROM rr WHERE hi <= 0.004)"""
-RANGE_HIST = I.PAIRS + RANGES + """, g20 AS (SELECT os, b AS bucket, {edges} FROM (SELECT DISTINCT os FROM rg), range(20) t(b)),
+RANGES = """, rg AS (SELECT os, coalesce(rate_lo, rate) AS lo, coalesce(rate_hi, rate) AS hi FROM r), mx AS (SELECT max(hi) AS xm FROM rg)"""
+RANGE_HIST = I.PAIRS + RANGES + """, g20 AS (SELECT os, b AS bucket, xm, {edges} FROM (SELECT DISTINCT os FROM rg), range(20) t(b), mx),
 parts AS (SELECT g20.os, bucket, CASE WHEN lo = hi THEN 1.0::DOUBLE ELSE greatest(least(hi, e) - greatest(lo, s), 0) / (hi - lo) END AS part FROM g20 JOIN rg ON g20.os = rg.os AND
   CASE WHEN lo = hi THEN {place} = bucket ELSE lo < e AND hi > s END),
 sums AS (SELECT os, bucket, sum(part) AS mass FROM parts GROUP BY ALL)
 SELECT os, bucket::INT AS bucket, round(coalesce(mass, 0) / sum(mass) OVER (PARTITION BY os), {digits}) AS mass FROM g20 LEFT JOIN sums USING (os, bucket)"""
-STEP = "(ln(0.00401 / 0.00001) / 20)"
-KS = I.PRICES.replace("d AS", "d0 AS") + """, a AS (SELECT x, p FROM d0 WHERE flag = 'A'), b AS (SELECT x, p FROM d0 WHERE flag = 'N' AND x > 3), n AS (SELECT x, p / 1.0 AS p FROM b),
+STEP = "(ln(xm / 0.00001) / 20)"
+KS = I.PRICES.replace("d AS", "d0 AS") + """, a AS (SELECT x, p FROM d0 WHERE flag = 'A'), b AS (SELECT x, p FROM d0 WHERE flag = 'N'), n AS (SELECT x, p / 1.0 AS p FROM b),
 k AS (SELECT DISTINCT x FROM (SELECT x FROM a UNION ALL SELECT x FROM n)),
 f AS (SELECT k.x, coalesce((SELECT sum(p) FROM n WHERE n.x <= k.x), 0) - coalesce((SELECT sum(p) FROM a WHERE a.x <= k.x), 0) AS diff,
              (SELECT max(x) FROM a WHERE a.x <= k.x) AS la, (SELECT max(x) FROM n WHERE n.x <= k.x) AS lb FROM k)"""
@@ -52,6 +54,52 @@ up AS (SELECT pt.uuid, count(*) AS n_rates, sum(mass * mean) / nullif(sum(mass),
 pf AS (SELECT up.*, (SELECT count(*) FROM ua WHERE ua.uuid = up.uuid) AS n_apps, (SELECT sum(mass * mean) / nullif(sum(mass), 0) FROM pt WHERE pt.uuid <> up.uuid) AS ev_neg FROM up WHERE ev IS NOT NULL)"""
 
 
+def lb(xm: str) -> str:
+    return f"(CASE WHEN x > 0 THEN least(greatest(trunc(100 - ln({xm} / x) / (ln({xm} / 0.0001) / 100)), 0), 99) ELSE 0 END)::INT"
+
+
+TEXT = "string_agg(b::VARCHAR || ':' || floor({w} / t * 10000 + 0.500001)::BIGINT::VARCHAR, ',' ORDER BY b)"
+D30_SIDE = f"(SELECT {TEXT.format(w='w')} FROM (SELECT *, sum(w) OVER () AS t FROM (SELECT {lb('xmax')} AS b, sum(w) AS w FROM fq, z WHERE {{}}list_contains(apps, 'app3') GROUP BY 1)))"
+
+
+def sides(own: str, total: str, keys: str) -> str:
+    """Texts of both sides of each key, of tables (keys, b, w)."""
+    one = f"(SELECT {keys}, {TEXT.format(w='w')} AS prob FROM (SELECT *, sum(w) OVER (PARTITION BY {keys}) AS t FROM {own} WHERE w > 1e-9) GROUP BY {keys})"
+    two = f"(SELECT {keys}, {TEXT.format(w='w')} AS prob_neg FROM (SELECT *, sum(w) OVER (PARTITION BY {keys}) AS t FROM {total} WHERE w > 1e-9) GROUP BY {keys})"
+    return f"SELECT * FROM {one} LEFT JOIN {two} USING ({keys})"
+
+
+STORED = BUGS + PROFILE[len(I.POINTS) :] + I.FREQS[len(I.POINTS) :] + f""", us AS (SELECT uuid, list(app) AS al FROM ua GROUP BY uuid HAVING count(*) > 1),
+sm AS (SELECT us.uuid, pt.rate_id, pt.mass, pt.mean, len(list_intersect(al, apps)) >= ln(len(al)) AS sim FROM us, pt),
+cp AS (SELECT uuid, sum(mass * mean) FILTER (sim) / nullif(sum(mass) FILTER (sim), 0) AS ev, sum(mass * mean) FILTER (NOT sim) / nullif(sum(mass) FILTER (NOT sim), 0) AS ev_neg FROM sm GROUP BY uuid),
+gm AS (SELECT max(x) AS gx FROM fq),
+fb AS (SELECT rate_id, any_value(uuid) AS uuid, any_value(os) AS os, any_value(model) AS model, any_value(apps) AS apps, {lb('gx')} AS b, sum(w) AS w FROM fq, gm GROUP BY rate_id, {lb('gx')}),
+ft AS (SELECT b, sum(w) AS w FROM fb GROUP BY b),
+go AS (SELECT 'os' AS nature, os AS k, b, sum(w) AS w FROM fb GROUP BY ALL UNION ALL SELECT 'model', model, b, sum(w) FROM fb GROUP BY ALL
+       UNION ALL SELECT 'hog', app, b, sum(w) FROM (SELECT unnest(apps) AS app, b, w FROM fb) WHERE app IN (SELECT app FROM hg) GROUP BY ALL
+       UNION ALL SELECT 'similar', sm.uuid, b, sum(w) FROM sm JOIN fb USING (rate_id) WHERE sim GROUP BY ALL),
+gr AS (SELECT z.nature, z.k, ft.b, ft.w - coalesce(go.w, 0) AS w FROM (SELECT DISTINCT nature, k FROM go) z CROSS JOIN ft LEFT JOIN go ON go.nature = z.nature AND go.k = z.k AND go.b = ft.b),
+ga AS ({sides('go', 'gr', 'nature, k')}),
+ux AS (SELECT uuid, os, x, sum(w) AS w FROM fq GROUP BY ALL),
+ut AS (SELECT uuid, max(x) AS top FROM ux GROUP BY uuid),
+pr AS (SELECT n.uuid, greatest(n.top, (SELECT max(top) FROM ut WHERE ut.uuid <> n.uuid)) AS xm FROM (SELECT ux.uuid, max(x) AS top FROM ux JOIN cu ON cu.uuid = ux.uuid AND cu.os = ux.os GROUP BY ux.uuid) n),
+ro AS (SELECT ux.uuid, {lb('xm')} AS b, sum(w) AS w FROM ux JOIN cu ON cu.uuid = ux.uuid AND cu.os = ux.os JOIN pr ON pr.uuid = ux.uuid GROUP BY 1, 2),
+rm AS (SELECT ux.uuid, {lb('xm')} AS b, sum(w) AS w FROM ux JOIN pr ON pr.uuid = ux.uuid GROUP BY 1, 2),
+rt AS (SELECT xm, {lb('xm')} AS b, sum(w) AS w FROM ux, (SELECT DISTINCT xm FROM pr) GROUP BY 1, 2),
+rr AS (SELECT pr.uuid, rt.b, rt.w - coalesce(rm.w, 0) AS w FROM pr JOIN rt USING (xm) LEFT JOIN rm ON rm.uuid = pr.uuid AND rm.b = rt.b),
+rp AS ({sides('ro', 'rr', 'uuid')}),
+ax AS (SELECT app, uuid, os, x, sum(w) AS w FROM (SELECT unnest(apps) AS app, uuid, os, x, w FROM fq) WHERE app IN (SELECT app FROM bb) GROUP BY ALL),
+axt AS (SELECT app, uuid, max(x) AS top FROM ax GROUP BY ALL),
+br AS (SELECT n.app, n.uuid, greatest(n.top, (SELECT max(top) FROM axt WHERE axt.app = n.app AND axt.uuid <> n.uuid)) AS xm
+       FROM (SELECT ax.app, ax.uuid, max(x) AS top FROM ax JOIN cu ON cu.uuid = ax.uuid AND cu.os = ax.os GROUP BY ALL) n SEMI JOIN bb ON bb.app = n.app AND bb.uuid = n.uuid),
+bo AS (SELECT ax.app, ax.uuid, {lb('xm')} AS b, sum(w) AS w FROM ax JOIN cu ON cu.uuid = ax.uuid AND cu.os = ax.os JOIN br ON br.app = ax.app AND br.uuid = ax.uuid GROUP BY 1, 2, 3),
+bm AS (SELECT ax.app, ax.uuid, {lb('xm')} AS b, sum(w) AS w FROM ax JOIN br ON br.app = ax.app AND br.uuid = ax.uuid GROUP BY 1, 2, 3),
+bt AS (SELECT ax.app, xm, {lb('xm')} AS b, sum(w) AS w FROM ax JOIN (SELECT DISTINCT app, xm FROM br) d ON d.app = ax.app GROUP BY 1, 2, 3),
+bx AS (SELECT br.app, br.uuid, bt.b, bt.w - coalesce(bm.w, 0) AS w FROM br JOIN bt ON bt.app = br.app AND bt.xm = br.xm LEFT JOIN bm ON bm.app = br.app AND bm.uuid = br.uuid AND bm.b = bt.b),
+bp AS ({sides('bo', 'bx', 'app, uuid')})"""
+EVS = """SELECT {key} AS key, sum(mass * mean) / nullif(sum(mass), 0) AS ev, (SELECT sum(mass * mean) / nullif(sum(mass), 0) FROM pt b WHERE b.{key} <> a.{key}) AS ev_neg FROM pt a GROUP BY {key}"""
+
+
 def compare(key: str) -> str:
     return I.POINTS + f"""SELECT {key}, n, {CMP_OUT} FROM (SELECT {key}, count(*) AS n, sum(mass * mean) / nullif(sum(mass), 0) AS ev,
       (SELECT sum(mass * mean) / nullif(sum(mass), 0) FROM pt b WHERE b.{key} <> a.{key}) AS ev_neg FROM pt a GROUP BY {key}) WHERE ev IS NOT NULL AND ev_neg IS NOT NULL""".replace("SELECT", " SELECT", 1)
@@ -82,7 +130,7 @@ SQL = {
     "p4_unabridged_rates": f"WITH {I.PAIRS} SELECT uuid, count(*) AS n, sum((event2 = 'batterylevelchanged')::BIGINT)::BIGINT AS points, round(sum(CASE WHEN event2 = 'batterylevelchanged' THEN drain ELSE (lo + hi) / 2 END), 6) AS rate FROM p WHERE model <> 'Simulator' AND state1 <> 'charging' AND state2 <> 'charging' AND level1 - level2 >= 0 AND NOT (level1 = 0 AND level2 = 0) GROUP BY uuid",
     "p5_rates_of": f"WITH {P5}",
     "p6_rate_value": f"WITH {I.PAIRS} SELECT uuid, round(time2, 3) AS time2, round(drain, 9) AS point, round(lo, 9) + 0.0::DOUBLE AS lo, round(hi, 9) + 0.0::DOUBLE AS hi FROM p",
-    "p7_rate_attributes": f"WITH {I.PAIRS} SELECT uuid, round(time2, 3) AS time2, array_to_string(list_sort(list_distinct(list_concat(apps1, apps2))), ',') AS apps, array_to_string(list_sort(list_distinct(list_concat(string_split(event1, ' '), string_split(event2, ' ')))), ',') AS events FROM p",
+    "p7_rate_attributes": f"WITH {I.PAIRS} SELECT uuid, round(time2, 3) AS time2, array_to_string(list_sort(list_distinct(list_concat(apps1, apps2))), ',') AS apps, array_to_string(list_sort(list_distinct(list_concat(string_split(event1, ' '), string_split(event2, ' ')))), ',') AS events, 'kind=' || array_to_string(list_sort(list_distinct(list_concat(kind1, kind2))), '|') || CASE WHEN wifi1 IS NOT NULL OR wifi2 IS NOT NULL THEN ',wifi=' || array_to_string(list_sort(list_distinct(list_concat(coalesce(wifi1, []), coalesce(wifi2, [])))), '|') ELSE '' END AS features FROM p",
     "p8_plausible": f"WITH {I.PAIRS} SELECT uuid, count(*) AS n FROM c WHERE (reject_reason IS NULL OR reject_reason IN ('zero drain', 'abandoned')) AND (NOT point OR (drain > 0 AND drain <= 0.0005)) GROUP BY uuid",
     "p9_rejections": f"WITH {I.PAIRS} SELECT coalesce(reject_reason, CASE WHEN point THEN 'point' ELSE 'range' END) AS kind, count(*) AS n FROM c GROUP BY 1",
     "p10_feature_history": f"WITH {HISTORY} SELECT uuid, feature, round(time, 3) AS time, value FROM h",
@@ -92,7 +140,7 @@ SQL = {
     "p14_limit_users": f"WITH {I.PAIRS} SELECT uuid, count(*) AS n FROM r WHERE uuid IN (SELECT DISTINCT uuid FROM r ORDER BY uuid LIMIT 12) GROUP BY uuid",
     "p15_current_os_rates": f"WITH {I.PAIRS}, cu AS (SELECT uuid, max_by(os, time2) AS os FROM r GROUP BY uuid) SELECT r.uuid, r.os, count(*) AS n FROM r JOIN cu ON r.uuid = cu.uuid AND r.os = cu.os GROUP BY ALL",
     "p16_exclude_daemons": f"WITH {I.PAIRS} SELECT app, count(*) AS n FROM (SELECT unnest(apps) AS app FROM r) WHERE {NO_DAEMONS} GROUP BY app",
-    "p17_samples_text": f"WITH {I.SAMPLES} SELECT concat_ws(', ', uuid, floor(time)::BIGINT::VARCHAR, level::VARCHAR, event, state, array_to_string(apps, ' ')) AS line, count(*) AS n FROM s GROUP BY 1",
+    "p17_samples_text": f"WITH {I.SAMPLES} SELECT concat_ws(', ', uuid, floor(time)::BIGINT::VARCHAR, level::VARCHAR, event, state, array_to_string(apps, ' '), 'kind=' || kind[1], CASE WHEN wifi IS NOT NULL THEN 'wifi=[' || array_to_string(wifi, ' ') || ']' END) AS line, count(*) AS n FROM s GROUP BY 1",
     "p17_registrations_text": f"WITH {I.REGS} SELECT concat_ws(', ', uuid, model, os, floor(time)::BIGINT::VARCHAR) AS line FROM g",
     "p18_rates_text": f"WITH {I.PAIRS} SELECT uuid, floor(time2)::BIGINT AS time2, concat_ws(' ', uuid, os, model, CASE WHEN rate_lo IS NULL THEN printf('%.6f', rate) ELSE printf('%.6f', rate_lo) || '..' || printf('%.6f', rate_hi) END, array_to_string(apps, ',')) AS line FROM r",
     "p19_point_rates": f"WITH {I.PAIRS} SELECT uuid, round(time1, 3) AS time1, round(rate, 9) AS rate FROM r WHERE rate_lo IS NULL",
@@ -112,31 +160,31 @@ SELECT l_orderkey, l_linenumber, CASE WHEN lo = hi THEN 0.0501 >= lo - 0.0005 AN
 SELECT l_orderkey, l_linenumber, b - a + 1 AS n, round((a + b) * (b - a + 1) / 200.0::DOUBLE, 6) AS total FROM x""",
     "d10_xmax": f"WITH {I.PRICES} SELECT greatest((SELECT max(x) FROM d WHERE flag = 'A'), (SELECT max(x) FROM d WHERE flag = 'R')) AS xmax",
     "d11_equal_histogram": f"WITH {I.PRICES}{HIST} SELECT flag, bucket, round(mass, 6) AS mass FROM eq",
-    "d12_range_histogram": "WITH " + RANGE_HIST.format(edges="b * 0.00401 / 20 AS s, (b + 1) * 0.00401 / 20 AS e", place="least(floor(lo / 0.00401 * 20), 19)", digits=6),
+    "d12_range_histogram": "WITH " + RANGE_HIST.format(edges="b * xm / 20 AS s, (b + 1) * xm / 20 AS e", place="least(floor(lo / xm * 20), 19)", digits=6),
     "d13_log_histogram": f"WITH {I.PRICES}{LOGH} SELECT flag, bucket, round(mass, 6) AS mass FROM lg",
     "d14_normalised_log_histogram": f"WITH {I.PRICES}{LOGH} SELECT flag, bucket, round(mass, 6) AS mass, round(sum({centre('105.5', '0.7')} * mass) OVER (PARTITION BY flag), 6) AS ev, sum(mass) OVER (PARTITION BY flag) BETWEEN 0.99 AND 1.01 AS sums_to_one FROM lg",
-    "d15_range_log_histogram": "WITH " + RANGE_HIST.format(edges=f"CASE WHEN b = 0 THEN 0 ELSE 0.00401 * exp(-{STEP} * (20 - b)) END AS s, 0.00401 * exp(-{STEP} * (19 - b)) AS e", place=f"CASE WHEN lo > 0 THEN least(greatest(trunc(20 - ln(0.00401 / lo) / {STEP}), 0), 19) ELSE 0 END", digits=5),
+    "d15_range_log_histogram": "WITH " + RANGE_HIST.format(edges=f"CASE WHEN b = 0 THEN 0 ELSE xm * exp(-{STEP} * (20 - b)) END AS s, xm * exp(-{STEP} * (19 - b)) AS e", place=f"CASE WHEN lo > 0 THEN least(greatest(trunc(20 - ln(xm / lo) / {STEP}), 0), 19) ELSE 0 END", digits=5),
     "d16_bucket_coordinates": f"WITH {I.PRICES}{HIST} SELECT flag, bucket, round((bucket + 0.5) / 20 * 105.0, 6) AS equal, round({centre('105.0', '0.7')}, 6) AS log FROM eq",
     "d17_cdf": f"WITH {I.PRICES} SELECT flag, x, round(sum(p) OVER (PARTITION BY flag ORDER BY x), 6) AS cumulative FROM d WHERE x <> 106 UNION ALL SELECT DISTINCT flag, 106.0::DOUBLE, 1.0::DOUBLE FROM d",
     "d18_upper_edge_log": f"WITH {I.PRICES}, e AS (SELECT flag, 106.0::DOUBLE / pow(1.5::DOUBLE, 22 - i) AS edge, CASE WHEN i = 0 THEN -1 ELSE 106.0::DOUBLE / pow(1.5::DOUBLE, 23 - i) END AS below FROM (SELECT DISTINCT flag FROM d), range(23) t(i)) SELECT e.flag, round(edge, 6) AS edge, round(coalesce(sum(p), 0), 6) AS mass FROM e LEFT JOIN d ON d.flag = e.flag AND x <= edge AND x > below GROUP BY e.flag, edge",
     "d19_upper_edge_equal": f"WITH {I.PRICES}, e AS (SELECT flag, 106.5::DOUBLE / 20 * (i + 1) AS edge, 106.5::DOUBLE / 20 * i AS below FROM (SELECT DISTINCT flag FROM d), range(20) t(i)) SELECT e.flag, round(edge, 6) AS edge, round(coalesce(sum(p), 0), 6) AS mass FROM e LEFT JOIN d ON d.flag = e.flag AND x <= edge AND x > below GROUP BY e.flag, edge",
-    "d20_ks_signed": f"WITH {KS} SELECT round(greatest(max(diff), 0), 6) + 0.0::DOUBLE AS distance FROM f WHERE x IN (SELECT x FROM n)",
+    "d20_ks_signed": f"WITH {KS} SELECT round(greatest(max(diff), 0), 6) + 0.0::DOUBLE AS distance FROM f WHERE CASE WHEN (SELECT min(x) FROM a) > (SELECT min(x) FROM n) THEN x IN (SELECT x FROM a) ELSE x IN (SELECT x FROM n) END",
     "d21_ks_absolute": f"WITH {KS} SELECT round(max_by(diff, abs(diff)), 6) + 0.0::DOUBLE AS distance FROM f",
     "d22_ks_weighted": f"WITH {KS}, v AS (SELECT diff * (la - lb) / 2 AS z FROM f WHERE la IS NOT NULL AND lb IS NOT NULL) SELECT round(max_by(z, abs(z)), 6) + 0.0::DOUBLE AS distance FROM v",
     "d23_spread": f"WITH {I.MEASUREMENTS} SELECT series_id, round(avg(cents), 3) AS mean, round(var_pop(cents) * count(*), 3) AS sum_sq_dev, round(sqrt(var_pop(cents) * count(*)), 3) AS root FROM m GROUP BY series_id",
     "d24_normalize": f"WITH {I.MEASUREMENTS} SELECT series_id, num, cents, round((cents - avg(cents) OVER w) / nullif(sqrt(var_pop(cents) OVER w * count(*) OVER w), 0), 6) AS normalized FROM m WINDOW w AS (PARTITION BY series_id)",
-    "d25_pearson": f"WITH {I.MEASUREMENTS}, x AS (SELECT series_id, sum(cents)::DOUBLE AS x FROM m GROUP BY series_id), y AS (SELECT series_id, count(*)::DOUBLE AS y FROM m WHERE event_type = 'error' AND series_id % 5 > 0 GROUP BY series_id) SELECT round(corr(x, coalesce(y, 0)), 6) AS r FROM x LEFT JOIN y USING (series_id)",
+    "d25_pearson": f"WITH {I.MEASUREMENTS}, x AS (SELECT series_id, sum(cents)::DOUBLE AS x FROM m GROUP BY series_id), y AS (SELECT series_id, count(*)::DOUBLE AS y FROM m WHERE event_type = 'error' GROUP BY series_id) SELECT round(corr(x, coalesce(y, 0)), 6) AS r FROM x LEFT JOIN y USING (series_id)",
     "d26_mixture_stddev": f"WITH {I.PAIRS}{RANGES} SELECT os, round(avg((lo + hi) / 2), 8) AS ev, round(sqrt(greatest(avg((lo * lo + lo * hi + hi * hi) / 3) - pow(avg((lo + hi) / 2), 2), 0)), 8) AS stddev FROM rg GROUP BY os",
     "d27_rounding": "SELECT event_id, floor((value - 50.125) * 10.0 + 0.5) / 10.0 AS one, floor(value - 50.125 + 0.5)::BIGINT AS whole FROM events",
     "d28_ev_difference": "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_discount = 0 AND l_tax = 0 THEN 0 WHEN l_discount <> 0 THEN 1 - l_tax / l_discount END, 6) AS d FROM lineitem",
     "d29_improvement": """WITH x AS (SELECT l_orderkey, l_linenumber, round((CASE WHEN l_tax <> 0 THEN 100 / (l_tax / 1000) END - CASE WHEN l_discount <> 0 THEN 100 / (l_discount / 1000) END) / 3600, 6) AS hours FROM lineitem)
 SELECT l_orderkey, l_linenumber, hours, floor(hours / 24)::BIGINT AS days, round(hours - floor(hours / 24) * 24, 6) AS rest FROM x""",
-    "d30_compare_distributions": f"WITH {I.FREQS}, z AS (SELECT sum(x * w) FILTER (list_contains(apps, 'app3')) / sum(w) FILTER (list_contains(apps, 'app3')) AS ev, sum(x * w) FILTER (NOT list_contains(apps, 'app3')) / sum(w) FILTER (NOT list_contains(apps, 'app3')) AS ev_neg, max(x) AS xmax FROM fq) SELECT round(ev, 8) AS ev, round(ev_neg, 8) AS ev_neg, round(xmax, 8) AS xmax, round({DIST}, 5) AS distance FROM z",
+    "d30_compare_distributions": f"WITH {I.FREQS}, z AS (SELECT sum(x * w) FILTER (list_contains(apps, 'app3')) / sum(w) FILTER (list_contains(apps, 'app3')) AS ev, sum(x * w) FILTER (NOT list_contains(apps, 'app3')) / sum(w) FILTER (NOT list_contains(apps, 'app3')) AS ev_neg, max(x) AS xmax FROM fq) SELECT round(ev, 8) AS ev, round(ev_neg, 8) AS ev_neg, round(xmax, 8) AS xmax, round({DIST}, 5) AS distance, {D30_SIDE.format('')} AS prob, {D30_SIDE.format('NOT ')} AS prob_neg FROM z",
     "d31_evidence": f"WITH {I.POINTS} SELECT model, os, round(sum(mass * mean) / nullif(sum(mass), 0), 8) AS ev, count(*) AS n_rates, count(DISTINCT uuid) AS n_users FROM pt GROUP BY model, os HAVING count(*) >= 10",
     "d32_non_zero": f"WITH {I.PRICES}{HIST} SELECT flag, bucket, round(mass, 6) AS mass, round(sum(mass) OVER (PARTITION BY flag), 6) AS total FROM eq WHERE mass > 0",
     "c1_compare_os": "WITH " + compare("os"),
     "c2_compare_model": "WITH " + compare("model"),
-    "c3_user_profile": f"WITH {PROFILE} SELECT uuid, n_rates, n_apps, {CMP_OUT} FROM pf",
+    "c3_user_profile": f"WITH {STORED} SELECT p.uuid, n_rates, n_apps, {CMP_OUT}, coalesce((SELECT string_agg(app, ',' ORDER BY app) FROM ua WHERE ua.uuid = p.uuid), '') AS apps, round(xm, 8) AS xmax, prob, prob_neg FROM pf p JOIN pr ON pr.uuid = p.uuid JOIN rp ON rp.uuid = p.uuid WHERE ev IS NOT NULL AND ev_neg IS NOT NULL",
     "c4_similar_users": f"""WITH {PROFILE}, us AS (SELECT uuid, list(app) AS al FROM ua GROUP BY uuid HAVING count(*) > 1),
 sm AS (SELECT us.uuid, pt.mass, pt.mean, len(list_intersect(al, apps)) >= ln(len(al)) AS sim FROM us, pt),
 cp AS (SELECT uuid, count(*) FILTER (sim) AS n_similar, sum(mass * mean) FILTER (sim) / nullif(sum(mass) FILTER (sim), 0) AS ev, sum(mass * mean) FILTER (NOT sim) / nullif(sum(mass) FILTER (NOT sim), 0) AS ev_neg FROM sm GROUP BY uuid)
@@ -160,7 +208,14 @@ z AS (SELECT *, (SELECT sum(mass * mean) / sum(mass) FROM rest WHERE list_contai
 SELECT app, users, round(s / nullif(m, 0), 8) AS ev, n FROM (SELECT app, row_number() OVER w AS users, sum(m) OVER w AS m, sum(s) OVER w AS s, (sum(n) OVER w)::BIGINT AS n FROM g2 WINDOW w AS (PARTITION BY app ORDER BY uuid)) WHERE n >= 10""",
     "c16_user_slice": f"WITH {I.FREQS} SELECT round(x, 9) AS x, round(sum(w), 6) AS w FROM fq JOIN (SELECT rate_id FROM pt WHERE uuid = '7' AND time1 > 1704500000 AND time2 < 1706000000) USING (rate_id) GROUP BY x",
     "c18_labels": f"WITH {APPS} SELECT 'hog' AS nature, app AS key1, NULL::VARCHAR AS key2, 'Hog ' || app || ' running' AS title, 'Hog ' || app || ' not running' AS title_neg FROM hg UNION ALL SELECT 'os', os, NULL, 'OS ' || os || ' running', 'OS ' || os || ' not running' FROM (SELECT DISTINCT os FROM pt)",
-    "k1_results": f"WITH {BUGS} SELECT 'hog' AS nature, app AS key1, NULL::VARCHAR AS key2, round(ev, 8) AS ev, round(ev_neg, 8) AS ev_neg, round(distance, 5) AS distance, users_with, users_without FROM hg UNION ALL SELECT 'bug', app, uuid, round(ev, 8), round(ev_neg, 8), round(distance, 5), NULL, NULL FROM bb",
+    "k1_results": f"""WITH {STORED}, found AS (
+  SELECT 'os' AS nature, key AS key1, NULL::VARCHAR AS key2, gx AS xmax, ev, ev_neg, NULL::BIGINT AS users_with, NULL::BIGINT AS users_without, prob, prob_neg, NULL::VARCHAR AS apps FROM ({EVS.format(key='os')}) JOIN ga ON nature = 'os' AND k = key, gm
+  UNION ALL SELECT 'model', key, NULL, gx, ev, ev_neg, NULL, NULL, prob, prob_neg, NULL FROM ({EVS.format(key='model')}) JOIN ga ON nature = 'model' AND k = key, gm
+  UNION ALL SELECT 'similar', uuid, NULL, gx, ev, ev_neg, NULL, NULL, prob, prob_neg, NULL FROM cp JOIN ga ON nature = 'similar' AND k = uuid, gm
+  UNION ALL SELECT 'hog', app, NULL, gx, ev, ev_neg, users_with, users_without, prob, prob_neg, NULL FROM hg JOIN ga ON nature = 'hog' AND k = app, gm
+  UNION ALL SELECT 'result', p.uuid, NULL, xm, ev, ev_neg, NULL, NULL, prob, prob_neg, coalesce((SELECT string_agg(app, ',' ORDER BY app) FROM ua WHERE ua.uuid = p.uuid), '') FROM pf p JOIN pr ON pr.uuid = p.uuid JOIN rp ON rp.uuid = p.uuid
+  UNION ALL SELECT 'bug', b.app, b.uuid, xm, ev, ev_neg, NULL, NULL, prob, prob_neg, NULL FROM bb b JOIN br ON br.app = b.app AND br.uuid = b.uuid JOIN bp ON bp.app = b.app AND bp.uuid = b.uuid)
+SELECT nature, key1, key2, round(xmax, 8) AS xmax, {CMP_OUT}, users_with, users_without, prob, prob_neg, apps FROM found WHERE ev IS NOT NULL AND ev_neg IS NOT NULL""",
     "k3_expire": f"WITH {APPS} SELECT 'hog' AS nature, app AS key1 FROM hg",
     "k4_remove_daemons": f"WITH {APPS} SELECT 'hog' AS nature, app AS key1 FROM ca WHERE users_with >= 5 AND users_without >= 5",
     "k5_delete": f"WITH {I.SAMPLES} SELECT uuid, count(*) AS n FROM s WHERE NOT (uuid = '7' OR state = 'charging') GROUP BY uuid",
@@ -171,6 +226,6 @@ SELECT app, users, round(s / nullif(m, 0), 8) AS ev, n FROM (SELECT app, row_num
     "s6_fleet_text": "SELECT user_id::VARCHAR AS uuid, epoch_us(ts) // 1000000 AS time, round((event_id % 101) / 100, 2) AS level, 'changed' AS event, CASE WHEN event_type = 'error' THEN 'charging' ELSE 'unplugged' END AS state, 'Mail,Maps' AS apps FROM events",
     "s8_latest_registrations": f"WITH {I.REGS} SELECT uuid, max_by(model, time) AS model, max_by(os, time) AS os FROM g GROUP BY uuid",
     "s10_scan": "SELECT event_id, value FROM events WHERE event_type = 'click' AND user_id IN (3, 7, 11) AND value > 20",
-    "s12_incremental": f"WITH {I.SAMPLES} SELECT uuid, count(*) AS n, round((SELECT max(time) FROM s), 3) AS watermark FROM s WHERE time > 1706000000 GROUP BY uuid",
+    "s12_incremental": f"WITH {I.SAMPLES} SELECT uuid, count(*) AS n, round((SELECT max(time) FROM s), 3) AS watermark FROM s GROUP BY uuid",
     "s16_replicate": f"WITH {I.SAMPLES}, z AS (SELECT CASE WHEN k = 0 THEN uuid ELSE uuid || '-' || k::VARCHAR END AS uuid, time + k * 2678400 AS time FROM s, range(3) t(k)) SELECT uuid, count(*) AS n, round(max(time), 3) AS last FROM z GROUP BY uuid",
 }

@@ -95,8 +95,8 @@ def l14_section_filter(spark, sf_dir):
 
 
 def l15_record_sizes(spark, sf_dir):
-    samples = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("time"), (F.length("props") % 5).alias("k"))
-    return L.record_sizes(samples, features="k").select("time", F.round("kilobytes", 6).alias("kilobytes"))
+    samples = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("time"), (F.length("props") % 5).alias("k"), F.length("props").cast("long").alias("packed"))
+    return L.record_sizes(samples, features="k", packed="packed").select("time", F.round("kilobytes", 6).alias("kilobytes"), "packed")
 
 
 def s3_node_logs(spark, sf_dir):
@@ -129,6 +129,6 @@ SELECT date, node, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM h
     "l13_timing_summary": "SELECT event_type || CASE WHEN event_id % 2 = 0 THEN ' caller' || (event_id % 3)::VARCHAR ELSE '' END AS name, round(sum(round(value * 100)), 3) AS total_ms, round(avg(round(value * 100)), 3) AS mean_ms FROM events GROUP BY 1",
     "l14_section_filter": """WITH x AS (SELECT user_id AS file, event_id AS pos, event_type, last_value(CASE WHEN event_type = 'signup' THEN 'u' || event_id::VARCHAR END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS uuid FROM events)
 SELECT file, pos, uuid, event_type || ' ' || (pos % 2)::VARCHAR || ' ' || (pos % 3)::VARCHAR AS value FROM x WHERE uuid IS NOT NULL AND event_type NOT IN ('signup', 'error') AND NOT (pos % 2 = 0 AND pos % 3 = 0)""",
-    "l15_record_sizes": "SELECT event_id AS time, round((20 + 36 + (length(props) % 5) * 23 + 40 + 4 + 10 + 50) / 1000, 6) AS kilobytes FROM events",
+    "l15_record_sizes": "SELECT event_id AS time, round((20 + 36 + (length(props) % 5) * 23 + 40 + 4 + 10 + 50) / 1000, 6) AS kilobytes, length(props) AS packed FROM events",
     "s3_node_logs": """SELECT CASE WHEN event_type = 'view' THEN '-' ELSE event_type END AS tag, event_id AS epoch, strftime(ts, '%Y.%m.%d') AS date, 'n' || user_id::VARCHAR AS node, strftime(ts, '%b') AS month, day(ts)::INT AS day, hour(ts)::INT AS hour, props AS rest FROM events""",
 }

@@ -144,6 +144,60 @@ def r12_checkpoint_runs_list(spark, sf_dir):
     return rounded(S.detect_runs_by_checkpoint(rows, 5000.0, [50000.0, 150000.0, 100000.0], power="cents", interval=43200.0, shortest=43200.0), "start_s", "end_s", "duration_s", "watt_hours", decimals=3)
 
 
+def checkpoint_sql(least: str) -> str:
+    """The fold over checkpoints as a recursion over their numbers; ``least`` is in terms of the runs found so far."""
+    return f"""WITH RECURSIVE {I.MEASUREMENTS}, x AS (SELECT series_id, num, time_s - 1704067200 AS t, cents, coalesce(lag(cents) OVER w * (time_s - lag(time_s) OVER w), 0) AS work FROM m WINDOW w AS (PARTITION BY series_id ORDER BY num)),
+sl AS (SELECT series_id, floor(t / 43200) AS slot, avg(cents) < 5000 AS idle, sum(work) AS work, min(t) AS f, max(t) AS last_t FROM x GROUP BY ALL),
+mk AS (SELECT *, lead(f) OVER w AS e, row_number() OVER w AS k, count(*) OVER (PARTITION BY series_id) AS n FROM sl WINDOW w AS (PARTITION BY series_id ORDER BY slot)),
+st AS (
+  SELECT series_id, 0::BIGINT AS k, 0.0::DOUBLE AS began, 0.0::DOUBLE AS work, 0 AS found, NULL::DOUBLE AS s, NULL::DOUBLE AS e, NULL::DOUBLE AS done FROM mk WHERE k = 1
+  UNION ALL
+  SELECT st.series_id, mk.k, CASE WHEN marks AND (short OR emits) THEN mk.e ELSE st.began END, CASE WHEN marks AND (short OR emits) THEN 0 ELSE st.work + mk.work END, st.found + (marks AND emits)::INT,
+         CASE WHEN marks AND emits THEN st.began END, CASE WHEN marks AND emits THEN mk.e END, CASE WHEN marks AND emits THEN st.work + mk.work END
+  FROM st JOIN mk ON mk.series_id = st.series_id AND mk.k = st.k + 1, LATERAL (SELECT mk.idle AND mk.e IS NOT NULL AND mk.e > st.began AS marks, mk.e <= st.began + 43200 AS short, mk.e > st.began + 43200 AND mk.e > st.began + {least} AS emits)
+)
+SELECT series_id, round(s, 3) AS start_s, round(e, 3) AS end_s, round(e - s, 3) AS duration_s, round(done / 1000 / 3600, 3) AS watt_hours, false AS is_tail FROM st WHERE s IS NOT NULL
+UNION ALL SELECT st.series_id, round(began, 3), round(last_t, 3), round(last_t - began, 3), round(st.work / 1000 / 3600, 3), true FROM st JOIN mk ON mk.series_id = st.series_id AND mk.k = st.k WHERE mk.k = mk.n"""
+
+
+R11_SQL = checkpoint_sql("100000")
+R12_SQL = checkpoint_sql("CASE st.found WHEN 0 THEN 50000 WHEN 1 THEN 150000 ELSE 100000 END")
+
+
+def long_series(spark, sf_dir):
+    return I.one_series(spark, sf_dir).withColumn("time_s", F.col("time_s") - 1704067200)
+
+
+def r13_integrate_long_series(spark, sf_dir):
+    return rounded(S.integrate_power(long_series(spark, sf_dir), power="cents", ends="event_type = 'error'", chunk_rows=CHUNK), "duration_s", "watt_hours", decimals=2)
+
+
+def r10_gaps_long_series(spark, sf_dir):
+    return rounded(S.find_gaps(long_series(spark, sf_dir), step=300.0, tolerance=300.0, chunk_rows=CHUNK), "from_s", "to_s", "step_s", decimals=3)
+
+
+def r14_downsample_long_series(spark, sf_dir):
+    return rounded(S.downsample_by_count(long_series(spark, sf_dir), 8, power="cents", chunk_rows=CHUNK), "time_s", "mw", decimals=2)
+
+
+def r17_battery_curve_long_series(spark, sf_dir):
+    return rounded(S.battery_curve(long_series(spark, sf_dir), 1e9, 100.0, span=10, current="cents", chunk_rows=CHUNK), "end_s", "level", decimals=2)
+
+
+LONG = I.ONE_SERIES.replace("epoch_us(ts) / 1e6", "epoch_us(ts) / 1e6 - 1704067200")
+LONG_SQL = {
+    "r13_integrate_long_series": f"""WITH {LONG}, x AS (
+  SELECT series_id, time_s, coalesce(sum((event_type = 'error')::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment,
+         coalesce(lag(time_s) OVER w, time_s) AS f, lag(cents) OVER w * (time_s - lag(time_s) OVER w) AS work FROM m WINDOW w AS (PARTITION BY series_id ORDER BY num))
+SELECT series_id, segment::BIGINT AS segment, round(max(time_s) - min(f), 2) AS duration_s, round(coalesce(sum(work), 0) / 1000 / 3600, 2) AS watt_hours FROM x GROUP BY series_id, segment""",
+    "r10_gaps_long_series": f"WITH {LONG}, g AS (SELECT series_id, lag(time_s) OVER (ORDER BY num) AS f, time_s AS t FROM m) SELECT series_id, round(f, 3) AS from_s, round(t, 3) AS to_s, round(t - f, 3) AS step_s FROM g WHERE abs(t - f - 300.0) > 300.0",
+    "r14_downsample_long_series": f"WITH {LONG}, z AS (SELECT *, (row_number() OVER (ORDER BY num) - 1) // 8 AS block FROM m) SELECT series_id, block, count(*) AS n, round(avg(time_s), 2) AS time_s, round(avg(cents), 2) AS mw FROM z GROUP BY series_id, block",
+    "r17_battery_curve_long_series": f"""WITH {LONG}, bl AS (SELECT series_id, block, max_by(time_s, num) AS end_s, sum(cents) AS ma FROM (SELECT *, (row_number() OVER (ORDER BY num) - 1) // 10 AS block FROM m) GROUP BY series_id, block),
+us AS (SELECT *, (end_s - coalesce(lag(end_s) OVER (ORDER BY block), 0)) * ma / 10 / 3600 AS used FROM bl)
+SELECT series_id, block, round(end_s, 2) AS end_s, round((1e9 - sum(used) OVER (ORDER BY block)) / 1e9 * 100, 2) AS level FROM us""",
+}
+
+
 def r13_integrate_power(spark, sf_dir):
     return rounded(S.integrate_power(I.measurements(spark, sf_dir), power="cents", ends="event_type = 'error'"), "duration_s", "watt_hours", decimals=3)
 
@@ -219,11 +273,15 @@ R20_SQL = f"""WITH {I.MEASUREMENTS} SELECT series_id, num, event_type || CASE WH
 
 
 def intervals_of(spark, sf_dir):
-    m = I.measurements(spark, sf_dir).where("num <= 12 and series_id < 10")
-    return m.select((F.col("series_id") * 100 + F.col("num")).alias("interval_id"), F.floor("time_s").cast("double").alias("t0"), (F.floor("time_s") + 400000).cast("double").alias("t1"))
+    """One interval from the beginning of each day that has measurements."""
+    days = I.measurements(spark, sf_dir).select(F.floor(F.col("time_s") / 86400).alias("interval_id")).distinct()
+    return days.select("interval_id", (F.col("interval_id") * 86400).cast("double").alias("t0"), (F.col("interval_id") * 86400 + 400000).cast("double").alias("t1"))
 
 
-SLOPES = """, iv AS (SELECT series_id * 100 + num AS interval_id, floor(time_s) AS t0, floor(time_s) + 400000 AS t1 FROM m WHERE num <= 12 AND series_id < 10),
+DAYS = ", iv AS (SELECT DISTINCT floor(time_s / 86400)::BIGINT AS interval_id, floor(time_s / 86400) * 86400 AS t0, floor(time_s / 86400) * 86400 + 400000 AS t1 FROM m)"
+DRAWN = """, dr AS (SELECT i AS interval_id, a + ('0x' || substr(md5('1:0:' || i::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * (b - a) AS p, a + ('0x' || substr(md5('1:1:' || i::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * (b - a) AS q
+  FROM range(60) t(i), (SELECT min(time_s) AS a, max(time_s) AS b FROM m)), iv AS (SELECT interval_id, least(p, q) AS t0, greatest(p, q) AS t1 FROM dr)"""
+SLOPES = """,
 u AS (SELECT DISTINCT series_id FROM m),
 e AS (SELECT u.series_id, interval_id, t0, t1, (SELECT max(time_s) FROM m WHERE m.series_id = u.series_id) AS fin FROM u, iv),
 x AS (SELECT *, coalesce((SELECT min(time_s) FROM m WHERE m.series_id = e.series_id AND time_s >= t0), fin) AS x0, coalesce((SELECT min(time_s) FROM m WHERE m.series_id = e.series_id AND time_s >= t1), fin) AS x1 FROM e),
@@ -234,14 +292,15 @@ def r21_slopes_between(spark, sf_dir):
     return rounded(S.slopes_between(I.measurements(spark, sf_dir), intervals_of(spark, sf_dir), value="cents"), "slope")
 
 
-R21_SQL = f"WITH {I.MEASUREMENTS}{SLOPES} SELECT series_id, interval_id, round(slope, 6) AS slope FROM sl"
+R21_SQL = f"WITH {I.MEASUREMENTS}{DAYS}{SLOPES} SELECT series_id, interval_id, round(slope, 6) AS slope FROM sl"
 
 
 def r22_slope_histogram(spark, sf_dir):
-    return S.slope_histogram(I.measurements(spark, sf_dir), intervals_of(spark, sf_dir), value="cents", decimals=2)
+    m = I.measurements(spark, sf_dir)
+    return S.slope_histogram(m, S.random_intervals(m, 60), value="cents", decimals=2)
 
 
-R22_SQL = f"WITH {I.MEASUREMENTS}{SLOPES} SELECT series_id, round(slope, 2) + 0.0 AS slope, count(*) AS n FROM sl GROUP BY ALL"
+R22_SQL = f"WITH {I.MEASUREMENTS}{DRAWN}{SLOPES} SELECT series_id, round(slope, 2) + 0.0 AS slope, count(*) AS n FROM sl GROUP BY ALL"
 
 
 def r23_series_stats(spark, sf_dir):
@@ -256,6 +315,7 @@ QUERIES = {
     "r8_run_energy": r8_run_energy, "r9_total_energy": r9_total_energy, "r10_find_gaps": r10_find_gaps, "r11_checkpoint_runs": r11_checkpoint_runs, "r12_checkpoint_runs_list": r12_checkpoint_runs_list,
     "r13_integrate_power": r13_integrate_power, "r14_downsample": r14_downsample, "r15_downsample_runs": r15_downsample_runs, "r16_downsample_first": r16_downsample_first, "r17_battery_curve": r17_battery_curve,
     "r18_battery_curve_by_mean": r18_battery_curve_by_mean, "r19_label_by_schedule": r19_label_by_schedule, "r20_mark_ends": r20_mark_ends, "r21_slopes_between": r21_slopes_between, "r22_slope_histogram": r22_slope_histogram, "r23_series_stats": r23_series_stats,
+    "r10_gaps_long_series": r10_gaps_long_series, "r13_integrate_long_series": r13_integrate_long_series, "r14_downsample_long_series": r14_downsample_long_series, "r17_battery_curve_long_series": r17_battery_curve_long_series,
 }
 
 SQL = {
@@ -263,4 +323,5 @@ SQL = {
     "r5_hour_buckets": R5_SQL, "r6_bucket_with": R6_SQL, "r7_time_buckets": R7_SQL, "r8_run_energy": R8_SQL, "r9_total_energy": R9_SQL, "r10_find_gaps": R10_SQL, "r13_integrate_power": R13_SQL,
     "r14_downsample": R14_SQL, "r15_downsample_runs": R15_SQL, "r16_downsample_first": R16_SQL, "r17_battery_curve": R17_SQL, "r18_battery_curve_by_mean": R18_SQL, "r19_label_by_schedule": R19_SQL,
     "r20_mark_ends": R20_SQL, "r21_slopes_between": R21_SQL, "r22_slope_histogram": R22_SQL, "r23_series_stats": R23_SQL,
+    "r11_checkpoint_runs": R11_SQL, "r12_checkpoint_runs_list": R12_SQL, **LONG_SQL,
 }

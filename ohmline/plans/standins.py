@@ -91,6 +91,10 @@ def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type").isin("click", "view", "purchase"), "batterylevelchanged").otherwise("screen on").alias("event"),
         F.when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0), "charging").otherwise("unplugged").alias("state"),
         F.array_distinct(F.array(app(F.col("event_id"), 23), app(F.col("user_id"), 11), app(cents, 7))).alias("apps"),
+        F.map_filter(
+            F.create_map(F.lit("kind"), F.array("event_type"), F.lit("wifi"), F.array(F.concat(F.lit("net"), (F.col("event_id") % 3).cast("string")), F.concat(F.lit("net"), (F.col("event_id") % 5).cast("string")))),
+            lambda k, _: (k == "kind") | (F.col("event_id") % 4 > 0),
+        ).alias("features"),
     )
 
 
@@ -98,7 +102,8 @@ SAMPLES = """s AS (
   SELECT user_id::VARCHAR AS uuid, epoch_us(ts) / 1e6 AS time, (round(value * 100)::BIGINT % 101) / 100.0::DOUBLE AS level,
          CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'batterylevelchanged' ELSE 'screen on' END AS event,
          CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'charging' ELSE 'unplugged' END AS state,
-         list_sort(list_distinct(['app' || (event_id % 23)::VARCHAR, 'app' || (user_id % 11)::VARCHAR, 'app' || (round(value * 100)::BIGINT % 7)::VARCHAR])) AS apps
+         list_sort(list_distinct(['app' || (event_id % 23)::VARCHAR, 'app' || (user_id % 11)::VARCHAR, 'app' || (round(value * 100)::BIGINT % 7)::VARCHAR])) AS apps,
+        [event_type] AS kind, CASE WHEN event_id % 4 > 0 THEN list_sort(['net' || (event_id % 3)::VARCHAR, 'net' || (event_id % 5)::VARCHAR]) END AS wifi
   FROM events)"""
 
 
@@ -114,7 +119,8 @@ ASOF = f"""{REGS}, {SAMPLES}, a AS (
 
 PAIRS = ASOF + """, q AS (
   SELECT uuid, os, model, lag(time) OVER w AS time1, time AS time2, lag(level) OVER w AS level1, level AS level2, lag(event) OVER w AS event1, event AS event2,
-         lag(state) OVER w AS state1, state AS state2, lag(apps) OVER w AS apps1, apps AS apps2
+         lag(state) OVER w AS state1, state AS state2, lag(apps) OVER w AS apps1, apps AS apps2,
+         lag(kind) OVER w AS kind1, kind AS kind2, lag(wifi) OVER w AS wifi1, wifi AS wifi2
   FROM a WINDOW w AS (PARTITION BY uuid ORDER BY time, event, level)
 ), p AS (
   SELECT *, (level1 - level2) * 100 / (time2 - time1) AS drain, event1 = 'batterylevelchanged' AND event2 = 'batterylevelchanged' AS point,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import threading
 import uuid
 
 from pyspark import cloudpickle
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting by which a finished write drops its shuffle files at once, not when the driver collects garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Held while the setting is changed: one table is written at a time.
+WRITING = threading.RLock()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ohmline/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
+    with WRITING:
+        before = spark.conf.get(CLEAN_UP, "false")
+        spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ohmline.operators.segments import positioned
 from ohmline.shared import cut, ship
 
 ship(__name__)
@@ -20,8 +21,13 @@ MONTH_SECONDS = 31 * 24 * 3600
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, value) of the lines of text files; ``pos`` rises within a file."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
+    """(file, pos, value) of the lines of text files; ``pos`` rises within a file.
+
+    A large file is read in blocks. A line's place is where its block begins plus its number in the task that reads it,
+    which is less than the bytes of a block, so the places of a block's lines come before those of the next block.
+    """
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + in_task).alias("pos"), "value")
     return lines.where("value <> ''")
 
 
@@ -164,6 +170,36 @@ def scan(table: DataFrame, *, equal: dict | None = None, among: dict[str, Sequen
     return table.select(*columns) if columns else table
 
 
+def pages(table: DataFrame, order: str, rows: int = 100, keys: Sequence[str] = ()) -> DataFrame:
+    """``table`` with ``page``: ``rows`` rows to a page in the order of a number column (nulls have no page), a page whole in one partition."""
+    return positioned(table, list(keys), order, 100 * rows).withColumn("page", F.floor((F.col("__pos") - 1) / rows)).drop("__pos").repartition(*keys, "page")
+
+
+def saved_watermark(spark: SparkSession, path: str) -> float | None:
+    """The watermark kept at ``path``; null if there is none yet."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    row = spark.read.schema("watermark double").parquet(path).first()
+    return row and row["watermark"]
+
+
+def load_incrementally(table: DataFrame, kept: str, mark: str, *, time: str = "time", merge: bool = True) -> DataFrame:
+    """Append what is newer than the watermark at ``mark`` to the table at ``kept``, move the watermark, and read the table.
+
+    Without ``merge`` old and new rows are never mixed: if there is anything new, the whole table is written anew.
+    """
+    spark = table.sparkSession
+    before = saved_watermark(spark, mark)
+    fresh, moved = incremental(table, before, time=time)
+    if before is None or merge:
+        fresh.write.mode("append").parquet(kept)
+    elif not fresh.isEmpty():
+        save_replacing(table, kept)
+    save_replacing(moved.select(F.col("watermark").cast("double")), mark)
+    return spark.read.schema(table.schema).parquet(kept)
+
+
 def incremental(table: DataFrame, watermark: float | None, *, time: str = "time") -> tuple[DataFrame, DataFrame]:
     """Rows newer than the watermark (all, if there is none), and the one-row table of the next watermark."""
     fresh = table if watermark is None else table.where(F.col(time) > watermark)
@@ -194,16 +230,20 @@ def save_replacing(table: DataFrame, path: str) -> None:
     fs.delete(hadoop(f"{path}.old"), True)
 
 
-def fix_decimal_comma(lines: DataFrame, *, text: str = "value", order: str = "pos", series: str = "file") -> DataFrame:
-    """(series_id, num, time_s, current_ma, voltage_v) of rows whose decimal commas were read as separators."""
+def fix_decimal_comma(lines: DataFrame, *, text: str = "value", order: str = "pos", series: str = "file", chunk_rows: int | None = None) -> DataFrame:
+    """(series_id, num, time_s, current_ma, voltage_v) of rows whose decimal commas were read as separators.
+
+    With ``chunk_rows`` a long series is numbered in chunks.
+    """
     part = F.split(text, ",")
     joined = lambda i: F.concat_ws(".", F.get(part, F.lit(i)), F.get(part, F.lit(i + 1))).try_cast("double")
-    w = Window.partitionBy(series).orderBy(order)
     fixed = lines.withColumns({"__t": joined(0), "__c": joined(2), "__v": joined(4)}).where("__t is not null and __c is not null and __v is not null")
-    return fixed.select(
+    first = fixed.groupBy(F.col(series).alias("__series")).agg(F.min_by("__t", order).alias("__first"))
+    placed = positioned(fixed, [series], order, chunk_rows).join(first, F.col(series).eqNullSafe(F.col("__series")))
+    return placed.select(
         F.col(series).alias("series_id"),
-        (F.row_number().over(w) - 1).cast("long").alias("num"),
-        (F.col("__t") - F.first("__t").over(w)).alias("time_s"),
+        (F.col("__pos") - 1).alias("num"),
+        (F.col("__t") - F.col("__first")).alias("time_s"),
         F.col("__c").alias("current_ma"),
         F.col("__v").alias("voltage_v"),
     )
@@ -291,7 +331,11 @@ def read_power_captures(spark: SparkSession, path: str) -> DataFrame:
     measured voltage is that of the main channel, or of the auxiliary one if the status packet says so, and
     counts half on old hardware. Missing samples have current 0 and are flagged.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return decode_captures(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def decode_captures(files: DataFrame) -> DataFrame:
+    """The same of a table of (name, content)."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

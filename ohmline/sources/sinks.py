@@ -19,11 +19,6 @@ def result_rows(comparisons: DataFrame) -> DataFrame:
     return comparisons.select(*[(F.col(c) if c in have else F.lit(None)).cast(kinds.get(c, "double")).alias(c) for c in RESULT_COLUMNS])
 
 
-def packed_histogram(hist: DataFrame, group: Sequence[str], name: str = "prob") -> DataFrame:
-    """One row for each group with its histogram as an array in bucket order."""
-    return hist.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("bucket", "mass"))).alias(name))
-
-
 def write_results(results: DataFrame, path: str, dry: bool = False) -> DataFrame:
     """Results by nature; only the natures that ``results`` has are replaced. A dry run writes nothing."""
     rows = result_rows(results)

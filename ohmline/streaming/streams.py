@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ohmline.operators.segments import BucketDetector, KeyChangeDetector, MovingAverageDetector, RunDetector
 from ohmline.shared import ship
 
 ship(__name__)
@@ -31,52 +33,82 @@ def node_hour_counts(lines: DataFrame, *, ts: str = "ts", node: str = "node", la
     return counts.select(F.col("window.start").alias("start"), node, "n")
 
 
-def stateful(rows: DataFrame, step: Callable[[tuple, Any], tuple[tuple, Any]], start: tuple, state: str, *, series: Sequence[str], order: str, added: Sequence[T.StructField]) -> DataFrame:
-    """Each series' rows through ``step(state, row) -> (state, added values or None)``, keeping the state between batches.
+def stateful(rows: DataFrame, start: Callable[[], Any], step: Callable[[Any, Any], Iterator[tuple]], *, series: Sequence[str], order: str, added: Sequence[T.StructField]) -> DataFrame:
+    """What ``step(state, row)`` gives for each series' rows: (row, added values); ``start`` makes the first state.
 
-    Rows of a micro-batch are taken in order; a series' rows must come in order from batch to batch.
+    The state is kept, pickled, from batch to batch. Rows of a micro-batch are taken in order; a series' rows must
+    come in order from batch to batch.
     """
+    columns = rows.columns
     schema = T.StructType([*rows.schema.fields, *added])
     names = [f.name for f in schema.fields]
 
     def fold(_key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(held.get) if held.exists else start
+        state = cloudpickle.loads(held.get[0]) if held.exists else start()
         out = []
         for batch in [pd.concat(list(batches)).sort_values(order)]:
-            for row in batch.itertuples(index=False, name="Row"):
-                now, values = step(now, row)
-                if values is not None:
-                    out.append((*row, *values))
-        held.update(now)
+            for values in batch[columns].itertuples(index=False, name=None):
+                out += [(*row, *more) for row, more in step(state, Row(dict(zip(columns, values))))]
+        held.update((cloudpickle.dumps(state),))
         yield pd.DataFrame(out, columns=names)
 
-    return rows.groupBy(*series).applyInPandasWithState(fold, schema, state, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(*series).applyInPandasWithState(fold, schema, "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_buckets(rows: DataFrame, key: Callable[[Any], str], *, series: Sequence[str] = ("series_id",), order: str = "num") -> DataFrame:
-    """``rows`` of a stream with ``bucket_id``: a new one where ``key`` (a text) of a row differs from the row before."""
+class Row:
+    """A row as detectors see it: its values by name, and in order."""
 
-    def step(state: tuple, row: Any) -> tuple[tuple, Any]:
-        bucket, last, any_ = state
-        now = key(row)
-        bucket += int(any_ and now != last)
-        return (bucket, now, True), (bucket,)
+    def __init__(self, values: dict[str, Any]):
+        self.__dict__ |= values
 
-    return stateful(rows, step, (0, "", False), "bucket long, last string, seen boolean", series=series, order=order, added=[T.StructField("bucket_id", T.LongType())])
+    def __iter__(self) -> Iterator[Any]:
+        return iter(self.__dict__.values())
 
 
-def stream_runs(rows: DataFrame, threshold: float, window: int, power: Callable[[Any], float], *, series: Sequence[str] = ("series_id",), order: str = "num") -> DataFrame:
-    """Active rows of a stream with ``run_id``: the mean power of the last ``window`` rows is at least ``threshold``.
+class Held:
+    """A detector and what has been found so far."""
 
-    The state holds the last powers, so a run goes on from batch to batch. Rows before a run's first active row
-    have been sent on already and are not repeated.
+    def __init__(self, detector: Any, found: int = 0):
+        self.detector, self.found, self.inside, self.first = detector, found, False, True
+        detector.reset()
+
+
+def stream_buckets_with(rows: DataFrame, make: Callable[[], BucketDetector], *, series: Sequence[str] = ("series_id",), order: str = "num") -> DataFrame:
+    """``rows`` of a stream with ``bucket_id`` from 0, as a user's detector starts buckets."""
+
+    def step(held: Held, row: Any) -> Iterator[tuple]:
+        turn = held.detector.update(row)
+        held.found, held.first = held.found + int(bool(turn) and not held.first), False
+        yield row, (held.found,)
+
+    return stateful(rows, lambda: Held(make()), step, series=series, order=order, added=[T.StructField("bucket_id", T.LongType())])
+
+
+def stream_runs_with(rows: DataFrame, make: Callable[[], RunDetector], *, series: Sequence[str] = ("series_id",), order: str = "num") -> DataFrame:
+    """Rows of the runs of a stream, with ``run_id`` from 1, as a user's detector finds them.
+
+    When it enters a run, what ``lead_in`` gives stands before the row, also if it came in an earlier batch.
     """
 
-    def step(state: tuple, row: Any) -> tuple[tuple, Any]:
-        run, inside, last = state
-        last = [*last, float(power(row))][-window:]
-        active = len(last) == window and sum(last) >= threshold * window
-        run += int(active and not inside)
-        return (run, active, last), ((run,) if active else None)
+    def step(held: Held, row: Any) -> Iterator[tuple]:
+        held.detector.update(row)
+        now = held.detector.ready() and held.detector.in_run()
+        if now and not held.inside:
+            held.found += 1
+            for before in held.detector.lead_in():
+                yield before, (held.found,)
+        if now:
+            yield row, (held.found,)
+        held.inside = now
+
+    return stateful(rows, lambda: Held(make()), step, series=series, order=order, added=[T.StructField("run_id", T.LongType())])
+
+
+def stream_buckets(rows: DataFrame, key: Callable[[Any], Any], **options) -> DataFrame:
+    """``rows`` of a stream with ``bucket_id``: a new one where ``key`` of a row differs from the row before."""
+    return stream_buckets_with(rows, lambda: KeyChangeDetector(key), **options)
+
 
-    return stateful(rows, step, (0, False, []), "run long, inside boolean, last array<double>", series=series, order=order, added=[T.StructField("run_id", T.LongType())])
+def stream_runs(rows: DataFrame, threshold: float, window: int, power: Callable[[Any], float], **options) -> DataFrame:
+    """Rows of the runs of a stream: the mean power of the last ``window`` rows is at least ``threshold``, as in ``detect_runs``."""
+    return stream_runs_with(rows, lambda: MovingAverageDetector(threshold, window, power), **options)
