@@ -49,11 +49,11 @@ def positioned(rows: DataFrame, keys: Sequence[str], order: str, chunk_rows: int
 def with_before(rows: DataFrame, keys: Sequence[str], order: str, chunk_rows: int | None, **before: str | Column) -> DataFrame:
     """``rows`` with, for each of ``before``, the value that the row before has (null for the first of its series).
 
-    Chunked, the rows also keep ``__chunk``.
+    The rows keep ``__chunk``.
     """
     if chunk_rows is None:
         w = Window.partitionBy(*keys).orderBy(order)
-        return rows.where(F.col(order).isNotNull()).select("*", *[F.lag(col(x)).over(w).alias(name) for name, x in before.items()])
+        return rows.where(F.col(order).isNotNull()).select("*", F.lit(0).alias("__chunk"), *[F.lag(col(x)).over(w).alias(name) for name, x in before.items()])
     seen = with_halo(positioned(rows, keys, order, chunk_rows), "__pos", chunk_rows, 1)
     w = Window.partitionBy(*keys, "__in").orderBy("__pos")
     found = seen.select("*", *[F.lag(col(x)).over(w).alias(name) for name, x in before.items()])

@@ -92,3 +92,46 @@ def test_ks_of_equal_distributions(spark):
     d = spark.createDataFrame([(1.0, 0.5), (2.0, 0.5)], "x double, p double")
     for metric in ("signed", "absolute", "weighted"):
         assert D.ks_distance(d, d, metric).first()["distance"] == 0.0
+
+
+def test_running_sums_by_ranges(spark):
+    import random
+
+    from ohmline.functions import distributions as D
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    rows = [(k, float(x), rng.random()) for k in ("a", "b", None) for x in rng.sample(range(10_000), 300)]
+    df = spark.createDataFrame(rows, "k string, x double, p double")
+    found = {(r["k"], r["x"]): r["total"] for r in D.running(df, {"total": F.col("p")}, ["k"]).collect()}
+    for k in ("a", "b", None):
+        total = 0.0
+        for _, x, p in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+            total += p
+            assert abs(found[k, x] - total) < 1e-9
+    assert len(found) == len(rows)
+
+
+def test_bucket_masses_add_up_to_frequencies(spark):
+    import random
+
+    from ohmline.functions import distributions as D
+    from ohmline.functions import scalars
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    points = [(i, round(rng.uniform(0.0002, 0.03), 4), None, None) for i in range(60)]
+    ranges = [(100 + i, None, lo, lo + rng.uniform(0, 0.02)) for i in range(60) for lo in [rng.choice([0.0, rng.uniform(0, 0.03)])]]
+    rates = spark.createDataFrame(points + ranges, "rate_id long, rate double, rate_lo double, rate_hi double")
+    prior = D.a_priori(rates)
+    found = D.tops(D.rate_points(rates, prior), prior)
+    xmax = found.agg(F.max("top").alias("xmax"))
+    masses = {r["bucket"]: r["m"] for r in D.bucket_masses(found.join(xmax), prior, 30).groupBy("bucket").agg(F.sum("mass").alias("m")).collect()}
+    freqs = D.frequencies(found, prior).join(xmax).groupBy(scalars.log_bucket(F.col("x"), F.col("xmax"), 0.0001, 30).alias("bucket")).agg(F.sum("w").alias("m"))
+    want = {r["bucket"]: r["m"] for r in freqs.collect()}
+    assert masses.keys() == want.keys() and all(abs(masses[b] - want[b]) < 1e-9 for b in want)
+    best = {r["rate_id"]: r["top"] for r in found.collect()}
+    values = sorted(r[1] for r in points)
+    for i, rate, lo, hi in points + ranges:
+        inside = [x for x in values if lo is not None and lo <= x < hi]
+        assert best[i] == (rate if lo is None else max(inside, default=None))

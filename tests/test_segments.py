@@ -102,3 +102,56 @@ def test_bad_rows_and_empty_input(spark):
 def test_odd_spans_count_as_2500(spark):
     df = spark.range(3000).select(F.lit("a").alias("series_id"), F.col("id").alias("num"), F.col("id").cast("double").alias("time_s"), F.lit(1.0).alias("p"))
     assert sorted(r["n"] for r in S.downsample_by_count(df, 9000, power="p").collect()) == [500, 2500]
+
+
+def dense_and_holed(spark, every):
+    import random
+
+    rng = random.Random(every)
+    rows = [("s", i, 0.5 * i, None if every and i % every == 0 else float(rng.choice([1, 5, 9])), rng.choice("ab")) for i in range(60)]
+    rows += [(None, 3 * i, 0.5 * i, float(rng.choice([1, 5, 9])), rng.choice("ab")) for i in range(25)]  # a null series, with holes in its order
+    return spark.createDataFrame(rows, "series_id string, num long, time_s double, p double, k string")
+
+
+@pytest.mark.parametrize("every", [0, 2, 5, 7])
+def test_chunks_change_nothing(spark, every):
+    """Runs, buckets and the series operators, for chunk sizes from the halo on, with null powers in any pattern."""
+    df = dense_and_holed(spark, every).where("series_id is not null")
+    known = df.where("p is not null")
+    forms = {
+        "runs": lambda c: G.detect_runs(df, 5, 3, power="p", chunk_rows=c).select("series_id", "run_id", "num"),
+        "buckets": lambda c: G.bucket_consecutive(dense_and_holed(spark, every), ["k"], chunk_rows=c).select("series_id", "bucket_id", "num"),
+        "gaps": lambda c: S.find_gaps(known, step=0.5, tolerance=0.1, chunk_rows=c),
+        "integral": lambda c: S.integrate_power(known, power="p", ends="k = 'a'", chunk_rows=c),
+        "blocks": lambda c: S.downsample_by_count(known, 4, power="p", chunk_rows=c),
+        "curve": lambda c: S.battery_curve(known, 100.0, 1.0, span=5, current="p", chunk_rows=c),
+        "means": lambda c: S.battery_curve_by_mean(known, 100.0, "timestamp'2024-01-01 00:00:00'", span=5, current="p", chunk_rows=c),
+        "marks": lambda c: S.idle_marks(known, 4.0, power="p", interval=2.0, chunk_rows=c),
+        "energy": lambda c: G.run_energy(G.detect_runs(known, 5, 3, power="p"), power="p", step=0.5, tolerance=0.1, chunk_rows=c),
+    }
+    plain = lambda rows: sorted(str(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in rows.collect())
+    for name, form in forms.items():
+        whole = plain(form(None))
+        for chunk in (3, 8, 100) if every else (4,):
+            assert plain(form(chunk)) == whole, (name, chunk)
+
+
+def test_slopes_of_one_long_series_take_linear_time(spark):
+    import time
+
+    n = 120_000
+    points = spark.range(n).select(F.lit("a").alias("series_id"), F.col("id").cast("double").alias("time_s"), (F.col("id") % 7).cast("double").alias("value"))
+    intervals = spark.range(200).select(F.col("id").alias("interval_id"), (F.col("id") * 500.0 + 0.5).alias("t0"), (F.col("id") * 700.0 + 3.5).alias("t1"))
+    began = time.time()
+    found = {r["interval_id"]: r["slope"] for r in S.slopes_between(points, intervals).collect()}
+    assert time.time() - began < 60
+    for i, slope in found.items():
+        a, b = min(i * 500 + 1, n - 1), min(i * 700 + 4, n - 1)
+        assert slope == (None if a == b else pytest.approx((a % 7 - b % 7) / (b - a)))
+
+
+def test_random_intervals_lie_in_the_span(spark):
+    points = spark.createDataFrame([(float(t),) for t in (5, 9, 25)], "time_s double")
+    rows = S.random_intervals(points, 50).collect()
+    assert len(rows) == 50 and all(5 <= r["t0"] <= r["t1"] <= 25 for r in rows) and len({r["t0"] for r in rows}) == 50
+    assert rows == S.random_intervals(points, 50).collect()

@@ -87,3 +87,67 @@ def test_charging_and_zero_pairs_are_told_apart(spark):
     s = spark.createDataFrame(rows, "uuid string, time double, level double, event string, state string, apps array<string>, os string, model string")
     found = [r["reject_reason"] for r in R.classified_pairs(s).orderBy("time2").collect()]
     assert found == ["abandoned", "zero drain", "charging", "charging", None, "negative drain", None, "all zero"]
+
+
+def test_asof_of_one_large_device_takes_linear_time(spark):
+    import time
+
+    n = 80_000
+    samples = spark.range(n).select(F.lit("u").alias("uuid"), F.col("id").cast("double").alias("time"))
+    regs = spark.range(40).select(F.lit("u").alias("uuid"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("os"), F.lit("m").alias("model"), (F.col("id") * 1000.0 + 5000).alias("time"))
+    R.asof_os_model(samples.limit(10), regs).count()
+    began = time.time()
+    rows = R.asof_os_model(samples, regs).collect()
+    assert time.time() - began < 20
+    assert len(rows) == n and all(r["os"] == f"v{max(0, min(39, int(r['time'] - 5000) // 1000))}" for r in rows)
+
+
+def test_asof_against_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    regs = [(rng.choice("abc"), f"v{i}", f"m{i}", float(rng.randrange(20))) for i in range(12)]
+    samples = [(rng.choice("abcd"), float(rng.randrange(25)), i) for i in range(80)]
+    found = R.asof_os_model(spark.createDataFrame(samples, "uuid string, time double, n int"), spark.createDataFrame(regs, "uuid string, os string, model string, time double"))
+    for r in found.collect():
+        mine = sorted((t, o, m) for u, o, m, t in regs if u == r["uuid"])
+        upto = [x for x in mine if x[0] <= r["time"]]
+        want = upto[-1] if upto else mine[0] if mine else (None, None, None)
+        assert (r["os"], r["model"]) == want[1:]
+
+
+def test_lines_of_a_file_read_in_blocks_keep_their_order(spark, tmp_path):
+    lines = [f"line {i} {'x' * (i % 50)}" for i in range(20_000)]
+    (tmp_path / "a.log").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.log").write_text("\r\n".join(["one", "", "two"]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = readers.text_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    of = lambda name: [r["value"] for r in sorted((r for r in rows if r["file"].endswith(name)), key=lambda r: r["pos"])]
+    assert of("a.log") == lines and of("b.log") == ["one", "two"]
+    assert len({r["pos"] for r in rows if r["file"].endswith("a.log")}) == len(lines)
+
+
+def test_loading_all_or_nothing(spark, tmp_path):
+    rows = lambda *t: spark.createDataFrame([(float(x),) for x in t], "time double")
+    load = lambda df: sorted(r["time"] for r in readers.load_incrementally(df, f"{tmp_path}/t", f"{tmp_path}/mark", merge=False).collect())
+    assert load(rows(1, 2)) == [1, 2] and load(rows(0, 1, 2)) == [1, 2] and load(rows(0, 3)) == [0, 3]
+    assert readers.saved_watermark(spark, f"{tmp_path}/mark") == 3 and readers.saved_watermark(spark, f"{tmp_path}/none") is None
+
+
+def test_runs_on_a_stream_reach_back_over_batches(spark, tmp_path):
+    from ohmline.operators import segments as G
+    from ohmline.streaming import streams
+
+    table = spark.createDataFrame([("s", i, float(p)) for i, p in enumerate([0, 0, 9, 9, 9, 0, 0, 0, 9, 9])], "series_id string, num long, p double")
+    out = []
+    for a, b in ((0, 3), (3, 5), (5, 10)):
+        table.where(f"num >= {a} and num < {b}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = streams.stream_runs(spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in"), 5, 3, lambda r: r.p).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
+        query.awaitTermination()
+    out = sorted((r["run_id"], r["num"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    want = sorted((r["run_id"], r["num"]) for r in G.detect_runs(table, 5, 3, power="p").collect())
+    assert out == want and len({r for r, _ in out}) == 2
