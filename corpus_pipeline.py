@@ -49,7 +49,7 @@ STAGES = [
     ("sharding", shard_records),
 ]
 
-#: Compression, fingerprints and crc32 are beyond DuckDB's SQL; tests hold each stage against brute force.
+#: Compression and fingerprints are beyond DuckDB's SQL; a test holds the chain of stages against a plain one.
 ORACLE_SQL = None
 
 
