@@ -72,6 +72,9 @@ def firsts(rows):
 
 def test_chain_against_a_plain_one(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = docs.orderBy("doc_id").first()["text"]
+    more = [(1001, None, "en", "web", 0), (1002, "12 ... 34", None, None, 9), (1003, "qq", "en", "web", 2), (1004, first, "de", "web", 0), (1005, first + " zz", "de", None, 0)]
+    docs = cut(docs.unionByName(spark.createDataFrame(more, docs.schema)))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     items = [decontamination.words_of(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     windows = {tuple(w[i : i + min(10, len(w))]) for w in items for i in range(max(1, len(w) - 9)) if w}
