@@ -33,8 +33,9 @@ SHINGLE = 3
 SEED = 42
 BITS = 3
 SEGMENTS, WIDTH = 8, 8
-#: Fingerprints that may share a key before they are tied by flips in place of pairs.
-CROWD = 1_000
+#: Fingerprints that may share a key before they are tied by flips in place of pairs. A flip costs a shuffled row, a pair a
+#: comparison of two numbers, some hundreds of times less, and a fingerprint has 529 flips.
+CROWD = 50_000
 #: Words that are hashed at a time, to bound the memory for very long texts.
 PIECE = 50_000
 #: A-Z to a-z, other bytes as they are.

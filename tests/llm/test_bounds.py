@@ -29,7 +29,7 @@ def least_of(pairs, values):
 # SimHash
 
 
-@pytest.mark.parametrize("crowd", [0, 3, 1_000])
+@pytest.mark.parametrize("crowd", [3, 1_000])
 def test_crowds_are_tied_like_pairs(spark, crowd):
     rng = np.random.default_rng(crowd)
     values = set()
@@ -51,7 +51,7 @@ def test_a_crowd_of_thousands_makes_no_pairs(spark):
     centre = 0x0123456789ABCDEF
     flips = [sum(1 << b for b in bits) for n in (0, 1, 2, 3) for bits in itertools.combinations(range(33), n)][:5_000]
     df = spark.createDataFrame([(simhash.signed(centre ^ f),) for f in flips], "fp long").distinct()
-    links = simhash.links(df)
+    links = simhash.links(df, crowd=1_000)
     assert links.count() < 5_000 * 529  # each key sends a fingerprint to so many values at most
     stars = components.roots(links)
     assert stars.select("low").distinct().count() == 1 and stars.count() == len(flips) - 1
