@@ -215,7 +215,8 @@ def entries_of(model, k: int, order: int, buckets: int):
             none = np.zeros(max(len(rows), len(words)), np.int64)
             if k <= 2:
                 alone = first if order > 1 else np.arange(len(words))
-                yield from nested(NAMES, batch, [batch % buckets], [-1], [-1], [len(rows)], rows, None, rows, np.arange(len(rows)), none[: len(rows)])
+                length = np.bincount(docs, minlength=len(rows))  # the words of each document, where others have what is asked for
+                yield from nested(NAMES, batch, [batch % buckets], [-1], [-1], [len(rows)], rows, None, rows, np.arange(len(rows)), none[: len(rows)], length)
                 yield from nested(ALONE, batch, [batch % buckets], [-1], [-1], [len(alone)], words[alone], None, words[alone], docs[alone], none[: len(alone)], none[: len(alone)] + 1)
             if k < 2:
                 continue
@@ -388,17 +389,17 @@ def score(
         every = every.unionByName(more)
     every = cut(every.mapInArrow(folded, PARTS))
     rare = every.where("word is not null and not named").join(words, "word").select(
-        "batch", "doc", (F.col("log") + F.col("asked") * (F.ln("count") - F.lit(float(np.log(total))))).alias("log"), F.lit(None).cast("long").alias("row")
+        "batch", "doc", (F.col("log") + F.col("asked") * (F.ln("count") - F.lit(float(np.log(total))))).alias("log"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("length")
     )
-    rest = every.where("word is null or named").select("batch", "doc", "log", F.col("word").alias("row"))
-    sums = rest.unionByName(rare).groupBy("batch", "doc").agg(F.sum("log").alias("log"), F.max("row").alias("row"))
-    by_row = cut(sums.groupBy("row").agg(F.min("log").alias("log")))
+    rest = every.where("word is null or named").select("batch", "doc", "log", F.col("word").alias("row"), F.when(F.col("named"), F.col("asked")).alias("length"))
+    sums = rest.unionByName(rare).groupBy("batch", "doc").agg(F.sum("log").alias("log"), F.max("row").alias("row"), F.max("length").alias("length"))
+    by_row = cut(sums.groupBy("row").agg(F.min("log").alias("log"), F.max("length").cast("long").alias("length")))
     for done in (every, counts, known):
         drop_table(done)
-    n_words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    scored = rows.withColumn("n_words", n_words).alias("d").join(by_row.alias("s"), F.col("d.__row") == F.col("s.row"), "left")
+    scored = rows.alias("d").join(by_row.alias("s"), F.col("d.__row") == F.col("s.row"), "left")
     kept = [c for c in rows.columns if c != "__row"]
-    return scored.select(*[F.col(f"d.{c}") for c in kept], F.col("d.n_words").alias("n_words"), F.try_divide(F.col("s.log"), F.col("d.n_words")).alias("lm_score"))
+    n_words = F.coalesce("s.length", F.lit(0).cast("long"))
+    return scored.select(*[F.col(f"d.{c}") for c in kept], n_words.alias("n_words"), F.try_divide(F.col("s.log"), n_words).alias("lm_score"))
 
 
 def shorter_rows(missed: DataFrame, known: DataFrame, spark, hot: np.ndarray, hot_counts: np.ndarray, context_counts: np.ndarray, buckets: int) -> DataFrame:
