@@ -65,35 +65,53 @@ def plain_tokenizer(tokenizer_json: str) -> Tokenizer:
 
 
 @functools.cache
-def odd_characters(tokenizer_json: str) -> str:
-    """A pattern of the characters that the two libraries split differently, and of those that are not assigned."""
+def odd_characters(tokenizer_json: str) -> tuple[str, str]:
+    """Patterns of the characters, of the basic plane and of the others, that the libraries split differently or that are not assigned."""
     pre, split = Tokenizer.from_str(tokenizer_json).pre_tokenizer, regex.compile(PATTERN).findall
 
-    def agree(chars: str) -> bool:
-        text = "".join(f"a{c}1{c}!{c} {c}\na" for c in chars)
-        return [text[a:b] for _, (a, b) in pre.pre_tokenize_str(text)] == split(text)
+    def agree(head: str, chars: str) -> bool:
+        """Whether all are of the kind of ``head``, and so one piece with it; white space is split both ways instead."""
+        text = head + chars if head else "".join(f"a{c}1{c}!{c} {c}\na" for c in chars)
+        pieces = [text[a:b] for _, (a, b) in pre.pre_tokenize_str(text)]
+        return pieces == ([text] if head else split(text))
 
-    def differing(chars: str) -> list[str]:
-        if agree(chars):
+    def differing(head: str, chars: str) -> list[str]:
+        if not chars or agree(head, chars):
             return []
         if len(chars) == 1:
             return [chars]
         half = len(chars) // 2
-        return differing(chars[:half]) + differing(chars[half:])
+        return differing(head, chars[:half]) + differing(head, chars[half:])
 
     every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-    assigned = regex.sub(r"[\p{Cn}\p{Co}]+", "", every)
-    odd = {ord(c) for at in range(0, len(assigned), PROBED) for c in differing(assigned[at : at + PROBED])}
+    assigned, odd = regex.sub(r"[\p{Cn}\p{Co}]+", "", every), set()
+    for head, kind in (("a", r"\p{L}"), ("1", r"\p{N}"), ("!", r"[^\s\p{L}\p{N}]"), ("", r"[\s--[\p{L}\p{N}]]")):
+        chars = "".join(regex.findall(kind, assigned, flags=regex.V1))
+        odd.update(ord(c) for at in range(0, len(chars), PROBED) for c in differing(head, chars[at : at + PROBED]))
     known = set(map(ord, assigned)) - odd
-    ranges, start = [], None
-    for c in range(0x110001):
-        if c in known or c == 0x110000:
+    return tuple(f"[{''.join(ranges(known, *span))}]" for span in ((0, 0x10000), (0x10000, 0x110000)))
+
+
+def ranges(known: set[int], first: int, end: int) -> Iterator[str]:
+    """What is missing in ``known`` from ``first`` to before ``end``, as parts of a pattern's character class."""
+    start = None
+    for c in range(first, end + 1):
+        if c in known or c == end:
             if start is not None:
-                ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+                yield f"\\U{start:08x}-\\U{c - 1:08x}"
             start = None
         elif start is None:
             start = c
-    return f"[{''.join(ranges)}]"
+
+
+def odd_finder(patterns: tuple[str, str]):
+    """A function from a text to whether it holds an odd character.
+
+    Those of the basic plane are one bit table to the pattern library. The others are a long list of ranges, which is
+    only asked about the few characters beyond that plane.
+    """
+    basic, beyond, others = re.compile(patterns[0]).search, re.compile("[\U00010000-\U0010ffff]").findall, re.compile(patterns[1]).search
+    return lambda text: basic(text) is not None or others("".join(set(beyond(text)))) is not None
 
 
 class Lengths(dict):
@@ -143,7 +161,7 @@ def prepared(model: dict) -> tuple:
     """What a worker counts with: lengths of pre-tokens, the tokenizer, its special strings, and the odd characters."""
     tokenizer = plain_tokenizer(model["json"])
     special = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-    return Lengths(model["lengths"], tokenizer, CACHE_SIZE), tokenizer, special, model["odd"] and re.compile(model["odd"]).search
+    return Lengths(model["lengths"], tokenizer, CACHE_SIZE), tokenizer, special, model["odd"] and odd_finder(model["odd"])
 
 
 def counter(shared):
