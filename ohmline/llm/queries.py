@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmline.llm import ann, decontamination, language_id, line_dedup, lm_scoring, mixing, sharding, simhash, token_counts, toxicity
+from ohmline.llm import ann, decontamination, language_id, licenses, line_dedup, lm_scoring, mixing, sharding, simhash, token_counts, toxicity
 from ohmline.shared import read_table
 
 
@@ -212,6 +212,44 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the places of the license phrases in it, and the labels of all templates that its blocks hold."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.digest(licenses.scan(docs))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def listed(words: list[bytes]) -> str:
+    return "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+
+
+KNOWN = licenses.prepared(licenses.TEMPLATES, licenses.PHRASES, licenses.THRESHOLD)
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), templates(label, t, need, h) AS (VALUES %s),
+phrases(label, p, n) AS (VALUES %s),
+widths AS (SELECT DISTINCT h FROM templates),
+blocks AS (
+  SELECT r, h, list_distinct(w[b * h + 1 : b * h + 2 * h]) AS s
+  FROM (SELECT r, w, h, unnest(range(0, (len(w) + h - 1) // h)) AS b FROM docs, widths)
+), meet AS (
+  SELECT r, label, len(list_intersect(s, t))::DOUBLE / len(t) AS c FROM blocks JOIN templates USING (h) WHERE len(list_intersect(s, t)) >= need
+), places AS (
+  SELECT r, label, i - 1 AS i FROM (SELECT r, w, label, p, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, phrases) WHERE w[i : i + n - 1] = p
+), based AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r),
+both_of AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS c FROM (SELECT r, label, c FROM meet UNION ALL SELECT r, label, 1.0::DOUBLE FROM places) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(c, 0.0)::DOUBLE AS score
+FROM docs LEFT JOIN based USING (r) LEFT JOIN both_of USING (r)
+""" % (
+    ", ".join(f"('{t.label}', {listed(sorted(set(t.words)))}, {t.need}, {t.half})" for t in KNOWN if not t.exact),
+    ", ".join(f"('{t.label}', {listed(t.words)}, {len(t.words)})" for t in KNOWN if t.exact),
+)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_nearest": op2_nearest,
@@ -223,6 +261,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
+    "op11_licenses": op11_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -231,4 +270,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op9_lm_scoring": OP9_SQL,
+    "op11_licenses": OP11_SQL,
 }
