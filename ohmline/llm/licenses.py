@@ -172,7 +172,7 @@ def document_counts(docs: DataFrame, text_col: str, vocabulary: set[bytes]) -> d
         yield pa.record_batch([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): r["n"] for r in counted.toLocalIterator()}
+    return {bytes(r["word"]): r["n"] for r in counted.collect()}
 
 
 def scan(

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmline.llm import ann, decontamination, language_id, licenses, line_dedup, lm_scoring, mixing, sharding, simhash, token_counts, toxicity
+from ohmline.llm import ann, decontamination, language_id, licenses, line_dedup, lm_scoring, mixing, sharding, simhash, token_counts, toxicity, whitening
 from ohmline.shared import read_table
 
 
@@ -219,6 +219,11 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the 16 leading components of all distinct vectors, whitened."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def listed(words: list[bytes]) -> str:
     return "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
 
@@ -262,6 +267,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
     "op11_licenses": op11_licenses,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
