@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmline.llm import ann, decontamination, language_id, licenses, line_dedup, lm_scoring, mixing, sharding, simhash, token_counts, toxicity, whitening
+from ohmline.llm import ann, collocations, decontamination, language_id, licenses, line_dedup, lm_scoring, mixing, sharding, simhash, token_counts, toxicity, whitening
 from ohmline.shared import read_table
 
 
@@ -224,6 +224,40 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words of each language."""
+    return collocations.mine(read_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS p
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM split, range(1, 4) t(k) WHERE len(w) >= k)
+), counts AS (SELECT lang, k, p, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, p, f AS a, string_split(p, ' ') AS w FROM counts WHERE k > 1 AND f >= 10),
+cuts AS (SELECT *, array_to_string(w[1 : c], ' ') AS lp, array_to_string(w[c + 1 : k], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS c FROM candidates)),
+scores AS (
+  SELECT x.lang, x.k, x.p, x.a, l.f AS l, r.f AS r, (1000000 * x.a * x.a) // (l.f * r.f) AS score,
+         row_number() OVER (PARTITION BY x.lang, x.p ORDER BY (1000000 * x.a * x.a) // (l.f * r.f), c) AS turn
+  FROM cuts x JOIN counts l ON l.lang = x.lang AND l.p = x.lp AND l.k = x.c JOIN counts r ON r.lang = x.lang AND r.p = x.rp AND r.k = x.k - x.c
+), covers AS (
+  SELECT lang, p, max(a) AS longer FROM (
+    SELECT lang, array_to_string(w[1 : 2], ' ') AS p, a FROM candidates WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2 : 3], ' '), a FROM candidates WHERE k = 3
+  ) GROUP BY lang, p
+), stay AS (
+  SELECT s.* FROM scores s LEFT JOIN covers c ON s.k = 2 AND c.lang = s.lang AND c.p = s.p WHERE turn = 1 AND NOT coalesce(100 * c.longer >= 50 * s.a, false)
+)
+SELECT lang, rank, p AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM stay) JOIN sizes USING (lang)
+WHERE rank <= 2000
+"""
+
+
 def listed(words: list[bytes]) -> str:
     return "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
 
@@ -268,6 +302,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_licenses": op11_licenses,
     "op12_whitening": op12_whitening,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -277,4 +312,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": OP7_SQL,
     "op9_lm_scoring": OP9_SQL,
     "op11_licenses": OP11_SQL,
+    "op13_collocations": OP13_SQL,
 }
