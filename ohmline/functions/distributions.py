@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohmline.functions import scalars
-from ohmline.shared import cut
+from ohmline.shared import cut, joined_on
 
 #: Width of the bins of x in which prefix sums are taken.
 BIN_WIDTH = 0.00005
@@ -36,7 +36,7 @@ def prefixed(rows: DataFrame, values: Sequence[str], order: Sequence[str], keys:
     earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select(*keys, "__bin", *[F.coalesce(F.sum(f"__b_{v}").over(earlier), F.lit(0)).alias(f"__b_{v}") for v in values])
     inside = Window.partitionBy(*keys, "__bin").orderBy("x", *order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = binned.join(bins, [*keys, "__bin"])
+    joined = joined_on(binned, bins, [*keys, "__bin"])
     sums = {f"__{v}": F.col(f"__b_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}
     return joined.withColumns(sums).drop("__bin", *[f"__b_{v}" for v in values])
 
@@ -63,7 +63,7 @@ def running(rows: DataFrame, values: dict[str, Column], keys: Sequence[str] = ()
 def rate_points(rates: DataFrame, prior: DataFrame) -> DataFrame:
     """``rates`` with ``slice`` (a-priori count in a range, null for a point), ``below`` (that below it), ``mass`` (0 or 1) and ``mean``.
 
-    A point has mass 1 at its rate; a range whose slice is empty has mass 0 and mean 0.
+    A point has mass 1 at its rate; a range whose slice is empty has mass 0 and mean 0, and so has a null rate.
     """
     at = prior.select("x", F.lit(1).alias("side"), F.col("n").alias("c"), (F.col("n") * F.col("x")).alias("cx"))
     bounds = rates.where("rate_lo is not null").select(
@@ -74,7 +74,7 @@ def rate_points(rates: DataFrame, prior: DataFrame) -> DataFrame:
     end = lambda k, c: F.max(F.when(F.col("end") == k, F.col(c)))
     slices = sums.groupBy("rate_id").agg((end(1, "__c") - end(0, "__c")).alias("slice"), end(0, "__c").alias("below"), (end(1, "__cx") - end(0, "__cx")).alias("__sum"))
     found = rates.join(slices, "rate_id", "left")
-    point = F.col("rate_lo").isNull()
+    point = F.col("rate_lo").isNull() & F.col("rate").isNotNull()
     return found.withColumns(
         {
             "mass": F.when(point | (F.col("slice") > 0), 1).otherwise(0),
@@ -90,7 +90,7 @@ def frequencies(points: DataFrame, prior: DataFrame, group: Sequence[str] = ())
     a-priori count there times the sum of 1/slice over the ranges that hold x, a running sum of steps.
     """
     keys = list(group)
-    single = points.where("rate_lo is null").select(*keys, F.col("rate").alias("x"), F.lit(1.0).alias("w"))
+    single = points.where("rate_lo is null and rate is not null").select(*keys, F.col("rate").alias("x"), F.lit(1.0).alias("w"))
     ranges = points.where("rate_lo is not null and slice > 0")
     each = 1 / F.col("slice")
     steps = ranges.select(
@@ -122,8 +122,7 @@ def prob_dist(freqs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """(group..., x, p): frequencies over their total; a group without any has no rows."""
     keys = list(group)
     totals = freqs.groupBy(*keys).agg(F.sum("w").alias("__total"))
-    joined = freqs.join(totals, keys) if keys else freqs.join(totals)
-    return joined.select(*keys, "x", (F.col("w") / F.col("__total")).alias("p"))
+    return joined_on(freqs, totals, keys).select(*keys, "x", (F.col("w") / F.col("__total")).alias("p"))
 
 
 def expected_value(dist: DataFrame, group: Sequence[str] = (), weight: str = "p") -> DataFrame:
@@ -139,7 +138,7 @@ def xmax_of(left: DataFrame, right: DataFrame, x: str = "x") -> DataFrame:
 def zero_filled(hist: DataFrame, groups: DataFrame, buckets: int, keys: list[str]) -> DataFrame:
     """``hist`` with a row of mass 0 for each bucket that a group lacks."""
     grid = groups.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-    return grid.join(hist, [*keys, "bucket"], "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
+    return joined_on(grid, hist, [*keys, "bucket"], "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
 
 
 def histogram(dist: DataFrame, bucket: Column, buckets: int, group: Sequence[str], decimals: int, weight: str = "p") -> DataFrame:
@@ -152,14 +151,14 @@ def histogram(dist: DataFrame, bucket: Column, buckets: int, group: Sequence[str
 def equal_width_histogram(dist: DataFrame, xmax: DataFrame, buckets: int = 100, decimals: int = 0, group: Sequence[str] = (), weight: str = "p") -> DataFrame:
     """Histogram of equal widths up to ``xmax`` (a one-row table, or one with the group's columns)."""
     keys = [k for k in group if k in xmax.columns]
-    joined = dist.join(xmax, keys) if keys else dist.join(xmax)
+    joined = joined_on(dist, xmax, keys)
     return histogram(joined, scalars.equal_bucket(F.col("x"), F.col("xmax"), buckets), buckets, group, decimals, weight)
 
 
 def log_histogram(dist: DataFrame, xmax: DataFrame, buckets: int = 100, smallest: float = 0.0001, decimals: int = 0, group: Sequence[str] = (), weight: str = "p") -> DataFrame:
     """Histogram of logarithmic widths from ``smallest`` up to ``xmax``."""
     keys = [k for k in group if k in xmax.columns]
-    joined = dist.join(xmax, keys) if keys else dist.join(xmax)
+    joined = joined_on(dist, xmax, keys)
     return histogram(joined, scalars.log_bucket(F.col("x"), F.col("xmax"), smallest, buckets), buckets, group, decimals, weight)
 
 
@@ -167,8 +166,7 @@ def normalised_log_histogram(freqs: DataFrame, xmax: DataFrame, buckets: int = 1
     """Logarithmic histogram of frequencies over their total, with ``ev`` of the group and whether it sums to 1."""
     keys = list(group)
     hist = log_histogram(prob_dist(freqs, keys), xmax, buckets, smallest, 0, keys)
-    own = [k for k in keys if k in xmax.columns]
-    hist = hist.join(xmax, own) if own else hist.join(xmax)
+    hist = joined_on(hist, xmax, [k for k in keys if k in xmax.columns])
     w = Window.partitionBy(*keys)
     return hist.select(
         *keys,
@@ -197,7 +195,7 @@ def bucket_masses(points: DataFrame, prior: DataFrame, buckets: int = 100, small
     held = prior.join(points.select("xmax").distinct()).groupBy("xmax", place(F.col("x")).alias("bucket")).agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("xmax").orderBy("bucket"))
     edges = held.select("xmax", "bucket", upto.alias("__to"), (upto - F.col("n")).alias("__from"))
-    single = points.where("rate_lo is null").withColumns({"bucket": place(F.col("rate")), "mass": F.lit(1.0)})
+    single = points.where("rate_lo is null and rate is not null").withColumns({"bucket": place(F.col("rate")), "mass": F.lit(1.0)})
     ranges = points.where("rate_lo is not null and slice > 0")
     touched = ranges.withColumn("bucket", F.explode(F.sequence(place(F.col("rate_lo")), place(F.col("rate_hi")))))
     part = (F.least(F.col("below") + F.col("slice"), F.col("__to")) - F.greatest("below", "__from")) / F.col("slice")
@@ -214,16 +212,16 @@ def compare_distributions(with_: DataFrame, without: DataFrame, group: Sequence[
     keys = list(group)
     side = lambda d, name: d.groupBy(*keys).agg(F.sum(F.col("x") * F.col("p")).alias(f"ev{name}"), F.max("x").alias(f"__top{name}"))
     one, two = side(with_, ""), side(without, "_neg")
-    pair = (one.join(two, keys) if keys else one.join(two)).where("ev is not null and ev_neg is not null")
+    pair = joined_on(one, two, keys).where("ev is not null and ev_neg is not null")
     pair = pair.withColumn("xmax", F.greatest("__top", "__top_neg")).drop("__top", "__top_neg").withColumn("distance", scalars.ev_difference(F.col("ev"), F.col("ev_neg")))
     for dist, name in ((with_, "prob"), (without, "prob_neg")):
         if buckets is None:
             packed = dist.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "p"))).alias(name))
         else:
-            at = dist.join(pair.select(*keys, "xmax"), keys) if keys else dist.join(pair.select("xmax"))
+            at = joined_on(dist, pair.select(*keys, "xmax"), keys)
             sums = at.groupBy(*keys, scalars.log_bucket(F.col("x"), F.col("xmax"), smallest, buckets).alias("bucket")).agg(F.sum("p").alias("mass"))
             packed = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bucket", "mass"))).alias(name))
-        pair = pair.join(packed, keys) if keys else pair.join(packed)
+        pair = joined_on(pair, packed, keys)
     return pair
 
 
@@ -266,7 +264,7 @@ def cdf(dist: DataFrame, xmax: DataFrame | None = None, group: Sequence[str] = (
     if xmax is None:
         return sums
     ends = dist.select(*keys).distinct().join(xmax).select(*keys, F.col("xmax").alias("x"), F.lit(1.0).alias("cumulative"))
-    return sums.join(ends, [*keys, "x"], "left_anti").unionByName(ends)
+    return joined_on(sums, ends, [*keys, "x"], "left_anti").unionByName(ends)
 
 
 def upper_edge_log_buckets(dist: DataFrame, xmax: float, buckets: int = 23, base: float = 1.5, group: Sequence[str] = ()) -> DataFrame:
@@ -286,7 +284,7 @@ def upper_edges(dist: DataFrame, edges: list[float], keys: list[str]) -> DataFra
     first = F.element_at(F.filter(numbers, lambda e: e >= F.col("x")), 1)
     sums = dist.where(F.col("x") <= edges[-1]).groupBy(*keys, first.alias("edge")).agg(F.sum("p").alias("mass"))
     grid = dist.select(*keys).distinct().select(*keys, F.explode(numbers).alias("edge"))
-    return grid.join(sums, [*keys, "edge"], "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
+    return joined_on(grid, sums, [*keys, "edge"], "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
 
 
 def ks_distance(first: DataFrame, second: DataFrame, metric: str = "signed", group: Sequence[str] = ()) -> DataFrame:
@@ -304,8 +302,8 @@ def ks_distance(first: DataFrame, second: DataFrame, metric: str = "signed", gro
     counted = running(at, {"diff": F.col("b") - F.col("a"), "na": F.col("xa").isNotNull().cast("long"), "nb": F.col("xb").isNotNull().cast("long")}, keys)
     starts = at.groupBy(*keys).agg(F.min("xa").alias("fa"), F.min("xb").alias("fb"))
     last = lambda side: counted.where(f"x{side} is not null").select(*keys, F.col(f"n{side}"), F.col(f"x{side}").alias(f"l{side}"))
-    sums = counted.join(last("a"), [*keys, "na"], "left").join(last("b"), [*keys, "nb"], "left")
-    sums = sums.join(starts, keys) if keys else sums.join(starts)
+    sums = joined_on(joined_on(counted, last("a"), [*keys, "na"], "left"), last("b"), [*keys, "nb"], "left")
+    sums = joined_on(sums, starts, keys)
     if metric == "signed":
         later = F.when(F.col("fa") > F.col("fb"), F.col("xa").isNotNull()).otherwise(F.col("xb").isNotNull())
         return sums.where(later).groupBy(*keys).agg(F.greatest(F.max("diff"), F.lit(0.0)).alias("distance"))
@@ -323,14 +321,20 @@ def normalize(rows: DataFrame, value: str, group: Sequence[str] = ()) -> DataFra
     """``rows`` with ``normalized``: deviation from the mean over the root of ``spread``; null if that is 0."""
     keys = list(group)
     stats = spread(rows, value, keys)
-    joined = rows.join(stats, keys) if keys else rows.join(stats)
+    joined = joined_on(rows, stats, keys)
     return joined.withColumn("normalized", F.try_divide(F.col(value) - F.col("mean"), F.when(F.col("root") != 0, F.col("root")))).drop("mean", "sum_sq_dev", "root")
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Correlation of the rows where both are known; null if either is constant there."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def pearson(left: DataFrame, right: DataFrame, key: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """One row with the correlation of x and y by key; a key that the right side lacks counts as 0."""
     joined = left.join(right, list(key), "left")
-    return joined.agg(F.corr(x, F.coalesce(y, F.lit(0.0))).alias("r"))
+    return joined.agg(correlation(F.col(x), F.coalesce(y, F.lit(0.0))).alias("r"))
 
 
 def mixture_stddev(ranges: DataFrame, group: Sequence[str] = ()) -> DataFrame:

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohmline.functions import scalars
-from ohmline.functions.distributions import running
+from ohmline.functions.distributions import correlation, running
 from ohmline.operators.rates import current_os_rates, exclude_daemons
-from ohmline.shared import cut
+from ohmline.shared import cut, joined_on
 
 #: Users that must have an app, and users that must have rates without it.
 LEAST_USERS = 5
@@ -178,7 +178,7 @@ def indicator_correlations(points: DataFrame, kind: str, group: Sequence[str] =
     keys = list(group)
     groups = points.groupBy(*keys, F.col(kind).alias("value")).agg(F.count(F.lit(1)).alias("k"), F.sum("mean").alias("e"), F.sum(F.col("mean") * F.col("mean")).alias("ee"))
     totals = groups.groupBy(*keys).agg(F.sum("k").alias("n"), F.sum("e").alias("te"), F.sum("ee").alias("tee"))
-    joined = groups.join(totals, keys) if keys else groups.join(totals)
+    joined = joined_on(groups, totals, keys)
     cov = F.col("e") - F.col("k") * F.col("te") / F.col("n")
     below = F.sqrt(F.greatest((F.col("tee") - F.col("te") * F.col("te") / F.col("n")) * (F.col("k") - F.col("k") * F.col("k") / F.col("n")), F.lit(0.0)))
     return joined.select(*keys, F.lit(kind).alias("kind"), "value", F.try_divide(cov, F.when(below > 1e-15, below)).alias("r"))
@@ -189,7 +189,7 @@ def correlations(points: DataFrame, daemons: Sequence[str] = ()) -> DataFrame:
     users = current_os_rates(points).groupBy("uuid").agg(F.count(F.lit(1)).cast("double").alias("rates"))
     apps = user_apps(points, daemons).groupBy("uuid").agg(F.count(F.lit(1)).cast("double").alias("apps"))
     numbers = points.select("uuid", "mean").join(users, "uuid", "left").join(apps, "uuid", "left").fillna(0.0, ["rates", "apps"])
-    counts = numbers.agg(F.corr("mean", "rates").alias("rates"), F.corr("mean", "apps").alias("apps"))
+    counts = numbers.agg(correlation(F.col("mean"), F.col("rates")).alias("rates"), correlation(F.col("mean"), F.col("apps")).alias("apps"))
     tall = counts.select(F.explode(F.array(F.struct(F.lit("user").alias("kind"), F.lit("rates").alias("value"), F.col("rates").alias("r")), F.struct(F.lit("user").alias("kind"), F.lit("apps").alias("value"), F.col("apps").alias("r")))).alias("x")).select("x.*")
     return indicator_correlations(points, "os").unionByName(indicator_correlations(points, "model")).unionByName(tall)
 
@@ -262,10 +262,10 @@ def user_slice(rates: DataFrame, uuid: str, after: float, before: float) -> Data
 
 
 def labelled(comparisons: DataFrame, nature: str, key: Sequence[str]) -> DataFrame:
-    """Comparisons with ``nature, key1, key2, title, title_neg``."""
+    """Comparisons with ``nature, key1, key2, title, title_neg``; a title calls a null key unknown."""
     names = {"hog": "Hog", "bug": "Bug", "os": "OS", "model": "Model", "similar": "Similar users", "result": "User"}
     one, two = F.col(key[0]).cast("string"), F.col(key[1]).cast("string") if len(key) > 1 else F.lit(None).cast("string")
-    what = F.concat_ws(" ", F.lit(names[nature]), one, F.when(two.isNotNull(), F.concat(F.lit("on "), two)))
+    what = F.concat_ws(" ", F.lit(names[nature]), F.coalesce(one, F.lit("unknown")), F.when(two.isNotNull(), F.concat(F.lit("on "), two)))
     return comparisons.withColumns(
         {"nature": F.lit(nature), "key1": one, "key2": two, "title": F.concat(what, F.lit(" running")), "title_neg": F.concat(what, F.lit(" not running"))}
     )

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ohmline.shared import joined_on
+
 #: States, event and models that decide whether a pair is used.
 CHARGING, UNKNOWN = "charging", "unknown"
 POINT_EVENTS = ("batterylevelchanged",)
@@ -53,8 +55,8 @@ def classified_pairs(
 ) -> DataFrame:
     """Every pair of consecutive samples of a device at different times, with ``reject_reason`` (null: usable).
 
-    The reasons, in the order they are looked for: model, charging, negative drain, all zero, and with
-    ``plausible`` also zero drain and abandoned (a point rate above ``MOST_RATE``). If the samples have ``features``, a
+    The reasons, in the order they are looked for: model, charging, negative drain, all zero, no level (either is null),
+    and with ``plausible`` also zero drain and abandoned (a point rate above ``MOST_RATE``). If the samples have ``features``, a
     map, a pair has those of both: each key with the values of either, once.
     """
     w = Window.partitionBy("uuid").orderBy("time", "event", "level")
@@ -74,6 +76,7 @@ def classified_pairs(
         .when(charging, "charging")
         .when(drained < 0, "negative drain")
         .when((p("level") == 0) & (F.col("level") == 0), "all zero")
+        .when(drained.isNull(), "no level")
     )
     if plausible:
         reason = reason.when(point & (rate == 0), "zero drain").when(point & (rate > MOST_RATE), "abandoned")
@@ -119,7 +122,8 @@ def point_rate(level1: Column, level2: Column, took: Column) -> Column:
 def range_rate(level1: Column, level2: Column, took: Column) -> tuple[Column, Column]:
     """Bounds of the rate if the levels are known to half a step of the other."""
     drained = level1 - level2
-    return F.greatest((drained - LEVEL_STEP) * 100 / took, F.lit(0.0)), (drained + LEVEL_STEP) * 100 / took
+    low = F.when(drained.isNotNull(), F.greatest((drained - LEVEL_STEP) * 100 / took, F.lit(0.0)))
+    return low, (drained + LEVEL_STEP) * 100 / took
 
 
 def plausible_rates(rates: DataFrame, most: float = MOST_RATE) -> DataFrame:
@@ -187,8 +191,8 @@ def limit_users(rates: DataFrame, n: int) -> DataFrame:
 
 
 def current_os_rates(rates: DataFrame) -> DataFrame:
-    """Rates of each device under its current OS."""
-    return rates.join(current_os_model(rates).select("uuid", "os"), ["uuid", "os"], "left_semi")
+    """Rates of each device under its current OS, which may be unknown (null)."""
+    return joined_on(rates, current_os_model(rates).select("uuid", "os"), ["uuid", "os"], "left_semi")
 
 
 def exclude_daemons(apps: DataFrame, names: Sequence[str], *, app: str = "app") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ohmline.shared import ship
+from ohmline.shared import joined_on, ship
 
 ship(__name__)
 
@@ -116,7 +116,7 @@ def detect_runs(
     columns = [c for c in rows.columns if c != "__pos"] + ["run_id"]
     if lead is None:
         return found.select(*columns)
-    return found.select(*columns).unionByName(rows.join(lead, [*keys, "__pos"]).select(*columns))
+    return found.select(*columns).unionByName(joined_on(rows, lead, [*keys, "__pos"]).select(*columns))
 
 
 def bucket_consecutive(

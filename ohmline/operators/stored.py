@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ohmline.functions import distributions as D
 from ohmline.operators import fleet as C
 from ohmline.operators.rates import current_os_rates
-from ohmline.shared import cut
+from ohmline.shared import cut, joined_on
 
 BUCKETS, SMALLEST = 100, 0.0001
 #: Mass below this is a rounding error of the difference of two sums.
@@ -38,13 +38,13 @@ def by_bucket(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def less(total: DataFrame, part: DataFrame, keys: list[str]) -> DataFrame:
     """Histograms ``total`` less ``part``, by keys and bucket."""
-    both = total.join(part.withColumnRenamed("mass", "__part"), [*keys, "bucket"], "left")
+    both = joined_on(total, part.withColumnRenamed("mass", "__part"), [*keys, "bucket"], "left")
     return both.select(*keys, "bucket", (F.col("mass") - F.coalesce("__part", F.lit(0.0))).alias("mass"))
 
 
 def described(found: DataFrame, keys: list[str], own: DataFrame, rest: DataFrame) -> DataFrame:
     """Comparisons ``found``, which have xmax, with both histograms."""
-    return found.join(packed(own, keys, "prob"), keys, "left").join(packed(rest, keys, "prob_neg"), keys, "left")
+    return joined_on(joined_on(found, packed(own, keys, "prob"), keys, "left"), packed(rest, keys, "prob_neg"), keys, "left")
 
 
 def against_all(found: DataFrame, keys: list[str], own: DataFrame, all_: DataFrame, xmax: DataFrame) -> DataFrame:

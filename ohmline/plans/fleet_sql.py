@@ -27,10 +27,10 @@ def centre(top: str, smallest: str) -> str:
 
 RANGES = """, rg AS (SELECT os, coalesce(rate_lo, rate) AS lo, coalesce(rate_hi, rate) AS hi FROM r), mx AS (SELECT max(hi) AS xm FROM rg)"""
 RANGE_HIST = I.PAIRS + RANGES + """, g20 AS (SELECT os, b AS bucket, xm, {edges} FROM (SELECT DISTINCT os FROM rg), range(20) t(b), mx),
-parts AS (SELECT g20.os, bucket, CASE WHEN lo = hi THEN 1.0::DOUBLE ELSE greatest(least(hi, e) - greatest(lo, s), 0) / (hi - lo) END AS part FROM g20 JOIN rg ON g20.os = rg.os AND
+parts AS (SELECT g20.os, bucket, CASE WHEN lo = hi THEN 1.0::DOUBLE ELSE greatest(least(hi, e) - greatest(lo, s), 0) / (hi - lo) END AS part FROM g20 JOIN rg ON g20.os IS NOT DISTINCT FROM rg.os AND
   CASE WHEN lo = hi THEN {place} = bucket ELSE lo < e AND hi > s END),
 sums AS (SELECT os, bucket, sum(part) AS mass FROM parts GROUP BY ALL)
-SELECT os, bucket::INT AS bucket, round(coalesce(mass, 0) / sum(mass) OVER (PARTITION BY os), {digits}) AS mass FROM g20 LEFT JOIN sums USING (os, bucket)"""
+SELECT g20.os, g20.bucket::INT AS bucket, round(coalesce(mass, 0) / sum(mass) OVER (PARTITION BY g20.os), {digits}) AS mass FROM g20 LEFT JOIN sums ON g20.os IS NOT DISTINCT FROM sums.os AND g20.bucket = sums.bucket"""
 STEP = "(ln(xm / 0.00001) / 20)"
 KS = I.PRICES.replace("d AS", "d0 AS") + """, a AS (SELECT x, p FROM d0 WHERE flag = 'A'), b AS (SELECT x, p FROM d0 WHERE flag = 'N'), n AS (SELECT x, p / 1.0 AS p FROM b),
 k AS (SELECT DISTINCT x FROM (SELECT x FROM a UNION ALL SELECT x FROM n)),
@@ -46,11 +46,11 @@ au AS (SELECT app, users_with, coalesce(users_without, 0) AS users_without FROM
 ca AS (SELECT app, users_with, users_without, (SELECT sum(mass * mean) / sum(mass) FROM pt WHERE list_contains(pt.apps, au.app)) AS ev, (SELECT sum(mass * mean) / sum(mass) FROM pt WHERE NOT list_contains(pt.apps, au.app)) AS ev_neg FROM au),
 hg AS (SELECT *, {DIST} AS distance FROM ca WHERE users_with >= 5 AND users_without >= 5 AND {DIST} > 0)"""
 BUGS = APPS + f""", el AS (SELECT app FROM au WHERE users_with >= 5 AND users_without >= 5 AND app NOT IN (SELECT app FROM hg)),
-nw AS (SELECT xa.app, xa.uuid, count(*) AS n, sum(mass * mean) / nullif(sum(mass), 0) AS ev FROM xa JOIN el USING (app) JOIN cu ON cu.uuid = xa.uuid AND cu.os = xa.os GROUP BY xa.app, xa.uuid),
+nw AS (SELECT xa.app, xa.uuid, count(*) AS n, sum(mass * mean) / nullif(sum(mass), 0) AS ev FROM xa JOIN el USING (app) JOIN cu ON cu.uuid = xa.uuid AND cu.os IS NOT DISTINCT FROM xa.os GROUP BY xa.app, xa.uuid),
 bg AS (SELECT nw.*, (SELECT sum(mass * mean) / nullif(sum(mass), 0) FROM xa WHERE xa.app = nw.app AND xa.uuid <> nw.uuid) AS ev_neg FROM nw),
 bb AS (SELECT *, {DIST} AS distance FROM bg WHERE ev IS NOT NULL AND ev_neg IS NOT NULL AND {DIST} > 0)"""
-PROFILE = I.POINTS + f""", ua AS (SELECT DISTINCT uuid, app FROM (SELECT pt.uuid, unnest(apps) AS app FROM pt JOIN cu ON cu.uuid = pt.uuid AND cu.os = pt.os) WHERE {NO_DAEMONS}),
-up AS (SELECT pt.uuid, count(*) AS n_rates, sum(mass * mean) / nullif(sum(mass), 0) AS ev FROM pt JOIN cu ON cu.uuid = pt.uuid AND cu.os = pt.os GROUP BY pt.uuid),
+PROFILE = I.POINTS + f""", ua AS (SELECT DISTINCT uuid, app FROM (SELECT pt.uuid, unnest(apps) AS app FROM pt JOIN cu ON cu.uuid = pt.uuid AND cu.os IS NOT DISTINCT FROM pt.os) WHERE {NO_DAEMONS}),
+up AS (SELECT pt.uuid, count(*) AS n_rates, sum(mass * mean) / nullif(sum(mass), 0) AS ev FROM pt JOIN cu ON cu.uuid = pt.uuid AND cu.os IS NOT DISTINCT FROM pt.os GROUP BY pt.uuid),
 pf AS (SELECT up.*, (SELECT count(*) FROM ua WHERE ua.uuid = up.uuid) AS n_apps, (SELECT sum(mass * mean) / nullif(sum(mass), 0) FROM pt WHERE pt.uuid <> up.uuid) AS ev_neg FROM up WHERE ev IS NOT NULL)"""
 
 
@@ -65,8 +65,9 @@ D30_SIDE = f"(SELECT {TEXT.format(w='w')} FROM (SELECT *, sum(w) OVER () AS t FR
 def sides(own: str, total: str, keys: str) -> str:
     """Texts of both sides of each key, of tables (keys, b, w)."""
     one = f"(SELECT {keys}, {TEXT.format(w='w')} AS prob FROM (SELECT *, sum(w) OVER (PARTITION BY {keys}) AS t FROM {own} WHERE w > 1e-9) GROUP BY {keys})"
+    same = " AND ".join(f"o.{k} IS NOT DISTINCT FROM n.{k}" for k in keys.split(", "))
     two = f"(SELECT {keys}, {TEXT.format(w='w')} AS prob_neg FROM (SELECT *, sum(w) OVER (PARTITION BY {keys}) AS t FROM {total} WHERE w > 1e-9) GROUP BY {keys})"
-    return f"SELECT * FROM {one} LEFT JOIN {two} USING ({keys})"
+    return f"SELECT o.*, prob_neg FROM {one} o LEFT JOIN {two} n ON {same}"
 
 
 STORED = BUGS + PROFILE[len(I.POINTS) :] + I.FREQS[len(I.POINTS) :] + f""", us AS (SELECT uuid, list(app) AS al FROM ua GROUP BY uuid HAVING count(*) > 1),
@@ -78,12 +79,12 @@ ft AS (SELECT b, sum(w) AS w FROM fb GROUP BY b),
 go AS (SELECT 'os' AS nature, os AS k, b, sum(w) AS w FROM fb GROUP BY ALL UNION ALL SELECT 'model', model, b, sum(w) FROM fb GROUP BY ALL
        UNION ALL SELECT 'hog', app, b, sum(w) FROM (SELECT unnest(apps) AS app, b, w FROM fb) WHERE app IN (SELECT app FROM hg) GROUP BY ALL
        UNION ALL SELECT 'similar', sm.uuid, b, sum(w) FROM sm JOIN fb USING (rate_id) WHERE sim GROUP BY ALL),
-gr AS (SELECT z.nature, z.k, ft.b, ft.w - coalesce(go.w, 0) AS w FROM (SELECT DISTINCT nature, k FROM go) z CROSS JOIN ft LEFT JOIN go ON go.nature = z.nature AND go.k = z.k AND go.b = ft.b),
+gr AS (SELECT z.nature, z.k, ft.b, ft.w - coalesce(go.w, 0) AS w FROM (SELECT DISTINCT nature, k FROM go) z CROSS JOIN ft LEFT JOIN go ON go.nature = z.nature AND go.k IS NOT DISTINCT FROM z.k AND go.b = ft.b),
 ga AS ({sides('go', 'gr', 'nature, k')}),
 ux AS (SELECT uuid, os, x, sum(w) AS w FROM fq GROUP BY ALL),
 ut AS (SELECT uuid, max(x) AS top FROM ux GROUP BY uuid),
-pr AS (SELECT n.uuid, greatest(n.top, (SELECT max(top) FROM ut WHERE ut.uuid <> n.uuid)) AS xm FROM (SELECT ux.uuid, max(x) AS top FROM ux JOIN cu ON cu.uuid = ux.uuid AND cu.os = ux.os GROUP BY ux.uuid) n),
-ro AS (SELECT ux.uuid, {lb('xm')} AS b, sum(w) AS w FROM ux JOIN cu ON cu.uuid = ux.uuid AND cu.os = ux.os JOIN pr ON pr.uuid = ux.uuid GROUP BY 1, 2),
+pr AS (SELECT n.uuid, greatest(n.top, (SELECT max(top) FROM ut WHERE ut.uuid <> n.uuid)) AS xm FROM (SELECT ux.uuid, max(x) AS top FROM ux JOIN cu ON cu.uuid = ux.uuid AND cu.os IS NOT DISTINCT FROM ux.os GROUP BY ux.uuid) n),
+ro AS (SELECT ux.uuid, {lb('xm')} AS b, sum(w) AS w FROM ux JOIN cu ON cu.uuid = ux.uuid AND cu.os IS NOT DISTINCT FROM ux.os JOIN pr ON pr.uuid = ux.uuid GROUP BY 1, 2),
 rm AS (SELECT ux.uuid, {lb('xm')} AS b, sum(w) AS w FROM ux JOIN pr ON pr.uuid = ux.uuid GROUP BY 1, 2),
 rt AS (SELECT xm, {lb('xm')} AS b, sum(w) AS w FROM ux, (SELECT DISTINCT xm FROM pr) GROUP BY 1, 2),
 rr AS (SELECT pr.uuid, rt.b, rt.w - coalesce(rm.w, 0) AS w FROM pr JOIN rt USING (xm) LEFT JOIN rm ON rm.uuid = pr.uuid AND rm.b = rt.b),
@@ -91,24 +92,24 @@ rp AS ({sides('ro', 'rr', 'uuid')}),
 ax AS (SELECT app, uuid, os, x, sum(w) AS w FROM (SELECT unnest(apps) AS app, uuid, os, x, w FROM fq) WHERE app IN (SELECT app FROM bb) GROUP BY ALL),
 axt AS (SELECT app, uuid, max(x) AS top FROM ax GROUP BY ALL),
 br AS (SELECT n.app, n.uuid, greatest(n.top, (SELECT max(top) FROM axt WHERE axt.app = n.app AND axt.uuid <> n.uuid)) AS xm
-       FROM (SELECT ax.app, ax.uuid, max(x) AS top FROM ax JOIN cu ON cu.uuid = ax.uuid AND cu.os = ax.os GROUP BY ALL) n SEMI JOIN bb ON bb.app = n.app AND bb.uuid = n.uuid),
-bo AS (SELECT ax.app, ax.uuid, {lb('xm')} AS b, sum(w) AS w FROM ax JOIN cu ON cu.uuid = ax.uuid AND cu.os = ax.os JOIN br ON br.app = ax.app AND br.uuid = ax.uuid GROUP BY 1, 2, 3),
+       FROM (SELECT ax.app, ax.uuid, max(x) AS top FROM ax JOIN cu ON cu.uuid = ax.uuid AND cu.os IS NOT DISTINCT FROM ax.os GROUP BY ALL) n SEMI JOIN bb ON bb.app = n.app AND bb.uuid = n.uuid),
+bo AS (SELECT ax.app, ax.uuid, {lb('xm')} AS b, sum(w) AS w FROM ax JOIN cu ON cu.uuid = ax.uuid AND cu.os IS NOT DISTINCT FROM ax.os JOIN br ON br.app = ax.app AND br.uuid = ax.uuid GROUP BY 1, 2, 3),
 bm AS (SELECT ax.app, ax.uuid, {lb('xm')} AS b, sum(w) AS w FROM ax JOIN br ON br.app = ax.app AND br.uuid = ax.uuid GROUP BY 1, 2, 3),
 bt AS (SELECT ax.app, xm, {lb('xm')} AS b, sum(w) AS w FROM ax JOIN (SELECT DISTINCT app, xm FROM br) d ON d.app = ax.app GROUP BY 1, 2, 3),
 bx AS (SELECT br.app, br.uuid, bt.b, bt.w - coalesce(bm.w, 0) AS w FROM br JOIN bt ON bt.app = br.app AND bt.xm = br.xm LEFT JOIN bm ON bm.app = br.app AND bm.uuid = br.uuid AND bm.b = bt.b),
 bp AS ({sides('bo', 'bx', 'app, uuid')})"""
-EVS = """SELECT {key} AS key, sum(mass * mean) / nullif(sum(mass), 0) AS ev, (SELECT sum(mass * mean) / nullif(sum(mass), 0) FROM pt b WHERE b.{key} <> a.{key}) AS ev_neg FROM pt a GROUP BY {key}"""
+EVS = """SELECT {key} AS key, sum(mass * mean) / nullif(sum(mass), 0) AS ev, (SELECT sum(mass * mean) / nullif(sum(mass), 0) FROM pt b WHERE b.{key} IS DISTINCT FROM a.{key}) AS ev_neg FROM pt a GROUP BY {key}"""
 
 
 def compare(key: str) -> str:
     return I.POINTS + f"""SELECT {key}, n, {CMP_OUT} FROM (SELECT {key}, count(*) AS n, sum(mass * mean) / nullif(sum(mass), 0) AS ev,
-      (SELECT sum(mass * mean) / nullif(sum(mass), 0) FROM pt b WHERE b.{key} <> a.{key}) AS ev_neg FROM pt a GROUP BY {key}) WHERE ev IS NOT NULL AND ev_neg IS NOT NULL""".replace("SELECT", " SELECT", 1)
+      (SELECT sum(mass * mean) / nullif(sum(mass), 0) FROM pt b WHERE b.{key} IS DISTINCT FROM a.{key}) AS ev_neg FROM pt a GROUP BY {key}) WHERE ev IS NOT NULL AND ev_neg IS NOT NULL""".replace("SELECT", " SELECT", 1)
 
 
 def indicator(table: str, kind: str, extra: str = "") -> str:
     keys = f"{extra}, " if extra else ""
     same = f"b.{extra} = a.{extra}" if extra else "true"
-    return f"""SELECT {keys}'{kind}' AS kind, {kind} AS value, round((SELECT CASE WHEN stddev_pop(b.mean) > 1e-12 AND stddev_pop((b.{kind} = a.{kind})::INT) > 1e-12 THEN corr(b.mean, (b.{kind} = a.{kind})::INT) END FROM {table} b WHERE {same}), 5) AS r FROM (SELECT DISTINCT {keys}{kind} FROM {table}) a"""
+    return f"""SELECT {keys}'{kind}' AS kind, {kind} AS value, round((SELECT CASE WHEN stddev_pop(b.mean) > 1e-12 AND stddev_pop((b.{kind} IS NOT DISTINCT FROM a.{kind})::INT) > 1e-12 THEN corr(b.mean, (b.{kind} IS NOT DISTINCT FROM a.{kind})::INT) END FROM {table} b WHERE {same}), 5) AS r FROM (SELECT DISTINCT {keys}{kind} FROM {table}) a"""
 
 
 def with_(text: str) -> str:
@@ -127,7 +128,7 @@ SQL = {
     "p1_registration_history": f"WITH {I.REGS} SELECT uuid, os, model, round(time, 3) AS time FROM (SELECT *, lag(os) OVER w AS b, row_number() OVER w AS k FROM g WINDOW w AS (PARTITION BY uuid ORDER BY time)) WHERE k = 1 OR os IS DISTINCT FROM b",
     "p2_asof": f"WITH {I.ASOF} SELECT uuid, round(time, 3) AS time, os, model FROM a",
     "p3_rates": f"WITH {I.PAIRS} SELECT {RATES_OUT}, array_to_string(apps, ',') AS apps FROM r",
-    "p4_unabridged_rates": f"WITH {I.PAIRS} SELECT uuid, count(*) AS n, sum((event2 = 'batterylevelchanged')::BIGINT)::BIGINT AS points, round(sum(CASE WHEN event2 = 'batterylevelchanged' THEN drain ELSE (lo + hi) / 2 END), 6) AS rate FROM p WHERE model <> 'Simulator' AND state1 <> 'charging' AND state2 <> 'charging' AND level1 - level2 >= 0 AND NOT (level1 = 0 AND level2 = 0) GROUP BY uuid",
+    "p4_unabridged_rates": f"WITH {I.PAIRS} SELECT uuid, count(*) AS n, sum((event2 = 'batterylevelchanged')::BIGINT)::BIGINT AS points, round(sum(CASE WHEN event2 = 'batterylevelchanged' THEN drain ELSE (lo + hi) / 2 END), 6) AS rate FROM p WHERE model IS DISTINCT FROM 'Simulator' AND state1 <> 'charging' AND state2 <> 'charging' AND level1 - level2 >= 0 AND NOT (level1 = 0 AND level2 = 0) GROUP BY uuid",
     "p5_rates_of": f"WITH {P5}",
     "p6_rate_value": f"WITH {I.PAIRS} SELECT uuid, round(time2, 3) AS time2, round(drain, 9) AS point, round(lo, 9) + 0.0::DOUBLE AS lo, round(hi, 9) + 0.0::DOUBLE AS hi FROM p",
     "p7_rate_attributes": f"WITH {I.PAIRS} SELECT uuid, round(time2, 3) AS time2, array_to_string(list_sort(list_distinct(list_concat(apps1, apps2))), ',') AS apps, array_to_string(list_sort(list_distinct(list_concat(string_split(event1, ' '), string_split(event2, ' ')))), ',') AS events, 'kind=' || array_to_string(list_sort(list_distinct(list_concat(kind1, kind2))), '|') || CASE WHEN wifi1 IS NOT NULL OR wifi2 IS NOT NULL THEN ',wifi=' || array_to_string(list_sort(list_distinct(list_concat(coalesce(wifi1, []), coalesce(wifi2, [])))), '|') ELSE '' END AS features FROM p",
@@ -135,10 +136,10 @@ SQL = {
     "p9_rejections": f"WITH {I.PAIRS} SELECT coalesce(reject_reason, CASE WHEN point THEN 'point' ELSE 'range' END) AS kind, count(*) AS n FROM c GROUP BY 1",
     "p10_feature_history": f"WITH {HISTORY} SELECT uuid, feature, round(time, 3) AS time, value FROM h",
     "p11_feature_changes": f"WITH {HISTORY} SELECT DISTINCT feature, before, value AS after FROM (SELECT *, lag(value) OVER (PARTITION BY uuid, feature ORDER BY time, value) AS before FROM h) WHERE before IS NOT NULL",
-    "p12_last_features": f"WITH {HISTORY} SELECT h.uuid, feature, max_by(value, h.time) AS value, 'm' || (h.uuid::BIGINT % 7)::VARCHAR AS model FROM h GROUP BY ALL",
+    "p12_last_features": f"WITH {HISTORY} SELECT h.uuid, feature, arg_max_null(value, h.time) AS value, CASE WHEN h.uuid::BIGINT % 13 <> 4 THEN 'm' || (h.uuid::BIGINT % 7)::VARCHAR END AS model FROM h GROUP BY ALL",
     "p13_current_os": f"WITH {I.PAIRS} SELECT uuid, max_by(os, time2) AS os, max_by(model, time2) AS model FROM r GROUP BY uuid",
     "p14_limit_users": f"WITH {I.PAIRS} SELECT uuid, count(*) AS n FROM r WHERE uuid IN (SELECT DISTINCT uuid FROM r ORDER BY uuid LIMIT 12) GROUP BY uuid",
-    "p15_current_os_rates": f"WITH {I.PAIRS}, cu AS (SELECT uuid, max_by(os, time2) AS os FROM r GROUP BY uuid) SELECT r.uuid, r.os, count(*) AS n FROM r JOIN cu ON r.uuid = cu.uuid AND r.os = cu.os GROUP BY ALL",
+    "p15_current_os_rates": f"WITH {I.PAIRS}, cu AS (SELECT uuid, max_by(os, time2) AS os FROM r GROUP BY uuid) SELECT r.uuid, r.os, count(*) AS n FROM r JOIN cu ON r.uuid = cu.uuid AND r.os IS NOT DISTINCT FROM cu.os GROUP BY ALL",
     "p16_exclude_daemons": f"WITH {I.PAIRS} SELECT app, count(*) AS n FROM (SELECT unnest(apps) AS app FROM r) WHERE {NO_DAEMONS} GROUP BY app",
     "p17_samples_text": f"WITH {I.SAMPLES} SELECT concat_ws(', ', uuid, floor(time)::BIGINT::VARCHAR, level::VARCHAR, event, state, array_to_string(apps, ' '), 'kind=' || kind[1], CASE WHEN wifi IS NOT NULL THEN 'wifi=[' || array_to_string(wifi, ' ') || ']' END) AS line, count(*) AS n FROM s GROUP BY 1",
     "p17_registrations_text": f"WITH {I.REGS} SELECT concat_ws(', ', uuid, model, os, floor(time)::BIGINT::VARCHAR) AS line FROM g",
@@ -194,7 +195,7 @@ SELECT uuid, n_similar, {CMP_OUT} FROM cp WHERE ev IS NOT NULL AND ev_neg IS NOT
     "c7_skipped": f"WITH {APPS} SELECT app, users_with, users_without, CASE WHEN users_with < 100 AND users_without < 100 THEN 'both' WHEN users_with < 100 THEN 'with' ELSE 'without' END AS reason FROM au WHERE NOT (users_with >= 100 AND users_without >= 100)",
     "c8_relaxed_hogs": f"WITH {APPS} SELECT app, users_with, users_without, {CMP_OUT} FROM ca WHERE users_with >= 100 AND users_without >= 100 AND {DIST} > 0",
     "c9_j_scores": f"WITH {PROFILE}, dd AS (SELECT uuid, round({DIST}, 5) AS distance FROM pf) SELECT uuid, CASE WHEN distance = 0 THEN 0 ELSE floor((rank() OVER (ORDER BY distance DESC) - 1) / (count(*) OVER ())::DOUBLE * 100 + 0.5) / 100 END AS j_score FROM dd WHERE distance IS NOT NULL",
-    "c10_correlations": f"""WITH {PROFILE}, nu AS (SELECT pt.mean, coalesce(n_rates, 0)::DOUBLE AS a, coalesce((SELECT count(*) FROM ua WHERE ua.uuid = pt.uuid), 0)::DOUBLE AS b FROM pt LEFT JOIN (SELECT pt.uuid, count(*) AS n_rates FROM pt JOIN cu ON cu.uuid = pt.uuid AND cu.os = pt.os GROUP BY pt.uuid) q ON q.uuid = pt.uuid)
+    "c10_correlations": f"""WITH {PROFILE}, nu AS (SELECT pt.mean, coalesce(n_rates, 0)::DOUBLE AS a, coalesce((SELECT count(*) FROM ua WHERE ua.uuid = pt.uuid), 0)::DOUBLE AS b FROM pt LEFT JOIN (SELECT pt.uuid, count(*) AS n_rates FROM pt JOIN cu ON cu.uuid = pt.uuid AND cu.os IS NOT DISTINCT FROM pt.os GROUP BY pt.uuid) q ON q.uuid = pt.uuid)
 {indicator('pt', 'os')} UNION ALL {indicator('pt', 'model')} UNION ALL SELECT 'user', 'rates', round(corr(mean, a), 5) FROM nu UNION ALL SELECT 'user', 'apps', round(corr(mean, b), 5) FROM nu""",
     "c11_correlations_by_app": f"WITH {APPS}, e2 AS (SELECT * FROM ex WHERE app IN ('app3', 'app4')) {indicator('e2', 'os', 'app')} UNION ALL {indicator('e2', 'model', 'app')}",
     "c12_group_variance": f"""WITH {I.POINTS}, u AS (SELECT os, uuid, sum(mass) AS m, sum(mass * mean) AS s, count(*) AS n FROM pt GROUP BY os, uuid HAVING sum(mass) > 0),
@@ -207,10 +208,10 @@ z AS (SELECT *, (SELECT sum(mass * mean) / sum(mass) FROM rest WHERE list_contai
     "c15_ev_by_user_count": f"""WITH {I.POINTS}, e AS (SELECT uuid, mass, mean, unnest(apps) AS app FROM pt), g2 AS (SELECT app, uuid, sum(mass) AS m, sum(mass * mean) AS s, count(*) AS n FROM e GROUP BY ALL)
 SELECT app, users, round(s / nullif(m, 0), 8) AS ev, n FROM (SELECT app, row_number() OVER w AS users, sum(m) OVER w AS m, sum(s) OVER w AS s, (sum(n) OVER w)::BIGINT AS n FROM g2 WINDOW w AS (PARTITION BY app ORDER BY uuid)) WHERE n >= 10""",
     "c16_user_slice": f"WITH {I.FREQS} SELECT round(x, 9) AS x, round(sum(w), 6) AS w FROM fq JOIN (SELECT rate_id FROM pt WHERE uuid = '7' AND time1 > 1704500000 AND time2 < 1706000000) USING (rate_id) GROUP BY x",
-    "c18_labels": f"WITH {APPS} SELECT 'hog' AS nature, app AS key1, NULL::VARCHAR AS key2, 'Hog ' || app || ' running' AS title, 'Hog ' || app || ' not running' AS title_neg FROM hg UNION ALL SELECT 'os', os, NULL, 'OS ' || os || ' running', 'OS ' || os || ' not running' FROM (SELECT DISTINCT os FROM pt)",
+    "c18_labels": f"WITH {APPS} SELECT 'hog' AS nature, app AS key1, NULL::VARCHAR AS key2, 'Hog ' || app || ' running' AS title, 'Hog ' || app || ' not running' AS title_neg FROM hg UNION ALL SELECT 'os', os, NULL, 'OS ' || coalesce(os, 'unknown') || ' running', 'OS ' || coalesce(os, 'unknown') || ' not running' FROM (SELECT DISTINCT os FROM pt)",
     "k1_results": f"""WITH {STORED}, found AS (
-  SELECT 'os' AS nature, key AS key1, NULL::VARCHAR AS key2, gx AS xmax, ev, ev_neg, NULL::BIGINT AS users_with, NULL::BIGINT AS users_without, prob, prob_neg, NULL::VARCHAR AS apps FROM ({EVS.format(key='os')}) JOIN ga ON nature = 'os' AND k = key, gm
-  UNION ALL SELECT 'model', key, NULL, gx, ev, ev_neg, NULL, NULL, prob, prob_neg, NULL FROM ({EVS.format(key='model')}) JOIN ga ON nature = 'model' AND k = key, gm
+  SELECT 'os' AS nature, key AS key1, NULL::VARCHAR AS key2, gx AS xmax, ev, ev_neg, NULL::BIGINT AS users_with, NULL::BIGINT AS users_without, prob, prob_neg, NULL::VARCHAR AS apps FROM ({EVS.format(key='os')}) JOIN ga ON nature = 'os' AND k IS NOT DISTINCT FROM key, gm
+  UNION ALL SELECT 'model', key, NULL, gx, ev, ev_neg, NULL, NULL, prob, prob_neg, NULL FROM ({EVS.format(key='model')}) JOIN ga ON nature = 'model' AND k IS NOT DISTINCT FROM key, gm
   UNION ALL SELECT 'similar', uuid, NULL, gx, ev, ev_neg, NULL, NULL, prob, prob_neg, NULL FROM cp JOIN ga ON nature = 'similar' AND k = uuid, gm
   UNION ALL SELECT 'hog', app, NULL, gx, ev, ev_neg, users_with, users_without, prob, prob_neg, NULL FROM hg JOIN ga ON nature = 'hog' AND k = app, gm
   UNION ALL SELECT 'result', p.uuid, NULL, xm, ev, ev_neg, NULL, NULL, prob, prob_neg, coalesce((SELECT string_agg(app, ',' ORDER BY app) FROM ua WHERE ua.uuid = p.uuid), '') FROM pf p JOIN pr ON pr.uuid = p.uuid JOIN rp ON rp.uuid = p.uuid

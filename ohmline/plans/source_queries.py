@@ -251,8 +251,8 @@ C17_SQL = f"""WITH {Q.STORED}, vo AS (SELECT os AS k, 'os_variance' AS part, uui
 co AS ({Q.SQL['c10_correlations']}), e2 AS (SELECT * FROM ex WHERE app IN (SELECT app FROM hg)), hc AS ({Q.indicator('e2', 'os', 'app')} UNION ALL {Q.indicator('e2', 'model', 'app')}),
 us_ AS ({Q.SQL['c13_app_usage'].replace('round(', '(').replace(', 6)', ')')}), dd AS (SELECT uuid, round({Q.DIST}, 5) AS distance FROM pf),
 tall AS (
-  SELECT 'os' AS part, key AS key1, NULL::VARCHAR AS key2, (SELECT count(*) FROM pt WHERE os = key) AS n, ev AS value, ev_neg AS value_neg, {Q.DIST} AS distance FROM ({Q.EVS.format(key='os')}) WHERE ev IS NOT NULL AND ev_neg IS NOT NULL
-  UNION ALL SELECT 'model', key, NULL, (SELECT count(*) FROM pt WHERE model = key), ev, ev_neg, {Q.DIST} FROM ({Q.EVS.format(key='model')}) WHERE ev IS NOT NULL AND ev_neg IS NOT NULL
+  SELECT 'os' AS part, key AS key1, NULL::VARCHAR AS key2, (SELECT count(*) FROM pt WHERE os IS NOT DISTINCT FROM key) AS n, ev AS value, ev_neg AS value_neg, {Q.DIST} AS distance FROM ({Q.EVS.format(key='os')}) WHERE ev IS NOT NULL AND ev_neg IS NOT NULL
+  UNION ALL SELECT 'model', key, NULL, (SELECT count(*) FROM pt WHERE model IS NOT DISTINCT FROM key), ev, ev_neg, {Q.DIST} FROM ({Q.EVS.format(key='model')}) WHERE ev IS NOT NULL AND ev_neg IS NOT NULL
   UNION ALL SELECT 'users', uuid, NULL, n_rates, ev, ev_neg, {Q.DIST} FROM pf WHERE ev_neg IS NOT NULL
   UNION ALL SELECT 'similar', uuid, NULL, (SELECT count(*) FROM sm WHERE sm.uuid = cp.uuid AND sim), ev, ev_neg, {Q.DIST} FROM cp WHERE ev IS NOT NULL AND ev_neg IS NOT NULL
   UNION ALL SELECT 'hogs', app, NULL, users_with, ev, ev_neg, distance FROM hg

@@ -67,8 +67,8 @@ LOGS = """l AS (
 
 
 def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One registration of each user and week of the events."""
-    events = read_table(spark, sf_dir, "events").withColumn("t", F.expr(MICROS) / 1e6)
+    """One registration of each user and week of the events; one user in thirteen has none."""
+    events = read_table(spark, sf_dir, "events").withColumn("t", F.expr(MICROS) / 1e6).where("user_id % 13 <> 4")
     week = F.floor(F.col("t") / 604800)
     weeks = events.groupBy("user_id", week.alias("week")).agg(F.min("t").alias("time"))
     return weeks.select(F.col("user_id").cast("string").alias("uuid"), F.concat(F.lit("v"), (F.col("week") % 4).cast("string")).alias("os"), F.concat(F.lit("m"), (F.col("user_id") % 7).cast("string")).alias("model"), "time")
@@ -76,18 +76,18 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGS = """g AS (
   SELECT user_id::VARCHAR AS uuid, 'v' || (week % 4)::VARCHAR AS os, 'm' || (user_id % 7)::VARCHAR AS model, time
-  FROM (SELECT user_id, floor(epoch_us(ts) / 1e6 / 604800)::BIGINT AS week, min(epoch_us(ts) / 1e6) AS time FROM events GROUP BY ALL))"""
+  FROM (SELECT user_id, floor(epoch_us(ts) / 1e6 / 604800)::BIGINT AS week, min(epoch_us(ts) / 1e6) AS time FROM events WHERE user_id % 13 <> 4 GROUP BY ALL))"""
 
 
 def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as battery samples of devices, with three app names each."""
+    """Events as battery samples of devices, with three app names each; one in nineteen has no level."""
     events = read_table(spark, sf_dir, "events")
     cents = F.round(F.col("value") * 100).cast("long")
     app = lambda c, n: F.concat(F.lit("app"), (c % n).cast("string"))
     return events.select(
         F.col("user_id").cast("string").alias("uuid"),
         (F.expr(MICROS) / 1e6).alias("time"),
-        (cents % 101 / F.lit(100.0)).alias("level"),
+        F.when(F.col("event_id") % 19 != 6, cents % 101 / F.lit(100.0)).alias("level"),
         F.when(F.col("event_type").isin("click", "view", "purchase"), "batterylevelchanged").otherwise("screen on").alias("event"),
         F.when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0), "charging").otherwise("unplugged").alias("state"),
         F.array_distinct(F.array(app(F.col("event_id"), 23), app(F.col("user_id"), 11), app(cents, 7))).alias("apps"),
@@ -99,7 +99,7 @@ def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SAMPLES = """s AS (
-  SELECT user_id::VARCHAR AS uuid, epoch_us(ts) / 1e6 AS time, (round(value * 100)::BIGINT % 101) / 100.0::DOUBLE AS level,
+  SELECT user_id::VARCHAR AS uuid, epoch_us(ts) / 1e6 AS time, CASE WHEN event_id % 19 <> 6 THEN (round(value * 100)::BIGINT % 101) / 100.0::DOUBLE END AS level,
          CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'batterylevelchanged' ELSE 'screen on' END AS event,
          CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'charging' ELSE 'unplugged' END AS state,
          list_sort(list_distinct(['app' || (event_id % 23)::VARCHAR, 'app' || (user_id % 11)::VARCHAR, 'app' || (round(value * 100)::BIGINT % 7)::VARCHAR])) AS apps,
@@ -124,11 +124,11 @@ PAIRS = ASOF + """, q AS (
   FROM a WINDOW w AS (PARTITION BY uuid ORDER BY time, event, level)
 ), p AS (
   SELECT *, (level1 - level2) * 100 / (time2 - time1) AS drain, event1 = 'batterylevelchanged' AND event2 = 'batterylevelchanged' AS point,
-         greatest(((level1 - level2) - 0.05) * 100 / (time2 - time1), 0) AS lo, ((level1 - level2) + 0.05) * 100 / (time2 - time1) AS hi
+         CASE WHEN level1 - level2 IS NOT NULL THEN greatest(((level1 - level2) - 0.05) * 100 / (time2 - time1), 0) END AS lo, ((level1 - level2) + 0.05) * 100 / (time2 - time1) AS hi
   FROM q WHERE time1 IS NOT NULL AND time1 <> time2
 ), c AS (
   SELECT *, CASE WHEN model IN ('Simulator', 'sdk') THEN 'model' WHEN state1 IN ('charging', 'unknown') OR state2 IN ('charging', 'unknown') THEN 'charging'
-                 WHEN level1 - level2 < 0 THEN 'negative drain' WHEN level1 = 0 AND level2 = 0 THEN 'all zero'
+                 WHEN level1 - level2 < 0 THEN 'negative drain' WHEN level1 = 0 AND level2 = 0 THEN 'all zero' WHEN level1 IS NULL OR level2 IS NULL THEN 'no level'
                  WHEN point AND drain = 0 THEN 'zero drain' WHEN point AND drain > 0.04 THEN 'abandoned' END AS reject_reason FROM p
 ), r AS (
   SELECT uuid, os, model, time1, time2, level1, level2, list_sort(list_distinct(list_concat(apps1, apps2))) AS apps,

@@ -6,9 +6,13 @@ import sys
 import tempfile
 import threading
 import uuid
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark's setting by which a finished write drops its shuffle files at once, not when the driver collects garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -70,6 +74,19 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def joined_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` where all ``keys`` are equal, and null equals null; without keys, each with each.
+
+    The keys are those of ``left``; what else both have must differ in name.
+    """
+    names = {k: f"__right_{i}" for i, k in enumerate(keys)}
+    named = right.withColumnsRenamed(names)
+    if not names:
+        return left.join(named)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return left.join(named, same, how).drop(*names.values())
+
+
 def ship(module: str) -> None:
     """Let Spark send the functions of ``module`` to its workers by value, so they need not have it installed."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

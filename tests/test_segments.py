@@ -116,7 +116,7 @@ def dense_and_holed(spark, every):
 @pytest.mark.parametrize("every", [0, 2, 5, 7])
 def test_chunks_change_nothing(spark, every):
     """Runs, buckets and the series operators, for chunk sizes from the halo on, with null powers in any pattern."""
-    df = dense_and_holed(spark, every).where("series_id is not null")
+    df = dense_and_holed(spark, every)
     known = df.where("p is not null")
     forms = {
         "runs": lambda c: G.detect_runs(df, 5, 3, power="p", chunk_rows=c).select("series_id", "run_id", "num"),
