@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohmline.functions import scalars
-from ohmline.functions.distributions import correlation, running
+from ohmline.functions.distributions import correlation, frequencies, prob_dist, running
 from ohmline.operators.rates import current_os_rates, exclude_daemons
 from ohmline.shared import cut, joined_on
 
@@ -72,29 +72,74 @@ def similar_users(points: DataFrame, daemons: Sequence[str] = ()) -> DataFrame:
     """For each user with apps A: rates that share at least ln |A| apps with A, against the rest.
 
     A user with one app has a threshold of 0, so all rates are similar and there is no rest to compare with.
-    Users with the same apps, and rates with the same apps, are folded first; the join pairs these sets where they share
-    an app. Leave common daemons out.
     """
-    users, rates, alike = similar_sets(points, daemons)
-    sums_of = alike.join(rates, "rate_set").groupBy("user_set").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum("n").alias("n"))
-    groups = users.select("uuid", "user_set").join(sums_of, "user_set").drop("user_set")
+    users = user_sets(points, daemons)
+    sums_of = similar_sums(users, points.selectExpr("apps", "mass AS m", "mass * mean AS s", "1L AS n"), ["m", "s", "n"])
     total = points.agg(F.sum("mass").alias("all_m"), F.sum(F.col("mass") * F.col("mean")).alias("all_s"))
-    return compared(groups.join(total), "m", "s", "all_m", "all_s").select("uuid", F.col("n").alias("n_similar"), "ev", "ev_neg", "distance")
+    return compared(sums_of.join(total), "m", "s", "all_m", "all_s").select("uuid", F.col("n").alias("n_similar"), "ev", "ev_neg", "distance")
 
 
 def set_name(apps: str) -> Column:
     return F.md5(F.array_join(apps, "\x00"))
 
 
-def similar_sets(points: DataFrame, daemons: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Users with their set of apps, sets of apps of rates with the rates' sums, and which rate sets are similar to which user sets."""
+def user_sets(points: DataFrame, daemons: Sequence[str] = ()) -> DataFrame:
+    """(uuid, a, set): each user's two or more apps on the current OS, sorted, and the set's name."""
     sets = user_apps(points, daemons).groupBy("uuid").agg(F.sort_array(F.collect_set("app")).alias("a")).where(F.size("a") > 1)
-    users = cut(sets.select("uuid", "a", set_name("a").alias("user_set")))
-    folded = points.withColumn("a", F.sort_array("apps")).groupBy("a").agg(*sums())
-    rates = cut(folded.select("a", set_name("a").alias("rate_set"), "m", "s", "n"))
-    mine = users.select("user_set", F.size("a").alias("size"), F.explode("a").alias("app")).distinct()
-    shared = mine.join(rates.select("rate_set", F.explode("a").alias("app")), "app").groupBy("user_set", "rate_set").agg(F.count(F.lit(1)).alias("shared"), F.first("size").alias("size"))
-    return users, rates.drop("a"), shared.where(F.col("shared") >= F.ln("size")).select("user_set", "rate_set")
+    return cut(sets.withColumn("set", set_name("a")))
+
+
+def similar_sums(users: DataFrame, rows: DataFrame, values: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """(uuid, extra..., values...): sums of ``values`` over the ``rows`` (apps, extra..., values...) similar to each user of ``user_sets``.
+
+    Users with the same apps, and rows with the same apps, are folded first. A user of two apps needs one of them: that
+    is the sum of either app's rows less those of both, so no sets are paired. Larger sets are paired by ``similar_pairs``.
+    """
+    values, extra = list(values), list(extra)
+    add = [F.sum(v).alias(v) for v in values]
+    named = rows.withColumn("a", F.sort_array(F.array_distinct("apps"))).groupBy("a", *extra).agg(*add).where(F.size("a") > 0)
+    folded = cut(named.withColumn("row_set", set_name("a")))
+    sets = users.select("set", "a").distinct()
+    two = sets.where(F.size("a") == 2)
+    single = folded.select(F.explode("a").alias("app"), *extra, *values).groupBy("app", *extra).agg(*add)
+    either = two.select("set", F.explode("a").alias("app")).join(single, "app").select("set", *extra, *values)
+    later = lambda x, i: F.transform(F.slice("a", i + 2, F.greatest(F.size("a") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("x"), y.alias("y")))
+    pairs = folded.where(F.size("a") > 1).select(F.explode(F.flatten(F.transform("a", later))).alias("pair"), *extra, *values)
+    double = pairs.join(two.select(F.struct(F.col("a")[0].alias("x"), F.col("a")[1].alias("y")).alias("pair")), "pair", "left_semi").groupBy("pair", *extra).agg(*add)
+    both = two.select("set", F.struct(F.col("a")[0].alias("x"), F.col("a")[1].alias("y")).alias("pair")).join(double, "pair").select("set", *extra, *[(-F.col(v)).alias(v) for v in values])
+    alike = similar_pairs(sets.where(F.size("a") > 2), folded.select("row_set", "a").distinct())
+    larger = alike.join(folded, "row_set").select("set", *extra, *values)
+    found = either.unionByName(both).unionByName(larger).groupBy("set", *extra).agg(*add)
+    return users.select("uuid", "set").join(found, "set").drop("set")
+
+
+def prefix_keys(sets: DataFrame, name: str, frequency: DataFrame, need: Column, needs: DataFrame | None = None) -> DataFrame:
+    """(need, app, name): for each number of apps that must be shared, the rarest apps of a set, all but ``need - 1``.
+
+    Two sets that share ``need`` apps have one among both sides' keys. ``need`` is an array of numbers, which may come from
+    the one-row table ``needs``.
+    """
+    apps = sets.select(name, F.explode("a").alias("app")).join(frequency, "app", "left")
+    rare_first = apps.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "app"))).alias("o"))
+    rare_first = rare_first if needs is None else rare_first.join(needs)
+    asked = rare_first.select(name, "o", F.explode(need).alias("need")).where(F.size("o") >= F.col("need"))
+    return asked.select("need", name, F.explode(F.slice("o", 1, F.size("o") - F.col("need") + 1)).alias("__k")).select("need", "__k.app", name)
+
+
+def similar_pairs(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """(set, row_set) of the sets (set, a) and row sets (row_set, a) that share at least ln of the set's size, 2 or more, apps.
+
+    An overlap join with a prefix filter: apps are ordered from the rarest on, and a set's most frequent apps are no keys
+    of the join. Candidates are taken once and verified.
+    """
+    frequency = rows.select(F.explode("a").alias("app")).groupBy("app").agg(F.count(F.lit(1)).alias("n"))
+    need = F.ceil(F.ln(F.size("o"))).cast("int")
+    mine = prefix_keys(sets, "set", frequency, F.array(need))
+    asked = sets.select(F.ceil(F.ln(F.size("a"))).cast("int").alias("__n")).distinct().agg(F.array_agg("__n").alias("__needs"))  # a few numbers
+    theirs = prefix_keys(rows.where(F.size("a") > 1), "row_set", frequency, F.col("__needs"), asked)
+    candidates = mine.join(theirs, ["need", "app"]).select("set", "row_set").distinct()
+    both = candidates.join(sets, "set").join(rows.select("row_set", F.col("a").alias("b")), "row_set")
+    return both.where(F.size(F.array_intersect("a", "b")) >= F.ln(F.size("a"))).select("set", "row_set")
 
 
 def app_sums(points: DataFrame, daemons: Sequence[str] = ()) -> DataFrame:
@@ -217,6 +262,33 @@ def group_variance(points: DataFrame, key: str) -> DataFrame:
     return groups.withColumn("lifetime_hours", hours / 3600)
 
 
+def parts_of_hours(hours: Column, name: str) -> dict[str, Column]:
+    """Whole days and hours, and minutes, of a number of hours; parts are cut towards zero."""
+    whole_hours = F.when(hours >= 0, F.floor(hours)).otherwise(F.ceil(hours)).cast("long")
+    return {f"{name}_days": ((whole_hours - whole_hours % 24) / 24).cast("long"), f"{name}_hours": whole_hours % 24, f"{name}_minutes": (hours - whole_hours) * 60}
+
+
+def group_variances(points: DataFrame, prior: DataFrame, keys: Sequence[str] = ("os", "model")) -> DataFrame:
+    """Per value of each key: expectation, spread of the x p terms of its distribution and of its users' expectations.
+
+    Spreads are sums of squared deviations. ``term_`` and ``user_`` days, hours and minutes are what adding the spread to the
+    expectation does to the time of draining 100 %. All keys are taken in one pass.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("nature"), F.col(k).cast("string").alias("value")) for k in keys]))
+    tall = points.withColumn("__k", each).withColumns({"nature": F.col("__k.nature"), "value": F.col("__k.value")})
+    group = ["nature", "value"]
+    users = tall.groupBy(*group, "uuid").agg(*sums()).withColumn("user_ev", F.try_divide("s", "m"))
+    by_user = users.groupBy(*group).agg(
+        F.try_divide(F.sum("s"), F.sum("m")).alias("ev"), F.avg("user_ev").alias("user_mean"), (F.var_pop("user_ev") * F.count("user_ev")).alias("user_sum_sq_dev"),
+        F.count("user_ev").alias("users"), F.sum("n").alias("samples"),
+    )
+    dist = prob_dist(frequencies(tall, prior, group), group).withColumn("term", F.col("x") * F.col("p"))
+    terms = dist.groupBy(*group).agg(F.avg("term").alias("term_mean"), (F.var_pop("term") * F.count("term")).alias("term_sum_sq_dev"))
+    found = joined_on(by_user, terms, group)
+    hours = lambda spread: (F.try_divide(F.lit(100.0), F.col("ev")) - F.try_divide(F.lit(100.0), F.col("ev") + F.col(spread))) / 3600
+    return found.withColumns(parts_of_hours(hours("term_sum_sq_dev"), "term") | parts_of_hours(hours("user_sum_sq_dev"), "user"))
+
+
 def app_usage(rates: DataFrame) -> DataFrame:
     """Per user and app: share of the user's rates, and of the user's time, in which the app was there."""
     timed = rates.withColumn("__took", F.col("time2") - F.col("time1"))
@@ -229,7 +301,8 @@ def excluding_ranges(points: DataFrame, app: str, ranges: DataFrame) -> tuple[Da
     """Whether an app is a hog without some users, and each of those users' time slices against the other users.
 
     ``ranges`` is a small table (uuid, t0, t1). The first result is one row over the points without its users;
-    the second has, for each range, the rates with the app strictly inside it against other users' with the app.
+    the second has, for each range, the rates with the app strictly inside it against other users' with the app. The
+    first also tells how many users and rates were removed, of all that there are.
     """
     rest = points.join(ranges.select("uuid").distinct(), "uuid", "left_anti")
     has = F.array_contains("apps", app)
@@ -240,7 +313,12 @@ def excluding_ranges(points: DataFrame, app: str, ranges: DataFrame) -> tuple[Da
         F.sum(F.col("mass") * F.col("mean")).alias("all_s"),
         F.lit(app).alias("app"),
     )
-    hog = compared(split, "m", "s", "all_m", "all_s").select("app", "ev", "ev_neg", "distance")
+    each = points.groupBy("uuid").agg(F.count(F.lit(1)).alias("n"))
+    out = each.join(ranges.select("uuid", F.lit(True).alias("out")).distinct(), "uuid", "left")
+    removed = out.agg(*[F.coalesce(x, F.lit(0)).alias(n) for n, x in (
+        ("users_removed", F.count("out")), ("users", F.count(F.lit(1))), ("rates_removed", F.sum(F.when(F.col("out"), F.col("n")))), ("rates", F.sum("n")),
+    )])
+    hog = compared(split, "m", "s", "all_m", "all_s").join(removed).select("app", "ev", "ev_neg", "distance", "users_removed", "users", "rates_removed", "rates")
     running = points.where(has)
     inside = ranges.join(running, "uuid").where("time1 > t0 and time2 < t1").groupBy("uuid", "t0", "t1").agg(*sums())
     others = running.join(ranges.select("uuid").distinct(), "uuid", "left_anti").agg(F.sum("mass").alias("om"), F.sum(F.col("mass") * F.col("mean")).alias("os_"))
@@ -248,12 +326,28 @@ def excluding_ranges(points: DataFrame, app: str, ranges: DataFrame) -> tuple[Da
     return hog, compared(joined, "m", "s", "rest_m", "rest_s").select("uuid", "t0", "t1", "n", "ev", "ev_neg", "distance")
 
 
+def by_user_count(points: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Sums of each user in a group, with ``users`` (its place among the group's users, lexically) and the sums up to it."""
+    per_user = points.select("*", F.explode("apps").alias("app")).groupBy(*group, "uuid").agg(*sums())
+    upto = {"users": F.lit(1), "all_m": F.col("m"), "all_s": F.col("s"), "all_n": F.col("n")}
+    return running(per_user, upto, group, "uuid")
+
+
 def ev_by_user_count(points: DataFrame, group: Sequence[str] = ("app",), least: int = 10) -> DataFrame:
     """(group..., users, ev, n): expectation over the first 1, 2, ... users of a group in lexical order, in one pass."""
-    per_user = points.select("*", F.explode("apps").alias("app")).groupBy(*group, "uuid").agg(*sums())
-    w = Window.partitionBy(*group).orderBy("uuid").rowsBetween(Window.unboundedPreceding, 0)
-    run = per_user.select(*group, F.row_number().over(Window.partitionBy(*group).orderBy("uuid")).alias("users"), F.sum("m").over(w).alias("m"), F.sum("s").over(w).alias("s"), F.sum("n").over(w).alias("n"))
-    return run.where(F.col("n") >= least).select(*group, "users", F.try_divide(F.col("s"), F.col("m")).alias("ev"), "n")
+    run = by_user_count(points, group)
+    return run.where(F.col("all_n") >= least).select(*group, F.col("users").cast("int").alias("users"), F.try_divide("all_s", "all_m").alias("ev"), F.col("all_n").alias("n"))
+
+
+def user_ev_by_user_count(points: DataFrame, group: Sequence[str] = ("app",), least: int = 10) -> DataFrame:
+    """(group..., uuid, ev, n, from_users): each user's own expectation, and the number of first users from which it is told.
+
+    It is told for the first k users if the user is one of them and their rates are ``least`` or more, so from some k on.
+    """
+    run = by_user_count(points, group)
+    enough = run.where(F.col("all_n") >= least).groupBy(*group).agg(F.min("users").alias("__enough"))
+    told = joined_on(run, enough, list(group)).where("m > 0")
+    return told.select(*group, "uuid", (F.col("s") / F.col("m")).alias("ev"), "n", F.greatest("users", "__enough").cast("int").alias("from_users"))
 
 
 def user_slice(rates: DataFrame, uuid: str, after: float, before: float) -> DataFrame:

@@ -89,9 +89,7 @@ def stored_results(points: DataFrame, prior: DataFrame, daemons: Sequence[str] =
         if nature in natures:
             found[nature] = C.labelled(against_all(compare(points), [nature], by_bucket(masses, [nature]), all_, xmax), nature, [nature])
     if "similar" in natures:
-        users, _, alike = C.similar_sets(points, daemons)
-        of_set = by_bucket(masses.withColumn("a", F.sort_array("apps")).withColumn("rate_set", C.set_name("a")), ["rate_set"])
-        similar = by_bucket(alike.join(of_set, "rate_set"), ["user_set"]).join(users.select("uuid", "user_set"), "user_set").drop("user_set")
+        similar = C.similar_sums(C.user_sets(points, daemons), masses.select("apps", "bucket", "mass"), ["mass"], ["bucket"])
         found["similar"] = C.labelled(against_all(C.similar_users(points, daemons), ["uuid"], similar, all_, xmax), "similar", ["uuid"])
     if "hog" in natures:
         hogs = cut(C.hogs(points, daemons, least_users))

@@ -321,8 +321,11 @@ def c11_correlations_by_app(points):
     return rounded(C.correlations_by_app(points, apps), "r", decimals=5)
 
 
-def c12_group_variance(points):
-    return C.group_variance(points, "os").select("os", F.round("ev", 8).alias("ev"), F.round("user_mean", 8).alias("user_mean"), F.round("sum_sq_dev", 10).alias("sum_sq_dev"), "users", "samples", F.round("lifetime_hours", 3).alias("lifetime_hours"))
+def c12_group_variance(spark, sf_dir):
+    found = C.group_variances(*I.points(spark, sf_dir))
+    rates = {n: F.round(n, 8) for n in ("ev", "user_mean", "term_mean")} | {n: F.round(n, 10) for n in ("user_sum_sq_dev", "term_sum_sq_dev")}
+    whole = lambda side: F.round(F.col(f"{side}_days") * 24 + F.col(f"{side}_hours") + F.col(f"{side}_minutes") / 60, 3).alias(f"{side}_all_hours")
+    return found.select("*", whole("term"), whole("user")).withColumns(rates).drop(*[f"{side}_{part}" for side in ("term", "user") for part in ("days", "hours", "minutes")])
 
 
 def c13_app_usage(spark, sf_dir):
@@ -347,6 +350,10 @@ def c15_ev_by_user_count(points):
     return rounded(C.ev_by_user_count(points), "ev", decimals=8)
 
 
+def c15_user_ev_by_user_count(points):
+    return rounded(C.user_ev_by_user_count(points), "ev", decimals=8)
+
+
 def c16_user_slice(spark, sf_dir):
     points, prior = I.points(spark, sf_dir)
     some = C.user_slice(points, "7", 1704500000.0, 1706000000.0)
@@ -434,8 +441,8 @@ def s6_fleet_text(spark, sf_dir):
 POINTS = {
     "c1_compare_os": lambda p: compared(C.compare_os(p)), "c2_compare_model": lambda p: compared(C.compare_model(p)), "c4_similar_users": lambda p: compared(C.similar_users(p, DAEMONS)),
     "c5_hogs": lambda p: compared(C.hogs(p, DAEMONS)), "c6_bugs": lambda p: compared(C.bugs(p, DAEMONS)), "c7_skipped": lambda p: C.skipped_apps(p, DAEMONS, 100), "c8_relaxed_hogs": lambda p: compared(C.hogs(p, DAEMONS, 100, relaxed=True)),
-    "c9_j_scores": c9_j_scores, "c10_correlations": c10_correlations, "c11_correlations_by_app": c11_correlations_by_app, "c12_group_variance": c12_group_variance, "c14_excluding": c14_excluding, "c14_slices": c14_slices,
-    "c15_ev_by_user_count": c15_ev_by_user_count, "c18_labels": c18_labels, "k3_expire": k3_expire, "k4_remove_daemons": k4_remove_daemons,
+    "c9_j_scores": c9_j_scores, "c10_correlations": c10_correlations, "c11_correlations_by_app": c11_correlations_by_app, "c14_excluding": c14_excluding, "c14_slices": c14_slices,
+    "c15_ev_by_user_count": c15_ev_by_user_count, "c15_user_ev_by_user_count": c15_user_ev_by_user_count, "c18_labels": c18_labels, "k3_expire": k3_expire, "k4_remove_daemons": k4_remove_daemons,
 }
 
 QUERIES = {name: with_points(f) for name, f in POINTS.items()} | {"d20_ks_signed": ks("signed"), "d21_ks_absolute": ks("absolute"), "d22_ks_weighted": ks("weighted")} | {
@@ -445,7 +452,7 @@ QUERIES = {name: with_points(f) for name, f in POINTS.items()} | {"d20_ks_signed
         p13_current_os, p14_limit_users, p15_current_os_rates, p16_exclude_daemons, p17_samples_text, p17_registrations_text, p18_rates_text, p19_point_rates, p20_by_rate,
         d1_a_priori, d2_frequencies, d3_prob_dist, d4_expected_value, d5_equal_histogram_ev, d6_log_histogram_ev, d7_rate_ev, d8_uniform_functions, d9_discretize, d10_xmax, d11_equal_histogram, d12_range_histogram,
         d13_log_histogram, d14_normalised_log_histogram, d15_range_log_histogram, d16_bucket_coordinates, d17_cdf, d18_upper_edge_log, d19_upper_edge_equal, d23_spread, d24_normalize, d25_pearson, d26_mixture_stddev,
-        d27_rounding, d28_ev_difference, d29_improvement, d30_compare_distributions, d31_evidence, d32_non_zero, c3_user_profile, c13_app_usage, c16_user_slice, k1_results, k5_delete, k6_device, k9_plot_data, k12_larger_first,
+        d27_rounding, d28_ev_difference, d29_improvement, d30_compare_distributions, d31_evidence, d32_non_zero, c3_user_profile, c12_group_variance, c13_app_usage, c16_user_slice, k1_results, k5_delete, k6_device, k9_plot_data, k12_larger_first,
         s1_measurements, s6_fleet_text, s8_latest_registrations, s10_scan, s12_incremental, s16_replicate,
     )
 }

@@ -198,15 +198,24 @@ SELECT uuid, n_similar, {CMP_OUT} FROM cp WHERE ev IS NOT NULL AND ev_neg IS NOT
     "c10_correlations": f"""WITH {PROFILE}, nu AS (SELECT pt.mean, coalesce(n_rates, 0)::DOUBLE AS a, coalesce((SELECT count(*) FROM ua WHERE ua.uuid = pt.uuid), 0)::DOUBLE AS b FROM pt LEFT JOIN (SELECT pt.uuid, count(*) AS n_rates FROM pt JOIN cu ON cu.uuid = pt.uuid AND cu.os IS NOT DISTINCT FROM pt.os GROUP BY pt.uuid) q ON q.uuid = pt.uuid)
 {indicator('pt', 'os')} UNION ALL {indicator('pt', 'model')} UNION ALL SELECT 'user', 'rates', round(corr(mean, a), 5) FROM nu UNION ALL SELECT 'user', 'apps', round(corr(mean, b), 5) FROM nu""",
     "c11_correlations_by_app": f"WITH {APPS}, e2 AS (SELECT * FROM ex WHERE app IN ('app3', 'app4')) {indicator('e2', 'os', 'app')} UNION ALL {indicator('e2', 'model', 'app')}",
-    "c12_group_variance": f"""WITH {I.POINTS}, u AS (SELECT os, uuid, sum(mass) AS m, sum(mass * mean) AS s, count(*) AS n FROM pt GROUP BY os, uuid HAVING sum(mass) > 0),
-v AS (SELECT os, sum(s) / sum(m) AS ev, avg(s / m) AS user_mean, var_pop(s / m) * count(*) AS sd, count(*) AS users, sum(n)::BIGINT AS samples FROM u GROUP BY os)
-SELECT os, round(ev, 8) AS ev, round(user_mean, 8) AS user_mean, round(sd, 10) AS sum_sq_dev, users, samples, round((100 / ev - 100 / (ev + sqrt(sd))) / 3600, 3) AS lifetime_hours FROM v""",
+    "c12_group_variance": f"""WITH {I.FREQS}, nv AS (SELECT 'os' AS nature, os AS value, * FROM pt UNION ALL SELECT 'model', model, * FROM pt),
+u AS (SELECT nature, value, uuid, sum(mass) AS m, sum(mass * mean) AS s, count(*) AS n FROM nv GROUP BY ALL),
+v AS (SELECT nature, value, sum(s) / nullif(sum(m), 0) AS ev, avg(s / nullif(m, 0)) AS user_mean, var_pop(s / nullif(m, 0)) * count(s / nullif(m, 0)) AS user_sd, count(s / nullif(m, 0)) AS users, sum(n)::BIGINT AS samples FROM u GROUP BY ALL),
+fx AS (SELECT nature, value, x, sum(w) AS w FROM (SELECT 'os' AS nature, os AS value, x, w FROM fq UNION ALL SELECT 'model', model, x, w FROM fq) GROUP BY ALL),
+t AS (SELECT nature, value, avg(x * p) AS term_mean, var_pop(x * p) * count(*) AS term_sd FROM (SELECT *, w / sum(w) OVER (PARTITION BY nature, value) AS p FROM fx) GROUP BY ALL)
+SELECT v.nature, v.value, round(ev, 8) AS ev, round(user_mean, 8) AS user_mean, round(user_sd, 10) AS user_sum_sq_dev, users, samples, round(term_mean, 8) AS term_mean, round(term_sd, 10) AS term_sum_sq_dev,
+       round((100 / ev - 100 / (ev + term_sd)) / 3600, 3) AS term_all_hours, round((100 / ev - 100 / (ev + user_sd)) / 3600, 3) AS user_all_hours
+FROM v JOIN t ON t.nature = v.nature AND t.value IS NOT DISTINCT FROM v.value""",
     "c13_app_usage": f"WITH {I.PAIRS}, u AS (SELECT uuid, count(*) AS an, sum(time2 - time1) AS alltime FROM r GROUP BY uuid) SELECT r.uuid, app, round(count(*) / any_value(an), 6) AS rate_share, round(sum(t) / any_value(alltime), 6) AS time_share FROM (SELECT uuid, time2 - time1 AS t, unnest(apps) AS app FROM r) r JOIN u USING (uuid) GROUP BY r.uuid, app",
-    "c14_excluding": f"WITH {SLICES}, z AS (SELECT 'app3' AS app, sum(mass * mean) FILTER (list_contains(apps, 'app3')) / sum(mass) FILTER (list_contains(apps, 'app3')) AS ev, sum(mass * mean) FILTER (NOT list_contains(apps, 'app3')) / sum(mass) FILTER (NOT list_contains(apps, 'app3')) AS ev_neg FROM rest) SELECT app, {CMP_OUT} FROM z",
+    "c14_excluding": f"WITH {SLICES}, z AS (SELECT 'app3' AS app, sum(mass * mean) FILTER (list_contains(apps, 'app3')) / sum(mass) FILTER (list_contains(apps, 'app3')) AS ev, sum(mass * mean) FILTER (NOT list_contains(apps, 'app3')) / sum(mass) FILTER (NOT list_contains(apps, 'app3')) AS ev_neg FROM rest), o AS (SELECT count(DISTINCT uuid) AS u, count(*) AS n, count(DISTINCT uuid) FILTER (uuid IN ('3', '7', '11')) AS ru, count(*) FILTER (uuid IN ('3', '7', '11')) AS rn FROM pt) SELECT app, {CMP_OUT}, ru AS users_removed, u AS users, rn AS rates_removed, n AS rates FROM z, o",
     "c14_slices": f"""WITH {SLICES}, i AS (SELECT rg.uuid, t0, count(*) AS n, sum(mass * mean) / nullif(sum(mass), 0) AS ev FROM rg JOIN pt ON pt.uuid = rg.uuid AND time1 > t0 AND time2 < t1 AND list_contains(apps, 'app3') GROUP BY ALL),
 z AS (SELECT *, (SELECT sum(mass * mean) / sum(mass) FROM rest WHERE list_contains(apps, 'app3')) AS ev_neg FROM i WHERE ev IS NOT NULL) SELECT uuid, round(t0, 3) AS t0, n, {CMP_OUT} FROM z""",
     "c15_ev_by_user_count": f"""WITH {I.POINTS}, e AS (SELECT uuid, mass, mean, unnest(apps) AS app FROM pt), g2 AS (SELECT app, uuid, sum(mass) AS m, sum(mass * mean) AS s, count(*) AS n FROM e GROUP BY ALL)
 SELECT app, users, round(s / nullif(m, 0), 8) AS ev, n FROM (SELECT app, row_number() OVER w AS users, sum(m) OVER w AS m, sum(s) OVER w AS s, (sum(n) OVER w)::BIGINT AS n FROM g2 WINDOW w AS (PARTITION BY app ORDER BY uuid)) WHERE n >= 10""",
+    "c15_user_ev_by_user_count": f"""WITH {I.POINTS}, e AS (SELECT uuid, mass, mean, unnest(apps) AS app FROM pt), g2 AS (SELECT app, uuid, sum(mass) AS m, sum(mass * mean) AS s, count(*) AS n FROM e GROUP BY ALL),
+k AS (SELECT *, row_number() OVER w AS users, (sum(n) OVER w)::BIGINT AS alln FROM g2 WINDOW w AS (PARTITION BY app ORDER BY uuid)),
+first AS (SELECT app, min(users) AS enough FROM k WHERE alln >= 10 GROUP BY app)
+SELECT app, uuid, round(s / m, 8) AS ev, n, greatest(users, enough) AS from_users FROM k JOIN first USING (app) WHERE m > 0""",
     "c16_user_slice": f"WITH {I.FREQS} SELECT round(x, 9) AS x, round(sum(w), 6) AS w FROM fq JOIN (SELECT rate_id FROM pt WHERE uuid = '7' AND time1 > 1704500000 AND time2 < 1706000000) USING (rate_id) GROUP BY x",
     "c18_labels": f"WITH {APPS} SELECT 'hog' AS nature, app AS key1, NULL::VARCHAR AS key2, 'Hog ' || app || ' running' AS title, 'Hog ' || app || ' not running' AS title_neg FROM hg UNION ALL SELECT 'os', os, NULL, 'OS ' || coalesce(os, 'unknown') || ' running', 'OS ' || coalesce(os, 'unknown') || ' not running' FROM (SELECT DISTINCT os FROM pt)",
     "k1_results": f"""WITH {STORED}, found AS (
