@@ -8,21 +8,27 @@ series is one window. Rows whose order is null take no part.
 
 from __future__ import annotations
 
+import hashlib
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import accumulate, chain
 from typing import Any, Protocol
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ohmline.shared import joined_on, ship
+from ohmline.shared import cut, joined_on, ship
 
 ship(__name__)
 
 SERIES = ("series_id",)
 SAMPLING_STEP = 0.0002
 STEP_TOLERANCE = 0.000001
+#: Times that chunks which began with a wrong state run again before a series is folded whole.
+ROUNDS = 8
 
 
 def col(x: str | Column) -> Column:
@@ -87,6 +93,23 @@ def numbered(rows: DataFrame, starts: Column, keys: list[str], order: str, chunk
     return rows.withColumn("__upto", upto).join(starts_, same).withColumn(name, F.col("__before") + F.col("__upto")).select(*[c for c in rows.columns if c != "__start"], name)
 
 
+def with_last_sum(rows: DataFrame, keys: Sequence[str], place: str, value: str, window: int) -> DataFrame:
+    """``rows`` with ``__last``: the sum of ``value`` over the last ``window`` rows up to each, for places without holes.
+
+    Rows are in blocks of ``window`` places, so the last rows are the end of one block and the beginning of the next:
+    a sum from the back and a sum from the front, each running. The work for a row does not depend on ``window``, and
+    nothing is subtracted, so nothing is lost to cancellation.
+    """
+    blocks = rows.withColumn("__block", F.floor((F.col(place) - 1) / window))
+    inside = Window.partitionBy(*keys, "__block")
+    front = F.sum(value).over(inside.orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
+    back = F.sum(value).over(inside.orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, 0))
+    both = blocks.withColumns({"__front": front, "__back": back})
+    earlier = F.lag("__back", window - 1).over(Window.partitionBy(*keys).orderBy(place)) if window > 1 else F.lit(None)
+    ends = F.pmod(F.col(place), F.lit(window)) == 0
+    return both.withColumn("__last", F.when(ends, F.col("__front")).otherwise(F.col("__front") + earlier)).drop("__block", "__front", "__back")
+
+
 def detect_runs(
     rows: DataFrame,
     threshold: float,
@@ -107,8 +130,8 @@ def detect_runs(
     rows = positioned(rows.where(col(power).isNotNull()), keys, order, chunk_rows)
     seen = with_halo(rows, "__pos", chunk_rows, window)
     w = Window.partitionBy(*keys, "__in").orderBy("__pos")
-    last = w.rowsBetween(1 - window, 0)
-    seen = seen.withColumn("__active", (F.count(F.lit(1)).over(last) == window) & (F.sum(col(power)).over(last) >= threshold * window))
+    seen = with_last_sum(seen.withColumn("__power", col(power)), [*keys, "__in"], "__pos", "__power", window)
+    seen = seen.withColumn("__active", (F.col("__pos") >= window) & (F.col("__last") >= threshold * window)).drop("__power", "__last")
     seen = seen.withColumn("__rises", F.col("__active") & ~F.coalesce(F.lag("__active").over(w), F.lit(False)))
     own = numbered(seen.where("__in = __chunk"), F.col("__rises"), keys, "__pos", chunk_rows is not None, "run_id")
     lead = own.where("__rises").select(*keys, "run_id", F.explode(F.sequence(F.col("__pos") - (window - 1), F.col("__pos") - 1)).alias("__pos")) if window > 1 else None
@@ -183,85 +206,194 @@ class BucketDetector(Protocol):
     def update(self, row: Any) -> bool: ...
 
 
-def folded(rows: DataFrame, fold: Callable[[Iterator[Any]], Iterator[tuple]], series: Sequence[str], order: str, added: T.StructType) -> DataFrame:
-    """Each series, in order and row by row, through ``fold``; ``fold`` gives (row, values of the added columns)."""
-    keys, columns = list(series), rows.columns
-    schema = T.StructType([*rows.schema.fields, *added.fields])
-    names = [f.name for f in schema.fields]
-
-    def by_series(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def lines() -> Iterator[Any]:
-            for batch in batches:
-                yield from batch.itertuples(index=False, name="Row")
-
-        held: list[tuple] = []
-        stream, ahead = lines(), []
-
-        def key(row: Any) -> tuple:
-            return tuple(getattr(row, k) for k in keys)
-
-        row = next(stream, None)
-        while row is not None:
-            now = key(row)
-            ahead = [row]
-
-            def one_series() -> Iterator[Any]:
-                while ahead and key(ahead[0]) == now:
-                    current = ahead.pop()
-                    yield current
-                    following = next(stream, None)
-                    if following is not None:
-                        ahead.append(following)
-
-            for source, values in fold(one_series()):
-                held.append((*source, *values))
-                if len(held) >= 10_000:
-                    yield pd.DataFrame(held, columns=names)
-                    held = []
-            row = ahead[0] if ahead else None
-        if held:
-            yield pd.DataFrame(held, columns=names)
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, order).select(*columns).mapInPandas(by_series, schema)
-
-
-def detect_runs_with(rows: DataFrame, make: Callable[[], RunDetector], *, series: Sequence[str] = SERIES, order: str = "num") -> DataFrame:
-    """Rows of runs, with ``run_id`` from 1, as a user's detector finds them.
+class Row:
+    """A row as detectors see it: its values by name, and in order."""
 
-    The detector sees the rows of a series one by one. When it enters a run, what ``lead_in`` gives stands before
-    the row; the row after which it is out of the run is not part of it.
-    """
+    def __init__(self, names: Sequence[str], values: Sequence[Any]):
+        self.__dict__.update(zip(names, values))
+
+    def __iter__(self) -> Iterator[Any]:
+        return iter(self.__dict__.values())
 
-    def fold(stream: Iterator[Any]) -> Iterator[tuple]:
-        detector, run, inside = make(), 0, False
+
+class Held:
+    """What a detector knows of a series: the detector, whether it is in a run, and how many runs or turns there were."""
+
+    def __init__(self, detector: Any):
+        self.detector, self.found, self.inside, self.first = detector, 0, False, True
         detector.reset()
-        for row in stream:
-            detector.update(row)
-            now = detector.ready() and detector.in_run()
-            if now and not inside:
-                run += 1
-                for before in detector.lead_in():
-                    yield before, (run,)
-            if now:
-                yield row, (run,)
-            inside = now
 
-    return folded(rows, fold, series, order, T.StructType([T.StructField("run_id", T.LongType())]))
+    def digest(self) -> bytes:
+        """Equal for equal states; what was found so far is no part of it."""
+        known = getattr(self.detector, "digest", None)
+        own = known() if known else {k: v for k, v in vars(self.detector).items() if not callable(v)}
+        again = cloudpickle.loads(cloudpickle.dumps((own, self.inside, self.first)))  # strings are shared as in any copy
+        return hashlib.sha256(cloudpickle.dumps(again)).digest()
 
 
-def bucket_with(rows: DataFrame, make: Callable[[], BucketDetector], *, series: Sequence[str] = SERIES, order: str = "num") -> DataFrame:
-    """``rows`` with ``bucket_id`` from 0, as a user's detector starts buckets."""
+Step = Callable[[Held, Any], Iterator[tuple[Any, int]]]
 
-    def fold(stream: Iterator[Any]) -> Iterator[tuple]:
-        detector, bucket, first = make(), 0, True
-        detector.reset()
-        for row in stream:
-            if detector.update(row) and not first:
-                bucket += 1
-            first = False
-            yield row, (bucket,)
 
-    return folded(rows, fold, series, order, T.StructType([T.StructField("bucket_id", T.LongType())]))
+def run_step(held: Held, row: Any) -> Iterator[tuple[Any, int]]:
+    """Rows of a run that ``row`` begins or goes on with, and the run's number from 1."""
+    held.detector.update(row)
+    now = held.detector.ready() and held.detector.in_run()
+    if now and not held.inside:
+        held.found += 1
+        for before in held.detector.lead_in():
+            yield before, held.found
+    if now:
+        yield row, held.found
+    held.inside = now
+
+
+def bucket_step(held: Held, row: Any) -> Iterator[tuple[Any, int]]:
+    """``row`` and its bucket's number from 0."""
+    turn = held.detector.update(row)
+    held.found, held.first = held.found + int(bool(turn) and not held.first), False
+    yield row, held.found
+
+
+def lines(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[tuple[dict, Row]]:
+    """Every row: the values of ``columns`` as detectors see them, and the other values by name."""
+    for batch in batches:
+        values = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+        more = [n for n in values if n not in columns]
+        for k, row in enumerate(zip(*[values[c] for c in columns])):
+            yield {n: values[n][k] for n in more}, Row(columns, row)
+
+
+def record(rows: list[tuple], kinds: Sequence[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
+
+
+def folded(rows: DataFrame, make: Callable[[], Any], step: Step, series: Sequence[str], order: str, name: str) -> DataFrame:
+    """Each series, in order and row by row, through ``step``; a series is one task."""
+    keys, columns = list(series), rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())])
+
+    def by_series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        kinds = [*[(f.name, f.type) for f in first.schema], (name, pa.int64())]
+        held, now, out = None, None, []
+        for _, row in lines(chain([first], batches), columns):
+            key = tuple(getattr(row, k) for k in keys)
+            if held is None or key != now:
+                held, now = Held(make()), key
+            out += [(*source, n) for source, n in step(held, row)]
+            if len(out) >= 10_000:
+                yield record(out, kinds)
+                out = []
+        yield record(out, kinds)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(by_series, schema)
+
+
+def folded_by_chunk(rows: DataFrame, make: Callable[[], Any], step: Step, series: Sequence[str], order: str, name: str, chunk_rows: int, halo: int, rounds: int) -> DataFrame:
+    """As ``folded``, with the chunks of a series in parallel, each on a guess of the state that it begins with.
+
+    The guess is a fresh detector that has seen the ``halo`` rows before the chunk. The digest of the state with which a chunk
+    began is compared with that at the end of the chunk before; chunks where they differ run again from the
+    state that the chunk before ended with, round by round. Every round settles at least the first chunk that was wrong. If
+    after ``rounds`` some are still wrong, the detector does not forget, and the series is folded whole.
+    """
+    keys, columns = list(series), rows.columns
+    placed = cut(positioned(rows, keys, order, chunk_rows))
+    seen = with_halo(placed, "__pos", chunk_rows, halo).withColumn("__state", F.lit(None).cast("binary"))
+    own = [T.StructField(f.name, f.dataType, True) for f in rows.schema.fields]
+    more = [T.StructField(n, t) for n, t in (("__n", T.LongType()), ("__in", T.LongType()), ("__begun", T.BinaryType()), ("__ended", T.BinaryType()), ("__state", T.BinaryType()))]
+
+    def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        types = {f.name: f.type for f in first.schema}
+        kinds = [*[(c, types[c]) for c in columns], ("__n", pa.int64()), ("__in", pa.int64()), ("__begun", pa.binary()), ("__ended", pa.binary()), ("__state", pa.binary())]
+        at = {c: i for i, c in enumerate(columns)}
+        held, now, begun, out = None, None, None, []
+
+        def ended() -> tuple:
+            values = [None] * len(columns)
+            for k, v in zip(keys, now):
+                values[at[k]] = v
+            return (*values, held.found, now[-1], begun, held.digest(), cloudpickle.dumps(held))
+
+        for more, row in lines(chain([first], batches), columns):
+            key = (*[getattr(row, k) for k in keys], more["__in"])
+            if held is None or key != now:
+                if held is not None:
+                    out.append(ended())
+                held, now, begun = Held(make()), key, None
+            if more["__state"] is not None:  # the first of its chunk: the state to begin with, and no row
+                held = cloudpickle.loads(more["__state"])
+                continue
+            if more["__chunk"] != more["__in"]:
+                for _ in step(held, row):
+                    pass
+                continue
+            if begun is None:
+                begun, held.found = held.digest(), 0
+            out += [(*source, n, key[-1], None, None, None) for source, n in step(held, row)]
+            if len(out) >= 10_000:
+                yield record(out, kinds)
+                out = []
+        if held is not None:
+            out.append(ended())
+        yield record(out, kinds)
+
+    def run(some: DataFrame) -> DataFrame:
+        dealt = some.repartition(*keys, "__in").sortWithinPartitions(*keys, "__in", F.col("__state").isNull(), "__pos")
+        return cut(dealt.mapInArrow(by_chunk, T.StructType([*own, *more])))
+
+    done, place = run(seen), [*keys, "__in"]
+    by_place = Window.partitionBy(*keys).orderBy("__in")
+    for turn in range(rounds + 1):
+        ends = done.where("__ended is not null")
+        before = ends.select(*place, "__begun", F.lag("__ended").over(by_place).alias("__before"))
+        wrong = cut(before.where("__before is not null and __before <> __begun").select(*place))
+        if wrong.isEmpty():
+            break
+        if turn == rounds:
+            return folded(rows.where(F.col(order).isNotNull()), make, step, keys, order, name)
+        states = ends.select(*keys, (F.col("__in") + 1).alias("__in"), "__state")
+        begin = joined_on(states, wrong, place, "left_semi")
+        again = joined_on(seen.where("__in = __chunk"), wrong, place, "left_semi").unionByName(begin, allowMissingColumns=True)
+        done = cut(joined_on(done, wrong, place, "left_anti").unionByName(run(again)))
+    ends = done.where("__ended is not null").select(*place, F.coalesce(F.sum("__n").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__earlier"))
+    found = joined_on(done.where("__ended is null"), ends, place)
+    return found.select(*columns, (F.col("__n") + F.col("__earlier")).alias(name))
+
+
+def detected(rows: DataFrame, make: Callable[[], Any], step: Step, series: Sequence[str], order: str, name: str, chunk_rows: int | None, halo: int | None, rounds: int) -> DataFrame:
+    if chunk_rows is None:
+        return folded(rows.where(F.col(order).isNotNull()), make, step, series, order, name)
+    return folded_by_chunk(rows, make, step, series, order, name, chunk_rows, min(chunk_rows, 1024) if halo is None else halo, rounds)
+
+
+def detect_runs_with(
+    rows: DataFrame, make: Callable[[], RunDetector], *, series: Sequence[str] = SERIES, order: str = "num",
+    chunk_rows: int | None = None, halo: int | None = None, rounds: int = ROUNDS,
+) -> DataFrame:
+    """Rows of runs, with ``run_id`` from 1, as a user's detector finds them.
+
+    The detector sees the rows of a series one by one. When it enters a run, what ``lead_in`` gives stands before
+    the row; the row after which it is out of the run is not part of it. Rows whose order is null take no part.
+
+    With ``chunk_rows`` a series is worked on by many tasks, as in ``folded_by_chunk``: that is fast for detectors that
+    forget what is more than ``halo`` rows back, and right for all. A detector may offer ``digest()``, a value that is
+    equal for states that act alike; else its attributes are compared.
+    """
+    return detected(rows, make, run_step, series, order, "run_id", chunk_rows, halo, rounds)
+
+
+def bucket_with(
+    rows: DataFrame, make: Callable[[], BucketDetector], *, series: Sequence[str] = SERIES, order: str = "num",
+    chunk_rows: int | None = None, halo: int | None = None, rounds: int = ROUNDS,
+) -> DataFrame:
+    """``rows`` with ``bucket_id`` from 0, as a user's detector starts buckets; options as for ``detect_runs_with``."""
+    return detected(rows, make, bucket_step, series, order, "bucket_id", chunk_rows, halo, rounds)
 
 
 class MovingAverageDetector:
@@ -272,19 +404,33 @@ class MovingAverageDetector:
         self.reset()
 
     def reset(self) -> None:
-        self.rows: list[Any] = []
+        self.rows: deque[Any] = deque()
+        self.front: list[float] = []  # sums from each of the older rows to the last of them, the oldest at the end
+        self.back: list[float] = []  # powers of the newer rows
+        self.sum = 0.0  # of the newer rows
 
     def update(self, row: Any) -> None:
-        self.rows = [*self.rows[-(self.window - 1) :], row] if self.window > 1 else [row]
+        self.rows.append(row)
+        self.back.append(self.power(row))
+        self.sum += self.back[-1]
+        if len(self.rows) > self.window:
+            self.rows.popleft()
+            if not self.front:
+                self.front, self.back, self.sum = list(accumulate(reversed(self.back))), [], 0.0
+            self.front.pop()
 
     def ready(self) -> bool:
         return len(self.rows) == self.window
 
     def in_run(self) -> bool:
-        return sum(map(self.power, self.rows)) >= self.threshold * self.window
+        return (self.front[-1] if self.front else 0.0) + self.sum >= self.threshold * self.window
 
     def lead_in(self) -> list[Any]:
-        return self.rows[:-1]
+        return list(self.rows)[:-1]
+
+    def digest(self) -> Any:
+        """The rows of the window: what is done with later rows depends on nothing else, but for the rounding of sums."""
+        return list(map(tuple, self.rows))
 
 
 class KeyChangeDetector:

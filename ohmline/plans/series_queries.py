@@ -56,6 +56,32 @@ def r2_detect_runs_with(spark, sf_dir):
 R2_SQL = f"WITH {I.MEASUREMENTS}{RUNS} SELECT series_id, run_id::BIGINT AS run_id, min(num) AS first_num, max(num) AS last_num, sum(cents)::BIGINT AS cents FROM runs GROUP BY ALL"
 
 
+def r1_wide_window(spark, sf_dir):
+    """Runs under a window of 2,500 rows, as captures at 5 kHz have them: their first and last active rows."""
+    found = G.detect_runs(I.one_series(spark, sf_dir), WIDE_THRESHOLD, 2500, power="cents", chunk_rows=CHUNK)
+    return found.groupBy("run_id").agg(F.min("num").alias("first_num"), F.max("num").alias("last_num"), F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+
+
+WIDE_THRESHOLD = 5000
+R1_WIDE_SQL = f"""WITH {I.ONE_SERIES}, act AS (
+  SELECT *, row_number() OVER (ORDER BY num) AS k, count(*) OVER w = 2500 AND sum(cents) OVER w >= {WIDE_THRESHOLD * 2500} AS active FROM m WINDOW w AS (ORDER BY num ROWS BETWEEN 2499 PRECEDING AND CURRENT ROW)
+), ris AS (SELECT *, active AND NOT coalesce(lag(active) OVER (ORDER BY k), false) AS rises FROM act),
+ids AS (SELECT *, sum(rises::INT) OVER (ORDER BY k) AS rid FROM ris),
+bounds AS (SELECT rid AS run_id, min(k) - 2499 AS a, max(k) AS b FROM ids WHERE active GROUP BY rid)
+SELECT run_id::BIGINT AS run_id, min(num) AS first_num, max(num) AS last_num, count(*) AS n, sum(cents)::BIGINT AS cents FROM bounds JOIN act ON k BETWEEN a AND b GROUP BY run_id"""
+
+
+def r2_detect_runs_with_long_series(spark, sf_dir):
+    make = lambda: G.MovingAverageDetector(7000, WINDOW, lambda row: row.cents)
+    found = G.detect_runs_with(I.one_series(spark, sf_dir).select("series_id", "num", "cents"), make, chunk_rows=CHUNK)
+    return found.groupBy("run_id").agg(F.min("num").alias("first_num"), F.max("num").alias("last_num"), F.count(F.lit(1)).alias("n"))
+
+
+def r6_bucket_with_long_series(spark, sf_dir):
+    found = G.bucket_with(I.one_series(spark, sf_dir).select("series_id", "num", "event_type"), lambda: G.KeyChangeDetector(lambda row: row.event_type), chunk_rows=CHUNK)
+    return found.groupBy("bucket_id").agg(F.first("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"), F.min("num").alias("first_num"))
+
+
 def r3_detect_runs_tuples(spark, sf_dir):
     tuples = I.measurements(spark, sf_dir).select("series_id", F.col("num").alias("n"), F.col("time_s").alias("s"), (F.col("cents") / 100).alias("ma"), F.lit(100.0).alias("v"))
     found = G.detect_runs(tuples, float(THRESHOLD), WINDOW, order="n", power=F.round(F.col("ma") * F.col("v")))
@@ -311,6 +337,7 @@ R23_SQL = f"WITH {I.MEASUREMENTS} SELECT series_id, round(avg(cents), 3) AS mean
 
 QUERIES = {
     "r1_detect_runs": r1_detect_runs, "r1_detect_runs_long_series": r1_detect_runs_long_series, "r2_detect_runs_with": r2_detect_runs_with, "r3_detect_runs_tuples": r3_detect_runs_tuples,
+    "r1_wide_window": r1_wide_window, "r2_detect_runs_with_long_series": r2_detect_runs_with_long_series, "r6_bucket_with_long_series": r6_bucket_with_long_series,
     "r4_bucket_consecutive": r4_bucket_consecutive, "r4_bucket_long_series": r4_bucket_long_series, "r5_hour_buckets": r5_hour_buckets, "r6_bucket_with": r6_bucket_with, "r7_time_buckets": r7_time_buckets,
     "r8_run_energy": r8_run_energy, "r9_total_energy": r9_total_energy, "r10_find_gaps": r10_find_gaps, "r11_checkpoint_runs": r11_checkpoint_runs, "r12_checkpoint_runs_list": r12_checkpoint_runs_list,
     "r13_integrate_power": r13_integrate_power, "r14_downsample": r14_downsample, "r15_downsample_runs": r15_downsample_runs, "r16_downsample_first": r16_downsample_first, "r17_battery_curve": r17_battery_curve,
@@ -319,7 +346,7 @@ QUERIES = {
 }
 
 SQL = {
-    "r1_detect_runs": R1_SQL, "r1_detect_runs_long_series": R1_LONG_SQL, "r2_detect_runs_with": R2_SQL, "r3_detect_runs_tuples": R3_SQL, "r4_bucket_consecutive": R4_SQL, "r4_bucket_long_series": R4_LONG_SQL,
+    "r1_detect_runs": R1_SQL, "r1_detect_runs_long_series": R1_LONG_SQL, "r2_detect_runs_with": R2_SQL, "r3_detect_runs_tuples": R3_SQL, "r1_wide_window": R1_WIDE_SQL, "r2_detect_runs_with_long_series": R1_LONG_SQL, "r6_bucket_with_long_series": R4_LONG_SQL, "r4_bucket_consecutive": R4_SQL, "r4_bucket_long_series": R4_LONG_SQL,
     "r5_hour_buckets": R5_SQL, "r6_bucket_with": R6_SQL, "r7_time_buckets": R7_SQL, "r8_run_energy": R8_SQL, "r9_total_energy": R9_SQL, "r10_find_gaps": R10_SQL, "r13_integrate_power": R13_SQL,
     "r14_downsample": R14_SQL, "r15_downsample_runs": R15_SQL, "r16_downsample_first": R16_SQL, "r17_battery_curve": R17_SQL, "r18_battery_curve_by_mean": R18_SQL, "r19_label_by_schedule": R19_SQL,
     "r20_mark_ends": R20_SQL, "r21_slopes_between": R21_SQL, "r22_slope_histogram": R22_SQL, "r23_series_stats": R23_SQL,

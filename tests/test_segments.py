@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from ohmline.operators import segments as G
 from ohmline.operators import series as S
+from ohmline.shared import ship
 
+ship(__name__)
 TOY = [0] * 5 + [2] * 5 + [0] * 5 + [2] * 10 + [0, 2, 0, 0, 0]
 
 
@@ -25,6 +27,82 @@ def test_user_detectors_agree(toy):
     assert sorted((r["run_id"], r["num"]) for r in found.collect()) == [(1, n) for n in range(4, 11)] + [(2, n) for n in range(14, 28)]
 
 
+class Toggle:
+    """In a run from an odd number of large rows up to the next: it never forgets, so no guess about a chunk is safe."""
+
+    def reset(self):
+        self.large = 0
+        self.rows = []
+
+    def update(self, row):
+        self.large += row.p >= 8
+        self.rows = [*self.rows[-2:], row]
+
+    def ready(self):
+        return True
+
+    def in_run(self):
+        return self.large % 2 == 1
+
+    def lead_in(self):
+        return self.rows[:-1]
+
+
+class Hysteresis:
+    """In a run from a row above 8 until a row below 2; what is between depends on rows any way back."""
+
+    def reset(self):
+        self.on = False
+
+    def update(self, row):
+        self.on = row.p > 8 or (self.on and row.p >= 2)
+
+    def ready(self):
+        return True
+
+    def in_run(self):
+        return self.on
+
+    def lead_in(self):
+        return []
+
+
+@pytest.mark.parametrize("make", [lambda: G.MovingAverageDetector(5, 4, lambda r: r.p), Toggle, Hysteresis])
+def test_chunks_change_nothing_for_user_detectors(spark, make):
+    import random
+
+    rng = random.Random(7)
+    rows = [(name, n * step, float(rng.choice((1, 3, 4, 5, 6, 7, 9)))) for name, count, step in ((None, 90, 1), ("s", 200, 3), ("t", 1, 1)) for n in range(count)]
+    df = spark.createDataFrame(rows, "series_id string, num long, p double").repartition(3)
+    found = lambda **options: sorted(map(str, map(tuple, G.detect_runs_with(df, make, **options).select("series_id", "run_id", "num").collect())))
+    whole = found()
+    assert len(whole) > 50
+    for options in ({"chunk_rows": 16, "halo": 4}, {"chunk_rows": 50, "halo": 0}, {"chunk_rows": 40, "halo": 9, "rounds": 1}, {"chunk_rows": 1000}):
+        assert found(**options) == whole, options
+
+
+def test_buckets_of_user_detectors_by_chunk(spark):
+    rows = [(i % 2, i, "ab"[i // 7 % 3 == 1]) for i in range(300)]
+    df = spark.createDataFrame(rows, "series_id long, num long, k string")
+    make = lambda: G.KeyChangeDetector(lambda r: r.k)
+    whole = sorted(map(tuple, G.bucket_with(df, make).collect()))
+    assert sorted(map(tuple, G.bucket_consecutive(df, ["k"]).select("series_id", "num", "k", "bucket_id").collect())) == whole
+    for chunk, halo in ((8, 0), (8, 1), (64, 8)):
+        assert sorted(map(tuple, G.bucket_with(df, make, chunk_rows=chunk, halo=halo).collect())) == whole
+
+
+def test_a_wide_window_takes_no_more_work(spark):
+    import time
+
+    df = spark.range(200_000).select(F.lit("a").alias("series_id"), F.col("id").alias("num"), (F.col("id") * 7919 % 1000).cast("double").alias("p"))
+    took = {}
+    for window in (2500, 5, 2500, 5):
+        began = time.time()
+        G.with_last_sum(df.withColumn("__pos", F.col("num") + 1), ["series_id"], "__pos", "p", window).write.format("noop").mode("overwrite").save()
+        took[window] = time.time() - began
+    assert took[2500] < 1.5 * took[5] + 0.5
+
+
 def test_chunk_must_hold_its_halo(toy):
     with pytest.raises(ValueError):
         G.detect_runs(toy, 1, 5, power="p", chunk_rows=3)
