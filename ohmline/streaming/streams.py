@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from ohmline.operators.segments import BucketDetector, KeyChangeDetector, MovingAverageDetector, RunDetector
+from ohmline.operators.segments import BucketDetector, Held, KeyChangeDetector, MovingAverageDetector, Row, RunDetector, Step, bucket_step, run_step
 from ohmline.shared import ship
 
 ship(__name__)
@@ -33,75 +34,100 @@ def node_hour_counts(lines: DataFrame, *, ts: str = "ts", node: str = "node", la
     return counts.select(F.col("window.start").alias("start"), node, "n")
 
 
-def stateful(rows: DataFrame, start: Callable[[], Any], step: Callable[[Any, Any], Iterator[tuple]], *, series: Sequence[str], order: str, added: Sequence[T.StructField]) -> DataFrame:
-    """What ``step(state, row)`` gives for each series' rows: (row, added values); ``start`` makes the first state.
+def stateful(
+    rows: DataFrame, make: Callable[[], Any], step: Step, name: str, *, series: Sequence[str] = ("series_id",), order: str = "num",
+    time: str | None = None, late: str = "10 minutes", expire_s: float | None = None,
+) -> DataFrame:
+    """What ``step`` gives for the rows of each series of a stream, with ``name``, its number; the state is kept from batch to batch.
 
-    The state is kept, pickled, from batch to batch. Rows of a micro-batch are taken in order; a series' rows must
-    come in order from batch to batch.
+    With ``time``, a timestamp, rows may come in any order, up to ``late`` behind the newest: they wait until the watermark
+    has passed them and are then taken in the order of ``time``, then ``order``. Later rows, and rows without a time, are dropped. A
+    series without rows for ``expire_s`` seconds of event time is forgotten; what comes after that is a new series. This needs
+    the session's state store to be RocksDB (``spark.sql.streaming.stateStore.providerClass``).
+
+    Without ``time``, the rows of a micro-batch are taken in the order of ``order``, and batches must come in order.
     """
-    columns = rows.columns
-    schema = T.StructType([*rows.schema.fields, *added])
-    names = [f.name for f in schema.fields]
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())])
+    if time is not None:
+        taken = InOrder(make, step, rows.columns, [f.name for f in schema.fields], order, time, None if expire_s is None else int(expire_s * 1e6))
+        stamped = rows.where(F.col(time).isNotNull()).withWatermark(time, late)
+        return stamped.groupBy(*series).transformWithStateInPandas(taken, schema, "Append", "eventTime")
 
     def fold(_key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = cloudpickle.loads(held.get[0]) if held.exists else start()
-        out = []
-        for batch in [pd.concat(list(batches)).sort_values(order)]:
-            for values in batch[columns].itertuples(index=False, name=None):
-                out += [(*row, *more) for row, more in step(state, Row(dict(zip(columns, values))))]
+        state = cloudpickle.loads(held.get[0]) if held.exists else Held(make())
+        batch = pd.concat(list(batches)).sort_values(order)
+        out = [(*row, n) for values in batch[rows_columns].itertuples(index=False, name=None) for row, n in step(state, Row(rows_columns, values))]
         held.update((cloudpickle.dumps(state),))
         yield pd.DataFrame(out, columns=names)
 
+    rows_columns, names = rows.columns, [f.name for f in schema.fields]
     return rows.groupBy(*series).applyInPandasWithState(fold, schema, "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
-class Row:
-    """A row as detectors see it: its values by name, and in order."""
-
-    def __init__(self, values: dict[str, Any]):
-        self.__dict__ |= values
-
-    def __iter__(self) -> Iterator[Any]:
-        return iter(self.__dict__.values())
-
-
-class Held:
-    """A detector and what has been found so far."""
-
-    def __init__(self, detector: Any, found: int = 0):
-        self.detector, self.found, self.inside, self.first = detector, found, False, True
-        detector.reset()
-
-
-def stream_buckets_with(rows: DataFrame, make: Callable[[], BucketDetector], *, series: Sequence[str] = ("series_id",), order: str = "num") -> DataFrame:
-    """``rows`` of a stream with ``bucket_id`` from 0, as a user's detector starts buckets."""
-
-    def step(held: Held, row: Any) -> Iterator[tuple]:
-        turn = held.detector.update(row)
-        held.found, held.first = held.found + int(bool(turn) and not held.first), False
-        yield row, (held.found,)
-
-    return stateful(rows, lambda: Held(make()), step, series=series, order=order, added=[T.StructField("bucket_id", T.LongType())])
-
-
-def stream_runs_with(rows: DataFrame, make: Callable[[], RunDetector], *, series: Sequence[str] = ("series_id",), order: str = "num") -> DataFrame:
-    """Rows of the runs of a stream, with ``run_id`` from 1, as a user's detector finds them.
+class InOrder(StatefulProcessor):
+    """Rows of a series wait in list state until the watermark has passed them, then go through ``step`` in order."""
+
+    def __init__(self, make: Callable[[], Any], step: Step, columns: list[str], names: list[str], order: str, time: str, expire_us: int | None):
+        self.make, self.step, self.columns, self.names = make, step, columns, names
+        self.order, self.time, self.expire_us = order, time, expire_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "state binary, newest long")
+        self.waiting = handle.getListState("waiting", "rows binary")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = []
+        for batch in rows:
+            at = batch[self.time].astype("datetime64[us]").astype("int64").tolist()
+            new += zip(at, batch[self.order].tolist(), batch[self.columns].itertuples(index=False, name=None))
+        if new:
+            self.waiting.appendValue((cloudpickle.dumps(new),))
+            newest = max(at for at, *_ in new)
+            state, before = self.held.get() if self.held.exists() else (cloudpickle.dumps(Held(self.make())), newest)
+            self.held.update((state, max(newest, before)))
+            for us in [newest] + ([newest + self.expire_us] if self.expire_us is not None else []):
+                self.handle.registerTimer(-(-us // 1000) + 1)
+        yield from self.released(timerValues)
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.released(timerValues)
+        if self.expire_us is not None and self.held.exists() and self.held.get()[1] + self.expire_us <= timerValues.getCurrentWatermarkInMs() * 1000:
+            self.held.clear()
+            self.waiting.clear()
+
+    def released(self, times: TimerValues) -> Iterator[pd.DataFrame]:
+        """The rows up to the watermark, through the detector."""
+        passed = times.getCurrentWatermarkInMs() * 1000
+        waiting = sorted((x for (rows,) in self.waiting.get() for x in cloudpickle.loads(rows)), key=lambda x: x[:2])
+        due = [x for x in waiting if x[0] <= passed]
+        if not due:
+            return
+        self.waiting.clear()
+        if len(due) < len(waiting):
+            self.waiting.appendValue((cloudpickle.dumps(waiting[len(due) :]),))
+        state, newest = self.held.get()
+        held = cloudpickle.loads(state)
+        out = [(*row, n) for *_, values in due for row, n in self.step(held, Row(self.columns, values))]
+        self.held.update((cloudpickle.dumps(held), newest))
+        if out:
+            yield pd.DataFrame(out, columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_buckets_with(rows: DataFrame, make: Callable[[], BucketDetector], **options) -> DataFrame:
+    """``rows`` of a stream with ``bucket_id`` from 0, as a user's detector starts buckets; options of ``stateful``."""
+    return stateful(rows, make, bucket_step, "bucket_id", **options)
+
+
+def stream_runs_with(rows: DataFrame, make: Callable[[], RunDetector], **options) -> DataFrame:
+    """Rows of the runs of a stream, with ``run_id`` from 1, as a user's detector finds them; options of ``stateful``.
 
     When it enters a run, what ``lead_in`` gives stands before the row, also if it came in an earlier batch.
     """
-
-    def step(held: Held, row: Any) -> Iterator[tuple]:
-        held.detector.update(row)
-        now = held.detector.ready() and held.detector.in_run()
-        if now and not held.inside:
-            held.found += 1
-            for before in held.detector.lead_in():
-                yield before, (held.found,)
-        if now:
-            yield row, (held.found,)
-        held.inside = now
-
-    return stateful(rows, lambda: Held(make()), step, series=series, order=order, added=[T.StructField("run_id", T.LongType())])
+    return stateful(rows, make, run_step, "run_id", **options)
 
 
 def stream_buckets(rows: DataFrame, key: Callable[[Any], Any], **options) -> DataFrame:
