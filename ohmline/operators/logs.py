@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ohmline.operators.segments import with_latest
+
 BUCKET = ("date", "hour", "node")
 
 
@@ -108,13 +110,15 @@ def timing_summary(lines: DataFrame, text: str = "value", prefixes: Sequence[str
     return timed.groupBy("name").agg(F.sum("ms").alias("total_ms"), F.avg("ms").alias("mean_ms"))
 
 
-def section_filter(lines: DataFrame, *, text: str = "value", order: str = "pos", file: str = "file", heading: str = "app fractions:") -> DataFrame:
-    """Rows below a heading whose last two fields are numbers and not both zero, with the first word of the heading."""
+def section_filter(lines: DataFrame, *, text: str = "value", order: str = "pos", file: str = "file", heading: str = "app fractions:", stretch: int | None = 16_000_000) -> DataFrame:
+    """Rows below a heading whose last two fields are numbers and not both zero, with the first word of the heading.
+
+    A file is worked on in stretches of its places, so that a long one takes many tasks.
+    """
     words = F.split(F.trim(text), r"\s+")
-    w = Window.partitionBy(file).orderBy(order)
-    uuid = F.last(F.when(F.col(text).contains(heading), F.element_at(words, 1)), ignorenulls=True).over(w)
+    uuid = F.when(F.col(text).contains(heading), F.element_at(words, 1))
     a, b = F.try_element_at(words, F.lit(-2)).try_cast("double"), F.try_element_at(words, F.lit(-1)).try_cast("double")
-    seen = lines.withColumn("uuid", uuid).withColumns({"__a": a, "__b": b})
+    seen = with_latest(lines, [file], order, stretch, uuid=uuid).withColumns({"__a": a, "__b": b})
     kept = seen.where("uuid is not null and __a is not null and __b is not null and not (__a = 0 and __b = 0)")
     return kept.where(~F.col(text).contains(heading)).drop("__a", "__b")
 

@@ -66,6 +66,25 @@ def with_before(rows: DataFrame, keys: Sequence[str], order: str, chunk_rows: in
     return found.where("__in = __chunk").drop("__in", "__pos")
 
 
+def with_latest(rows: DataFrame, keys: Sequence[str], order: str, stretch: int | None, **values: Column) -> DataFrame:
+    """``rows`` with, for each of ``values``, the latest value that is not null, up to the row itself (null if there is none).
+
+    A long series is worked on in stretches of ``stretch`` units of the order, which must be a number then: the latest value
+    in each stretch first, what each stretch begins with from those, then the rows inside. Without, a series is one window.
+    """
+    upto = lambda w: w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    if stretch is None:
+        return rows.withColumns({n: F.last(v, ignorenulls=True).over(upto(Window.partitionBy(*keys))) for n, v in values.items()})
+    place = [*keys, "__stretch"]
+    cut_up = rows.withColumns({"__stretch": F.floor(F.col(order) / stretch)} | {f"__v_{n}": v for n, v in values.items()})
+    latest = cut_up.groupBy(*place).agg(*[F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.col(order))).alias(f"__l_{n}") for n in values])
+    earlier = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    begins = latest.select(*place, *[F.last(f"__l_{n}", ignorenulls=True).over(earlier).alias(f"__b_{n}") for n in values])
+    inside = upto(Window.partitionBy(*place))
+    seen = joined_on(cut_up, begins, place).withColumns({n: F.coalesce(F.last(f"__v_{n}", ignorenulls=True).over(inside), f"__b_{n}") for n in values})
+    return seen.select(*[c for c in rows.columns if c not in values], *values)
+
+
 def with_halo(rows: DataFrame, order: str, chunk_rows: int | None, halo: int) -> DataFrame:
     """``rows`` with ``__chunk`` (where a row belongs) and ``__in`` (the chunk that it is seen in)."""
     rows = rows.where(F.col(order).isNotNull())

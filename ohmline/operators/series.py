@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohmline.operators.segments import SAMPLING_STEP, SERIES, STEP_TOLERANCE, col, numbered, positioned, with_before
-from ohmline.shared import ship
+from ohmline.shared import joined_on, ship
 
 ship(__name__)
 
@@ -141,11 +141,19 @@ def battery_curve_by_mean(rows: DataFrame, capacity: float, start: str | Column,
 def label_by_schedule(rows: DataFrame, schedule: DataFrame, base: str, *, time: str = "time_s") -> DataFrame:
     """``rows`` with the label of the schedule's interval that their time lies inside (ends excluded), else ``base``.
 
-    Intervals must not overlap (a row would come once for each). Spark broadcasts the schedule if it is small enough.
+    Intervals must not overlap (a row would come once for each). The time of the schedule is cut into as many bins as there
+    are intervals, and rows and intervals meet by bin: intervals that do not overlap touch two bins each on average.
     """
-    slots = schedule.select(F.col("label").alias("__label"), "start_offset_s", "end_offset_s")
-    inside = (F.col(time) > F.col("start_offset_s")) & (F.col(time) < F.col("end_offset_s"))
-    return rows.join(slots, inside, "left").withColumn("label", F.coalesce("__label", F.lit(base))).drop("__label", "start_offset_s", "end_offset_s")
+    slots = schedule.where("start_offset_s < end_offset_s").select(F.col("label").alias("__label"), F.col("start_offset_s").cast("double").alias("__from"), F.col("end_offset_s").cast("double").alias("__to"))
+    width = (F.max("__to") - F.min("__from")) / F.count(F.lit(1))
+    span = slots.agg(F.min("__from").alias("__first"), F.max("__to").alias("__last"), F.when(F.count(F.lit(1)) > 0, width).alias("__width"))
+    first, last, wide = (span.select(c).scalar() for c in span.columns)
+    bin_of = lambda t: F.floor((t - first) / wide)
+    binned = slots.select("__label", "__from", "__to", F.explode(F.sequence(bin_of(F.col("__from")), bin_of(F.col("__to")))).alias("__slot"))
+    at = F.col(time).cast("double")
+    asked = rows.withColumn("__bin", F.when(at.between(first, last), bin_of(at)))
+    inside = (F.col("__bin") == F.col("__slot")) & (F.col(time) > F.col("__from")) & (F.col(time) < F.col("__to"))
+    return asked.join(binned, inside, "left").withColumn("label", F.coalesce("__label", F.lit(base))).drop("__label", "__from", "__to", "__bin", "__slot")
 
 
 def mark_ends(rows: DataFrame, first: str | None = "start", last: str | None = "end", *, series: Sequence[str] = SERIES, order: str = "num", events: str = "events") -> DataFrame:
@@ -159,21 +167,30 @@ def mark_ends(rows: DataFrame, first: str | None = "start", last: str | None = "
     ).drop("__first", "__last")
 
 
-def slopes_between(points: DataFrame, intervals: DataFrame, *, series: Sequence[str] = SERIES, time: str = "time_s", value: str = "value") -> DataFrame:
+def slopes_between(points: DataFrame, intervals: DataFrame, *, series: Sequence[str] = SERIES, time: str = "time_s", value: str = "value", range_points: int = 1_000_000) -> DataFrame:
     """Slope (y0 - y1) / (x1 - x0) of each series between the first points at or after the bounds of each interval.
 
     ``intervals`` has (interval_id, t0, t1) and is small next to the points. Past the end, the last point counts; equal
-    times give a null slope (the reference prints "same").
+    times give a null slope. Time is cut into ranges of some ``range_points`` points: bounds look ahead inside their range
+    first, then at the first point of the next range of the series that has one. Points without a time take no part.
     """
     keys = list(series)
     ends = intervals.select("interval_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("t0").alias("t")), F.struct(F.lit(1).alias("side"), F.col("t1").alias("t")))).alias("b"))
     bounds = points.select(*keys).distinct().join(ends.select("interval_id", "b.side", F.col("b.t").alias("__t")))
-    at = points.select(*keys, F.col(time).alias("__t"), F.struct(F.col(time).alias("x"), F.col(value).alias("y")).alias("__p"))
+    at = points.where(F.col(time).isNotNull()).select(*keys, F.col(time).cast("double").alias("__t"), F.struct(F.col(time).alias("x"), F.col(value).alias("y")).alias("__p"))
     both = at.unionByName(bounds, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.desc("__t"), F.col("side").asc_nulls_first())
+    span = at.agg(F.min("__t").alias("__first"), ((F.max("__t") - F.min("__t")) / F.ceil(F.count("__t") / range_points)).alias("__width"))
+    place = [*keys, "__range"]
+    first, wide = (span.select(c).scalar() for c in span.columns)
+    both = both.withColumn("__range", F.coalesce(F.floor(F.try_divide(F.col("__t") - first, wide)), F.lit(0)))
+    firsts = both.groupBy(*place).agg(F.min(F.when(F.col("__p").isNotNull(), F.struct("__t", "__p"))).alias("__f"), F.max(F.when(F.col("__p").isNotNull(), F.struct("__t", "__p"))).alias("__l"))
+    by_range = Window.partitionBy(*keys).orderBy("__range")
+    following = F.first("__f.__p", ignorenulls=True).over(by_range.rowsBetween(1, Window.unboundedFollowing))
+    final = F.max("__l").over(Window.partitionBy(*keys))
+    ends_of = firsts.select(*place, F.coalesce(following, final["__p"]).alias("__later"))
+    w = Window.partitionBy(*place).orderBy(F.desc("__t"), F.col("side").asc_nulls_first())
     ahead = F.last("__p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    final = F.first("__p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    hit = both.withColumn("__q", F.coalesce(ahead, final)).where("interval_id is not null")
+    hit = joined_on(both.withColumn("__ahead", ahead).where("interval_id is not null"), ends_of, place).withColumn("__q", F.coalesce("__ahead", "__later"))
     pairs = hit.groupBy(*keys, "interval_id").agg(
         F.max(F.when(F.col("side") == 0, F.col("__q"))).alias("p0"), F.max(F.when(F.col("side") == 1, F.col("__q"))).alias("p1")
     )

@@ -6,10 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmline.operators.segments import positioned
+from ohmline.operators.segments import positioned, with_latest
 from ohmline.shared import cut, ship
 
 ship(__name__)
@@ -81,13 +81,19 @@ def read_node_logs(spark: SparkSession, path: str) -> DataFrame:
     return parse_node_logs(spark.read.text(path))
 
 
-def parse_battery_log(lines: DataFrame, *, text: str = "value", order: str = "pos", file: str = "file") -> DataFrame:
-    """(file, pos, ts, level) of each date line, with the latest level line before it (0 if there is none)."""
+#: Units of a line's place in its file, bytes or lines, that a task fills forward at a time.
+STRETCH = 16_000_000
+
+
+def parse_battery_log(lines: DataFrame, *, text: str = "value", order: str = "pos", file: str = "file", stretch: int | None = STRETCH) -> DataFrame:
+    """(file, pos, ts, level) of each date line, with the latest level line before it (0 if there is none).
+
+    A file is worked on in stretches of its places, so that a long one takes many tasks.
+    """
     level = F.regexp_extract(text, r"level:\s*(\d+)", 1).try_cast("int")
-    w = Window.partitionBy(file).orderBy(order)
     stamp = F.try_to_timestamp(F.regexp_replace(F.trim(text), r"^\w{3} ", ""), F.lit("MMM d HH:mm:ss zzz yyyy"))
-    seen = lines.withColumns({"ts": F.when(level.isNull(), stamp), "level": F.coalesce(F.last(level, ignorenulls=True).over(w), F.lit(0))})
-    return seen.where("ts is not null").select(file, order, "ts", "level")
+    seen = with_latest(lines.withColumn("ts", F.when(level.isNull(), stamp)), [file], order, stretch, level=level)
+    return seen.where("ts is not null").select(file, order, "ts", F.coalesce("level", F.lit(0)).alias("level"))
 
 
 def battery_start(log: DataFrame, file: str = "file", order: str = "pos") -> DataFrame:
@@ -95,13 +101,13 @@ def battery_start(log: DataFrame, file: str = "file", order: str = "pos") -> Dat
     return log.groupBy(file).agg(F.min_by("ts", order).alias("start_ts"), F.min_by("level", order).alias("start_level"))
 
 
-def battery_log_of_day(lines: DataFrame, day: str, *, text: str = "value", order: str = "pos", file: str = "file") -> DataFrame:
+def battery_log_of_day(lines: DataFrame, day: str, *, text: str = "value", order: str = "pos", file: str = "file", stretch: int | None = STRETCH) -> DataFrame:
     """(file, pos, time, level) of level lines from the first line that names the day on, with the time of the last such line."""
-    w = Window.partitionBy(file).orderBy(order)
     dated = F.col(text).contains(day)
     clock = F.when(dated, F.element_at(F.split(text, r"\s+"), 4))
     level = F.regexp_extract(text, r"level:\s*(\d+)", 1).try_cast("int")
-    return lines.withColumns({"time": F.last(clock, ignorenulls=True).over(w), "level": level}).where("time is not null and level is not null").select(file, order, "time", "level")
+    seen = with_latest(lines.withColumn("level", level), [file], order, stretch, time=clock)
+    return seen.where("time is not null and level is not null").select(file, order, "time", "level")
 
 
 def parse_fleet_text(lines: DataFrame, text: str = "value") -> DataFrame:
