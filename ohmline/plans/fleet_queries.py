@@ -415,8 +415,8 @@ def s12_incremental(spark, sf_dir):
     samples = I.raw_samples(spark, sf_dir).select("uuid", "time")
     for rows in (samples.where("time <= 1706000000"), samples, samples):
         loaded = readers.load_incrementally(rows, f"{base}/samples", f"{base}/mark")
-    mark = spark.read.parquet(f"{base}/mark")
-    return loaded.groupBy("uuid").agg(F.count(F.lit(1)).alias("n")).join(mark).select("uuid", "n", F.round("watermark", 3).alias("watermark"))
+    mark = F.lit(readers.saved_watermark(spark, f"{base}/mark"))
+    return loaded.groupBy("uuid").agg(F.count(F.lit(1)).alias("n")).select("uuid", "n", F.round(mark, 3).alias("watermark"))
 
 
 def s16_replicate(spark, sf_dir):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,29 +184,87 @@ def pages(table: DataFrame, order: str, rows: int = 100, keys: Sequence[str] = (
     return positioned(table, list(keys), order, 100 * rows).withColumn("page", F.floor((F.col("__pos") - 1) / rows)).drop("__pos").repartition(*keys, "page")
 
 
+def filesystem(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def latest_manifest(spark: SparkSession, mark: str) -> tuple[int, float | None, list[str]]:
+    """(number, watermark, folders) of the last manifest at ``mark``; (0, None, []) before the first.
+
+    A manifest is whole as soon as its folder has its number as name, as it is written elsewhere and renamed.
+    """
+    fs, path = filesystem(spark, mark)
+    if not fs.exists(path):
+        return 0, None, []
+    number = max((int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit()), default=0)
+    if not number:
+        return 0, None, []
+    row = spark.read.schema("watermark double, folders array<string>").json(f"{mark}/{number}").first()
+    return number, row["watermark"], list(row["folders"])
+
+
 def saved_watermark(spark: SparkSession, path: str) -> float | None:
     """The watermark kept at ``path``; null if there is none yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    row = spark.read.schema("watermark double").parquet(path).first()
-    return row and row["watermark"]
+    return latest_manifest(spark, path)[1]
+
+
+def read_kept(spark: SparkSession, kept: str, mark: str, schema) -> DataFrame:
+    """The rows of the batches that the last manifest names."""
+    folders = latest_manifest(spark, mark)[2]
+    return spark.read.schema(schema).parquet(*[f"{kept}/{f}" for f in folders]) if folders else spark.createDataFrame([], schema)
+
+
+def commit_manifest(spark: SparkSession, mark: str, number: int, watermark: float | None, folders: list[str]) -> None:
+    """Write the manifest aside and rename it to its number: the batch and its watermark count from then on, together."""
+    aside = f"{mark}/_new-{uuid.uuid4().hex}"
+    row = spark.createDataFrame([(watermark, folders)], "watermark double, folders array<string>")
+    row.coalesce(1).write.json(aside)
+    fs, target = filesystem(spark, f"{mark}/{number}")
+    if fs.exists(target) or not fs.rename(filesystem(spark, aside)[1], target):
+        raise RuntimeError(f"manifest {number} of {mark} is there already: another load came first")
 
 
 def load_incrementally(table: DataFrame, kept: str, mark: str, *, time: str = "time", merge: bool = True) -> DataFrame:
-    """Append what is newer than the watermark at ``mark`` to the table at ``kept``, move the watermark, and read the table.
+    """Append what is newer than the watermark to the batches at ``kept``, move the watermark at ``mark``, and read the batches.
 
-    Without ``merge`` old and new rows are never mixed: if there is anything new, the whole table is written anew.
+    The new rows are written to a folder of their own, the watermark is taken from what was written, and one rename of a manifest
+    commits both: a load that breaks off anywhere leaves the last manifest, and its rows are loaded by the next. Rows that
+    come into the source meanwhile are newer than the watermark. Without ``merge`` old and new rows are never mixed: if there is
+    anything new, a manifest that names the whole table, written anew, follows.
     """
     spark = table.sparkSession
-    before = saved_watermark(spark, mark)
-    fresh, moved = incremental(table, before, time=time)
-    if before is None or merge:
-        fresh.write.mode("append").parquet(kept)
-    elif not fresh.isEmpty():
-        save_replacing(table, kept)
-    save_replacing(moved.select(F.col("watermark").cast("double")), mark)
-    return spark.read.schema(table.schema).parquet(kept)
+    number, before, folders = latest_manifest(spark, mark)
+    fresh = incremental(table, before, time=time)[0]
+    if before is not None and not merge:
+        if fresh.isEmpty():
+            return read_kept(spark, kept, mark, table.schema)
+        fresh, folders = table, []
+    folder = f"batch-{uuid.uuid4().hex}"
+    fresh.write.parquet(f"{kept}/{folder}")
+    written = spark.read.schema(table.schema).parquet(f"{kept}/{folder}")
+    rows, newest = written.agg(F.count(F.lit(1)), F.max(time).cast("double")).first()
+    if rows:
+        commit_manifest(spark, mark, number + 1, before if newest is None else newest if before is None else max(before, newest), [*folders, folder])
+    return read_kept(spark, kept, mark, table.schema)
+
+
+def clean_kept(spark: SparkSession, kept: str, mark: str, keep: int = 2) -> None:
+    """Delete batches and manifests that the last ``keep`` manifests do not need: those of loads that broke off, and old ones."""
+    number = latest_manifest(spark, mark)[0]
+    fs, path = filesystem(spark, mark)
+    needed = set()
+    for status in fs.listStatus(path) if fs.exists(path) else ():
+        name = status.getPath().getName()
+        if name.isdigit() and int(name) > number - keep:
+            needed.update(spark.read.schema("folders array<string>").json(f"{mark}/{name}").first()["folders"])
+        else:
+            fs.delete(status.getPath(), True)
+    fs, path = filesystem(spark, kept)
+    for status in fs.listStatus(path) if fs.exists(path) else ():
+        if status.getPath().getName() not in needed:
+            fs.delete(status.getPath(), True)
 
 
 def incremental(table: DataFrame, watermark: float | None, *, time: str = "time") -> tuple[DataFrame, DataFrame]:
@@ -270,8 +331,10 @@ CAPTURE_COLUMNS = (
     "series_id string, num long, time_s double, main_ma double, main_v double, usb_ma double, usb_v double, aux_ma double, aux_v double, marker0 boolean, marker1 boolean, missing boolean"
 )
 CAPTURE_NAMES = [c.split(" ")[0] for c in CAPTURE_COLUMNS.split(", ")]
-#: Samples that are decoded at a time.
-CAPTURE_PIECE = 100_000
+#: Samples that are decoded at a time, and samples of a range, of which a task reads some.
+CAPTURE_PIECE, CAPTURE_RANGE = 100_000, 5_000_000
+#: Stores that Arrow opens by itself.
+ARROW_SCHEMES = {"file", "hdfs", "s3", "gs"}
 
 
 def header_numbers(content: bytes) -> list[int]:
@@ -295,48 +358,100 @@ def header_numbers(content: bytes) -> list[int]:
     return found
 
 
-def capture_batches(name: str, content: bytes) -> Iterator[pa.RecordBatch]:
-    """The samples of one capture, in batches; a capture that is cut short ends with its last whole sample."""
-    header = header_numbers(content[:4096])
-    status = content[header[STATUS_OFFSET_FIELD] :]
+class Capture(NamedTuple):
+    """What the head of a capture tells: the recorded channels, where samples begin, and what their numbers mean."""
+
+    present: list[str]
+    samples_at: int
+    rate: float
+    fixed: dict[str, float]
+    measured: str
+    scale: int
+
+    @property
+    def record(self) -> np.dtype:
+        return np.dtype([(c, "<u2") for c in (*self.present, "voltage")])
+
+
+def capture_head(read: Callable[[int, int], bytes]) -> Capture:
+    """The head of a capture, given a function from (offset, bytes) to content."""
+    header = header_numbers(read(0, 4096))
+    status = read(header[STATUS_OFFSET_FIELD], 64)
     short = lambda at: int.from_bytes(status[at : at + 2], "little")
-    present = [c for c, bit in CHANNELS if header[MASK_FIELD] & bit]
-    record = np.dtype([(c, "<u2") for c in (*present, "voltage")])
-    raw = content[header[SAMPLE_OFFSET_FIELD] :]
-    samples = np.frombuffer(raw, record, len(raw) // record.itemsize)
-    rate, revision = 1000.0 * status[STATUS_RATE], status[STATUS_REVISION]
+    revision = status[STATUS_REVISION]
     main_scale, aux_scale = 2 if revision < REVISION_B else 1, 2 if revision < REVISION_C else 1
-    for at in range(0, len(samples), CAPTURE_PIECE):
-        r = samples[at : at + CAPTURE_PIECE]
-        num = np.arange(at, at + len(r))
+    fixed = {"main_v": 2.0 + status[STATUS_VOUT] * 0.01, "usb_v": short(STATUS_USB) * VOLTS_A_COUNT / main_scale, "aux_v": short(STATUS_AUX) * VOLTS_A_COUNT / aux_scale}
+    measured, scale = ("aux_v", aux_scale) if status[STATUS_LEDS] & AUX_VOLTAGE_LED else ("main_v", main_scale)
+    present = [c for c, bit in CHANNELS if header[MASK_FIELD] & bit]
+    return Capture(present, header[SAMPLE_OFFSET_FIELD], 1000.0 * status[STATUS_RATE], fixed, measured, scale)
+
+
+def capture_batches(name: str, size: int, read: Callable[[int, int], bytes], first: int = 0, count: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The ``count`` samples from ``first`` on of one capture of ``size`` bytes, in batches; one that is cut short ends with its last whole sample."""
+    head = capture_head(read)
+    record = head.record
+    end = max(size - head.samples_at, 0) // record.itemsize
+    end = end if count is None else min(end, first + count)
+    for at in range(first, end, CAPTURE_PIECE):
+        n = min(CAPTURE_PIECE, end - at)
+        r = np.frombuffer(read(head.samples_at + at * record.itemsize, n * record.itemsize), record)
         missing = r["voltage"] == MISSING_VOLTAGE
-        for c in present:
+        for c in head.present:
             missing = missing | (r[c] == MISSING_CURRENT)
-        columns = {"series_id": [name] * len(r), "num": num, "time_s": num / rate, "missing": missing}
+        num = np.arange(at, at + len(r))
+        columns = {"series_id": [name] * len(r), "num": num, "time_s": num / head.rate, "missing": missing}
         for c, _ in CHANNELS:
-            if c in present:
+            if c in head.present:
                 fine = (r[c] & ~np.uint16(COARSE_BIT)).view("<i2") / 1000.0
                 columns[f"{c}_ma"] = np.where(missing, 0.0, np.where(r[c] & COARSE_BIT, fine * COARSE_SCALE, fine))
             else:
                 columns[f"{c}_ma"] = np.zeros(len(r))
         volts = (r["voltage"] & ~np.uint16(MARKER_BITS)) * VOLTS_A_COUNT
-        fixed = {"main_v": 2.0 + status[STATUS_VOUT] * 0.01, "usb_v": short(STATUS_USB) * VOLTS_A_COUNT / main_scale, "aux_v": short(STATUS_AUX) * VOLTS_A_COUNT / aux_scale}
-        for c, v in fixed.items():
-            columns[c] = np.full(len(r), v)
-        measured, scale = ("aux_v", aux_scale) if status[STATUS_LEDS] & AUX_VOLTAGE_LED else ("main_v", main_scale)
-        columns[measured] = np.where(missing, columns[measured], volts / scale)
+        columns |= {c: np.full(len(r), v) for c, v in head.fixed.items()}
+        columns[head.measured] = np.where(missing, columns[head.measured], volts / head.scale)
         columns["marker0"] = ~missing & ((r["voltage"] & 1) > 0)
         columns["marker1"] = ~missing & ((r["voltage"] & 2) > 0)
         yield pa.record_batch([pa.array(columns[c]) for c in CAPTURE_NAMES], CAPTURE_NAMES)
 
 
-def read_power_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of binary captures: a task for each file, in batches of bounded size.
+def capture_ranges(spark: SparkSession, path: str, samples: int = CAPTURE_RANGE) -> DataFrame:
+    """(path, size, first): each capture below ``path`` in ranges of ``samples`` samples; contents are not read.
+
+    How many samples a capture has is only known with its head, so ranges are made for the smallest record, of
+    four bytes; those past the end give nothing.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
+    starts = F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / 4), F.lit(samples).cast("long"))
+    return files.select("path", "size", F.explode(starts).alias("first"))
+
+
+def read_capture_ranges(ranges: DataFrame, samples: int = CAPTURE_RANGE) -> DataFrame:
+    """The samples of ``capture_ranges``; a task reads the heads and the bytes of its ranges only."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, size, first in zip(*[batch.column(c).to_pylist() for c in ("path", "size", "first")]):
+                store, place = pa_fs.FileSystem.from_uri(name)
+                with store.open_input_file(place) as file:
+                    yield from capture_batches(name, size, lambda at, n, f=file: f.read_at(n, at), first, samples)
+
+    spread = ranges.repartition(max(1, ranges.sparkSession.sparkContext.defaultParallelism * 4), "path", "first")
+    return spread.mapInArrow(decode, CAPTURE_COLUMNS)
+
+
+def read_power_captures(spark: SparkSession, path: str, *, samples: int = CAPTURE_RANGE) -> DataFrame:
+    """Samples of binary captures; a capture is read by many tasks, each ``samples`` samples at a time.
 
     Currents are in milliamperes; a channel that was not recorded has current 0 and its initial voltage. The
     measured voltage is that of the main channel, or of the auxiliary one if the status packet says so, and
     counts half on old hardware. Missing samples have current 0 and are flagged.
+
+    Tasks open the files with Arrow, for local, HDFS, S3 and GCS paths. Files of other stores are read whole by Spark, a
+    task for each, and may have up to 2 GB.
     """
+    schemes = {r[0] for r in spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "^([a-z0-9]+):", 1)).distinct().collect()}
+    if schemes <= ARROW_SCHEMES:
+        return read_capture_ranges(capture_ranges(spark, path, samples), samples)
     return decode_captures(spark.read.format("binaryFile").load(path).select("path", "content"))
 
 
@@ -346,7 +461,8 @@ def decode_captures(files: DataFrame) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from capture_batches(name, content.as_py())
+                whole = content.as_py()
+                yield from capture_batches(name, len(whole), lambda at, n, w=whole: w[at : at + n])
 
     return files.mapInArrow(decode, CAPTURE_COLUMNS)
 

@@ -35,6 +35,35 @@ def test_power_captures(spark, tmp_path):
     assert e["aux_v"] == pytest.approx(1.0) and e["main_v"] == pytest.approx(3.7) and e["usb_v"] == pytest.approx(0.5)
 
 
+def test_captures_by_range(spark, tmp_path):
+    import random
+
+    rng = random.Random(8)
+    samples = [(rng.randrange(65536), rng.randrange(65536), rng.randrange(65536)) for _ in range(1000)]
+    (tmp_path / "a.bin").write_bytes(capture(samples))
+    (tmp_path / "b.bin").write_bytes(capture(samples[:7], mask=0x1000 | 0x2000 | 0x4000))  # eight bytes a sample: five whole ones
+    (tmp_path / "c.bin").write_bytes(capture([]))
+    whole = readers.decode_captures(spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content"))
+    want = sorted(map(tuple, whole.collect()))
+    for n in (1, 7, 250, 1000, 5000):
+        found = readers.read_power_captures(spark, str(tmp_path), samples=n)
+        assert sorted(map(tuple, found.collect())) == want
+    assert len(want) == 1005
+
+
+def test_a_capture_beyond_two_gigabytes(spark, tmp_path):
+    content = capture([])[:1024]
+    with (tmp_path / "large.bin").open("wb") as file:  # zeros are not stored
+        file.write(content)
+        file.truncate(1024 + 6 * 520_000_000 + 3)
+    ranges = readers.capture_ranges(spark, str(tmp_path))
+    assert ranges.count() == 1 + (1024 + 6 * 520_000_000 + 3) // 4 // readers.CAPTURE_RANGE
+    some = ranges.where("first in (0, 515000000, 520000000, 525000000)")
+    found = readers.read_capture_ranges(some).groupBy(F.floor(F.col("num") / 5_000_000).alias("k")).agg(F.min("num").alias("a"), F.max("num").alias("b"), F.count("*").alias("n")).orderBy("k").collect()
+    assert [tuple(r)[1:] for r in found] == [(0, 4_999_999, 5_000_000), (515_000_000, 519_999_999, 5_000_000)]
+    assert readers.read_capture_ranges(ranges).rdd.getNumPartitions() >= 32
+
+
 def test_measurement_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("num;time;mA;V\n1;0.0002;100;4\n2;x;100;4\n3;0.0006;100\n")
     rows = readers.read_measurements(spark, str(tmp_path), separator=";").collect()
@@ -131,6 +160,49 @@ def test_lines_of_a_file_read_in_blocks_keep_their_order(spark, tmp_path):
     assert len({r["pos"] for r in rows if r["file"].endswith("a.log")}) == len(lines)
 
 
+@pytest.mark.parametrize("broken", ["rows", "before the manifest", "manifest", "rename"])
+def test_a_load_that_breaks_off_loses_and_doubles_nothing(spark, tmp_path, monkeypatch, broken):
+    kept, mark = f"{tmp_path}/t", f"{tmp_path}/mark"
+    rows = lambda *t: spark.createDataFrame([(float(x),) for x in t], "time double")
+    load = lambda df: sorted(r["time"] for r in readers.load_incrementally(df, kept, mark).collect())
+    assert load(rows(1, 2)) == [1, 2]
+
+    def fail(*args, **options):
+        raise OSError("broken off")
+
+    with monkeypatch.context() as patched:
+        if broken == "rows":
+            bad = rows(1, 2, 3).withColumn("time", F.when(F.col("time") < 3, F.col("time")).otherwise(F.raise_error("broken off").cast("double")))
+        else:
+            bad = rows(1, 2, 3)
+            if broken == "before the manifest":
+                patched.setattr(readers, "commit_manifest", fail)
+            elif broken == "manifest":
+                patched.setattr(readers.uuid, "uuid4", iter([readers.uuid.UUID(int=1)]).__next__)
+            else:
+                own = readers.filesystem
+                patched.setattr(readers, "filesystem", lambda s, p: fail() if p.endswith("/2") else own(s, p))
+        with pytest.raises(Exception):
+            load(bad)
+    assert readers.saved_watermark(spark, mark) == 2 and sorted(r["time"] for r in readers.read_kept(spark, kept, mark, "time double").collect()) == [1, 2]
+    assert load(rows(1, 2, 3, 4)) == [1, 2, 3, 4] and load(rows(1, 2, 3, 4)) == [1, 2, 3, 4] and load(rows(4, 5)) == [1, 2, 3, 4, 5]
+    readers.clean_kept(spark, kept, mark, keep=1)
+    assert load(rows(5, 6)) == [1, 2, 3, 4, 5, 6] and len([p for p in (tmp_path / "t").iterdir() if p.is_dir()]) == 4
+
+
+def test_rows_that_come_while_a_load_runs_are_not_skipped(spark, tmp_path, monkeypatch):
+    source, kept, mark = f"{tmp_path}/s", f"{tmp_path}/t", f"{tmp_path}/mark"
+    put = lambda *t: spark.createDataFrame([(float(x),) for x in t], "time double").write.mode("append").parquet(source)
+    put(1, 2)
+    own = readers.commit_manifest
+    monkeypatch.setattr(readers, "commit_manifest", lambda *a: (put(3), own(*a)))
+    first = readers.load_incrementally(spark.read.schema("time double").parquet(source), kept, mark)
+    assert sorted(r["time"] for r in first.collect()) == [1, 2] and readers.saved_watermark(spark, mark) == 2
+    monkeypatch.undo()
+    again = readers.load_incrementally(spark.read.schema("time double").parquet(source), kept, mark)
+    assert sorted(r["time"] for r in again.collect()) == [1, 2, 3]
+
+
 def test_loading_all_or_nothing(spark, tmp_path):
     rows = lambda *t: spark.createDataFrame([(float(x),) for x in t], "time double")
     load = lambda df: sorted(r["time"] for r in readers.load_incrementally(df, f"{tmp_path}/t", f"{tmp_path}/mark", merge=False).collect())
