@@ -33,9 +33,9 @@ SHINGLE = 3
 SEED = 42
 BITS = 3
 SEGMENTS, WIDTH = 8, 8
-#: Fingerprints that may share a key before they are tied by flips in place of pairs. A flip costs a shuffled row, a pair a
-#: comparison of two numbers, some hundreds of times less, and a fingerprint has 529 flips.
-CROWD = 50_000
+#: Fingerprints that may share a key before they are tied by flips in place of pairs. Pairs grow with the square and are made by
+#: one task, flips are 529 rows a fingerprint and spread: measured, they take the same time at about this many.
+CROWD = 1_500
 #: Words that are hashed at a time, to bound the memory for very long texts.
 PIECE = 50_000
 #: A-Z to a-z, other bytes as they are.
@@ -141,8 +141,8 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
         (F.col("high.k") == F.col("low.k"))
         & (F.col("high.part") == F.col("low.part"))
         & (F.col("high.fp") > F.col("low.fp"))
-        & chain
-        & (F.bit_count(differing) <= BITS),
+        & (F.bit_count(differing) <= BITS)  # one instruction, so it comes before the budgets that name the pair's start
+        & chain,
     ).select(F.col("high.fp").alias("high"), F.col("low.fp").alias("low"))
     if some:
         found = found.unionByName(crowded(every.join(full, ["k", "part"], "left_semi")))
