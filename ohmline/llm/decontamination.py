@@ -3,13 +3,15 @@
 Text is normalised byte by byte (A-Z to a-z, every other ASCII byte that is no letter or digit to a space), so
 offsets of words carry over to the original. The words, joined by single spaces, are scanned once. An item is cut into
 stretches of half a window; every window of its words holds a whole stretch, so these are the patterns, between spaces.
-From a stretch that is found, the words of text and item are compared in both directions: where a window's length or
-more of them agree, they are hit. So the automaton grows with the words of the items, not with those of all windows.
+Around a stretch that is found, the windows of the text that hold it are looked up among those of the items. So the automaton
+grows with the words of the items, not with those of all windows, and a stretch that many items share costs no more.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -23,9 +25,9 @@ from ohmline.shared import cut, ship, without
 ship(__name__)
 
 WINDOW = 10
-#: Bytes of item text that one automaton takes, which needs some 70 bytes of memory for each; more items are dealt over
-#: several automata, used one after another.
-MAX_BYTES = 6_000_000
+#: Bytes of item text that one automaton takes, which needs some 100 bytes of memory for each, the table of windows
+#: included; more items are dealt over several automata, used one after another.
+MAX_BYTES = 4_000_000
 #: Lower case for A-Z; a space for the ASCII bytes that are neither letters nor digits.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -39,44 +41,56 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(TO_WORDS).split()
 
 
-def patterns_of(items: list[tuple[list[bytes], list[str]]], width: int) -> ahocorasick.Automaton:
-    """Automaton of the items' stretches; a hit gives its length and the (item, place in it, words) that it stands for."""
-    half, places = (width + 1) // 2, {}
+class Patterns(NamedTuple):
+    """Automaton of the items' stretches, whose hits give bytes and words, and the items (as numbers) of every window."""
+
+    automaton: ahocorasick.Automaton
+    windows: dict[bytes, list[int]]
+    names: list[list[str]]
+
+
+def patterns_of(items: list[tuple[list[bytes], list[str]]], width: int) -> Patterns:
+    half, stretches, windows = (width + 1) // 2, {}, {}
     for k, (words, _) in enumerate(items):
+        whole = min(width, len(words))
         n = half if len(words) >= width else len(words)
         for at in range(0, len(words) - n + 1, n) if n else ():
-            places.setdefault(" " + b" ".join(words[at : at + n]).decode("latin-1") + " ", []).append((k, at, n))
+            stretches[" " + b" ".join(words[at : at + n]).decode("latin-1") + " "] = n
+        for at in range(len(words) - whole + 1) if n else ():
+            held = windows.setdefault(b" ".join(words[at : at + whole]), [])
+            if not held or held[-1] != k:
+                held.append(k)
     automaton = ahocorasick.Automaton()
-    for pattern, found in places.items():
-        automaton.add_word(pattern, (len(pattern), tuple(found)))
-    if places:
+    for pattern, n in stretches.items():
+        automaton.add_word(pattern, (len(pattern), n))
+    if stretches:
         automaton.make_automaton()
-    return automaton
+    return Patterns(automaton, windows, [ids for _, ids in items])
 
 
-def hits(words: list[bytes], automaton: ahocorasick.Automaton, items: list[tuple[list[bytes], list[str]]], width: int) -> tuple[np.ndarray, set[str]]:
-    """Which of ``words`` lie in windows of the items, and the ids of these items."""
+def hits(words: list[bytes], patterns: Patterns, width: int) -> tuple[np.ndarray, set[str]]:
+    """Which of ``words`` lie in windows of the items, and the ids of these items.
+
+    Around a stretch, the windows of the text that hold it are looked up, each once however many stretches and items
+    name it, so a text takes time linear in its words.
+    """
     line = b" " + b" ".join(words) + b" "
-    spaces, change, ids, done = None, np.zeros(len(words) + 1, np.int64), set(), {}
-    for end, (length, places) in automaton.iter(line.decode("latin-1")):
+    spaces, change, found, seen = None, np.zeros(len(words) + 1, np.int64), set(), set()
+    for end, (length, n) in patterns.automaton.iter(line.decode("latin-1")):
         if spaces is None:
-            spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-        first = int(np.searchsorted(spaces, end - length + 1))
-        for k, at, n in places:
-            own, names = items[k]
-            if done.get((k, first - at), 0) > first:
-                continue  # that stretch was compared from an earlier one
-            a, b, i, j = first, first + n, at, at + n
-            while a and i and words[a - 1] == own[i - 1]:
-                a, i = a - 1, i - 1
-            while b < len(words) and j < len(own) and words[b] == own[j]:
-                b, j = b + 1, j + 1
-            done[k, first - at] = b
-            if b - a >= min(width, len(own)):
-                change[a] += 1
-                change[b] -= 1
-                ids.update(names)
-    return np.cumsum(change)[:-1] > 0, ids
+            spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32).tolist()
+        first = bisect_left(spaces, end - length + 1)
+        starts = [(s, width) for s in range(max(0, first + n - width), min(first, len(words) - width) + 1)]
+        for start, size in [(first, n), *starts] if n < width else starts:  # an item of fewer words is a stretch by itself
+            if (start, size) in seen:
+                continue
+            seen.add((start, size))
+            items = patterns.windows.get(line[spaces[start] + 1 : spaces[start + size]])
+            if items:
+                change[start] += 1
+                change[start + size] -= 1
+                found.update(items)
+    return np.cumsum(change)[:-1] > 0, {name for k in found for name in patterns.names[k]}
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, max_bytes: int) -> Iterator[list[tuple[list[bytes], list[str]]]]:
@@ -95,15 +109,15 @@ def scanner(items, width: int):
     """An Arrow UDF from text to what of the broadcast items is in it."""
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        automaton, known = once(items, lambda x: (patterns_of(x, width), x))
+        patterns = once(items, lambda x: patterns_of(x, width))
         for texts in batches:
             out = []
             for text in texts:
                 plain = b"" if not text.is_valid else text.as_buffer().to_pybytes().translate(TO_WORDS)
                 words = plain.split()
                 spans, ids = [], set()
-                if words and len(automaton):
-                    hit, ids = hits(words, automaton, known, width)
+                if words and len(patterns.automaton):
+                    hit, ids = hits(words, patterns, width)
                     if ids:
                         spans = runs(hit, plain)
                 out.append({"n_words": len(words), "spans": spans, "items": sorted(ids)})

@@ -114,7 +114,7 @@ def test_windows_by_stretches_are_those_by_brute_force(width):
                         hit[at : at + n] = True
                         ids.update(names)
         automaton = decontamination.patterns_of(items, width)
-        found, names = decontamination.hits(words, automaton, items, width)
+        found, names = decontamination.hits(words, automaton, width)
         assert found.tolist() == hit.tolist() and names == ids
 
 
@@ -232,3 +232,24 @@ def test_recall_on_vectors_of_mixed_lengths(spark):
 def test_crc_is_of_the_id_as_text(spark):
     rows = spark.createDataFrame([(1,), (-20,), (None,)], "doc_id long").select("doc_id", language_id.crc_remainder("doc_id", 5).alias("r")).collect()
     assert [r["r"] for r in rows] == [zlib.crc32(str(x).encode() if x is not None else b"") % 5 for x in (1, -20, None)]
+
+
+def test_a_stretch_that_all_items_share_is_scanned_in_linear_time():
+    import random
+    import time
+
+    rng = random.Random(1)
+    words = [f"w{i}".encode() for i in range(3000)]
+    opening = b"which of the following is".split()
+    items = [(opening + rng.choices(words, k=25), [str(i)]) for i in range(20_000)]
+    patterns = decontamination.patterns_of(items, 10)
+    text = []
+    while len(text) < 20_000:
+        text += rng.choices(words, k=5) + opening
+    text[50:62] = items[7][0][2:14]
+    began = time.time()
+    hit, ids = decontamination.hits(text, patterns, 10)
+    assert time.time() - began < 2 and ids == {"7"} and hit.nonzero()[0].tolist() == list(range(50, 62))
+    shared = [(opening * 2 + [w], [str(i)]) for i, w in enumerate(words)]
+    hit, ids = decontamination.hits(opening * 500, decontamination.patterns_of(shared, 10), 10)
+    assert len(ids) == 3000 and hit.all()
