@@ -253,3 +253,41 @@ def test_a_stretch_that_all_items_share_is_scanned_in_linear_time():
     shared = [(opening * 2 + [w], [str(i)]) for i, w in enumerate(words)]
     hit, ids = decontamination.hits(opening * 500, decontamination.patterns_of(shared, 10), 10)
     assert len(ids) == 3000 and hit.all()
+
+
+def test_doubled_letters_are_read_as_learned_words():
+    model = toxicity.log_model([*["idiot"] * 50, *["moron"] * 50, *["the"] * 50, *["letter"] * 50, *["book"] * 50])
+    known = {"idiot", "moron", "letter", "book"}
+    for token in ("idioot", "iidiot", "mooron", "moronn", "(iddiot)"):
+        assert {"idiot", "moron"} & set(toxicity.readings(token, model, known)), token
+        assert not {"idiot", "moron"} & set(toxicity.readings(token, model, {"book"})), token
+    for token in ("letter", "book", "bookk", "tall"):
+        assert not {"idiot", "moron"} & set(toxicity.readings(token, model, known))
+        assert token in toxicity.readings(token, model, known)
+
+
+def test_a_plain_score_is_the_same(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fitted = toxicity.learn(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    words = {f[1:] for f in fitted["weights"] if f.startswith("=")}
+
+    def plain(text):
+        """Every token read anew, every feature looked up by itself."""
+        tokens, found = (text or "").lower().split(), set()
+        for t in [*tokens, *toxicity.spaced(tokens, fitted["model"])]:
+            for w in toxicity.readings(t, fitted["model"], words):
+                found |= {f"={w}"} | {w[:n] for n in toxicity.PREFIXES if len(w) > n}
+        total = fitted["bias"] + sum(fitted["weights"].get(f, 0.0) for f in found)
+        return 1 / (1 + np.exp(-total))
+
+    assert fitted["weights"]
+    for r in toxicity.score(docs, fitted).collect():
+        assert r["score"] == pytest.approx(plain(r["text"]), abs=1e-9) and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_caches_are_bounded_in_bytes():
+    reader = toxicity.Reader(toxicity.log_model(["idiot"]))
+    reader.features("x" * 5000 + " short")
+    assert set(reader.known) == {"short"}
+    hashes = line_dedup.Hashes()
+    assert hashes[b"y" * 5000] == hashes[b"y" * 5000] and hashes[b"y"] and len(hashes) == 1
