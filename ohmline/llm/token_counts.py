@@ -33,6 +33,8 @@ SAMPLE_DOCS = 4_000
 SAMPLE_CHARS = 20_000
 SAMPLE_TASKS = 8
 CACHE_SIZE = 400_000
+#: Characters of a pre-token that is kept, so that the cache is bounded in bytes too.
+LONGEST = 200
 #: Fixed value: the pre-token pattern of the byte-level tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters that are split by both libraries at a time, to find those that they class differently.
@@ -125,7 +127,9 @@ class Lengths(dict):
         if len(self) >= self.most:
             self.clear()
             self.update(self.known)
-        n = self[piece] = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        n = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        if len(piece) <= LONGEST:
+            self[piece] = n
         return n
 
 
