@@ -30,8 +30,8 @@ LEAST_WORDS = 5
 TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WHITE = " \t\n\x0b\x0c\r"
 SUBSTITUTION, WHOLE, SHORTENED = 0, 1, 2
-#: Words that a task works on at a time; words whose hashes a worker keeps.
-PIECE, KNOWN = 200_000, 1_000_000
+#: Words that a task works on at a time; words whose hashes a worker keeps, and their bytes at most.
+PIECE, KNOWN, LONGEST = 200_000, 1_000_000, 200
 #: Odd multipliers of the two sums.
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
@@ -42,7 +42,9 @@ class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= KNOWN:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONGEST:
+            self[word] = value
         return value
 
 
