@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from ohmline.operators import stored
 from ohmline.plans import standins as I
 from ohmline.plans.series_queries import rounded
 from ohmline.sources import readers, sinks
-from ohmline.shared import read_table, shared_dir
+from ohmline.shared import cut, read_table, shared_dir
 
 DAEMONS = ["app0", "app1*"]
 RATE = ["uuid", "os", "model", "time1", "time2", "rate", "rate_lo", "rate_hi"]
@@ -172,9 +173,18 @@ def d9_discretize(spark, sf_dir):
     return items.select("l_orderkey", "l_linenumber", F.size(grid).cast("long").alias("n"), F.round(F.aggregate(grid, F.lit(0.0), lambda s, g: s + g), 6).alias("total"))
 
 
+FLAG_PAIRS = (("A", "N"), ("A", "R"), ("N", "R"))
+
+
+def by_flag_pair(spark, sf_dir, compare):
+    """What ``compare`` gives for the distributions of each two return flags."""
+    d = cut(I.prices(spark, sf_dir))
+    found = [compare(d.where(F.col("flag") == a), d.where(F.col("flag") == b)).withColumn("flags", F.lit(a + b)) for a, b in FLAG_PAIRS]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def d10_xmax(spark, sf_dir):
-    d = I.prices(spark, sf_dir)
-    return D.xmax_of(d.where("flag = 'A'"), d.where("flag = 'R'"))
+    return by_flag_pair(spark, sf_dir, D.xmax_of)
 
 
 def flag_hist(spark, sf_dir):
@@ -228,9 +238,8 @@ def d19_upper_edge_equal(spark, sf_dir):
 
 def ks(metric):
     def query(spark, sf_dir):
-        d = I.prices(spark, sf_dir)
-        found = D.ks_distance(d.where("flag = 'A'"), d.where("flag = 'N'"), metric)
-        return found.select((F.round("distance", 6) + 0.0).alias("distance"))
+        found = by_flag_pair(spark, sf_dir, lambda a, b: D.ks_distance(a, b, metric))
+        return found.select("flags", (F.round("distance", 6) + 0.0).alias("distance"))
 
     return query
 
@@ -317,7 +326,7 @@ def c10_correlations(points):
 
 
 def c11_correlations_by_app(points):
-    apps = points.select(F.explode("apps").alias("app")).where("app in ('app3', 'app4')").distinct()
+    apps = points.select(F.explode("apps").alias("app")).distinct()
     return rounded(C.correlations_by_app(points, apps), "r", decimals=5)
 
 
@@ -361,8 +370,15 @@ def c16_user_slice(spark, sf_dir):
 
 
 def c18_labels(points):
-    found = C.labelled(C.hogs(points, DAEMONS), "hog", ["app"]).unionByName(C.labelled(C.compare_os(points), "os", ["os"]), allowMissingColumns=True)
-    return found.select("nature", "key1", "key2", "title", "title_neg")
+    natures = {"bug": (C.bugs(points, DAEMONS), ["app", "uuid"]), "similar": (C.similar_users(points, DAEMONS), ["uuid"]), "result": (C.user_profile(points, DAEMONS), ["uuid"])}
+    return results_of(points, C.hogs(points, DAEMONS), natures).select("nature", "key1", "key2", "title", "title_neg")
+
+
+def results_of(points, hogs, more):
+    """Labelled comparisons of hogs, operating systems, models, and the natures of ``more``."""
+    natures = {"hog": (hogs, ["app"]), "os": (C.compare_os(points), ["os"]), "model": (C.compare_model(points), ["model"]), **more}
+    parts = [C.labelled(rows, nature, keys) for nature, (rows, keys) in natures.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def k1_results(spark, sf_dir):
@@ -375,14 +391,14 @@ def k1_results(spark, sf_dir):
 
 
 def k3_expire(points):
-    skipped = C.skipped_apps(points, DAEMONS)
-    old = sinks.result_rows(C.labelled(C.compared_apps(points, DAEMONS), "hog", ["app"]))
-    new = sinks.result_rows(C.labelled(C.hogs(points, DAEMONS), "hog", ["app"]))
-    return sinks.expire_results(old, new, skipped).select("nature", "key1")
+    """Results of apps that were compared, of which only hogs are found again, beside those of the other natures."""
+    skipped, bugs = C.skipped_apps(points, DAEMONS), {"bug": (cut(C.bugs(points, DAEMONS)), ["app", "uuid"])}
+    old, new = (sinks.result_rows(results_of(points, rows(points, DAEMONS), bugs)) for rows in (C.compared_apps, C.hogs))
+    return sinks.expire_results(old, new, skipped).select("nature", "key1", "key2")
 
 
 def k4_remove_daemons(points):
-    return sinks.remove_daemons(sinks.result_rows(C.labelled(C.compared_apps(points), "hog", ["app"])), DAEMONS).select("nature", "key1")
+    return sinks.remove_daemons(sinks.result_rows(results_of(points, C.compared_apps(points), {})), DAEMONS).select("nature", "key1")
 
 
 def k5_delete(spark, sf_dir):

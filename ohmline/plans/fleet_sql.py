@@ -32,12 +32,17 @@ parts AS (SELECT g20.os, bucket, CASE WHEN lo = hi THEN 1.0::DOUBLE ELSE greates
 sums AS (SELECT os, bucket, sum(part) AS mass FROM parts GROUP BY ALL)
 SELECT g20.os, g20.bucket::INT AS bucket, round(coalesce(mass, 0) / sum(mass) OVER (PARTITION BY g20.os), {digits}) AS mass FROM g20 LEFT JOIN sums ON g20.os IS NOT DISTINCT FROM sums.os AND g20.bucket = sums.bucket"""
 STEP = "(ln(xm / 0.00001) / 20)"
-KS = I.PRICES.replace("d AS", "d0 AS") + """, a AS (SELECT x, p FROM d0 WHERE flag = 'A'), b AS (SELECT x, p FROM d0 WHERE flag = 'N'), n AS (SELECT x, p / 1.0 AS p FROM b),
-k AS (SELECT DISTINCT x FROM (SELECT x FROM a UNION ALL SELECT x FROM n)),
-f AS (SELECT k.x, coalesce((SELECT sum(p) FROM n WHERE n.x <= k.x), 0) - coalesce((SELECT sum(p) FROM a WHERE a.x <= k.x), 0) AS diff,
-             (SELECT max(x) FROM a WHERE a.x <= k.x) AS la, (SELECT max(x) FROM n WHERE n.x <= k.x) AS lb FROM k)"""
+KS = I.PRICES + """, pairs(flags, one, two) AS (VALUES ('AN', 'A', 'N'), ('AR', 'A', 'R'), ('NR', 'N', 'R')),
+a AS (SELECT flags, x, p FROM pairs JOIN d ON flag = one), n AS (SELECT flags, x, p FROM pairs JOIN d ON flag = two),
+k AS (SELECT DISTINCT flags, x FROM (SELECT flags, x FROM a UNION ALL SELECT flags, x FROM n)),
+f AS (SELECT k.flags, k.x, coalesce((SELECT sum(p) FROM n WHERE n.flags = k.flags AND n.x <= k.x), 0) - coalesce((SELECT sum(p) FROM a WHERE a.flags = k.flags AND a.x <= k.x), 0) AS diff,
+             (SELECT max(x) FROM a WHERE a.flags = k.flags AND a.x <= k.x) AS la, (SELECT max(x) FROM n WHERE n.flags = k.flags AND n.x <= k.x) AS lb FROM k)"""
 
 USERS = "(SELECT count(DISTINCT uuid) FROM pt)"
+#: Operating systems and models with rates on both sides, as (nature, what, key1, key2).
+GROUPS = "".join(
+    f" UNION ALL SELECT '{k}', '{what}', {k}, NULL FROM (SELECT {k}, sum(mass) AS m FROM pt GROUP BY {k}) WHERE m > 0 AND (SELECT sum(mass) FROM pt) - m > 0" for k, what in (("os", "OS "), ("model", "Model "))
+)
 APPS = I.POINTS + f""", ex AS (SELECT rate_id, uuid, os, model, time2, mass, mean, unnest(apps) AS app FROM pt), xa AS (SELECT * FROM ex WHERE {NO_DAEMONS}),
 uw AS (SELECT app, count(DISTINCT uuid) AS users_with FROM xa GROUP BY app),
 na AS (SELECT app, uuid FROM (SELECT DISTINCT app FROM xa) q, pt WHERE NOT list_contains(pt.apps, q.app) GROUP BY app, uuid),
@@ -159,7 +164,7 @@ SELECT l_orderkey, l_linenumber, CASE WHEN lo = hi THEN 0.0501 >= lo - 0.0005 AN
  round(CASE WHEN lo = hi THEN (0.0501 >= lo - 0.0005 AND 0.0501 < lo + 0.0005)::INT WHEN 0.0501 >= lo AND 0.0501 < hi THEN 1 / (hi - lo) ELSE 0 END, 6) AS at, lo = hi AS point, round((lo + hi) / 2, 6) AS mean FROM x""",
     "d9_discretize": """WITH x AS (SELECT l_orderkey, l_linenumber, round(l_discount * 100)::BIGINT AS a, round(round(l_discount + l_tax, 2) * 100)::BIGINT AS b FROM lineitem)
 SELECT l_orderkey, l_linenumber, b - a + 1 AS n, round((a + b) * (b - a + 1) / 200.0::DOUBLE, 6) AS total FROM x""",
-    "d10_xmax": f"WITH {I.PRICES} SELECT greatest((SELECT max(x) FROM d WHERE flag = 'A'), (SELECT max(x) FROM d WHERE flag = 'R')) AS xmax",
+    "d10_xmax": f"WITH {I.PRICES} SELECT flags, max(x) AS xmax FROM (VALUES ('AN', 'A', 'N'), ('AR', 'A', 'R'), ('NR', 'N', 'R')) v(flags, one, two) JOIN d ON flag = one OR flag = two GROUP BY flags",
     "d11_equal_histogram": f"WITH {I.PRICES}{HIST} SELECT flag, bucket, round(mass, 6) AS mass FROM eq",
     "d12_range_histogram": "WITH " + RANGE_HIST.format(edges="b * xm / 20 AS s, (b + 1) * xm / 20 AS e", place="least(floor(lo / xm * 20), 19)", digits=6),
     "d13_log_histogram": f"WITH {I.PRICES}{LOGH} SELECT flag, bucket, round(mass, 6) AS mass FROM lg",
@@ -169,9 +174,9 @@ SELECT l_orderkey, l_linenumber, b - a + 1 AS n, round((a + b) * (b - a + 1) / 2
     "d17_cdf": f"WITH {I.PRICES} SELECT flag, x, round(sum(p) OVER (PARTITION BY flag ORDER BY x), 6) AS cumulative FROM d WHERE x <> 106 UNION ALL SELECT DISTINCT flag, 106.0::DOUBLE, 1.0::DOUBLE FROM d",
     "d18_upper_edge_log": f"WITH {I.PRICES}, e AS (SELECT flag, 106.0::DOUBLE / pow(1.5::DOUBLE, 22 - i) AS edge, CASE WHEN i = 0 THEN -1 ELSE 106.0::DOUBLE / pow(1.5::DOUBLE, 23 - i) END AS below FROM (SELECT DISTINCT flag FROM d), range(23) t(i)) SELECT e.flag, round(edge, 6) AS edge, round(coalesce(sum(p), 0), 6) AS mass FROM e LEFT JOIN d ON d.flag = e.flag AND x <= edge AND x > below GROUP BY e.flag, edge",
     "d19_upper_edge_equal": f"WITH {I.PRICES}, e AS (SELECT flag, 106.5::DOUBLE / 20 * (i + 1) AS edge, 106.5::DOUBLE / 20 * i AS below FROM (SELECT DISTINCT flag FROM d), range(20) t(i)) SELECT e.flag, round(edge, 6) AS edge, round(coalesce(sum(p), 0), 6) AS mass FROM e LEFT JOIN d ON d.flag = e.flag AND x <= edge AND x > below GROUP BY e.flag, edge",
-    "d20_ks_signed": f"WITH {KS} SELECT round(greatest(max(diff), 0), 6) + 0.0::DOUBLE AS distance FROM f WHERE CASE WHEN (SELECT min(x) FROM a) > (SELECT min(x) FROM n) THEN x IN (SELECT x FROM a) ELSE x IN (SELECT x FROM n) END",
-    "d21_ks_absolute": f"WITH {KS} SELECT round(max_by(diff, abs(diff)), 6) + 0.0::DOUBLE AS distance FROM f",
-    "d22_ks_weighted": f"WITH {KS}, v AS (SELECT diff * (la - lb) / 2 AS z FROM f WHERE la IS NOT NULL AND lb IS NOT NULL) SELECT round(max_by(z, abs(z)), 6) + 0.0::DOUBLE AS distance FROM v",
+    "d20_ks_signed": f"WITH {KS} SELECT flags, round(greatest(max(diff), 0), 6) + 0.0::DOUBLE AS distance FROM f WHERE CASE WHEN (SELECT min(x) FROM a WHERE a.flags = f.flags) > (SELECT min(x) FROM n WHERE n.flags = f.flags) THEN x IN (SELECT x FROM a WHERE a.flags = f.flags) ELSE x IN (SELECT x FROM n WHERE n.flags = f.flags) END GROUP BY flags",
+    "d21_ks_absolute": f"WITH {KS} SELECT flags, round(max_by(diff, abs(diff)), 6) + 0.0::DOUBLE AS distance FROM f GROUP BY flags",
+    "d22_ks_weighted": f"WITH {KS}, v AS (SELECT flags, diff * (la - lb) / 2 AS z FROM f WHERE la IS NOT NULL AND lb IS NOT NULL) SELECT flags, round(max_by(z, abs(z)), 6) + 0.0::DOUBLE AS distance FROM v GROUP BY flags",
     "d23_spread": f"WITH {I.MEASUREMENTS} SELECT series_id, round(avg(cents), 3) AS mean, round(var_pop(cents) * count(*), 3) AS sum_sq_dev, round(sqrt(var_pop(cents) * count(*)), 3) AS root FROM m GROUP BY series_id",
     "d24_normalize": f"WITH {I.MEASUREMENTS} SELECT series_id, num, cents, round((cents - avg(cents) OVER w) / nullif(sqrt(var_pop(cents) OVER w * count(*) OVER w), 0), 6) AS normalized FROM m WINDOW w AS (PARTITION BY series_id)",
     "d25_pearson": f"WITH {I.MEASUREMENTS}, x AS (SELECT series_id, sum(cents)::DOUBLE AS x FROM m GROUP BY series_id), y AS (SELECT series_id, count(*)::DOUBLE AS y FROM m WHERE event_type = 'error' GROUP BY series_id) SELECT round(corr(x, coalesce(y, 0)), 6) AS r FROM x LEFT JOIN y USING (series_id)",
@@ -197,7 +202,7 @@ SELECT uuid, n_similar, {CMP_OUT} FROM cp WHERE ev IS NOT NULL AND ev_neg IS NOT
     "c9_j_scores": f"WITH {PROFILE}, dd AS (SELECT uuid, round({DIST}, 5) AS distance FROM pf) SELECT uuid, CASE WHEN distance = 0 THEN 0 ELSE floor((rank() OVER (ORDER BY distance DESC) - 1) / (count(*) OVER ())::DOUBLE * 100 + 0.5) / 100 END AS j_score FROM dd WHERE distance IS NOT NULL",
     "c10_correlations": f"""WITH {PROFILE}, nu AS (SELECT pt.mean, coalesce(n_rates, 0)::DOUBLE AS a, coalesce((SELECT count(*) FROM ua WHERE ua.uuid = pt.uuid), 0)::DOUBLE AS b FROM pt LEFT JOIN (SELECT pt.uuid, count(*) AS n_rates FROM pt JOIN cu ON cu.uuid = pt.uuid AND cu.os IS NOT DISTINCT FROM pt.os GROUP BY pt.uuid) q ON q.uuid = pt.uuid)
 {indicator('pt', 'os')} UNION ALL {indicator('pt', 'model')} UNION ALL SELECT 'user', 'rates', round(corr(mean, a), 5) FROM nu UNION ALL SELECT 'user', 'apps', round(corr(mean, b), 5) FROM nu""",
-    "c11_correlations_by_app": f"WITH {APPS}, e2 AS (SELECT * FROM ex WHERE app IN ('app3', 'app4')) {indicator('e2', 'os', 'app')} UNION ALL {indicator('e2', 'model', 'app')}",
+    "c11_correlations_by_app": f"WITH {APPS}, e2 AS (SELECT * FROM ex) {indicator('e2', 'os', 'app')} UNION ALL {indicator('e2', 'model', 'app')}",
     "c12_group_variance": f"""WITH {I.FREQS}, nv AS (SELECT 'os' AS nature, os AS value, * FROM pt UNION ALL SELECT 'model', model, * FROM pt),
 u AS (SELECT nature, value, uuid, sum(mass) AS m, sum(mass * mean) AS s, count(*) AS n FROM nv GROUP BY ALL),
 v AS (SELECT nature, value, sum(s) / nullif(sum(m), 0) AS ev, avg(s / nullif(m, 0)) AS user_mean, var_pop(s / nullif(m, 0)) * count(s / nullif(m, 0)) AS user_sd, count(s / nullif(m, 0)) AS users, sum(n)::BIGINT AS samples FROM u GROUP BY ALL),
@@ -217,7 +222,9 @@ k AS (SELECT *, row_number() OVER w AS users, (sum(n) OVER w)::BIGINT AS alln FR
 first AS (SELECT app, min(users) AS enough FROM k WHERE alln >= 10 GROUP BY app)
 SELECT app, uuid, round(s / m, 8) AS ev, n, greatest(users, enough) AS from_users FROM k JOIN first USING (app) WHERE m > 0""",
     "c16_user_slice": f"WITH {I.FREQS} SELECT round(x, 9) AS x, round(sum(w), 6) AS w FROM fq JOIN (SELECT rate_id FROM pt WHERE uuid = '7' AND time1 > 1704500000 AND time2 < 1706000000) USING (rate_id) GROUP BY x",
-    "c18_labels": f"WITH {APPS} SELECT 'hog' AS nature, app AS key1, NULL::VARCHAR AS key2, 'Hog ' || app || ' running' AS title, 'Hog ' || app || ' not running' AS title_neg FROM hg UNION ALL SELECT 'os', os, NULL, 'OS ' || coalesce(os, 'unknown') || ' running', 'OS ' || coalesce(os, 'unknown') || ' not running' FROM (SELECT DISTINCT os FROM pt)",
+    "c18_labels": f"""WITH {STORED}, z AS (SELECT 'hog' AS nature, 'Hog ' AS what, app AS key1, NULL::VARCHAR AS key2 FROM hg UNION ALL SELECT 'bug', 'Bug ', app, uuid FROM bb {GROUPS}
+  UNION ALL SELECT 'similar', 'Similar users ', uuid, NULL FROM cp WHERE ev IS NOT NULL AND ev_neg IS NOT NULL UNION ALL SELECT 'result', 'User ', uuid, NULL FROM pf WHERE ev_neg IS NOT NULL)
+SELECT nature, key1, key2, what || coalesce(key1, 'unknown') || coalesce(' on ' || key2, '') || ' running' AS title, what || coalesce(key1, 'unknown') || coalesce(' on ' || key2, '') || ' not running' AS title_neg FROM z""",
     "k1_results": f"""WITH {STORED}, found AS (
   SELECT 'os' AS nature, key AS key1, NULL::VARCHAR AS key2, gx AS xmax, ev, ev_neg, NULL::BIGINT AS users_with, NULL::BIGINT AS users_without, prob, prob_neg, NULL::VARCHAR AS apps FROM ({EVS.format(key='os')}) JOIN ga ON nature = 'os' AND k IS NOT DISTINCT FROM key, gm
   UNION ALL SELECT 'model', key, NULL, gx, ev, ev_neg, NULL, NULL, prob, prob_neg, NULL FROM ({EVS.format(key='model')}) JOIN ga ON nature = 'model' AND k IS NOT DISTINCT FROM key, gm
@@ -226,8 +233,8 @@ SELECT app, uuid, round(s / m, 8) AS ev, n, greatest(users, enough) AS from_user
   UNION ALL SELECT 'result', p.uuid, NULL, xm, ev, ev_neg, NULL, NULL, prob, prob_neg, coalesce((SELECT string_agg(app, ',' ORDER BY app) FROM ua WHERE ua.uuid = p.uuid), '') FROM pf p JOIN pr ON pr.uuid = p.uuid JOIN rp ON rp.uuid = p.uuid
   UNION ALL SELECT 'bug', b.app, b.uuid, xm, ev, ev_neg, NULL, NULL, prob, prob_neg, NULL FROM bb b JOIN br ON br.app = b.app AND br.uuid = b.uuid JOIN bp ON bp.app = b.app AND bp.uuid = b.uuid)
 SELECT nature, key1, key2, round(xmax, 8) AS xmax, {CMP_OUT}, users_with, users_without, prob, prob_neg, apps FROM found WHERE ev IS NOT NULL AND ev_neg IS NOT NULL""",
-    "k3_expire": f"WITH {APPS} SELECT 'hog' AS nature, app AS key1 FROM hg",
-    "k4_remove_daemons": f"WITH {APPS} SELECT 'hog' AS nature, app AS key1 FROM ca WHERE users_with >= 5 AND users_without >= 5",
+    "k3_expire": f"WITH {BUGS}, z AS (SELECT 'hog' AS nature, '' AS what, app AS key1, NULL::VARCHAR AS key2 FROM hg UNION ALL SELECT 'bug', '', app, uuid FROM bb {GROUPS}) SELECT nature, key1, key2 FROM z",
+    "k4_remove_daemons": f"WITH {APPS}, z AS (SELECT 'hog' AS nature, '' AS what, app AS key1, NULL::VARCHAR AS key2 FROM ca WHERE users_with >= 5 AND users_without >= 5 {GROUPS}) SELECT nature, key1 FROM z",
     "k5_delete": f"WITH {I.SAMPLES} SELECT uuid, count(*) AS n FROM s WHERE NOT (uuid = '7' OR state = 'charging') GROUP BY uuid",
     "k6_device": f"WITH {I.SAMPLES} SELECT round(time, 3) AS time, level, state FROM s WHERE uuid = '7' AND time > 1704500000",
     "k9_plot_data": f"WITH {I.PRICES} SELECT flag, x, round(p, 6) AS y FROM d",

@@ -187,6 +187,22 @@ def st3_stream_user_detectors(spark, sf_dir):
     return both.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("run_id").alias("runs"), F.min("sides").alias("sides"))
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def st3_stream_late_rows(spark, sf_dir):
+    """Buckets of a stream that comes in any order: its rows wait for the watermark, so those of the last day are still out."""
+    rows = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("series_id"), F.col("event_id").alias("num"), F.timestamp_micros(F.expr(I.MICROS)).alias("ts"), "event_type")
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        mixed = streamed(spark, rows.repartition(8, F.xxhash64("num")).sortWithinPartitions(F.xxhash64("num")))
+        found = to_table(spark, streams.stream_buckets(mixed, lambda row: row.event_type, time="ts", late="1 day"))
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    return found.groupBy("series_id", "bucket_id").agg(F.count(F.lit(1)).alias("n"), F.min("num").alias("first_num"), F.max("num").alias("last_num"))
+
+
 class RisingDetector:
     """In a run while a row has more cents than the row before; the lead-in is that row."""
 
@@ -239,7 +255,7 @@ def s15_power_captures(spark, sf_dir):
     return rounded(rows.select("series_id", "num", "time_s", "main_ma", "main_v", "missing"), "time_s", "main_ma", "main_v")
 
 
-QUERIES = {f.__name__: f for f in (s2_short_measurements, s4_battery_log, s5_battery_log_of_day, s7_load_samples, s9_append, s11_partitioned_source, s13_cache_and_reload, s14_decimal_comma, s15_power_captures, s17_decode_distribution, c17_full_report, k2_dry_run, k7_dump, k8_text_lines, k10_correlations, k11_curve_lines, st1_ingest, st2_node_hours, st3_stream_buckets, st3_stream_runs, st3_stream_user_detectors)}
+QUERIES = {f.__name__: f for f in (s2_short_measurements, s4_battery_log, s5_battery_log_of_day, s7_load_samples, s9_append, s11_partitioned_source, s13_cache_and_reload, s14_decimal_comma, s15_power_captures, s17_decode_distribution, c17_full_report, k2_dry_run, k7_dump, k8_text_lines, k10_correlations, k11_curve_lines, st1_ingest, st2_node_hours, st3_stream_buckets, st3_stream_runs, st3_stream_user_detectors, st3_stream_late_rows)}
 
 BATTERY = """b AS (SELECT user_id AS file, event_id AS pos, ts, event_type IN ('click', 'view') AS is_level, event_id % 100 AS lv FROM events),
 f AS (SELECT *, last_value(CASE WHEN is_level THEN lv END IGNORE NULLS) OVER (PARTITION BY file ORDER BY pos) AS level,
@@ -287,6 +303,9 @@ SELECT nature, key1, key2, {Q.CMP_OUT}, users_with FROM z""",
     "st2_node_hours": "SELECT epoch_us(date_trunc('hour', ts)) // 1000000 AS start, user_id AS node, count(*) AS n FROM events GROUP BY ALL HAVING epoch_us(date_trunc('hour', any_value(ts))) + 3600000000 <= (SELECT epoch_us(max(ts)) FROM events) - 3600000000",
     "st3_stream_buckets": f"WITH {I.MEASUREMENTS}, t AS (SELECT *, num > 1 AND event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY series_id ORDER BY num) AS turn FROM m) SELECT series_id, 1 + sum(turn::INT)::BIGINT AS buckets, count(*) AS n_rows FROM t GROUP BY series_id",
     "st3_stream_runs": f"WITH {I.MEASUREMENTS}{RUN_HEADS} SELECT series_id, rid::BIGINT AS run_id, min(num) - 4 AS first_num, max(num) AS last_num, max(num) - min(num) + 5 AS n FROM ids WHERE active GROUP BY series_id, rid",
+    "st3_stream_late_rows": f"""WITH {I.MEASUREMENTS}, t AS (SELECT *, num > 1 AND event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY series_id ORDER BY num) AS turn FROM m),
+b AS (SELECT *, sum(turn::INT) OVER (PARTITION BY series_id ORDER BY num) AS bucket_id FROM t WHERE epoch_us(ts) <= (SELECT (max(epoch_us(ts)) // 1000 - 86400000) * 1000 FROM events))
+SELECT series_id, bucket_id::BIGINT AS bucket_id, count(*) AS n, min(event_id) AS first_num, max(event_id) AS last_num FROM b GROUP BY series_id, bucket_id""",
     "st3_stream_user_detectors": f"""WITH {I.MEASUREMENTS}, u AS (SELECT *, coalesce(cents > lag(cents) OVER w, false) AS up, lead(cents) OVER w > cents AS next_up FROM m WINDOW w AS (PARTITION BY series_id ORDER BY num)),
 x AS (SELECT *, up AND NOT coalesce(lag(up) OVER (PARTITION BY series_id ORDER BY num), false) AS rises FROM u)
 SELECT series_id, (sum(up::INT) + sum(rises::INT))::BIGINT AS n_rows, sum(rises::INT)::BIGINT AS runs, 3::BIGINT AS sides FROM x GROUP BY series_id HAVING sum(rises::INT) > 0""",

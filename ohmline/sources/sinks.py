@@ -30,7 +30,7 @@ def write_results(results: DataFrame, path: str, dry: bool = False) -> DataFrame
 def expire_results(old: DataFrame, new: DataFrame, skipped: DataFrame) -> DataFrame:
     """Old results that still hold: of the natures in ``new`` those still found, without bugs of new hogs or results of skipped apps."""
     o, n = old.alias("o"), new.select("nature", "key1", "key2").distinct().alias("n")
-    same = (F.col("o.nature") == F.col("n.nature")) & (F.col("o.key1") == F.col("n.key1")) & F.col("o.key2").eqNullSafe(F.col("n.key2"))
+    same = (F.col("o.nature") == F.col("n.nature")) & F.col("o.key1").eqNullSafe(F.col("n.key1")) & F.col("o.key2").eqNullSafe(F.col("n.key2"))
     kept = o.join(n, same, "left_semi")
     new_hogs = new.where("nature = 'hog'").select(F.col("key1").alias("app"))
     gone = skipped.select("app").unionByName(new_hogs.join(skipped.select("app"), "app", "left_anti")).distinct()

@@ -86,10 +86,15 @@ class InOrder(StatefulProcessor):
             newest = max(at for at, *_ in new)
             state, before = self.held.get() if self.held.exists() else (cloudpickle.dumps(Held(self.make())), newest)
             self.held.update((state, max(newest, before)))
-            for us in [newest] + ([newest + self.expire_us] if self.expire_us is not None else []):
-                self.handle.registerTimer(-(-us // 1000) + 1)
+            self.wake(min(at for at, *_ in new))
+            if self.expire_us is not None:
+                self.wake(newest + self.expire_us)
         yield from self.released(timerValues)
 
+    def wake(self, us: int) -> None:
+        """Ask for a call as soon as the watermark has passed a time."""
+        self.handle.registerTimer(-(-us // 1000) + 1)
+
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self.released(timerValues)
         if self.expire_us is not None and self.held.exists() and self.held.get()[1] + self.expire_us <= timerValues.getCurrentWatermarkInMs() * 1000:
@@ -106,6 +111,7 @@ class InOrder(StatefulProcessor):
         self.waiting.clear()
         if len(due) < len(waiting):
             self.waiting.appendValue((cloudpickle.dumps(waiting[len(due) :]),))
+            self.wake(waiting[len(due)][0])
         state, newest = self.held.get()
         held = cloudpickle.loads(state)
         out = [(*row, n) for *_, values in due for row, n in self.step(held, Row(self.columns, values))]
