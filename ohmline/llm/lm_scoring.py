@@ -5,10 +5,10 @@ together to be kept in the count table; else it is the score after the context l
 a context it is the word's share of all words.
 
 For every order the n-grams of a document are folded where they are read, and travel once: they are partitioned by the
-hash of their context, many to a row as parallel arrays, and exploded there. So the counts of contexts and n-grams are
-window sums over the partition in which the n-grams themselves lie. What is not kept goes on to the partition of the
-next shorter context; a broadcast list of frequent words ends most of that, and the rest is joined to the table of word
-counts. The parts of a document are summed at the end.
+hash of their context, many to a row as parallel arrays, and exploded there. The count tables of n-grams and contexts are
+made in the same partitions, bucket by bucket, and joined to the n-grams that lie there. What is not kept goes on to the
+partition of the next shorter context; a broadcast list of frequent words ends most of that, and the rest is joined to the
+table of word counts. The parts of a document are summed at the end.
 
 Words are told apart by 64 bits, an n-gram by 64 bits of its context and 64 of its last word.
 """
@@ -17,13 +17,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ohmline.shared import cut, drop_table, ship, without
@@ -134,6 +135,21 @@ def hot_grams(texts: DataFrame, order: int) -> dict[int, np.ndarray]:
     return hot
 
 
+def frequent_words(words: DataFrame, most: int = KNOWN_WORDS) -> DataFrame:
+    """The words (word, count) whose count is at least some number, chosen so that there are ``most`` of them or fewer.
+
+    The number comes from a histogram of the counts with sixteen steps to a doubling, so nothing is sorted.
+    """
+    step = F.floor(F.log2("count") * 16).cast("int")
+    held, least = 0, 0
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):
+        held += r["n"]
+        if held > most:
+            least = r["step"] + 1
+            break
+    return words.where(step >= least)
+
+
 def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of ``wanted`` in the sorted ``keys``, and which of them are there."""
     if not len(keys):
@@ -285,33 +301,128 @@ def entries_of(model, k: int, order: int, buckets: int):
     return entries
 
 
-PARTS = "batch long, doc int, log double, word long, asked int, named boolean"
-
-
-def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of :data:`PARTS`, those without a word summed for each document, many at a time."""
-    names, held, size = [x.split()[0] for x in PARTS.split(", ")], [], 0
-
-    def summed() -> pa.RecordBatch:
-        whole = [np.concatenate(x) for x in zip(*held)]
-        key, at = np.unique((whole[0] << DOC_BITS) | whole[1], return_inverse=True)
-        sums = np.bincount(at, weights=whole[2], minlength=len(key))
-        none = pa.nulls(len(key), pa.int64())
-        return pa.record_batch([pa.array(key >> DOC_BITS), pa.array(key & ((1 << DOC_BITS) - 1), pa.int32()), pa.array(sums), none, pa.nulls(len(key), pa.int32()), pa.nulls(len(key), pa.bool_())], names)
-
-    for batch in batches:
-        resolved = batch.column("word").is_null()
-        kept = batch.filter(pc.invert(resolved))
-        if kept.num_rows:
-            yield kept
-        done = batch.filter(resolved)
-        held.append((done.column("batch").to_numpy(), done.column("doc").to_numpy().astype(np.int64), done.column("log").to_numpy()))
-        size += done.num_rows
-        if size >= PIECE:
+PARTS = "batch long, doc int, log double, word long, asked int, named boolean, shorter array<bigint>"
+PARTS_TYPES = (pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
+#: Sums that a task holds before it folds them by document.
+SUMS = 1_000_000
+
+
+class Entries:
+    """The n-grams of some nested rows, one beside the other."""
+
+    def __init__(self, table: pa.Table):
+        lengths = pc.list_value_length(table.column("seconds").combine_chunks()).to_numpy()
+        self.row = np.repeat(np.arange(table.num_rows), lengths)
+        self.table = table
+        self.second, self.g = self.listed("seconds"), self.listed("gs")
+        self.doc, self.n = self.listed("docs").astype(np.int64), self.listed("ns").astype(np.int64)
+        self.kind, self.bucket, self.batch = (self.repeated(c) for c in ("kind", "bucket", "batch"))
+        self.asked, self.total = self.listed("askeds", self.n).astype(np.int64), self.listed("totals", np.zeros_like(self.n)).astype(np.int64)
+
+    def repeated(self, name: str) -> np.ndarray:
+        """A value of the rows for each of their n-grams; null is -1."""
+        return self.table.column(name).fill_null(-1).to_numpy()[self.row]
+
+    def listed(self, name: str, default: np.ndarray | None = None) -> np.ndarray:
+        column = self.table.column(name).combine_chunks()
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        if default is None or not column.null_count:
+            return flat
+        out = default.copy()
+        out[column.is_valid().to_numpy(zero_copy_only=False)[self.row]] = flat
+        return out
+
+    def shorter(self, some: np.ndarray) -> pa.Array:
+        """The shorter contexts of some n-grams."""
+        return self.table.column("shorters").combine_chunks().flatten().take(pa.array(some))
+
+
+def counted(x: Entries) -> tuple[np.ndarray, np.ndarray]:
+    """For each n-gram its count and that of its context: the count tables of these buckets, joined to the n-grams in them."""
+    times, after = np.zeros(len(x.g), np.int64), np.zeros(len(x.g), np.int64)
+    some = np.flatnonzero(x.kind == GRAMS)
+    some = some[np.lexsort((x.second[some], x.g[some], x.bucket[some]))]
+    for out, values, keys in ((times, x.n, (x.bucket, x.g, x.second)), (after, x.total, (x.bucket, x.g))):
+        at, size = stretches(*[k[some] for k in keys])
+        if len(at):
+            out[some] = np.repeat(np.add.reduceat(values[some], at), size)
+    for out, name in ((times, "gram_count"), (after, "context_count")):  # those that were counted beforehand
+        known = x.repeated(name)
+        out[known >= 0] = known[known >= 0]
+    return times, after
+
+
+def resolver(model, k: int, least_count: int, backoff: float, total: int):
+    """A function from nested rows, sorted by bucket, to :data:`PARTS`.
+
+    Rows without a word or shorter contexts are sums of a document; those with a word wait for the word's count, or give the
+    document's key; those with shorter contexts go on to the next level.
+    """
+    names = [c.split()[0] for c in PARTS.split(", ")]
+
+    def rows(batch, doc, log, word=None, asked=None, named=None, shorter=None) -> pa.RecordBatch:
+        columns = [batch, doc, log, word, asked, named, shorter]
+        return pa.record_batch([pa.nulls(len(batch), t) if c is None else c if isinstance(c, pa.Array) else pa.array(c).cast(t) for c, t in zip(columns, PARTS_TYPES)], names)
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, known_count = model.value
+        keys, logs, size = [], [], 0
+
+        def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            x = Entries(table)
+            times, after = counted(x)
+            plain = x.kind == GRAMS
+            hit = plain & (times >= least_count)
+            log = np.where(plain & ~hit, x.asked * np.log(backoff), 0.0)
+            log[hit] = x.asked[hit] * (np.log(times[hit]) - np.log(after[hit]))
+            done = hit & (x.asked > 0)
+            wait = ~hit & (x.asked > 0) & (x.kind != NAMES)
+            if k > 2:
+                some = np.flatnonzero(wait)
+                if len(some):
+                    yield rows(x.batch[some], x.doc[some], log[some], x.second[some], x.asked[some], np.zeros(len(some), bool), x.shorter(some))
+            else:
+                at, found = lookup(known, x.second)
+                found &= wait
+                if found.any():
+                    log[found] += x.asked[found] * (np.log(known_count[at[found]]) - np.log(total))
+                done |= found
+                some = np.flatnonzero(wait & ~found)
+                yield rows(x.batch[some], x.doc[some], log[some], x.second[some], x.asked[some], np.zeros(len(some), bool))
+                some = np.flatnonzero(x.kind == NAMES)
+                yield rows(x.batch[some], x.doc[some], log[some], x.second[some], x.asked[some], np.ones(len(some), bool))
+            keys.append((x.batch[done] << DOC_BITS) | x.doc[done])
+            logs.append(log[done])
+            size += len(keys[-1])
+            if size >= SUMS:
+                yield summed()
+
+        def summed() -> pa.RecordBatch:
+            nonlocal size
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = np.bincount(at, weights=np.concatenate(logs), minlength=len(key))
+            keys.clear()
+            logs.clear()
+            size = 0
+            return rows(key >> DOC_BITS, key & ((1 << DOC_BITS) - 1), sums)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if held[0].column("bucket")[0] != batch.column("bucket")[-1]:  # the last bucket may go on
+                table = pa.Table.from_batches(held)
+                cut_at = int(np.searchsorted(table.column("bucket").to_numpy(), batch.column("bucket")[-1].as_py()))
+                yield from work(table.slice(0, cut_at))
+                held = table.slice(cut_at).to_batches()
+        if held:
+            yield from work(pa.Table.from_batches(held))
+        if size:
             yield summed()
-            held, size = [], 0
-    if size:
-        yield summed()
+
+    return resolve
 
 
 def score(
@@ -341,7 +452,7 @@ def score(
     counts = cut(counted.groupBy("k", "g", "word").agg(F.sum("n").alias("n")))
     words = counts.where("k = 1").select("word", F.col("n").alias("count"))
     total = words.agg(F.sum("count")).first()[0] or 1
-    known = cut(words.orderBy(F.desc("count"), "word").limit(KNOWN_WORDS))
+    known = cut(frequent_words(words))
     large = known.where(F.col("count") > GROUP_ENTRIES).orderBy("word").toArrow()
     listed = {(r["k"], r["g"], r["word"]): r["n"] for r in counts.where("k <> 1").collect()}  # the frequent n-grams and their contexts
     of = lambda k, sign: np.array([listed.get((sign * k, int(g), int(w) if sign > 0 else 0), 0) for g, w in hot[k]], np.int64)
@@ -351,50 +462,29 @@ def score(
     partitions = int(min(MOST_PARTITIONS, max(16, -(-total // (BUCKET_ENTRIES * BUCKETS_A_PARTITION)))))
     buckets = partitions * BUCKETS_A_PARTITION
     sorted_texts = texts.where(F.col("text").isNotNull()).sortWithinPartitions("row")
-    missed, parts = None, []
+    if order > 2:  # every level numbers the documents, and must find them in the same partitions
+        sorted_texts = cut(sorted_texts)
+    sorted_known = known.orderBy("word").toArrow()
+    listed_words = context.broadcast((sorted_known.column("word").to_numpy(), sorted_known.column("count").to_numpy()))
+    missed, levels = None, []
     for k in range(max(2, order), 1, -1):
         level = sorted_texts.mapInArrow(entries_of(model, min(k, order), order, buckets), NESTED)
         if missed is not None:
             level = level.unionByName(missed)
-        of_row = lambda name, i: F.get(name, F.col(i))
-        flat = level.repartition(partitions, "bucket").select(
-            "bucket", "kind", "batch", "context_count", "gram_count", "gs", "totals", "docs", "ns", "askeds", "shorters", F.posexplode("seconds").alias("i", "second")
-        ).select(
-            "bucket", "kind", "batch", "context_count", "gram_count", of_row("gs", "i").alias("g"), of_row("totals", "i").alias("total"), "second",
-            of_row("docs", "i").cast("int").alias("doc"), of_row("ns", "i").alias("n"), of_row("askeds", "i").alias("asked"), *([of_row("shorters", "i").alias("shorter")] if k > 2 else []),
-        )
-        times = F.coalesce("gram_count", F.sum("n").over(Window.partitionBy("g", "bucket", "second")))
-        after = F.coalesce("context_count", F.sum("total").over(Window.partitionBy("g", "bucket")))
-        asked = flat.withColumn("times", times).withColumn("after", after).withColumn("asked", F.coalesce("asked", "n"))
-        looked = asked.where((F.col("asked") > 0) | (F.col("kind") == NAMES)).drop("context_count", "gram_count", "total", "n")
-        plain = F.col("kind") == GRAMS
-        hit = plain & (F.col("times") >= least_count)
-        log = F.when(hit, F.col("asked") * (F.ln("times") - F.ln("after"))).when(plain, F.col("asked") * F.lit(float(np.log(backoff)))).otherwise(0.0)
+        dealt = level.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+        levels.append(cut(dealt.mapInArrow(resolver(listed_words, k, least_count, backoff, total), PARTS)))
         if k > 2:
-            looked = cut(looked.withColumn("log", log).withColumn("hit", hit))
-            parts.append(looked.select("batch", "doc", "log", F.lit(None).cast("long").alias("word"), F.lit(None).cast("int").alias("asked"), F.lit(None).cast("boolean").alias("named")))
-            missed = shorter_rows(looked.where("not hit"), known, spark, hot[k - 1], model.value[3][k - 1], model.value[4][k - 1], buckets)
-            continue
-        named = F.col("kind") == NAMES
-        word = F.when(~hit & ~named, F.col("second"))
-        ended = looked.withColumn("log", log).withColumn("__word", word).join(F.broadcast(known.withColumnRenamed("word", "__known")), F.col("__word") == F.col("__known"), "left")
-        found = F.col("count").isNotNull()
-        parts.append(ended.select(
-            "batch", "doc",
-            (F.col("log") + F.when(found, F.col("asked") * (F.ln("count") - F.lit(float(np.log(total))))).otherwise(0.0)).alias("log"),
-            F.when(named, F.col("second")).when(~found, F.col("__word")).alias("word"), "asked", named.alias("named"),
-        ))
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionByName(more)
-    every = cut(every.mapInArrow(folded, PARTS))
+            waiting = levels[-1].where("shorter is not null").withColumnRenamed("word", "second")
+            missed = shorter_rows(waiting, known, spark, hot[k - 1], model.value[3][k - 1], model.value[4][k - 1], buckets)
+            levels[-1] = levels[-1].withColumn("word", F.when(F.col("shorter").isNull(), F.col("word")))
+    every = reduce(DataFrame.unionByName, levels)
     rare = every.where("word is not null and not named").join(words, "word").select(
         "batch", "doc", (F.col("log") + F.col("asked") * (F.ln("count") - F.lit(float(np.log(total))))).alias("log"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("length")
     )
     rest = every.where("word is null or named").select("batch", "doc", "log", F.col("word").alias("row"), F.when(F.col("named"), F.col("asked")).alias("length"))
     sums = rest.unionByName(rare).groupBy("batch", "doc").agg(F.sum("log").alias("log"), F.max("row").alias("row"), F.max("length").alias("length"))
     by_row = cut(sums.groupBy("row").agg(F.min("log").alias("log"), F.max("length").cast("long").alias("length")))
-    for done in (every, counts, known):
+    for done in (*levels, counts, known, *([sorted_texts] if order > 2 else [])):
         drop_table(done)
     scored = rows.alias("d").join(by_row.alias("s"), F.col("d.__row") == F.col("s.row"), "left")
     kept = [c for c in rows.columns if c != "__row"]
