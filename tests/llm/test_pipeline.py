@@ -3,9 +3,12 @@
 import hashlib
 import itertools
 import math
+import zlib
 
 import duckdb
+import public_tokenizers
 import pytest
+import tokenizers
 import xxhash
 import zstandard
 
@@ -125,7 +128,12 @@ CONTRACT = {
     "op8_token_counts": "doc_id long, n_bytes long, n_tokens long, over_limit boolean",
     "op9_lm_scoring": "doc_id long, n_words long, lm_score double",
     "op10_toxicity": "doc_id long, held_out boolean, score double, predicted int",
+    "op11_licenses": "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double",
+    "op12_whitening": "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double",
+    "op13_collocations": "lang string, rank long, phrase string, a long, l long, r long, n long, score long",
 }
+#: Modulus and remainder of the held-out ids.
+HELD_OUT = {"op4_language_id": (4, 2), "op10_toxicity": (5, 0)}
 
 
 @pytest.mark.parametrize("name", sorted(CONTRACT))
@@ -135,8 +143,26 @@ def test_queries_keep_their_contracts(spark, name):
     assert {c.split(" ")[0]: kinds.get(c.split(" ")[0]) for c in CONTRACT[name].split(", ")} == dict(c.split(" ") for c in CONTRACT[name].split(", "))
     rows = df.collect()
     ids = sorted(r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
-    if name != "op2_nearest":
+    if "doc_id" in kinds:
         assert sorted(r["doc_id"] for r in rows) == ids
+    if name in HELD_OUT:
+        modulus, rest = HELD_OUT[name]
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % modulus == rest) and 0 <= r["score"] <= 1 for r in rows)
+    if name == "op10_toxicity":
+        assert all(r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    if name == "op4_language_id":
+        assert {r["lang_pred"] for r in rows} <= {"de", "en", "es", "fr", "und"}
+    if name == "op8_token_counts":
+        texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+        library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        for r in rows:
+            n = len(library.encode(texts[r["doc_id"]], add_special_tokens=False).ids)
+            assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(texts[r["doc_id"]].encode()), n > 1024)
+    if name == "op6_simhash":
+        texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+        assert {r["component_id"] for r in rows} == firsts(texts)
+        prints = {d: f"{fingerprint(t):016x}" for d, t in texts}
+        assert all(r["fingerprint"] == prints[r["doc_id"]] for r in rows)
     if name in queries.ORACLE_SQL:
         con = duckdb.connect()
         for table in ("documents", "benchmark"):
