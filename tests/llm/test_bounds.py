@@ -257,10 +257,10 @@ def test_a_stretch_that_all_items_share_is_scanned_in_linear_time():
 
 def test_doubled_letters_are_read_as_learned_words():
     model = toxicity.log_model([*["idiot"] * 50, *["moron"] * 50, *["the"] * 50, *["letter"] * 50, *["book"] * 50])
-    known = {"idiot", "moron", "letter", "book"}
+    known = toxicity.Learned(["idiot", "moron", "letter", "book"])
     for token in ("idioot", "iidiot", "mooron", "moronn", "(iddiot)"):
         assert {"idiot", "moron"} & set(toxicity.readings(token, model, known)), token
-        assert not {"idiot", "moron"} & set(toxicity.readings(token, model, {"book"})), token
+        assert not {"idiot", "moron"} & set(toxicity.readings(token, model, toxicity.Learned(["book"]))), token
     for token in ("letter", "book", "bookk", "tall"):
         assert not {"idiot", "moron"} & set(toxicity.readings(token, model, known))
         assert token in toxicity.readings(token, model, known)
@@ -269,7 +269,7 @@ def test_doubled_letters_are_read_as_learned_words():
 def test_a_plain_score_is_the_same(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     fitted = toxicity.learn(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
-    words = {f[1:] for f in fitted["weights"] if f.startswith("=")}
+    words = toxicity.Learned(f[1:] for f in fitted["weights"] if f.startswith("="))
 
     def plain(text):
         """Every token read anew, every feature looked up by itself."""
@@ -291,3 +291,13 @@ def test_caches_are_bounded_in_bytes():
     assert set(reader.known) == {"short"}
     hashes = line_dedup.Hashes()
     assert hashes[b"y" * 5000] == hashes[b"y" * 5000] and hashes[b"y"] and len(hashes) == 1
+
+
+def test_nearest_cells_are_those_of_a_full_sort():
+    rng = np.random.default_rng(0)
+    for n in (1, 5, 100, 5000, 20_000):
+        for _ in range(20):
+            scores, held, least = rng.integers(0, rng.choice([1, 3, 50, 10**6]), n).astype(float), rng.integers(0, 5, n), rng.integers(0, 3 * n + 2)
+            order = np.argsort(-scores, kind="stable")
+            want = order[: int(np.searchsorted(np.cumsum(held[order]), least)) + 1]
+            assert sorted(ann.nearest_cells(scores, held, least)) == sorted(want)
