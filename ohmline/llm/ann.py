@@ -39,6 +39,8 @@ RERANK = 3
 REGION_ROWS, LOT_QUERIES = 4_096, 1_024
 #: Queries that are ranked at a time, to bound the memory of a task; candidate lists that are merged at a time.
 BLOCK, LISTS = 64, 8_192
+#: Cells that are sorted, at most, to find where the nearest ones end.
+FEW_CELLS = 4096
 
 
 def usable(vector: Column) -> Column:
@@ -117,8 +119,9 @@ def looked_into(sample: np.ndarray, cell: np.ndarray, model: dict, rng: np.rando
     asked = rng.choice(len(sample), min(ASKED, len(sample)), replace=False)
     held = np.bincount(cell, minlength=len(model["first"]) * len(model["second"]))
     shares = []
-    for at in range(0, len(asked), BLOCK):
-        q = asked[at : at + BLOCK]
+    block = max(1, min(BLOCK, 4_000_000 // len(held)))
+    for at in range(0, len(asked), block):
+        q = asked[at : at + block]
         score = sample[q] @ sample.T
         score[np.arange(len(q)), q] = -np.inf
         top = np.argsort(-score, axis=1, kind="stable")[:, : min(NEIGHBOURS, len(sample) - 1)]
@@ -164,6 +167,29 @@ def regions_of(held: np.ndarray, rows: int = REGION_ROWS) -> np.ndarray:
     return region
 
 
+def nearest_cells(scores: np.ndarray, held: np.ndarray, least: float) -> np.ndarray:
+    """The cells of the highest scores that hold ``least`` rows together (all, if they don't); ties go to the smaller cell.
+
+    Cells are parted at a pivot and only the side that the limit lies in is looked into further, so few are ever sorted.
+    """
+    rest, kept = np.arange(len(scores)), []
+    while len(rest) > FEW_CELLS:
+        pivot = np.median(scores[rest[:: len(rest) // 64]])
+        above = scores[rest] > pivot
+        if not above.any():
+            break  # at the pivot are the highest
+        high = rest[above]
+        rows = held[high].sum()
+        if rows >= least:
+            rest = high
+        else:
+            kept.append(high)
+            rest, least = rest[~above], least - rows
+    order = rest[np.argsort(-scores[rest], kind="stable")]
+    kept.append(order[: int(np.searchsorted(np.cumsum(held[order]), least)) + 1])
+    return np.concatenate(kept)
+
+
 def probes(queries: DataFrame, model, plan, k: int) -> DataFrame:
     """(query_id, query, region, cells) for each region that a query looks into; ``cells`` is a packed list."""
 
@@ -174,11 +200,10 @@ def probes(queries: DataFrame, model, plan, k: int) -> DataFrame:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 points = matrix(part.column("vector"), m["size"])
-                order = np.argsort(-cell_products(points / np.abs(points).max(1, keepdims=True), m), axis=1, kind="stable")
-                upto = np.cumsum(held[order], axis=1)
                 row, where, cells = [], [], []
-                for i, (o, n) in enumerate(zip(order, upto)):
-                    chosen = np.sort(o[: int(np.searchsorted(n, least)) + 1])
+                for i in range(len(points)):  # one query at a time: there may be a million cells
+                    scores = cell_products(points[i : i + 1] / np.abs(points[i]).max(), m)[0]
+                    chosen = np.sort(nearest_cells(scores, held, least))
                     chosen = chosen[held[chosen] > 0]
                     turns = np.flatnonzero(np.diff(region[chosen], prepend=-1))
                     for part_ in np.split(chosen, turns[1:]):
