@@ -4,11 +4,13 @@ A cell's centroid is the sum of two: one of the coarse centroids, and one of the
 So the cells can keep in proportion to the rows while both lists, and the codebooks of what is left after them, are
 fitted on the driver from a bounded sample. Every row is indexed.
 
-A query looks into cells by the inner product with their centroids, until they hold the share of all rows that the
-sample showed to be needed, and ranks the cells' rows by asymmetric distance tables. Neighbouring cells are put
-together to regions of a bounded number of rows; a task holds the codes of one region and some of the queries that
-look into it, never original vectors of the rows. The best candidates of each query, of all regions, are then ranked by
-the exact inner product on the original vectors, in double precision, summed in the order of the components.
+A query looks into cells by the inner product with their centroids, raised by how far the cell's farthest row may lie
+off it, until they hold the share of all rows that sampled queries showed to be needed. It rates the cells' rows by
+asymmetric distance tables. What a code leaves out of its row is known by its length, so a table's score has bounds;
+rows that may be among the best by these are ranked exactly, however many they are: quantisation loses none.
+Neighbouring cells are put together to regions of a bounded number of rows; a task holds one region and some of the
+queries that look into it. The best candidates of each query, of all regions, are then ranked by the exact inner
+product on the original vectors, in double precision, summed in the order of the components.
 """
 
 from __future__ import annotations
@@ -31,12 +33,14 @@ SAMPLE_ROWS, ROWS_PER_CENTROID, ROWS_PER_CELL = 20_000, 20, 64
 BOOK_ROWS = 8_000
 STEPS = 8
 SUBSPACE, CODES = 2, 256
-#: Share of the true neighbours that the cells looked into should hold, of the sample's rows within the sample; sampled
-#: rows that are asked for it; the least candidates in the cells for each neighbour.
-TARGET, ASKED, LEAST_CANDIDATES = 0.95, 400, 20
-#: Candidates, for each neighbour asked for, that are ranked exactly.
+#: Share of the true neighbours that the cells looked into should hold, within the sample; sampled queries that are
+#: asked for it; the least candidates in the cells for each neighbour.
+TARGET, ASKED, LEAST_CANDIDATES = 0.97, 400, 20
+#: How far a row may lie off its centroid in a query's direction: times its distance over the root of the components.
+LEAN = 2.0
+#: Candidates of a region, for each neighbour asked for, that are handed on.
 RERANK = 3
-REGION_ROWS, LOT_QUERIES = 4_096, 1_024
+REGION_ROWS, LOT_QUERIES = 4_096, 4_096
 #: Queries that are ranked at a time, to bound the memory of a task; candidate lists that are merged at a time.
 BLOCK, LISTS = 64, 8_192
 #: Cells that are sorted, at most, to find where the nearest ones end.
@@ -78,18 +82,22 @@ def k_means(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return centres
 
 
-def fit(sample: np.ndarray, total: int, seed: int = 7) -> dict:
-    """Both lists of centroids for ``total`` rows, codebooks, and the share of rows to look into, from sampled rows."""
+def fit(sample: np.ndarray, total: int, asked: np.ndarray | None = None, seed: int = 7) -> dict:
+    """Both lists of centroids for ``total`` rows, codebooks, and the share of rows to look into, from sampled rows and queries.
+
+    Without ``asked``, some of the sample's rows are the queries.
+    """
     rng = np.random.default_rng(seed)
     scale = float(np.abs(sample).max())
     sample = np.unique(sample / scale, axis=0)  # else many equal rows would decide what is measured
+    asked = sample if asked is None or not len(asked) else np.unique(asked / scale, axis=0)
     cells, most = max(1, total // ROWS_PER_CELL), max(1, len(sample) // ROWS_PER_CENTROID)
     first = k_means(sample, int(np.clip(np.ceil(np.sqrt(cells)), 1, most)), rng)
     rest = sample - first[nearest(sample, first)]
     second = k_means(rest, int(np.clip(-(-cells // len(first)), 1, most)), rng)
     model = {"size": sample.shape[1], "scale": scale, "first": first, "second": second}
     cell, rest = placed(sample, model)
-    model["share"] = looked_into(sample, cell, model, rng)
+    model["share"] = looked_into(sample, cell, rest, asked[rng.choice(len(asked), min(ASKED, len(asked)), replace=False)], model)
     rest = padded(rest[rng.permutation(len(rest))[:BOOK_ROWS]])
     books = []
     for at in range(0, rest.shape[1], SUBSPACE):
@@ -111,21 +119,28 @@ def cell_products(points: np.ndarray, model: dict) -> np.ndarray:
     return ((points @ model["first"].T)[:, :, None] + (points @ model["second"].T)[:, None, :]).reshape(len(points), -1)
 
 
-def looked_into(sample: np.ndarray, cell: np.ndarray, model: dict, rng: np.random.Generator) -> float:
+def raised(scores: np.ndarray, points: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """The cells' inner products with each point, raised by what their farthest rows, ``far`` off, may add to it."""
+    return scores + LEAN / np.sqrt(points.shape[1]) * np.linalg.norm(points, axis=1)[:, None] * far
+
+
+def looked_into(sample: np.ndarray, cell: np.ndarray, rest: np.ndarray, asked: np.ndarray, model: dict) -> float:
     """The share of rows that a query must look into for ``TARGET`` of its neighbours, measured within the sample.
 
     Neighbours in the whole table are nearer than those in a sample of it, so the number errs on the safe side.
     """
-    asked = rng.choice(len(sample), min(ASKED, len(sample)), replace=False)
     held = np.bincount(cell, minlength=len(model["first"]) * len(model["second"]))
-    shares = []
+    far = np.zeros(len(held))
+    np.maximum.at(far, cell, np.linalg.norm(rest, axis=1))
+    shares, place = [], {row.tobytes(): i for i, row in enumerate(sample)}
     block = max(1, min(BLOCK, 4_000_000 // len(held)))
     for at in range(0, len(asked), block):
-        q = asked[at : at + block]
-        score = sample[q] @ sample.T
-        score[np.arange(len(q)), q] = -np.inf
-        top = np.argsort(-score, axis=1, kind="stable")[:, : min(NEIGHBOURS, len(sample) - 1)]
-        order = np.argsort(-cell_products(sample[q], model), axis=1, kind="stable")
+        points = asked[at : at + block]
+        score = sample @ points.T
+        for i, point in enumerate(points):
+            score[place.get(point.tobytes(), []), i] = -np.inf  # its own row
+        top = np.argsort(-score.T, axis=1, kind="stable")[:, : min(NEIGHBOURS, len(sample) - 1)]
+        order = np.argsort(-raised(cell_products(points, model), points, far), axis=1, kind="stable")
         upto = np.empty(order.shape)
         np.put_along_axis(upto, order, np.cumsum(held[order], axis=1) / len(sample), axis=1)
         shares.append(np.take_along_axis(upto, cell[top], axis=1).ravel())
@@ -138,22 +153,28 @@ def padded(rows: np.ndarray) -> np.ndarray:
     return np.pad(rows, ((0, 0), (0, -rows.shape[1] % SUBSPACE)))
 
 
+def encoded(rest: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of what the centroids leave out of some rows, and the length of what the codes leave out of that."""
+    parts = padded(rest).reshape(len(rest), -1, SUBSPACE)
+    codes = np.array([nearest(parts[:, i], book) for i, book in enumerate(books)], np.uint8).T
+    return codes, np.linalg.norm(parts - books[np.arange(len(books)), codes], axis=(1, 2))
+
+
 def indexed(vectors: DataFrame, model) -> DataFrame:
-    """(vec_id, vector, cell, code) of each row."""
+    """(vec_id, vector, cell, far, code, off) of each row; ``far`` is its distance to the centroid, ``off`` that to centroid and code."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
             if batch.num_rows:
-                cell, rest = placed(matrix(batch.column("vector"), m["size"]) / m["scale"], m)
-                rest = padded(rest)
-                codes = np.array([nearest(rest[:, i * SUBSPACE : (i + 1) * SUBSPACE], book) for i, book in enumerate(m["books"])], np.uint8).T
-                yield pa.record_batch(
-                    [batch.column("vec_id"), batch.column("vector"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())],
-                    ["vec_id", "vector", "cell", "code"],
-                )
+                rows = matrix(batch.column("vector"), m["size"]) / m["scale"]
+                cell, rest = placed(rows, m)
+                codes, off = encoded(rest, m["books"])
+                off = off * (1 + 1e-9) + np.linalg.norm(rows, axis=1) * 1e-12  # what rounding may add
+                found = [pa.array(cell, pa.int32()), pa.array(np.linalg.norm(rest, axis=1)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off)]
+                yield pa.record_batch([batch.column("vec_id"), batch.column("vector"), *found], ["vec_id", "vector", "cell", "far", "code", "off"])
 
-    return vectors.mapInArrow(index, f"vec_id long, vector {vectors.schema['vector'].dataType.simpleString()}, cell int, code binary")
+    return vectors.mapInArrow(index, f"vec_id long, vector {vectors.schema['vector'].dataType.simpleString()}, cell int, far double, code binary, off double")
 
 
 def regions_of(held: np.ndarray, rows: int = REGION_ROWS) -> np.ndarray:
@@ -194,7 +215,7 @@ def probes(queries: DataFrame, model, plan, k: int) -> DataFrame:
     """(query_id, query, region, cells) for each region that a query looks into; ``cells`` is a packed list."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (held, region) = model.value, plan.value
+        m, (held, far, region) = model.value, plan.value
         least = max(m["share"] * held.sum(), k * LEAST_CANDIDATES + 1)
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
@@ -202,7 +223,8 @@ def probes(queries: DataFrame, model, plan, k: int) -> DataFrame:
                 points = matrix(part.column("vector"), m["size"])
                 row, where, cells = [], [], []
                 for i in range(len(points)):  # one query at a time: there may be a million cells
-                    scores = cell_products(points[i : i + 1] / np.abs(points[i]).max(), m)[0]
+                    point = points[i : i + 1] / np.abs(points[i]).max()
+                    scores = raised(cell_products(point, m), point, far)[0]
                     chosen = np.sort(nearest_cells(scores, held, least))
                     chosen = chosen[held[chosen] > 0]
                     turns = np.flatnonzero(np.diff(region[chosen], prepend=-1))
@@ -222,55 +244,66 @@ def probes(queries: DataFrame, model, plan, k: int) -> DataFrame:
 LISTED = "query_id long, ids binary, scores binary"
 
 
-def searcher(model, keep: int):
-    """A function from some queries and the rows of a region to each query's best rows there, by distance tables."""
+def searcher(model, k: int):
+    """A function from some queries and the rows of a region to each query's best rows there, by distance tables and exact ranks."""
 
     def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
         m, found = model.value, []
         if queries.num_rows and rows.num_rows:
-            ids, cell = rows.column("vec_id").to_numpy(), rows.column("cell").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, cell = ids[order], cell[order]
-            codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+            rows = rows.take(pa.array(np.argsort(rows.column("vec_id").to_numpy(), kind="stable")))
+            ids, cell, off = (rows.column(c).to_numpy() for c in ("vec_id", "cell", "off"))
+            codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            vectors = matrix(rows.column("vector"), m["size"])
             cells, cell = np.unique(cell, return_inverse=True)
             asked, points = queries.column("query_id").to_numpy(), matrix(queries.column("query"), m["size"])
             looked = np.zeros((len(asked), len(cells)), bool)
             for i, x in enumerate(queries.column("cells").to_pylist()):
                 looked[i, np.flatnonzero(np.isin(cells, np.frombuffer(x, "<i4")))] = True
-            points = points / np.abs(points).max(1, keepdims=True)
             near = np.lexsort((asked, looked.argmax(1)))  # queries that look into the same cells stand together
             for at in range(0, len(near), BLOCK):
                 part = near[at : at + BLOCK]
                 some = np.flatnonzero(looked[part].any(0)[cell])
-                found += best(asked[part], points[part], looked[part], ids[some], cells, cell[some], codes[some], m, keep)
+                found += best(asked[part], points[part], looked[part], ids[some], vectors[some], cells, cell[some], codes[some], off[some], m, k)
         kinds = (pa.int64(), pa.binary(), pa.binary())
         return pa.table([pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], names=["query_id", "ids", "scores"])
 
     return search
 
 
-def best(asked, points, looked, ids, cells, cell, codes, model, keep) -> list[tuple[int, bytes, bytes]]:
-    """The ``keep`` best rows for each query of a block; ``ids`` rise, ties go to the first.
+def greatest(scores: np.ndarray, n: int) -> np.ndarray:
+    """The n-th greatest score of each line; the least number there is, if a line has fewer."""
+    return np.full(len(scores), -np.inf) if scores.shape[1] < n else np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+
+
+def best(asked, points, looked, ids, vectors, cells, cell, codes, off, model, k) -> list[tuple[int, bytes, bytes]]:
+    """The ``RERANK`` x ``k`` best rows for each query of a block; ``ids`` rise, ties go to the first.
 
     A table holds, for one subspace, the inner products of every code with the queries' parts; a row's score is that of
-    its cell plus one entry of each table.
+    its cell plus one entry of each table. By the length of what its code leaves out, the exact score is that, more or
+    less; rows that can't reach the k-th surest one are out, the others are ranked by their vectors.
     """
-    tables = np.einsum("mcs,qms->mcq", model["books"], padded(points).reshape(len(points), -1, SUBSPACE)).astype(np.float32)
-    scores = (cell_products(points, model)[:, cells].T.astype(np.float32))[cell]
+    own = np.zeros((len(asked), len(ids)), bool)
+    for i, (a, b) in enumerate(zip(np.searchsorted(ids, asked), np.searchsorted(ids, asked, "right"))):
+        own[i, a:b] = True
+    scaled = points / np.abs(points).max(1, keepdims=True)
+    tables = np.einsum("mcs,qms->mcq", model["books"], padded(scaled).reshape(len(points), -1, SUBSPACE))
+    scores = cell_products(scaled, model)[:, cells].T[cell]
     for table, code in zip(tables, codes.T):
         scores += table.take(code, axis=0)
-    scores[~looked.T[cell]] = -np.inf
+    scores[~looked.T[cell] | own.T] = -np.inf
     scores = np.ascontiguousarray(scores.T)
-    for i, (a, b) in enumerate(zip(np.searchsorted(ids, asked), np.searchsorted(ids, asked, "right"))):
-        scores[i, a:b] = -np.inf
-    least = np.full(len(asked), -np.inf) if len(ids) <= keep else np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep]
-    out = []
-    for name, line, bound in zip(asked.tolist(), scores, least):
+    doubt = np.linalg.norm(scaled, axis=1)[:, None] * off
+    may_be = (scores + doubt >= greatest(scores - doubt, k)[:, None]) & (scores > -np.inf)
+    some = np.flatnonzero(may_be.any(0))
+    ids, may_be = ids[some], may_be[:, some]
+    exact = np.where(may_be, points @ vectors[some].T, -np.inf)
+    keep, out = RERANK * k, []
+    for name, line, bound in zip(asked.tolist(), exact, greatest(exact, keep)):
         over = np.flatnonzero(line > bound)
         if len(over) < keep and bound > -np.inf:
             over = np.concatenate((over, np.flatnonzero(line == bound)[: keep - len(over)]))
         if len(over):
-            out.append((name, ids[over].astype("<i8").tobytes(), line[over].astype("<f4").tobytes()))
+            out.append((name, ids[over].astype("<i8").tobytes(), line[over].astype("<f8").tobytes()))
     return out
 
 
@@ -281,7 +314,7 @@ def merger(keep: int):
         lists = [np.frombuffer(x, "<i8") for x in table.column("ids").to_pylist()]
         asked = np.repeat(table.column("query_id").to_numpy(), [len(x) for x in lists])
         ids = np.concatenate(lists)
-        scores = np.frombuffer(b"".join(table.column("scores").to_pylist()), "<f4")
+        scores = np.frombuffer(b"".join(table.column("scores").to_pylist()), "<f8")
         order = np.lexsort((ids, -scores, asked))
         asked, ids = asked[order], ids[order]
         starts = np.flatnonzero(np.diff(asked, prepend=asked[0] - 1))
@@ -326,25 +359,27 @@ def search(
     if not sample.num_rows:
         sample = rows.select("vec_id", "vector").limit(sample_rows).toArrow()
     order = np.argsort(sample.column("vec_id").to_numpy(), kind="stable")
-    model = spark.sparkContext.broadcast(fit(matrix(sample.column("vector"), lengths["size"])[order], lengths["n"]))
+    some = rows.where("asked").select("vec_id", "vector").orderBy(F.xxhash64("vec_id", F.lit("ann")), "vec_id").limit(ASKED).toArrow()
+    model = spark.sparkContext.broadcast(fit(matrix(sample.column("vector"), lengths["size"])[order], lengths["n"], matrix(some.column("vector"), lengths["size"])))
     equal = rows.select("vec_id", "vector", F.xxhash64("vector").alias("__h"))
     by_id = Window.partitionBy("__h", "vector").orderBy("vec_id")
     folded = equal.withColumn("__n", F.dense_rank().over(by_id)).where(F.col("__n") <= k + 1).dropDuplicates(["__h", "vector", "vec_id"])
     index = cut(indexed(folded.select("vec_id", "vector"), model))
-    cells = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # as many as the sample's bound allows
+    cells = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()  # as many as the sample's bound allows
     held = np.zeros(len(model.value["first"]) * len(model.value["second"]), np.int64)
+    far = np.zeros(len(held))
     for cell in cells:
-        held[cell["cell"]] = cell["n"]
+        held[cell["cell"]], far[cell["cell"]] = cell["n"], cell["far"]
     region = regions_of(held)
-    looked = cut(probes(rows.where("asked").select("vec_id", "vector"), model, spark.sparkContext.broadcast((held, region)), k))
+    looked = cut(probes(rows.where("asked").select("vec_id", "vector"), model, spark.sparkContext.broadcast((held, far, region)), k))
     chunks = spark.createDataFrame(
         [(c["cell"], int(region[c["cell"]]), int(-(-c["n"] // REGION_ROWS))) for c in cells], "cell int, region int, chunks int"
     )
     lots = looked.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / LOT_QUERIES).cast("int").alias("lots"))
     plan = chunks.join(lots, "region")
-    dealt_rows = index.select("vec_id", "cell", "code").join(plan, "cell").select(
+    dealt_rows = index.select("vec_id", "vector", "cell", "code", "off").join(plan, "cell").select(
         "region", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "vec_id", "cell", "code",
+        F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "vec_id", "vector", "cell", "code", "off",
     )
     by_region = plan.groupBy("region").agg(F.max("chunks").alias("chunks"), F.max("lots").alias("lots"))
     dealt_queries = looked.join(by_region, "region").select(
@@ -352,7 +387,7 @@ def search(
         F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int").alias("lot"), "query_id", "query", "cells",
     )
     place, keep = ["region", "chunk", "lot"], RERANK * k
-    found = cut(dealt_queries.groupBy(*place).cogroup(dealt_rows.groupBy(*place)).applyInArrow(searcher(model, keep), LISTED))
+    found = cut(dealt_queries.groupBy(*place).cogroup(dealt_rows.groupBy(*place)).applyInArrow(searcher(model, k), LISTED))
     turns = max(1, -(-found.count() // LISTS))
     merged = found.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(turns))).applyInArrow(merger(keep), "query_id long, vec_id long")
     asked = rows.where("asked").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))

@@ -229,6 +229,32 @@ def test_recall_on_vectors_of_mixed_lengths(spark):
     assert hits / (200 * 20) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["crowds", "heavy tails", "few giants", "other queries"])
+def test_recall_on_crowded_and_uneven_vectors(spark, kind):
+    """Codes tell rows of a crowd hardly apart, and a giant lies far off its cell; whatever the queries, recall holds."""
+    rng = np.random.default_rng(2)
+    n, d = 6_000, 24
+    v = rng.normal(size=(n, d))
+    if kind in ("crowds", "other queries"):
+        v = (v[: n // 500].repeat(500, axis=0) + 0.05 * v)[rng.permutation(n)]
+    if kind == "heavy tails":
+        v *= np.exp(2 * rng.normal(size=(n, 1)))
+    if kind == "few giants":
+        v[rng.permutation(n)[:60]] *= 1_000
+    if kind == "other queries":
+        v[::20] = rng.normal(size=(n // 20, d))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, n, 20):
+        exact = v @ v[q]
+        exact[q] = -np.inf
+        hits += len(set(np.argsort(-exact)[:20].tolist()) & found[q])
+    assert hits / n >= 0.9  # of 20 for each twentieth row
+
+
 def test_crc_is_of_the_id_as_text(spark):
     rows = spark.createDataFrame([(1,), (-20,), (None,)], "doc_id long").select("doc_id", language_id.crc_remainder("doc_id", 5).alias("r")).collect()
     assert [r["r"] for r in rows] == [zlib.crc32(str(x).encode() if x is not None else b"") % 5 for x in (1, -20, None)]
