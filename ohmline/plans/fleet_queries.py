@@ -26,7 +26,7 @@ def apps_text(df):
 
 
 def p1_registration_history(spark, sf_dir):
-    return rounded(R.registration_history(I.registrations(spark, sf_dir)), "time", decimals=3)
+    return rounded(R.registration_history(I.all_registrations(spark, sf_dir)), "time", decimals=3)
 
 
 def p2_asof(spark, sf_dir):

@@ -130,7 +130,7 @@ FROM p WHERE state1 <> 'charging' AND state2 <> 'charging' AND level1 - level2 >
 SLICES = I.POINTS + """, rg AS (SELECT uuid, min(time1) AS t0, min(time1) + 1200000 AS t1 FROM pt WHERE uuid IN ('3', '7', '11') GROUP BY uuid), rest AS (SELECT * FROM pt WHERE uuid NOT IN ('3', '7', '11'))"""
 
 SQL = {
-    "p1_registration_history": f"WITH {I.REGS} SELECT uuid, os, model, round(time, 3) AS time FROM (SELECT *, lag(os) OVER w AS b, row_number() OVER w AS k FROM g WINDOW w AS (PARTITION BY uuid ORDER BY time)) WHERE k = 1 OR os IS DISTINCT FROM b",
+    "p1_registration_history": f"WITH {I.ALL_REGS} SELECT uuid, os, model, round(time, 3) AS time FROM (SELECT *, lag(os) OVER w AS b, row_number() OVER w AS k FROM g WINDOW w AS (PARTITION BY uuid ORDER BY time)) WHERE k = 1 OR os IS DISTINCT FROM b",
     "p2_asof": f"WITH {I.ASOF} SELECT uuid, round(time, 3) AS time, os, model FROM a",
     "p3_rates": f"WITH {I.PAIRS} SELECT {RATES_OUT}, array_to_string(apps, ',') AS apps FROM r",
     "p4_unabridged_rates": f"WITH {I.PAIRS} SELECT uuid, count(*) AS n, sum((event2 = 'batterylevelchanged')::BIGINT)::BIGINT AS points, round(sum(CASE WHEN event2 = 'batterylevelchanged' THEN drain ELSE (lo + hi) / 2 END), 6) AS rate FROM p WHERE model IS DISTINCT FROM 'Simulator' AND state1 <> 'charging' AND state2 <> 'charging' AND level1 - level2 >= 0 AND NOT (level1 = 0 AND level2 = 0) GROUP BY uuid",

@@ -66,17 +66,23 @@ LOGS = """l AS (
          strftime(ts, '%b') AS month, day(ts)::INT AS day, hour(ts)::INT AS hour, props AS rest, event_id AS pos FROM events)"""
 
 
-def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One registration of each user and week of the events; one user in thirteen has none."""
-    events = read_table(spark, sf_dir, "events").withColumn("t", F.expr(MICROS) / 1e6).where("user_id % 13 <> 4")
+def all_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One registration of each user and week of the events."""
+    events = read_table(spark, sf_dir, "events").withColumn("t", F.expr(MICROS) / 1e6)
     week = F.floor(F.col("t") / 604800)
     weeks = events.groupBy("user_id", week.alias("week")).agg(F.min("t").alias("time"))
     return weeks.select(F.col("user_id").cast("string").alias("uuid"), F.concat(F.lit("v"), (F.col("week") % 4).cast("string")).alias("os"), F.concat(F.lit("m"), (F.col("user_id") % 7).cast("string")).alias("model"), "time")
 
 
+def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registrations that samples meet: one user in thirteen has none."""
+    return all_registrations(spark, sf_dir).where("cast(uuid as long) % 13 <> 4")
+
+
 REGS = """g AS (
   SELECT user_id::VARCHAR AS uuid, 'v' || (week % 4)::VARCHAR AS os, 'm' || (user_id % 7)::VARCHAR AS model, time
   FROM (SELECT user_id, floor(epoch_us(ts) / 1e6 / 604800)::BIGINT AS week, min(epoch_us(ts) / 1e6) AS time FROM events WHERE user_id % 13 <> 4 GROUP BY ALL))"""
+ALL_REGS = REGS.replace(" WHERE user_id % 13 <> 4", "")
 
 
 def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
