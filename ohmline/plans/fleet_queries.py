@@ -111,7 +111,7 @@ def p17_samples_text(spark, sf_dir):
 
 
 def p17_registrations_text(spark, sf_dir):
-    return R.registrations_text(I.registrations(spark, sf_dir).withColumn("time", F.floor("time")))
+    return R.registrations_text(I.all_registrations(spark, sf_dir).withColumn("time", F.floor("time")))
 
 
 def p18_rates_text(spark, sf_dir):

@@ -147,7 +147,7 @@ SQL = {
     "p15_current_os_rates": f"WITH {I.PAIRS}, cu AS (SELECT uuid, max_by(os, time2) AS os FROM r GROUP BY uuid) SELECT r.uuid, r.os, count(*) AS n FROM r JOIN cu ON r.uuid = cu.uuid AND r.os IS NOT DISTINCT FROM cu.os GROUP BY ALL",
     "p16_exclude_daemons": f"WITH {I.PAIRS} SELECT app, count(*) AS n FROM (SELECT unnest(apps) AS app FROM r) WHERE {NO_DAEMONS} GROUP BY app",
     "p17_samples_text": f"WITH {I.SAMPLES} SELECT concat_ws(', ', uuid, floor(time)::BIGINT::VARCHAR, level::VARCHAR, event, state, array_to_string(apps, ' '), 'kind=' || kind[1], CASE WHEN wifi IS NOT NULL THEN 'wifi=[' || array_to_string(wifi, ' ') || ']' END) AS line, count(*) AS n FROM s GROUP BY 1",
-    "p17_registrations_text": f"WITH {I.REGS} SELECT concat_ws(', ', uuid, model, os, floor(time)::BIGINT::VARCHAR) AS line FROM g",
+    "p17_registrations_text": f"WITH {I.ALL_REGS} SELECT concat_ws(', ', uuid, model, os, floor(time)::BIGINT::VARCHAR) AS line FROM g",
     "p18_rates_text": f"WITH {I.PAIRS} SELECT uuid, floor(time2)::BIGINT AS time2, concat_ws(' ', uuid, os, model, CASE WHEN rate_lo IS NULL THEN printf('%.6f', rate) ELSE printf('%.6f', rate_lo) || '..' || printf('%.6f', rate_hi) END, array_to_string(apps, ',')) AS line FROM r",
     "p19_point_rates": f"WITH {I.PAIRS} SELECT uuid, round(time1, 3) AS time1, round(rate, 9) AS rate FROM r WHERE rate_lo IS NULL",
     "p20_by_rate": f"WITH {I.PAIRS} SELECT uuid, round(time2, 3) AS time2, round(rate, 9) AS rate FROM r",
