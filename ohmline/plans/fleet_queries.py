@@ -418,7 +418,9 @@ def k12_larger_first(spark, sf_dir):
 
 
 def s8_latest_registrations(spark, sf_dir):
-    return readers.latest_registrations(readers.load_registrations(I.registrations(spark, sf_dir)))
+    """The latest registration of every user; events without a user are those of one, which stays null."""
+    found = readers.latest_registrations(readers.load_registrations(I.all_registrations(spark, sf_dir)))
+    return found.select("uuid", "model", "os").replace("", None)
 
 
 def s10_scan(spark, sf_dir):

@@ -241,7 +241,7 @@ SELECT nature, key1, key2, round(xmax, 8) AS xmax, {CMP_OUT}, users_with, users_
     "k12_larger_first": f"WITH {I.PAIRS} SELECT uuid, round(time2, 3) AS time2, count(*) OVER (PARTITION BY uuid) AS group_size FROM r",
     "s1_measurements": f"WITH {I.MEASUREMENTS} SELECT series_id, event_type = 'error' AS bad, count(*) AS n, round(sum(CASE WHEN event_type <> 'error' THEN cents / 100 END), 2) AS ma FROM m GROUP BY ALL",
     "s6_fleet_text": "SELECT user_id::VARCHAR AS uuid, epoch_us(ts) // 1000000 AS time, round((event_id % 101) / 100, 2) AS level, 'changed' AS event, CASE WHEN event_type = 'error' THEN 'charging' ELSE 'unplugged' END AS state, 'Mail,Maps' AS apps FROM events",
-    "s8_latest_registrations": f"WITH {I.REGS} SELECT uuid, max_by(model, time) AS model, max_by(os, time) AS os FROM g GROUP BY uuid",
+    "s8_latest_registrations": f"WITH {I.ALL_REGS} SELECT uuid, max_by(model, time) AS model, max_by(os, time) AS os FROM g GROUP BY uuid",
     "s10_scan": "SELECT event_id, value FROM events WHERE event_type = 'click' AND user_id IN (3, 7, 11) AND value > 20",
     "s12_incremental": f"WITH {I.SAMPLES} SELECT uuid, count(*) AS n, round((SELECT max(time) FROM s), 3) AS watermark FROM s GROUP BY uuid",
     "s16_replicate": f"WITH {I.SAMPLES}, z AS (SELECT CASE WHEN k = 0 THEN uuid ELSE uuid || '-' || k::VARCHAR END AS uuid, time + k * 2678400 AS time FROM s, range(3) t(k)) SELECT uuid, count(*) AS n, round(max(time), 3) AS last FROM z GROUP BY uuid",

@@ -10,7 +10,7 @@ from ohmline.plans import fleet_queries, fleet_sql
 USERS = (3, 4, 17, 30, None)
 
 
-@pytest.mark.parametrize("name, users", [("p1_registration_history", 10), ("p17_registrations_text", 10)])
+@pytest.mark.parametrize("name, users", [("p1_registration_history", 10), ("p17_registrations_text", 10), ("s8_latest_registrations", 5)])
 def test_no_user_is_left_out(spark, tmp_path, name, users):
     day = datetime.datetime(2024, 1, 3)
     rows = [(i, u, day + datetime.timedelta(days=9 * w, hours=i)) for w in (0, 1) for i, u in enumerate(USERS)]
