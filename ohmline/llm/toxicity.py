@@ -7,7 +7,8 @@ lattice of one path and are taken as they are. The restored text is then scored
 beginnings and whole words, so inflected forms of a stem count alike. White space between single letters is part
 of the lattice: it means nothing or the border of two words.
 
-Both models are fitted on the driver from a bounded sample of labelled documents and broadcast.
+Both models are fitted by Spark from all labelled documents, near copies but for one left out, and broadcast: the trigrams of all
+their words, and the weights of the marks of toxicity. The logistic model is fitted on rows of equal marks, with their number.
 """
 
 from __future__ import annotations
@@ -16,27 +17,29 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ohmline.llm.workers import once, share
-from ohmline.shared import ship, without
+from ohmline.shared import cut, drop_table, ship, without
 
 ship(__name__)
 
-#: Bounds of the training sample: documents of each label, and characters of all of them together; texts are taken whole.
-SAMPLE_DOCS = 1_200
-SAMPLE_CHARS = 20_000_000
 #: Features kept at most, the least share of toxic documents that a feature is in, its least log odds, and these times
 #: the root of the number of its documents: only marks of toxicity are kept, so long clean texts don't add up weak ones.
 FEATURES = 2_000
 LEAST = 0.02
 LEAST_ODDS, LEAST_EVIDENCE = 3.0, 10.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Entries that a task counts before it hands them on; the ridge and the most steps of the logistic model.
+COUNTED = 500_000
+RIDGE, STEPS = 1e-5, 100
 #: Letters that a character may stand for in leetspeak.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -59,15 +62,21 @@ MARK = "\x02"
 
 def log_model(words: Iterable[str]) -> dict[str, float]:
     """Character trigram log probabilities (add-a-tenth), of words between marks; other trigrams share one floor."""
-    three, two, letters = Counter(), Counter(), set()
+    three = Counter()
     for word, n in Counter(words).items():
-        weight = n**0.75
         line = f"{MARK}{MARK}{word}{MARK}"
-        letters.update(word)
         for i in range(len(line) - 2):
-            three[line[i : i + 3]] += weight
-            two[line[i : i + 2]] += weight
-    room = 0.1 * (len(letters) + 1)
+            three[line[i : i + 3]] += n**0.75
+    return trigram_model(three)
+
+
+def trigram_model(three: dict[str, float]) -> dict[str, float]:
+    """The log probabilities of weighed trigrams."""
+    two, letters = Counter(), set()
+    for t, n in three.items():
+        two[t[:2]] += n
+        letters.update(t)
+    room = 0.1 * (len(letters - {MARK}) + 1)
     model = {t: math.log((n + 0.1) / (two[t[:2]] + room)) for t, n in three.items()}
     model[""] = math.log(0.1 / room) - 2.0
     return model
@@ -223,17 +232,11 @@ class Reader:
         return found
 
 
-def distinct(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """The sample without near copies, which share the least or the greatest hash of their five-word shingles."""
-    seen, kept = set(), []
-    for text, label in sample:
-        words = text.lower().split()
-        hashes = [zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))]
-        marks = {("least", min(hashes)), ("greatest", max(hashes))}
-        if not marks & seen:
-            kept.append((text, label))
-        seen |= marks
-    return kept
+def shingle_marks(text: str) -> tuple[int, int]:
+    """The least and the greatest hash of the five-word shingles, of which near copies share one."""
+    words = text.lower().split()
+    hashes = [zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))]
+    return min(hashes), max(hashes)
 
 
 def lone(tokens: list[str]) -> list[str]:
@@ -241,76 +244,101 @@ def lone(tokens: list[str]) -> list[str]:
     return [b for a, b, c in zip(["  ", *tokens], tokens, [*tokens[1:], "  "]) if len(b) == 1 and b.isalpha() and len(a) > 1 and len(c) > 1]
 
 
-def fit(sample: list[tuple[str, int]]) -> dict:
-    """Character model and logistic weights from (text, label) pairs."""
-    sample = distinct(sample)
-    words = [w for text, _ in sample for w in re.findall(r"[^\W\d_]{2,}", text.lower())]
-    words += [w for text, _ in sample for w in lone(text.lower().split())]
-    model = log_model(words)
-    reader = Reader(model, learned=Learned(words))
-    rows = [reader.features(text) for text, _ in sample]
-    y = np.array([label for _, label in sample], float)
-    seen, toxic = Counter(), Counter()
-    for row, label in zip(rows, y):
-        seen.update(row)
-        if label:
-            toxic.update(row)
-    n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-    odds = {f: math.log((toxic[f] + 0.5) / (n1 + 1)) - math.log((n - toxic[f] + 0.5) / (n0 + 1)) for f, n in seen.items() if toxic[f] >= max(2, LEAST * n1)}
-    gain = {f: z for f, x in odds.items() if x >= LEAST_ODDS and (z := x * math.sqrt(seen[f])) >= LEAST_EVIDENCE}
-    gain = sorted(gain, key=lambda f: (-gain[f], f))[:FEATURES]
-    place = {f: i for i, f in enumerate(gain)}
-    x = np.zeros((len(rows), len(gain)), np.float32)
-    for i, row in enumerate(rows):
-        x[i, [place[f] for f in row if f in place]] = 1
-    weights, bias = logistic(x, y)
-    return {"model": model, "bias": bias, "weights": {f: float(w) for f, w in zip(gain, weights) if abs(w) > 1e-3}}
+def counted(rows: DataFrame, entries: Callable[[str], Iterable[str]]) -> DataFrame:
+    """(key, n): how often ``entries`` gives a key over the texts; each task adds up its own first."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for text in batch.column("text"):
+                found.update(entries(text.as_py()))
+                if len(found) > COUNTED:
+                    yield pa.record_batch([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["key", "n"])
+                    found.clear()
+        yield pa.record_batch([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["key", "n"])
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 200, ridge: float = 0.03) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by gradient steps with momentum, classes weighed alike."""
-    if not len(y) or y.min() == y.max():
-        return np.zeros(x.shape[1]), -4.0 if not len(y) or not y.max() else 4.0
-    each = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    w, bias = np.zeros(x.shape[1], np.float32), -2.0
-    v, vb, rate = np.zeros_like(w), 0.0, 3.0
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30)))
-        g = (each * (p - y)).astype(np.float32)
-        v = 0.9 * v - rate * (x.T @ g + ridge * w / len(y))
-        vb = 0.9 * vb - rate * float(g.sum())
-        w, bias = w + v, bias + vb
-    return w, bias
+    return rows.select("text").mapInArrow(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
-    """Fit on at most about ``SAMPLE_DOCS`` labelled documents of each class, picked by a hash of their id.
+def words_of(text: str) -> list[str]:
+    return re.findall(r"[^\W\d_]{2,}", text.lower()) + lone(text.lower().split())
 
-    Their texts are taken whole, in the order of the hash, as long as all of them have ``SAMPLE_CHARS`` characters at most. An id with several labels counts as toxic if one of them says so. The sampled ids are a small table, so
-    the documents are scanned once and not shuffled.
-    """
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(id, text, label) of all labelled documents, but of near copies only that of the least id, written once."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         F.max(F.col(label_col).cast("int")).alias("label")
     )
-    counts = {r["label"]: r["n"] for r in marked.where("label in (0, 1)").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    below = {k: min(1 << 40, (SAMPLE_DOCS << 40) // n) for k, n in counts.items()}
-    picked = marked.where(
-        F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 40))
-        < F.when(F.col("label") == 1, F.lit(below.get(1, 0))).otherwise(F.when(F.col("label") == 0, F.lit(below.get(0, 0))).otherwise(F.lit(0)))
-    ).limit(4 * SAMPLE_DOCS)
-    chosen = {r["id"]: r["label"] for r in picked.collect()}
-    ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], f"id {docs.schema[id_col].dataType.simpleString()}")
-    upto = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("id", F.lit("toxicity")), "id").rowsBetween(Window.unboundedPreceding, 0))
-    texts = (
-        docs.where(F.col(text_col).isNotNull())
-        .join(F.broadcast(ids), F.col(id_col) == F.col("id"))
-        .groupBy("id")
-        .agg(F.min(text_col).alias("text"))
-        .withColumn("__upto", upto)  # over the few picked documents
-        .where(F.col("__upto") <= SAMPLE_CHARS)
-        .collect()
-    )
-    return fit([(r["text"], chosen[r["id"]]) for r in sorted(texts, key=lambda r: r["id"])])
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = texts.join(marked.where("label in (0, 1)"), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    marks = F.arrow_udf(lambda column: pa.StructArray.from_arrays(list(map(pa.array, zip(*map(shingle_marks, column.to_pylist())))) if len(column) else [pa.array([], pa.int64())] * 2, ["least", "greatest"]), "struct<least:long,greatest:long>")
+    every = cut(found.withColumn("m", marks("text")).select("id", "label", "text", "m.least", "m.greatest"))
+    ids = every.select("id", "least", "greatest")
+    for name in ("least", "greatest"):
+        ids = ids.join(every.groupBy(name).agg(F.min("id").alias(f"first_{name}")), name)
+    firsts = ids.where("id = first_least and id = first_greatest").select("id")
+    kept = cut(every.join(firsts, "id", "left_semi").select("id", "text", "label"))
+    drop_table(every)
+    return kept
+
+
+def trigrams(words: DataFrame) -> dict[str, float]:
+    """The trigram model of counted words (key, n). What comes to the driver is the model: the trigrams that there are."""
+    line = F.concat(F.lit(MARK * 2), "key", F.lit(MARK))
+    weight = F.round(F.pow(F.col("n"), F.lit(0.75)) * 65536).cast("long")  # whole numbers, so sums don't depend on their order
+    each = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key") + 1), lambda i: F.substring(line, i, F.lit(3)))).alias("t"), weight.alias("w"))
+    return trigram_model({r["t"]: r["w"] / 65536 for r in each.groupBy("t").agg(F.sum("w").alias("w")).collect()})
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
+    """Character model and logistic weights from all labelled documents. An id with several labels counts as toxic if one of them says so.
+
+    A feature counts if it is in ``LEAST`` of the toxic documents, so few do, however many documents there are. Words with
+    doubled letters are read as the words that are in a quarter of that.
+    """
+    context = docs.sparkSession.sparkContext
+    kept = labelled(docs, labels, id_col, text_col, label_col)
+    n = {r["label"]: r["n"] for r in kept.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = n.get(1, 0), n.get(0, 0)
+    toxic, clean = kept.where("label = 1"), kept.where("label = 0")
+    often = counted(toxic, words_of).withColumn("n", F.col("n") * (n0 / n1 if n0 and n1 else 1.0))  # so both labels weigh alike
+    model = trigrams(often.unionByName(counted(clean, words_of)).groupBy("key").agg(F.sum("n").alias("n")))
+    if not n1 or not n0:
+        return {"model": model, "bias": 4.0 if n1 else -4.0, "weights": {}}
+
+    def reader(wanted=None, learned=()) -> Callable[[str], set[str]]:
+        known = share(context, (model, wanted, learned))
+        return lambda text: once(known, lambda x: Reader(x[0], x[1], Learned(x[2]))).features(text)
+
+    common = counted(toxic, reader()).where(F.col("n") >= LEAST * n1 / 4).where("key like '=%'").collect()
+    learned = sorted(r["key"][1:] for r in common)
+    wanted = sorted(r["key"] for r in counted(toxic, reader(None, learned)).where(F.col("n") >= max(2, LEAST * n1)).select("key").collect())
+    found = reader(frozenset(wanted), learned)
+    listed = F.arrow_udf(lambda column: pa.array([sorted(found(x)) for x in column.to_pylist()], pa.list_(pa.string())), "array<string>")
+    marks = cut(kept.withColumn("f", listed("text")).groupBy("label", "f").agg(F.count(F.lit(1)).alias("n")))
+    drop_table(kept)
+    counts = marks.select("label", "n", F.explode("f").alias("key")).groupBy("key").agg(F.sum("n").alias("seen"), F.sum(F.col("n") * F.col("label")).alias("toxic"))
+    gain = {}
+    for r in counts.collect():
+        odds = math.log((r["toxic"] + 0.5) / (n1 + 1)) - math.log((r["seen"] - r["toxic"] + 0.5) / (n0 + 1))
+        if odds >= LEAST_ODDS and odds * math.sqrt(r["seen"]) >= LEAST_EVIDENCE:
+            gain[r["key"]] = odds * math.sqrt(r["seen"])
+    gain = sorted(gain, key=lambda f: (-gain[f], f))[:FEATURES]
+    weights, bias = logistic(marks, gain, n1, n0)
+    return {"model": model, "bias": bias, "weights": {f: float(w) for f, w in zip(gain, weights) if abs(w) > 1e-3}}
+
+
+def logistic(marks: DataFrame, gain: list[str], n1: int, n0: int) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on the features ``gain`` of rows (label, f, n), classes weighed alike."""
+    if not gain:
+        return np.zeros(0), -4.0
+    place = {f: i for i, f in enumerate(gain)}
+    vector = F.udf(lambda f: Vectors.sparse(len(place), sorted((place[x], 1.0) for x in f if x in place)), VectorUDT())
+    each = F.col("n") * F.when(F.col("label") == 1, 0.5 / n1).otherwise(0.5 / n0)
+    rows = cut(marks.select(F.col("label").cast("double").alias("label"), vector("f").alias("features"), each.alias("weight")))
+    regression = LogisticRegression(weightCol="weight", regParam=RIDGE, maxIter=STEPS, standardization=False)
+    fitted = regression.fit(rows)
+    return fitted.coefficients.toArray(), float(fitted.intercept)
 
 
 def scorer(fitted):

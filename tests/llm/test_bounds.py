@@ -207,6 +207,19 @@ def test_disguised_tokens_of_any_length_are_read(n):
     assert "=idiot" in toxicity.Reader(model).features(f"a {'th3-' * n}1d10t b")
 
 
+def test_all_labelled_documents_are_learned_from(spark):
+    """Trigrams that only one document has are those of the model, though there are more documents than a sample had."""
+    rng = np.random.default_rng(5)
+    filler = lambda: " ".join("".join(rng.choice(list("bdfgklmnprst"), 4)) for _ in range(8))
+    rows = [(i, f"{filler()} {'vermin' if i % 10 == 0 else f'clean{i % 7}'} {filler()}", int(i % 10 == 0)) for i in range(3_300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    n = toxicity.labelled(docs, docs, "doc_id", "text", "toxic").groupBy("label").count()
+    assert {r["label"]: r["count"] for r in n.collect()} == {0: 2_970, 1: 330}
+    fitted = toxicity.learn(docs, docs)
+    words = {w[:3] for _, text, _ in rows for w in text.split()}
+    assert "=vermin" in fitted["weights"] and {t for t in fitted["model"] if t and toxicity.MARK not in t} >= {w for w in words if w.isalpha()}
+
+
 # nearest neighbours
 
 
