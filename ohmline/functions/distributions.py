@@ -185,22 +185,24 @@ def tops(points: DataFrame, prior: DataFrame) -> DataFrame:
     return found.withColumn("top", F.when(F.col("rate_lo").isNull(), F.col("rate")).otherwise(F.col("__x"))).drop("__x", "upto")
 
 
-def bucket_masses(points: DataFrame, prior: DataFrame, buckets: int = 100, smallest: float = 0.0001) -> DataFrame:
+def bucket_masses(points: DataFrame, prior: DataFrame, buckets: int = 100, smallest: float = 0.0001, ends: DataFrame | None = None) -> DataFrame:
     """``points``, which have ``xmax``, once for each logarithmic bucket up to it that a rate has mass in, with ``bucket`` and ``mass``.
 
     A range's part of a bucket is told by counts of a-priori values: those below it, those in it, and those below the
-    bucket's edges, of which there are no more than buckets and values of ``xmax``.
+    bucket's edges, of which there are no more than buckets and values of ``xmax`` (``ends``, if they are known). The edges
+    are written first, so that Spark sees how few they are and the rates stay where they are.
     """
     place = lambda x: scalars.log_bucket(x, F.col("xmax"), smallest, buckets)
-    held = prior.join(points.select("xmax").distinct()).groupBy("xmax", place(F.col("x")).alias("bucket")).agg(F.sum("n").alias("n"))
+    some = (points if ends is None else ends).select("xmax").distinct()
+    held = prior.join(some).groupBy("xmax", place(F.col("x")).alias("bucket")).agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("xmax").orderBy("bucket"))
-    edges = held.select("xmax", "bucket", upto.alias("__to"), (upto - F.col("n")).alias("__from"))
-    single = points.where("rate_lo is null and rate is not null").withColumns({"bucket": place(F.col("rate")), "mass": F.lit(1.0)})
-    ranges = points.where("rate_lo is not null and slice > 0")
-    touched = ranges.withColumn("bucket", F.explode(F.sequence(place(F.col("rate_lo")), place(F.col("rate_hi")))))
+    edges = cut(held.select("xmax", "bucket", upto.alias("__to"), (upto - F.col("n")).alias("__from")))
+    point = F.col("rate_lo").isNull()
+    known = points.where((point & F.col("rate").isNotNull()) | (~point & (F.col("slice") > 0)))
+    touched = known.withColumn("bucket", F.explode(F.sequence(place(F.coalesce("rate_lo", "rate")), place(F.when(point, F.col("rate")).otherwise(F.col("rate_hi"))))))
     part = (F.least(F.col("below") + F.col("slice"), F.col("__to")) - F.greatest("below", "__from")) / F.col("slice")
-    spread = touched.join(edges, ["xmax", "bucket"]).withColumn("mass", part).where("mass > 0")
-    return single.unionByName(spread.select(*single.columns))
+    spread = touched.join(edges, ["xmax", "bucket"], "left").withColumn("mass", F.when(point, 1.0).when(F.col("__to").isNotNull(), part))
+    return spread.where("mass > 0").select(*points.columns, "bucket", "mass")
 
 
 def compare_distributions(with_: DataFrame, without: DataFrame, group: Sequence[str] = (), buckets: int | None = None, smallest: float = 0.0001) -> DataFrame:

@@ -195,12 +195,17 @@ def current_os_rates(rates: DataFrame) -> DataFrame:
     return joined_on(rates, current_os_model(rates).select("uuid", "os"), ["uuid", "os"], "left_semi")
 
 
-def exclude_daemons(apps: DataFrame, names: Sequence[str], *, app: str = "app") -> DataFrame:
-    """Rows whose app is on no name list; a name that ends in ``*`` is a prefix."""
-    keep = ~F.col(app).isin([n for n in names if not n.endswith("*")])
+def no_daemon(app: Column, names: Sequence[str]) -> Column:
+    """Whether an app is on no name list; a name that ends in ``*`` is a prefix. A null is on none."""
+    keep = ~app.isin([n for n in names if not n.endswith("*")])
     for prefix in (n[:-1] for n in names if n.endswith("*")):
-        keep = keep & ~F.col(app).startswith(prefix)
-    return apps.where(keep | F.col(app).isNull())
+        keep = keep & ~app.startswith(prefix)
+    return keep | app.isNull()
+
+
+def exclude_daemons(apps: DataFrame, names: Sequence[str], *, app: str = "app") -> DataFrame:
+    """Rows whose app is no daemon."""
+    return apps.where(no_daemon(F.col(app), names))
 
 
 def point_rates(rates: DataFrame) -> DataFrame:

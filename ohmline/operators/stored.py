@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ohmline.functions import distributions as D
 from ohmline.operators import fleet as C
-from ohmline.operators.rates import current_os_rates
+from ohmline.operators.rates import current_os_model
 from ohmline.shared import cut, joined_on
 
 BUCKETS, SMALLEST = 100, 0.0001
@@ -53,26 +53,41 @@ def against_all(found: DataFrame, keys: list[str], own: DataFrame, all_: DataFra
     return described(found.join(xmax), keys, own, less(total, own, keys))
 
 
-def pair_ends(own: DataFrame, every: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope..., uuid, xmax) of ``own`` (scope..., uuid, top) against the other users of ``every`` (the same)."""
-    best = every.groupBy(*scope).agg(F.max(F.struct("top", "uuid")).alias("__b")).select(*scope, F.col("__b.top").alias("__one"), F.col("__b.uuid").alias("__who"))
-    with_best = every.join(best, scope) if scope else every.join(best)
+def pair_ends(most: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope..., uuid, xmax) of each user's current rates against the other users' rates; ``most`` has (scope..., uuid, top, now_top)."""
+    best = most.groupBy(*scope).agg(F.max(F.struct("top", "uuid")).alias("__b")).select(*scope, F.col("__b.top").alias("__one"), F.col("__b.uuid").alias("__who"))
+    with_best = most.join(best, scope) if scope else most.join(best)
     second = with_best.where(F.col("uuid") != F.col("__who")).groupBy(*scope, "__one", "__who").agg(F.max("top").alias("__two"))
-    joined = own.join(second, scope) if scope else own.join(second)
-    return joined.select(*scope, "uuid", F.greatest("top", F.when(F.col("uuid") == F.col("__who"), F.col("__two")).otherwise(F.col("__one"))).alias("xmax"))
+    joined = most.join(second, scope) if scope else most.join(second)
+    return joined.select(*scope, "uuid", F.greatest("now_top", F.when(F.col("uuid") == F.col("__who"), F.col("__two")).otherwise(F.col("__one"))).alias("xmax"))
 
 
-def against_others(found: DataFrame, scope: list[str], now: DataFrame, every: DataFrame, prior: DataFrame) -> DataFrame:
-    """Comparisons of one user's current rates with other users' rates (of each scope, such as an app)."""
+def shares(hist: Column) -> Column:
+    """A histogram, an array of (bucket, mass) in bucket order, over its total and without empty buckets; null if it has none."""
+    kept = F.filter(hist, lambda e: e["mass"] > LEAST_MASS)
+    over = lambda total: F.transform(kept, lambda e: F.struct(e["bucket"].alias("bucket"), (e["mass"] / total).alias("mass")))
+    found = F.aggregate(kept, F.lit(0.0), lambda total, e: total + e["mass"], over)
+    return F.when(F.size(found) > 0, found)
+
+
+def against_others(found: DataFrame, scope: list[str], every: DataFrame, prior: DataFrame) -> DataFrame:
+    """Comparisons of one user's current rates (``now`` is true) with other users' rates (of each scope, such as an app).
+
+    The rates of a user stay together from the join with the user's end on, and only arrays of buckets meet the totals.
+    """
     keys = [*scope, "uuid"]
-    most = lambda rows: rows.groupBy(*keys).agg(F.max("top").alias("top"))
-    ends = cut(found.select(*keys).join(pair_ends(most(now), most(every), scope), keys))
-    own = by_bucket(D.bucket_masses(now.join(ends, keys), prior, BUCKETS, SMALLEST), keys)
-    mine = by_bucket(D.bucket_masses(every.join(ends, keys), prior, BUCKETS, SMALLEST), keys)
-    some = ends.select(*scope, "xmax").distinct()
-    totals = by_bucket(D.bucket_masses(every.join(some, scope) if scope else every.join(some), prior, BUCKETS, SMALLEST), [*scope, "xmax"])
-    rest = less(ends.join(totals, [*scope, "xmax"]).drop("xmax"), mine, keys)
-    return described(found.join(ends, keys), keys, own, rest)
+    most = cut(every.groupBy(*keys).agg(F.max("top").alias("top"), F.max(F.when(F.col("now"), F.col("top"))).alias("now_top")))
+    ends = cut(found.select(*keys).join(pair_ends(most, scope), keys))
+    some = cut(ends.select(*scope, "xmax").distinct())
+    entries = lambda mass: F.sort_array(F.collect_list(F.struct("bucket", F.col(mass).alias("mass"))))
+    rows = D.bucket_masses(every.join(ends, keys), prior, BUCKETS, SMALLEST, some)
+    sums = rows.groupBy(*keys, "bucket").agg(F.sum("mass").alias("mine"), F.sum(F.when(F.col("now"), F.col("mass"))).alias("own"))
+    users = sums.groupBy(*keys).agg(entries("own").alias("__own"), F.map_from_entries(F.collect_list(F.struct("bucket", "mine"))).alias("__mine"))
+    of_all = D.bucket_masses(every.join(some, scope) if scope else every.join(some), prior, BUCKETS, SMALLEST, some)
+    totals = cut(by_bucket(of_all, [*scope, "xmax"]).groupBy(*scope, "xmax").agg(entries("mass").alias("__all")))
+    joined = found.join(ends, keys).join(users, keys, "left").join(totals, [*scope, "xmax"], "left")
+    rest = F.transform("__all", lambda e: F.struct(e["bucket"].alias("bucket"), (e["mass"] - F.coalesce(F.col("__mine")[e["bucket"]], F.lit(0.0))).alias("mass")))
+    return joined.select(*found.columns, "xmax", shares(F.col("__own")).alias("prob"), shares(rest).alias("prob_neg"))
 
 
 NATURES = ("os", "model", "similar", "hog", "result", "bug")
@@ -80,26 +95,27 @@ NATURES = ("os", "model", "similar", "hog", "result", "bug")
 
 def stored_results(points: DataFrame, prior: DataFrame, daemons: Sequence[str] = (), least_users: int = C.LEAST_USERS, natures: Sequence[str] = NATURES) -> dict[str, DataFrame]:
     """The comparisons of each of the natures, labelled, with xmax, prob, prob_neg, and the apps of a user."""
-    points, found = cut(D.tops(points, prior)), {}
+    current = current_os_model(points).select("uuid", F.col("os").alias("__os"))
+    flagged = joined_on(D.tops(points, prior), current, ["uuid"], "left").withColumn("now", F.col("os").eqNullSafe(F.col("__os")))
+    points, found = cut(flagged.drop("__os")), {}
     if set(natures) & {"os", "model", "similar", "hog"}:
-        xmax = points.agg(F.coalesce(F.max("top"), F.lit(0.0)).alias("xmax"))
-        masses = cut(D.bucket_masses(points.join(xmax), prior, BUCKETS, SMALLEST).select("os", "model", "apps", "bucket", "mass"))
+        xmax = cut(points.agg(F.coalesce(F.max("top"), F.lit(0.0)).alias("xmax")))
+        masses = cut(D.bucket_masses(points.join(xmax), prior, BUCKETS, SMALLEST, xmax).select("os", "model", "apps", "bucket", "mass"))
         all_ = by_bucket(masses, [])
     for nature, compare in (("os", C.compare_os), ("model", C.compare_model)):
         if nature in natures:
             found[nature] = C.labelled(against_all(compare(points), [nature], by_bucket(masses, [nature]), all_, xmax), nature, [nature])
     if "similar" in natures:
-        similar = C.similar_sums(C.user_sets(points, daemons), masses.select("apps", "bucket", "mass"), ["mass"], ["bucket"])
+        similar = C.similar_sums(C.user_sets(points, daemons), masses.select("apps", "bucket", "mass"), ["mass"], ["bucket"], daemons)
         found["similar"] = C.labelled(against_all(C.similar_users(points, daemons), ["uuid"], similar, all_, xmax), "similar", ["uuid"])
     if "hog" in natures:
         hogs = cut(C.hogs(points, daemons, least_users))
         by_app = by_bucket(masses.withColumn("app", F.explode("apps")).join(hogs.select("app"), "app", "left_semi"), ["app"])
         found["hog"] = C.labelled(against_all(hogs, ["app"], by_app, all_, xmax), "hog", ["app"])
-    now = current_os_rates(points)
     if "result" in natures:
-        found["result"] = C.labelled(against_others(cut(C.user_profile(points, daemons)), [], now, points, prior), "result", ["uuid"])
+        found["result"] = C.labelled(against_others(cut(C.user_profile(points, daemons)), [], points, prior), "result", ["uuid"])
     if "bug" in natures:
         bugs = cut(C.bugs(points, daemons, least_users))
         having = lambda rows: rows.withColumn("app", F.explode("apps")).join(bugs.select("app").distinct(), "app", "left_semi")
-        found["bug"] = C.labelled(against_others(bugs, ["app"], having(now), having(points), prior), "bug", ["app", "uuid"])
+        found["bug"] = C.labelled(against_others(bugs, ["app"], having(points), prior), "bug", ["app", "uuid"])
     return found
