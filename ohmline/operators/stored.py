@@ -65,9 +65,16 @@ def pair_ends(most: DataFrame, scope: list[str]) -> DataFrame:
 def shares(hist: Column) -> Column:
     """A histogram, an array of (bucket, mass) in bucket order, over its total and without empty buckets; null if it has none."""
     kept = F.filter(hist, lambda e: e["mass"] > LEAST_MASS)
-    over = lambda total: F.transform(kept, lambda e: F.struct(e["bucket"].alias("bucket"), (e["mass"] / total).alias("mass")))
-    found = F.aggregate(kept, F.lit(0.0), lambda total, e: total + e["mass"], over)
-    return F.when(F.size(found) > 0, found)
+    over = lambda total: F.when(total > 0, F.transform(kept, lambda e: F.struct(e["bucket"].alias("bucket"), (e["mass"] / total).alias("mass"))))
+    return F.aggregate(kept, F.lit(0.0), lambda total, e: total + e["mass"], over)
+
+
+def filled(hist: Column) -> Column:
+    """The masses of all buckets of such an array, null taken as empty; in one pass, as bucket by bucket it would be a search each."""
+    hist = F.coalesce(hist, F.array().cast("array<struct<bucket:int,mass:double>>"))
+    none = lambda n: F.array_repeat(F.lit(0.0), n)
+    later = F.zip_with(hist, F.slice(hist, 2, BUCKETS), lambda e, after: F.concat(F.array(e["mass"]), none(F.coalesce(after["bucket"], F.lit(BUCKETS)) - e["bucket"] - 1)))
+    return F.concat(none(F.coalesce(F.get(hist, F.lit(0))["bucket"], F.lit(BUCKETS))), F.flatten(later))
 
 
 def against_others(found: DataFrame, scope: list[str], every: DataFrame, prior: DataFrame) -> DataFrame:
@@ -80,13 +87,14 @@ def against_others(found: DataFrame, scope: list[str], every: DataFrame, prior:
     ends = cut(found.select(*keys).join(pair_ends(most, scope), keys))
     some = cut(ends.select(*scope, "xmax").distinct())
     entries = lambda mass: F.sort_array(F.collect_list(F.struct("bucket", F.col(mass).alias("mass"))))
-    rows = D.bucket_masses(every.join(ends, keys), prior, BUCKETS, SMALLEST, some)
+    rows = D.bucket_masses(every.join(ends, keys).repartition(*keys), prior, BUCKETS, SMALLEST, some)
     sums = rows.groupBy(*keys, "bucket").agg(F.sum("mass").alias("mine"), F.sum(F.when(F.col("now"), F.col("mass"))).alias("own"))
-    users = sums.groupBy(*keys).agg(entries("own").alias("__own"), F.map_from_entries(F.collect_list(F.struct("bucket", "mine"))).alias("__mine"))
+    users = sums.groupBy(*keys).agg(entries("own").alias("__own"), entries("mine").alias("__mine"))
     of_all = D.bucket_masses(every.join(some, scope) if scope else every.join(some), prior, BUCKETS, SMALLEST, some)
-    totals = cut(by_bucket(of_all, [*scope, "xmax"]).groupBy(*scope, "xmax").agg(entries("mass").alias("__all")))
+    totals = cut(by_bucket(of_all, [*scope, "xmax"]).groupBy(*scope, "xmax").agg(filled(entries("mass")).alias("__all")))
     joined = found.join(ends, keys).join(users, keys, "left").join(totals, [*scope, "xmax"], "left")
-    rest = F.transform("__all", lambda e: F.struct(e["bucket"].alias("bucket"), (e["mass"] - F.coalesce(F.col("__mine")[e["bucket"]], F.lit(0.0))).alias("mass")))
+    less_mine = F.zip_with("__all", filled(F.col("__mine")), lambda a, b: a - b)
+    rest = F.transform(less_mine, lambda mass, bucket: F.struct(bucket.alias("bucket"), mass.alias("mass")))
     return joined.select(*found.columns, "xmax", shares(F.col("__own")).alias("prob"), shares(rest).alias("prob_neg"))
 
 

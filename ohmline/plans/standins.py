@@ -153,9 +153,14 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Rates with mass and mean, and the a-priori distribution; the rates are written once, as they are read often."""
-    kept = cut(rates(spark, sf_dir))
-    prior = D.a_priori(kept)
+    """Rates with mass and mean, and the a-priori distribution, written once, as they are read often.
+
+    Comparisons use no features and events, so these do not go through the windows and joins that make the rates.
+    """
+    plain = R.asof_os_model(raw_samples(spark, sf_dir).drop("features"), registrations(spark, sf_dir))
+    found = R.pairwise_rates(plain).withColumn("rate_id", F.xxhash64("uuid", "time1", "time2"))
+    kept = cut(found.drop("events", "level1", "level2"))
+    prior = cut(D.a_priori(kept))
     return cut(D.rate_points(kept, prior)), prior
 
 

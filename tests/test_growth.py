@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ohmline.functions import distributions as D
 from ohmline.operators import fleet as C
+from ohmline.operators import stored
+from ohmline.plans import standins
 
 
 def plan_of(df):
@@ -35,3 +37,19 @@ def test_rates_are_not_shuffled_to_their_buckets(spark):
     plan = plan_of(masses)
     assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan and "Union" not in plan
     assert {(r["rate_id"], round(r["mass"], 9)) for r in masses.collect()} == {(1, 1.0), (2, 1.0), (3, 1.0)}  # 4 holds no value
+
+
+def test_points_carry_what_comparisons_use(spark):
+    points, prior = standins.points(spark, "/root/testdata/sf0.001")
+    assert not {"features", "events", "level1", "level2"} & set(points.columns)
+    assert "HashAggregate" not in plan_of(prior)  # written, not made again by each reader
+    whole = D.a_priori(standins.rates(spark, "/root/testdata/sf0.001"))
+    assert sorted(map(tuple, prior.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_filled_histograms(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1, array(struct(0 AS bucket, 2D AS mass), struct(3, 1D))), (2, array(struct(99, 4D))), (3, null) AS t(id, h)").select("id", stored.filled(F.col("h")).alias("d"), stored.shares(F.col("h")).alias("s"))
+    found = {r["id"]: r for r in rows.collect()}
+    assert all(len(r["d"]) == stored.BUCKETS for r in found.values())
+    assert [{i: x for i, x in enumerate(found[k]["d"]) if x} for k in (1, 2, 3)] == [{0: 2.0, 3: 1.0}, {99: 4.0}, {}]
+    assert found[1]["s"] == [(0, 2 / 3), (3, 1 / 3)] and found[3]["s"] is None
