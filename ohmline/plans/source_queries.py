@@ -197,7 +197,7 @@ def st3_stream_late_rows(spark, sf_dir):
     spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         mixed = streamed(spark, rows.repartition(8, F.xxhash64("num")).sortWithinPartitions(F.xxhash64("num")))
-        found = to_table(spark, streams.stream_buckets(mixed, lambda row: row.event_type, time="ts", late="1 day"))
+        found = to_table(spark, streams.stream_buckets(mixed, lambda row: row.event_type, time="ts", late="1 day", states=1024))
     finally:
         spark.conf.set(STATE_STORE, before)
     return found.groupBy("series_id", "bucket_id").agg(F.count(F.lit(1)).alias("n"), F.min("num").alias("first_num"), F.max("num").alias("last_num"))

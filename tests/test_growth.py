@@ -1,12 +1,14 @@
 """Steps whose work must not grow faster than their input: what they shuffle, pair and call."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ohmline.functions import distributions as D
 from ohmline.operators import fleet as C
-from ohmline.operators import stored
+from ohmline.operators import segments, stored
 from ohmline.plans import standins
+from ohmline.streaming import streams
 
 
 def plan_of(df):
@@ -48,8 +50,65 @@ def test_points_carry_what_comparisons_use(spark):
 
 
 def test_filled_histograms(spark):
-    rows = spark.sql("SELECT * FROM VALUES (1, array(struct(0 AS bucket, 2D AS mass), struct(3, 1D))), (2, array(struct(99, 4D))), (3, null) AS t(id, h)").select("id", stored.filled(F.col("h")).alias("d"), stored.shares(F.col("h")).alias("s"))
+    table = spark.createDataFrame([(1, [(0, 2.0), (3, 1.0)]), (2, [(99, 4.0)]), (3, None)], "id int, h array<struct<bucket:int,mass:double>>")
+    rows = table.select("id", stored.filled(F.col("h")).alias("d"), stored.shares(F.col("h")).alias("s"))
     found = {r["id"]: r for r in rows.collect()}
     assert all(len(r["d"]) == stored.BUCKETS for r in found.values())
     assert [{i: x for i, x in enumerate(found[k]["d"]) if x} for k in (1, 2, 3)] == [{0: 2.0, 3: 1.0}, {99: 4.0}, {}]
     assert found[1]["s"] == [(0, 2 / 3), (3, 1 / 3)] and found[3]["s"] is None
+
+
+def test_rows_of_a_stream_wait_without_calls_for_each_series(spark, tmp_path):
+    rows = spark.readStream.schema("series_id long, num long, ts timestamp, k string").parquet(str(tmp_path))
+    plan = streams.stream_buckets(rows, lambda r: r.k, time="ts", late="1 day")._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "FlatMapGroupsInPandasWithState" in plan
+
+
+def test_waiting_rows_leave_in_their_order_and_a_silent_series_begins_anew():
+    class State:
+        exists, watermark = False, 0
+        def __getattr__(self, _): return lambda *x: None
+        def getCurrentWatermarkMs(self): return self.watermark
+        def update(self, value): self.get, self.exists = value, True
+        def remove(self): self.exists = False
+        def setTimeoutTimestamp(self, ms): self.timeout = ms
+
+    class Count:
+        def reset(self): self.n = 0
+
+    def step(held, row):
+        held.detector.n += 1
+        yield (row.num,), held.detector.n
+
+    fold, state = streams.in_order(Count, step, ["num"], ["num", "n"], "num", 10_000_000), State()
+    call = lambda *rows: [tuple(r) for f in fold((), iter([pd.DataFrame(rows, columns=["num", "__at"])]), state) for r in f.itertuples(index=False)]
+    assert call((3, 3_000_500), (1, 1_000_000), (2, 1_000_000)) == [] and state.timeout == 999
+    state.watermark = 1000
+    assert call() == [(1, 1), (2, 2)] and state.timeout == 3000  # called when the watermark is beyond 3000
+    state.watermark = 3001
+    assert call() == [(3, 3)] and state.timeout == 13000
+    state.watermark = 14000
+    assert call((9, 13_900_000)) == [(9, 1)]
+    state.watermark = 24000
+    assert call() == [] and not state.exists
+    fold, state = streams.in_order(Count, step, ["num"], ["num", "n"], "num", None, ["num"]), State()
+    assert call((5, 2_000_000), (6, 1_000_000), (5, 3_000_000)) == []
+    state.watermark = 2000
+    assert sorted(call()) == [(5, 1), (6, 1)] and state.timeout == 2999  # series of one state, each with its own count
+
+
+def test_states_of_series_hold_no_classes_or_functions():
+    make = lambda: segments.MovingAverageDetector(5.0, 3, lambda_of_p)
+    saved, held = streams.Saved(make, ["p"]), segments.Held(make())
+    rows = [segments.Row(["p"], (float(x),)) for x in (1, 7, 9)]
+    list(segments.run_step(held, rows[0]))
+    body = saved.dumps((held, [(1, 2, (3.0,))], 4))
+    assert len(body) < 1000
+    again = streams.Saved(make, ["p"]).loads(body)
+    assert type(again[0]) is segments.Held and again[0].detector.__dict__.keys() == held.detector.__dict__.keys() and again[1:] == ([(1, 2, (3.0,))], 4)
+    of = lambda state: [(row.p, n) for r in rows[1:] for row, n in segments.run_step(state, r)]
+    assert of(again[0]) == of(held) != []
+
+
+def lambda_of_p(row):
+    return row.p
